@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .mixing import ORACLE_OP3, op3_mixing
+from .packing import op9_packing
 from .sharding import op7_sharding
+from .simhash import op5_simhash
 
-QUERIES = {"op3_mixing": op3_mixing, "op7_sharding": op7_sharding}
+QUERIES = {"op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op7_sharding": op7_sharding, "op9_packing": op9_packing}
 ORACLES = {"op3_mixing": ORACLE_OP3}
