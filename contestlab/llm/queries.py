@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .language_model import op10_language_model
+from .line_dedup import ORACLE_OP4, op4_line_dedup
 from .mixing import ORACLE_OP3, op3_mixing
 from .packing import op9_packing
 from .sharding import op7_sharding
 from .simhash import op5_simhash
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op7_sharding": op7_sharding, "op9_packing": op9_packing}
-ORACLES = {"op3_mixing": ORACLE_OP3}
+QUERIES = {"op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op7_sharding": op7_sharding, "op9_packing": op9_packing, "op10_language_model": op10_language_model}
+ORACLES = {"op3_mixing": ORACLE_OP3, "op4_line_dedup": ORACLE_OP4}
