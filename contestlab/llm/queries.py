@@ -11,9 +11,11 @@ from .packing import op9_packing
 from .sharding import op7_sharding
 from .simhash import op5_simhash
 from .token_counts import op1_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
