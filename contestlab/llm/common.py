@@ -26,10 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 1 << 18
+
+
+def materialize(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there, and a lost executor
-    costs nothing already written. Rows carry whatever non-deterministic ids they had when written."""
+    costs nothing already written. Rows carry whatever non-deterministic ids they had when written.
+
+    most_rows, where the caller knows a bound of narrow rows, keeps a small table from becoming many tiny files."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if most_rows is not None:
+        df = df.coalesce(max(1, math.ceil(most_rows / ROWS_PER_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -24,20 +24,22 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_rows: int | None = None) -> DataFrame:
     """edges(a, b) of any ordered type -> (v, root) for every vertex of an edge, root the least of its component.
 
     Loops and repeated edges are allowed. The number of rounds grows as the logarithm of the largest component; each
     round is two joins on vertices, whose hot keys are the roots, and its edges are written before the next round.
-    No links or components pass through the driver, only a count and a checksum per round.
+    No links or components pass through the driver, only a count and a checksum per round. most_rows: a bound on the
+    edges, if one is known.
     """
-    now = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    now = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges", most_rows)
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = materialize(_star(_star(now, small=False), small=True), "edges")
+        # A round makes at most as many edges as it is given, and one per vertex.
+        now = materialize(_star(_star(now, small=False), small=True), "edges", 2 * mark[0])
     members = now.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root"))
     return members.union(members.select(F.col("root").alias("v"), "root").distinct())

@@ -140,7 +140,7 @@ def shuffle_shards(rows: DataFrame, shards: int = 16, seed: int = 20240229) -> D
         .withColumn("_key", F.xxhash64("_rid", F.lit(seed + 2)))
         .drop("_bucket", "_at", "upto")
     )
-    sent = materialize(sent, "shard-sent").withColumn("_block", F.shiftrightunsigned("_key", 64 - max(4, bits - 2)))
+    sent = sent.withColumn("_block", F.shiftrightunsigned("_key", 64 - max(4, bits - 2)))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = sent.groupBy("shard", "_block").agg(F.count("*").alias("n")).select("shard", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("shard", "_block").orderBy("_key", "_rid")

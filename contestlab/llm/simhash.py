@@ -202,7 +202,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows stay; an empty input gives an empty result.
     """
     base = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = materialize(base.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct-fingerprints")
+    least = materialize(base.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct-fingerprints", base.count())
     roots = components(ball_links(least.select("fp"), radius)).withColumnRenamed("v", "fp")
     named = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("_least").alias("component_id"))
