@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from contestlab.plans import MODULES
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
