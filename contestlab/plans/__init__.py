@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the views, each with the SQL that states it."""
 
-from . import contests
+from . import contests, forecasts, models
 
-MODULES = (contests,)
+MODULES = (contests, forecasts, models)

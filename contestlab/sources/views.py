@@ -88,11 +88,11 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as an append-only ledger: (ord, at, game, entry, p, won); several entries of a kind may name one game."""
+    """Events as an append-only ledger: (ord, happened, game, entry, p, won); several entries of a kind may name one game."""
     entry = F.create_map(*[F.lit(x) for x in ("signup", "morning", "view", "reissued", "purchase", "final", "error", "missed", "click", "result")])
     return plays(spark, sf_dir).select(
         F.col("event_id").alias("ord"),
-        F.col("ts").alias("at"),
+        F.col("ts").alias("happened"),
         F.concat_ws("-", "user_id", "k").alias("game"),
         entry[F.col("kind")].alias("entry"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 500)).alias("p"),
@@ -152,7 +152,7 @@ play AS (
 
 LEDGER = """
 ledger AS (
-  SELECT event_id AS ord, ts AS at, user_id || '-' || k AS game,
+  SELECT event_id AS ord, ts AS happened, user_id || '-' || k AS game,
          CASE kind WHEN 'signup' THEN 'morning' WHEN 'view' THEN 'reissued' WHEN 'purchase' THEN 'final' WHEN 'error' THEN 'missed' ELSE 'result' END AS entry,
          least(1.0::DOUBLE, greatest(0.0::DOUBLE, value / 500)) AS p, (floor(value)::BIGINT % 2 = 1)::INT AS won
   FROM play)"""
