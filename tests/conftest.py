@@ -12,6 +12,6 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from contestlab.session import session
 
-    s = session("tests", master="local[4]")
+    s = session("tests", master="local[4]", partitions=4)
     yield s
     s.stop()
