@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the views, each with the SQL that states it."""
 
-from . import appearances, contests, forecasts, models
+from . import appearances, audits, contests, forecasts, models
 
-MODULES = (contests, appearances, forecasts, models)
+MODULES = (contests, appearances, forecasts, models, audits)

@@ -101,3 +101,34 @@ def test_scalars(spark):
     assert row["z"] == pytest.approx(0.975, abs=1e-12) and row["t"] == pytest.approx(0.5 * math.erfc(8 / math.sqrt(2)), rel=1e-6)
     assert row["m"] == pytest.approx(0.6) and row["bad"] is None
     assert row["k"] == "jose oneil smith" and row["f"] == "Jane Doe" and row["y"] == 2
+
+
+def test_readers_are_strict(spark, tmp_path):
+    from contestlab.sources import readers
+
+    (tmp_path / "a.csv").write_text("b,a\n1.5,x\n2.5,y\n")
+    got = readers.csv_by_header(spark, str(tmp_path / "a.csv"), {"a": "string", "b": "double"})
+    assert [tuple(r) for r in got.orderBy("a").collect()] == [("x", 1.5), ("y", 2.5)]
+    with pytest.raises(ValueError):
+        readers.csv_by_header(spark, str(tmp_path / "a.csv"), {"z": "string"})
+    (tmp_path / "l.jsonl").write_text('{"k": 1}\n{"k": }\n')
+    with pytest.raises(Exception):
+        readers.json_lines(spark, str(tmp_path / "l.jsonl"), "k int").collect()
+
+
+def test_manifest_tells_rewritten_days(spark):
+    from contestlab.sources import readers
+
+    rows = lambda x: spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", x)], "day string, n int")
+    old = readers.manifest(rows(3), "day", ["day", "n"])
+    assert readers.intact(readers.manifest(rows(3), "day", ["day", "n"]), old, "day").count() == 0
+    assert [r["day"] for r in readers.intact(readers.manifest(rows(4), "day", ["day", "n"]), old, "day").collect()] == ["d2"]
+
+
+def test_rules_name_every_breach(spark):
+    from contestlab.operators import audits
+
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "id int, v int")
+    got = audits.broken_rules(rows, ["id"], {"null": F.col("v").isNull(), "negative": F.col("v") < 0}).collect()
+    assert {(r["id"], r["rule"]) for r in got} == {(2, "null"), (3, "negative")}
+    assert audits.broken_rules(rows.limit(0), ["id"], {"null": F.col("v").isNull()}).count() == 0
