@@ -174,7 +174,7 @@ def pack(docs: DataFrame, ranks: str, window: int = WINDOW, quantum: int = QUANT
     due = (F.col("z.p.k") + 0.5) / F.col("_slots")
     pieces = pieces.select("doc_id", "doc_tokens", "_queue", "z.p.start", "z.p.length", "z.p.k", "z.p.inner", F.col("z.crc").alias("ids_crc32"), due.alias("_due"))
     slots = base.agg(F.sum("doc_tokens").alias("n")).first()["n"] or 0
-    ranges = 1 << group_bits(slots // quantum + 1)
+    ranges = 1 << group_bits(slots // quantum + 1, most=20)
     pieces = materialize(pieces.withColumn("_range", F.floor(F.col("_due") * ranges).cast("int")), "pack-pieces")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = pieces.where("inner = 0").groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
