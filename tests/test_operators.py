@@ -132,3 +132,68 @@ def test_rules_name_every_breach(spark):
     got = audits.broken_rules(rows, ["id"], {"null": F.col("v").isNull(), "negative": F.col("v") < 0}).collect()
     assert {(r["id"], r["rule"]) for r in got} == {(2, "null"), (3, "negative")}
     assert audits.broken_rules(rows.limit(0), ["id"], {"null": F.col("v").isNull()}).count() == 0
+
+
+def test_ridge_and_left_out_penalty(spark):
+    from contestlab.operators import linear
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2)) * [1, 5]
+    y = 2 + x @ [1.5, -0.3] + rng.normal(size=600) * 0.1
+    rows = spark.createDataFrame([(int(i % 4), float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "season int, a double, b double, y double")
+    sums = linear.moment_sums(rows, "season", ["a", "b"], "y")
+    assert linear.ridge(sum(sums.values()), 1e-9) == pytest.approx(np.linalg.lstsq(np.c_[np.ones(600), x], y, rcond=None)[0], abs=1e-8)
+    best, loss = linear.penalty_left_out(sums)
+    assert best in (0.01, 0.1, 1.0) and loss[100.0] > loss[best]
+
+
+def test_logistic_finds_the_coefficients(spark):
+    from contestlab.operators import linear
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 2))
+    y = rng.random(5000) < 1 / (1 + np.exp(-(0.4 + x @ [1.0, -2.0])))
+    rows = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+    assert linear.logistic(rows, ["a", "b"], "y") == pytest.approx([0.4, 1.0, -2.0], abs=0.2)
+
+
+def test_paired_effects_recover_a_league(spark):
+    from contestlab.operators import linear
+
+    rng = np.random.default_rng(5)
+    true = rng.normal(size=20)
+    true -= true.mean()
+    rows = []
+    for _ in range(3000):
+        ten = rng.permutation(20)[:10]
+        rows.append((ten[:5].tolist(), ten[5:].tolist(), float(true[ten[:5]].sum() - true[ten[5:]].sum() + rng.normal() + 3), 1.0))
+    got = linear.paired_effects(spark.createDataFrame(rows, "p array<int>, m array<int>, y double, w double"), "p", "m", "y", "w", 1.0).orderBy("entity").collect()
+    assert np.corrcoef([r["effect"] for r in got], true)[0, 1] > 0.99
+
+
+def test_monotone_pools_violators():
+    from contestlab.operators.linear import monotone
+
+    assert monotone([1, 3, 2, 4], [1, 1, 1, 1]) == [1, 2.5, 2.5, 4] and monotone([3, 2, 1], [1, 1, 2]) == [1.75] * 3 and monotone([], []) == []
+
+
+def test_relations(spark):
+    from contestlab.operators import relations as R
+
+    day = lambda n: dt.date(2020, 1, n)
+    points = spark.createDataFrame([("a", day(1)), ("a", day(5)), ("b", day(2))], "k string, d date")
+    spans = spark.createDataFrame([("a", day(1), day(3), 1), ("a", day(2), day(5), 2), ("b", day(5), day(2), 3)], "k string, s date, e date, n int")
+    assert sorted(r["n"] for r in R.within_interval(points, spans, ["k"], "d", "s", "e").collect()) == [1, 2]
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("b", 1, None)], "k string, t int, v int")
+    assert {(r["k"], r["t"]): r["v"] for r in R.fill_down(rows, ["k"], ["t"], ["v"]).collect()} == {("a", 1): 5, ("a", 2): 5, ("b", 1): None}
+    assert sorted((r["k"], r["v"]) for r in R.newest(rows.where("t = 2"), rows.where("t = 1"), ["k"]).select("k", F.coalesce("v", F.lit(0)).alias("v")).collect()) == [("a", 0), ("b", 0)]
+    shares = R.bounded_shares(spark.createDataFrame([("g", 1, 60.0), ("g", 2, 30.0), ("g", 3, 10.0)], "g string, i int, w double"), "g", "w", "i", 100.0, 50.0).orderBy("i").collect()
+    assert [r["share"] for r in shares] == pytest.approx([50.0, 37.5, 12.5])
+
+
+def test_ties_go_to_head_to_head(spark):
+    from contestlab.operators import relations as R
+
+    table = spark.createDataFrame([("c", 1, 5, 5, 50), ("c", 2, 5, 5, -50), ("c", 3, 8, 2, 0)], "conf string, team int, wins long, losses long, diff long")
+    met = spark.createDataFrame([("c", 1, 2, 3, 9), ("c", 2, 1, 9, 3), ("c", 3, 1, 0, 1)], "conf string, team_id int, opp_id int, scored long, allowed long")
+    assert {r["team"]: r["seed"] for r in R.break_ties(table, met, "conf", "team").collect()} == {3: 1, 2: 2, 1: 3}
