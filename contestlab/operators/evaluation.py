@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import accuracy, brier, clamp, log_loss
+from contestlab.session import cut_lineage
 
 
 def scores(p: str = "p", y: str = "y") -> list:
@@ -25,8 +26,8 @@ def equal_count(rows: DataFrame, bins: int = 10, order: str = "p", tie: str = "i
     """rows with `bin`: bin boundaries at floor(i * n / bins) in order of (order, tie).
 
     Global ranks without one task: rows are range-partitioned by the order and ranked inside ranges; the ranges' sizes
-    (a row each) are summed before."""
-    rows = rows.repartitionByRange(F.col(order), F.col(tie)).withColumn("_part", F.spark_partition_id())
+    (a row each) are summed before. Ranges are drawn by sampling, so they are written once and read twice."""
+    rows = cut_lineage(rows.repartitionByRange(F.col(order), F.col(tie)).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(order, tie)
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min(order).alias("_lo"))
     before = Window.orderBy("_lo", "_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "contestlab", master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -19,3 +21,12 @@ def session(name: str = "contestlab", master: str = "local[8]", partitions: int
     spark = SparkSession.builder.master(master).appName(name).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written once to the session's checkpoint folder, which all executors share; a temporary folder only where
+    the session names none (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="contestlab-"))
+    return df.checkpoint()
