@@ -7,6 +7,7 @@ contests in order and keeps only the state, whose size is the number of teams.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _streamed(games: DataFrame, pool: str, step, schema: str) -> DataFrame:
+def _streamed(games: DataFrame, pool: str, step, schema: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Feed each pool's contests in order to step(state, row) -> (state, output row), batch by batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +34,7 @@ def _streamed(games: DataFrame, pool: str, step, schema: str) -> DataFrame:
     # A date as days keeps the state numeric; sorting is by Spark, which spills.
     rows = games.withColumn("day", F.unix_date("game_date")).withColumn("pool", F.col(pool))
     ordered = rows.repartition("pool").sortWithinPartitions("pool", "season", "day", "game_id")
-    return ordered.select("pool", "season", "day", "game_id", "home_id", "away_id", "home_score", "away_score", "neutral").mapInPandas(run, schema)
+    return ordered.select("pool", "season", "day", "game_id", "home_id", "away_id", "home_score", "away_score", "neutral", *also).mapInPandas(run, schema)
 
 
 def elo(games: DataFrame, pool: str, start: float = 1505.0, k: float = 20.0, home: float = 100.0, carry: float = 0.75) -> DataFrame:
@@ -59,40 +60,58 @@ def elo(games: DataFrame, pool: str, start: float = 1505.0, k: float = 20.0, hom
 KALMAN = {"sigma": 10.5, "q": 0.05, "q_home": 0.0002, "rho": 0.85, "tau": 4.5, "home": 1.0, "home_var": 1.0, "cap": 30.0}
 
 
-def kalman(games: DataFrame, pool: str, **parameters: float) -> DataFrame:
+def kalman(games: DataFrame, pool: str, adjust: str | None = None, by_day: bool = False, **parameters: float) -> DataFrame:
     """Kalman ratings with a shared home advantage: predicted margin, its variance and the home side's chance, each from
-    contests before only. Teams regress between seasons and drift with the days between contests."""
+    contests before only. Teams regress between seasons and drift with the days between contests.
+
+    adjust names a column of points expected for the home side for reasons outside the ratings (absences, rest); it
+    enters the prediction and what is learned. by_day prices all contests of a day from the state before that day and
+    learns from them afterwards."""
     c = KALMAN | parameters
-    erf = np.vectorize(__import__("math").erf)
+
+    def learn(state, h, a, on, margin):
+        x, p = state["x"], state["p"]
+        ph = p[:, h] - p[:, a] + on * p[:, 0]
+        gain = ph / (c["sigma"] ** 2 + ph[h] - ph[a] + on * ph[0])
+        state["x"] = x + gain * (margin - (x[h] - x[a] + on * x[0]))
+        state["p"] = p - np.outer(gain, ph)
 
     def step(state, g):
         if state is None:
-            state = {"at": {}, "x": np.array([c["home"]]), "p": np.array([[c["home_var"]]]), "season": g.season, "day": None}
-        at, x, p = state["at"], state["x"], state["p"]
+            state = {"at": {}, "x": np.array([c["home"]]), "p": np.array([[c["home_var"]]]), "season": g.season, "day": None, "wait": []}
+        if g.season != state["season"] or g.day != state["day"]:
+            for seen in state["wait"]:
+                learn(state, *seen)
+            state["wait"] = []
+        at = state["at"]
         for team in (g.home_id, g.away_id):
             if team not in at:
-                at[team] = len(x)
-                x = np.append(x, 0.0)
-                p = np.pad(p, ((0, 1), (0, 1)))
-                p[-1, -1] = c["tau"] ** 2
+                at[team] = len(state["x"])
+                state["x"] = np.append(state["x"], 0.0)
+                state["p"] = np.pad(state["p"], ((0, 1), (0, 1)))
+                state["p"][-1, -1] = c["tau"] ** 2
+        teams = np.arange(1, len(state["x"]))
         if g.season != state["season"]:
-            scale = np.r_[1.0, np.full(len(x) - 1, c["rho"])]
-            x, p = x * scale, p * scale[:, None] * scale[None, :]
-            p[np.arange(1, len(x)), np.arange(1, len(x))] += (1 - c["rho"] ** 2) * c["tau"] ** 2
+            scale = np.r_[1.0, np.full(len(teams), c["rho"])]
+            state["x"], state["p"] = state["x"] * scale, state["p"] * scale[:, None] * scale[None, :]
+            state["p"][teams, teams] += (1 - c["rho"] ** 2) * c["tau"] ** 2
             state["day"] = None
         if state["day"] is not None and g.day > state["day"]:
-            days = g.day - state["day"]
-            p[np.arange(1, len(x)), np.arange(1, len(x))] += c["q"] * days
-            p[0, 0] += c["q_home"] * days
+            state["p"][teams, teams] += c["q"] * (g.day - state["day"])
+            state["p"][0, 0] += c["q_home"] * (g.day - state["day"])
+        state["season"], state["day"] = g.season, g.day
+        x, p = state["x"], state["p"]
         h, a, on = at[g.home_id], at[g.away_id], 0.0 if g.neutral else 1.0
-        mean = x[h] - x[a] + on * x[0]
         ph = p[:, h] - p[:, a] + on * p[:, 0]
-        var = ph[h] - ph[a] + on * ph[0]
-        chance = float(np.clip(0.5 * (1 + erf(mean / np.sqrt(2 * (c["sigma"] ** 2 + var)))), 1e-6, 1 - 1e-6))
-        gain = ph / (c["sigma"] ** 2 + var)
-        margin = float(np.clip(g.home_score - g.away_score, -c["cap"], c["cap"]))
-        x = x + gain * (margin - mean)
-        p = p - np.outer(gain, ph)
-        return state | {"x": x, "p": p, "season": g.season, "day": g.day}, (g.game_id, float(mean), float(var), chance)
-
-    return _streamed(games, pool, step, "game_id long, expected_margin double, variance double, p_home double")
+        mean, var = x[h] - x[a] + on * x[0] + g.adjust, ph[h] - ph[a] + on * ph[0]
+        z = mean / math.sqrt(2 * (c["sigma"] ** 2 + var))
+        chance = min(1 - 1e-6, max(1e-6, 0.5 * (1 + math.erf(z))))
+        margin = max(-c["cap"], min(c["cap"], float(g.home_score - g.away_score))) - g.adjust
+        if by_day:
+            state["wait"].append((h, a, on, margin))
+        else:
+            learn(state, h, a, on, margin)
+        return state, (g.game_id, float(mean), float(var), chance)
+
+    rows = games.withColumn("adjust", F.coalesce(F.col(adjust).cast("double"), F.lit(0.0)) if adjust else F.lit(0.0))
+    return _streamed(rows, pool, step, "game_id long, expected_margin double, variance double, p_home double", ("adjust",))

@@ -25,6 +25,23 @@ def expected_games(p: Column, need: int = 4) -> Column:
     return sum(terms, F.lit(0.0))
 
 
+def series_uncertainty(key: Column, margin: Column, sd: Column, scale: float = 6.5, need: int = 4, draws: int = 800, seed: int = 5) -> Column:
+    """The 10, 50 and 90 % points of the series chance when the margin is only known to within sd: normal draws by Box
+    and Muller from hashes of the key, made, turned into chances and sorted inside the row."""
+
+    def uniform(i: Column, k: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(key, i, F.lit(seed + k)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+
+    def chance(i: Column) -> Column:
+        z = F.sqrt(-2.0 * F.ln(uniform(i, 0))) * F.cos(F.lit(6.283185307179586) * uniform(i, 1))
+        p = 1.0 / (1.0 + F.exp(-(margin + sd * z) / F.lit(scale)))
+        return series_win(p, need)
+
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), chance))
+    at = lambda q: F.element_at(drawn, F.lit(1 + int(q * (draws - 1) + 0.5)))
+    return F.struct(at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+
+
 def season(strength: DataFrame, fixtures: DataFrame, iterations: int = 2000, sigma: float = 10.5, seed: int = 29, parts: int = 16) -> DataFrame:
     """strength(team_id, conference, wins, mean, sd) and fixtures(home_id, away_id, n) -> per team: mean wins, their
     10 and 90 % points, and the chances to lead the conference and to be among its best two.

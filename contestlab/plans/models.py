@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import folds, simulate
-from contestlab.operators.standings import won
+from contestlab.operators.standings import rest_flags, won
 from contestlab.sources.views import CONTEST, SIDES, contests, ratable, sides, teams, with_views
 
 QUERIES: dict = {}
@@ -66,3 +66,22 @@ def season_monte_carlo(s, d):
     strength = played.join(teams(s, d), "team_id").select("team_id", "conference", "wins", F.col("m").alias("mean"), (F.coalesce("e", F.lit(10.0)) / F.sqrt("n")).alias("sd"))
     left = games.where("status = 'scheduled'").join(strength.select(F.col("team_id").alias("home_id")), "home_id", "left_semi").join(strength.select(F.col("team_id").alias("away_id")), "away_id", "left_semi")
     return simulate.season(strength, left.groupBy("home_id", "away_id").agg(F.count("*").alias("n")))
+
+
+@query()
+def kalman_by_day(s, d):
+    """Ratings as above, every day's contests priced before the first of them is learned, with a day's rest worth 1.5."""
+    rows = _pooled(s, d)
+    rest = rest_flags(sides(rows)).where("back_to_back = 1").select("game_id", "team_id", F.lit(1.5).alias("tired"))
+    home = rows.join(rest.withColumnsRenamed({"team_id": "home_id", "tired": "_h"}), ["game_id", "home_id"], "left")
+    both = home.join(rest.withColumnsRenamed({"team_id": "away_id", "tired": "_a"}), ["game_id", "away_id"], "left").dropDuplicates(["game_id"])
+    points = F.coalesce("_a", F.lit(0.0)) - F.coalesce("_h", F.lit(0.0))
+    return folds.kalman(both.withColumn("rest", points), "region", adjust="rest", by_day=True)
+
+
+@query()
+def series_uncertainty(s, d):
+    """The range of each pair's series chance, from the mean margin and its standard error."""
+    m = F.col("scored") - F.col("allowed")
+    pairs = sides(ratable(contests(s, d))).groupBy("team_id", "opp_id").agg(F.avg(m).alias("m"), F.coalesce(F.stddev_samp(m) / F.sqrt(F.count("*")), F.lit(10.0)).alias("e"))
+    return pairs.select("team_id", "opp_id", simulate.series_uncertainty(F.struct("team_id", "opp_id"), F.col("m"), F.col("e"), draws=200).alias("p")).select("team_id", "opp_id", "p.*")

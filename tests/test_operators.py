@@ -197,3 +197,18 @@ def test_ties_go_to_head_to_head(spark):
     table = spark.createDataFrame([("c", 1, 5, 5, 50), ("c", 2, 5, 5, -50), ("c", 3, 8, 2, 0)], "conf string, team int, wins long, losses long, diff long")
     met = spark.createDataFrame([("c", 1, 2, 3, 9), ("c", 2, 1, 9, 3), ("c", 3, 1, 0, 1)], "conf string, team_id int, opp_id int, scored long, allowed long")
     assert {r["team"]: r["seed"] for r in R.break_ties(table, met, "conf", "team").collect()} == {3: 1, 2: 2, 1: 3}
+
+
+def test_a_day_is_priced_from_the_state_before_it(spark):
+    rows = games(spark, [(0, 1, 2, 30, 1), (0, 1, 3, 30, 1), (1, 1, 2, 9, 8)]).withColumn("pool", F.lit(1))
+    got = {r["game_id"]: r["expected_margin"] for r in folds.kalman(rows, "pool", by_day=True).collect()}
+    assert got[0] == got[1] == pytest.approx(1.0) and got[2] > 1.0
+    one = {r["game_id"]: r["expected_margin"] for r in folds.kalman(rows, "pool").collect()}
+    assert one[1] > 1.0
+    moved = {r["game_id"]: r["expected_margin"] for r in folds.kalman(rows.withColumn("a", F.lit(2.0)), "pool", adjust="a").collect()}
+    assert moved[0] == pytest.approx(3.0)
+
+
+def test_uncertain_series_bracket_the_certain_one(spark):
+    row = spark.range(1).select(simulate.series_uncertainty(F.col("id"), F.lit(2.0), F.lit(1.0)).alias("p"), simulate.series_win(1 / (1 + F.exp(F.lit(-2.0 / 6.5)))).alias("w")).first()
+    assert row["p"]["p10"] < row["w"] < row["p"]["p90"] and abs(row["p"]["p50"] - row["w"]) < 0.03
