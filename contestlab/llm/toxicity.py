@@ -9,12 +9,13 @@ Labels mark documents, not windows, so training alternates: the present model pi
 each labelled document's label, and these train the next model. The first picks are made by log-odds of words and
 n-grams over the labelled sample, which also start the vectors' first components. The sample holds at most
 DOCS_PER_CLASS labelled documents of either class, chosen by a hash of the id, and sends the driver at most
-WINDOWS_PER_DOC windows of each; scoring covers every window of every document.
+WINDOWS_PER_DOC windows of each; scoring covers every window of every document and every character of its tokens.
 """
 
 from __future__ import annotations
 
 import copy
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ WINDOW, STEP = 32, 16
 FEATURES = 24_000  # words and n-grams with vectors of their own: those of the greatest log-odds
 LEAST_DOCS = 3  # of the sample, in which one of them must occur
 GRAM = 5
-CLIPPED = 48  # characters of a token; n-grams and word beyond are hashed whole
+LONG = 256  # characters from which a token is remembered by its digest and, in a training window, cut
 DIM, HIDDEN = 6, 8
 ROUNDS, EPOCHS, BATCH, RATE = 2, 4, 128, 0.02
 CHUNK = 2048  # windows run at once
@@ -43,7 +44,7 @@ EDGES = ".,;:!?\"'()[]{}<>|*#$%&@~_-+=/\\"
 
 def features(token: str) -> list[str]:
     """The word, marked, and its character n-grams with the word's ends."""
-    word = token.strip(EDGES)[:CLIPPED]
+    word = token.strip(EDGES)
     if not word:
         return []
     bounded = f" {word} "
@@ -208,13 +209,15 @@ class Scorer:
     def numbers(self, tokens: list[str]) -> np.ndarray:
         """Rows of the tokens' inputs in the table; row 0 stands for no token."""
         known = self.known
-        new = [t for t in dict.fromkeys(tokens) if t not in known]
+        keys = [t if len(t) < LONG else hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() + "\n" for t in tokens]
+        each = dict(zip(keys, tokens))
+        new = [k for k in each if k not in known]
         if len(known) + len(new) > CACHE_ENTRIES and len(known) > 1:
             self.clear()
-            known, new = self.known, list(dict.fromkeys(tokens))
+            known, new = self.known, list(each)
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
-            vec = self.net.vectors([self.net.rows(t) for t in some])
+            vec = self.net.vectors([self.net.rows(each[k]) for k in some])
             first = len(known)
             for side in "fb":
                 made = (vec @ self.net.p["w" + side] + self.net.p["d" + side]).astype(np.float32)
@@ -225,7 +228,7 @@ class Scorer:
                     self.table[side] = have = grown
                 have[first : first + len(some)] = made
             known.update(zip(some, range(first, first + len(some))))
-        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+        return np.fromiter(map(known.__getitem__, keys), np.int32, len(keys))
 
     def windows(self, index: np.ndarray) -> np.ndarray:
         """Logits of windows given as table rows (0 past the end)."""
@@ -339,7 +342,7 @@ def fit(sample: DataFrame, totals: dict[int, int], seed: int = 3) -> Network | N
                     others = [] if toxic else mixed[: WINDOWS_PER_DOC - len(top)]
                     chosen = [*top.tolist(), *others]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([" ".join(t[:CLIPPED] for t in tokens[begins[k] : begins[k] + WINDOW]) for k in chosen], pa.string()), pa.array([toxic] * len(chosen), pa.int32())],
+                        [pa.array([" ".join(t[:LONG] for t in tokens[begins[k] : begins[k] + WINDOW]) for k in chosen], pa.string()), pa.array([toxic] * len(chosen), pa.int32())],
                         names=["window", "toxic"],
                     )
 
