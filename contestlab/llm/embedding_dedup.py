@@ -15,6 +15,7 @@ dealt over blocks of vectors and of visitors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from .graph import components
 from .vectors import as_rows, common_length, directions, matrix, norms
 
 TARGET = 0.999  # recall at the threshold itself
-SAMPLE_PER_WORD = 64  # distinct vectors that the codebooks are fitted on, for each codeword
-WORDS = 64  # at most, in a half
+SAMPLE_PER_WORD, LEAST_SAMPLE = 64, 4096  # distinct vectors that the codebooks are fitted on, for each codeword and at least
+PER_CELL = 16  # distinct vectors, on average; so codebooks grow as the square root of the vectors
+WORDS = 1024  # at most, in a half: what knows cells by number has at most WORDS ** 2 rows
 MEMBERS, VISITORS = 512, 2048  # of a cell in one block
 
 
@@ -45,11 +47,11 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 class Grid:
     """Two codebooks and the cost up to which cells are visited."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, target: float, seed: int = 5):
+    def __init__(self, sample: np.ndarray, threshold: float, target: float, words: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         u = directions(sample)
         self.cut = max(1, u.shape[1] // 2)
-        self.k = int(min(WORDS, max(1, len(u) // SAMPLE_PER_WORD)))
+        self.k = int(min(WORDS, words, max(1, len(u) // 2)))
         self.words = [kmeans(x, self.k, rng) for x in self.halves(u)]
         self.gaps = [np.sqrt(np.maximum(((w[:, None] - w[None]) ** 2).sum(2), 1e-300)) for w in self.words]
         aside = rng.standard_normal(u.shape)
@@ -82,10 +84,15 @@ class Grid:
     def visits(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) of all visits, each row's cheapest cells first."""
         first, second = self.costs(u)
-        total = first[:, :, None] + second[:, None, :]
-        row, i, j = np.nonzero(total <= self.limit)
-        order = np.lexsort((total[row, i, j], row))
-        return row[order], (i * self.k + j)[order]
+        rows, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for r in range(len(u)):
+            i, j = np.flatnonzero(first[r] <= self.limit), np.flatnonzero(second[r] <= self.limit)
+            total = first[r, i][:, None] + second[r, j][None]
+            a, b = np.nonzero(total <= self.limit)
+            order = np.argsort(total[a, b], kind="stable")
+            rows.append(np.full(len(a), r))
+            cells.append((i[a] * self.k + j[b])[order])
+        return np.concatenate(rows), np.concatenate(cells)
 
 
 def _groups(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +118,9 @@ def embedding_links(df: DataFrame, threshold: float = 0.95, target: float = TARG
     usable = (F.length("v") == length) & (F.length("v") > 0)
     good = base.where(usable)
     distinct = materialize(good.groupBy("v").agg(F.min("rid").alias("node"), F.count("*").alias("n")), "dedup-distinct")
-    picked = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE_PER_WORD * WORDS).toPandas()["v"]
-    grid = Grid(np.frombuffer(b"".join(picked), "<f8").reshape(len(picked), -1) if len(picked) else np.ones((1, 1)), threshold, target)
+    words = min(WORDS, max(1, math.isqrt(distinct.count() // PER_CELL)))
+    picked = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(max(LEAST_SAMPLE, SAMPLE_PER_WORD * words)).toPandas()["v"]
+    grid = Grid(np.frombuffer(b"".join(picked), "<f8").reshape(len(picked), -1) if len(picked) else np.ones((1, 1)), threshold, target, words)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,28 +129,25 @@ def embedding_links(df: DataFrame, threshold: float = 0.95, target: float = TARG
                 yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=["v", "node", "n", "cell"])
 
     placed = materialize(distinct.select("v", "node", "n").mapInArrow(place, "v binary, node long, n long, cell long"), "dedup-cells")
-    # One number for each of at most WORDS ** 2 cells.
-    members = {r["cell"]: -(-r["count"] // MEMBERS) for r in placed.groupBy("cell").count().collect()}
+    # One row for each of at most WORDS ** 2 cells, so these two may be broadcast.
+    blocks = placed.groupBy(F.col("cell").alias("at")).agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("blocks"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 row, cell = grid.visits(directions(matrix(part.column(0))))
-                row, cell = row.astype(np.int64), cell.astype(np.int64)
-                blocks = np.array([members.get(c, 0) for c in cell.tolist()], np.int64)
-                first = np.repeat(np.cumsum(blocks) - blocks, blocks)
-                block = np.arange(len(first)) - first
-                row, cell = np.repeat(row, blocks), np.repeat(cell, blocks)
                 kept = [c.take(pa.array(row)) for c in part.columns]
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), *kept], names=["at", "block", "v", "node", "n", "cell"])
-
-    visits = materialize(placed.mapInArrow(visit, "at long, block long, v binary, node long, n long, cell long"), "dedup-visits")
-    lots = {r["at"]: -(-r["count"] // VISITORS) for r in visits.where("block = 0").groupBy("at").count().collect()}
-    table_of = lambda d: F.coalesce(F.create_map(*[F.lit(x) for p in d.items() for x in p])[F.col("at")], F.lit(1)) if d else F.lit(1)
-    visitors = visits.withColumn("lot", F.pmod(F.xxhash64("node"), table_of(lots)))
-    held = placed.withColumn("at", F.col("cell")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), table_of(members)))
-    held = held.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), table_of(lots).cast("long") - 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *kept], names=["at", "v", "node", "n", "cell"])
+
+    visits = placed.mapInArrow(visit, "at long, v binary, node long, n long, cell long").join(F.broadcast(blocks), "at")
+    visits = materialize(visits, "dedup-visits")
+    lots = visits.groupBy("at").agg(F.ceil(F.count("*") / VISITORS).cast("long").alias("lots"))
+    visitors = visits.join(F.broadcast(lots), "at").withColumn("lot", F.pmod(F.xxhash64("node"), "lots"))
+    visitors = visitors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "lots")
+    held = placed.withColumn("at", F.col("cell")).join(F.broadcast(blocks), "at").join(F.broadcast(lots), "at")
+    held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
+    held = held.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("blocks", "lots")
 
     def verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64)] * 3
