@@ -140,11 +140,14 @@ def meet(fps: np.ndarray, reached: np.ndarray, left: np.ndarray, low: int) -> tu
     return both[:, 0], both[:, 1]
 
 
-def ball_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """distinct(fp) -> (a, b): pairs of fingerprints at `radius` or fewer differing bits whose graph has the same
-    components as all such pairs."""
+def ball_links(distinct: DataFrame, radius: int, total: int) -> DataFrame:
+    """distinct(kind, fp), about `total` rows -> (kind, a, b): pairs of fingerprints of one kind (0 to 127) at `radius`
+    or fewer differing bits whose graph has the same components as all such pairs.
+
+    A link (a, least) is found under many prefixes but told under one: the least fingerprint's own prefix, or, where a
+    differs from it in too many leading bits to reach that, any. What meets under the own prefix with a smaller least
+    is linked to that one, so by induction on the smaller end nothing falls apart."""
     half = (radius + 1) // 2
-    total = distinct.count()
     lead = min(24, max(4, math.ceil(math.log2(max(1, total) * ball_size(64, half) / PATTERNS_PER_PREFIX))))
     low = 64 - lead
     masks = flips(low, 64, half)
@@ -153,11 +156,12 @@ def ball_links(distinct: DataFrame, radius: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
+            kinds = batch.column(0).to_numpy().astype(np.int64)
+            fps = batch.column(1).to_numpy().view(np.uint64)
             for at in range(0, len(fps), 4096):
                 part = fps[at : at + 4096]
                 reached = part[:, None] ^ masks[None, :]
-                prefix = (reached >> np.uint64(low)).astype(np.int64).ravel()
+                prefix = ((reached >> np.uint64(low)).astype(np.int64) | (kinds[at : at + 4096, None] << lead)).ravel()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(prefix), pa.array(np.repeat(part, len(masks)).view(np.int64)), pa.array(np.tile(half - counts, len(part)))], names=["prefix", "fp", "left"]
                 )
@@ -168,29 +172,33 @@ def ball_links(distinct: DataFrame, radius: int) -> DataFrame:
         mask = np.uint64((1 << low) - 1)
 
         def links(part: pa.Table) -> pa.RecordBatch:
-            prefix = part.column(0).to_numpy().view(np.uint64)
+            key = part.column(0).to_numpy()
+            prefix = (key & ((1 << lead) - 1)).astype(np.uint64)
             fps = part.column(1).to_numpy().view(np.uint64)
             left = part.column(2).to_numpy()
-            outs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for some in np.split(np.arange(len(fps)), np.flatnonzero(prefix[1:] != prefix[:-1]) + 1):
+            outs = [np.empty(0, np.int8)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for some in np.split(np.arange(len(fps)), np.flatnonzero(key[1:] != key[:-1]) + 1):
                 a, b = meet(fps[some], (prefix[some] << np.uint64(low)) | (fps[some] & mask), left[some], low)
-                outs[0].append(a)
-                outs[1].append(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in outs], names=["a", "b"])
+                own = (b >> np.uint64(low) == prefix[some[0]]) | (np.bitwise_count((a ^ b) >> np.uint64(low)) > half)
+                outs[0].append(np.full(int(own.sum()), key[some[0]] >> lead, np.int8))
+                outs[1].append(a[own])
+                outs[2].append(b[own])
+            kind, a, b = (np.concatenate(x) for x in outs)
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
 
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
-            prefix = held.column(0).to_numpy()
-            whole = int(np.searchsorted(prefix, prefix[-1])) if len(prefix) else 0
+            key = held.column(0).to_numpy()
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if whole:
                 yield links(held.slice(0, whole))
                 held = held.slice(whole)
         if held is not None and held.num_rows:
             yield links(held)
 
-    sent = distinct.select("fp").mapInArrow(emit, "prefix long, fp long, left byte")
-    met = sent.repartition(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(receive, "a long, b long")
+    sent = distinct.select(F.col("kind").cast("byte").alias("kind"), "fp").mapInArrow(emit, "prefix long, fp long, left byte")
+    met = sent.repartition(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(receive, "kind byte, a long, b long")
     return met.distinct()
 
 
@@ -203,7 +211,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     base = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     least = materialize(base.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct-fingerprints", base.count())
-    roots = components(ball_links(least.select("fp"), radius)).withColumnRenamed("v", "fp")
+    roots = components(ball_links(least.select(F.lit(0).alias("kind"), "fp"), radius, least.count()).select("a", "b")).withColumnRenamed("v", "fp")
     named = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("_least").alias("component_id"))
     return base.join(named.join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")

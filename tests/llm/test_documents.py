@@ -182,7 +182,10 @@ def test_ball_links_find_every_pair_within_the_radius(spark):
             fps.append(int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
     fps = sorted({f % 2**64 for f in fps})
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    links = simhash.ball_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4).collect()
+    rows = spark.createDataFrame([(k, f) for f in signed for k in (0, 1)], "kind int, fp long")
+    both = simhash.ball_links(rows, 4, 2 * len(signed)).collect()
+    links = [r for r in both if r["kind"] == 1]
+    assert {(r["a"], r["b"]) for r in links} == {(r["a"], r["b"]) for r in both if r["kind"] == 0}
     assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() <= 4 for r in links)
     want = roots(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 4])
     assert roots(signed, [(r["a"], r["b"]) for r in links]) == want
