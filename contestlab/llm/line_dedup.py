@@ -8,6 +8,12 @@ A template is boilerplate when it recurs across documents that are not copies of
 together with its neighbours, boilerplate does not: of the two lines before and the two after, even the kind of
 neighbour that varies least must be another one in most of the distinct texts that have one. Boilerplate lines are
 dropped wherever they stand. Equal texts count once.
+
+Neighbours vary too little in a block of boilerplate lines, and where a family of copies repeats the line as well. So a
+template is boilerplate, too, if as many texts as it must recur in hold it besides enough of their own. A line is a
+text's own if fewer than a tenth of its marks (its template and its five-word runs) stand in another text: lines of
+copies, edited ones included, are nobody's own. A text counts that has more than a fifth of its words on own lines;
+however many copies there are, they neither count nor dilute.
 """
 
 from __future__ import annotations
@@ -21,6 +27,10 @@ DEPTH = 8
 SHORT, LEAST_SHORT = 4, 5  # tokens from which a line counts, and in how many contexts it must recur
 LEAST = 3  # contexts for a line that fills the tree's depth
 VARIES = 55  # percent: further distinct neighbours of a kind, of the further texts that have one
+RUN = 5  # words of a mark
+ALL, SAMPLE = 24, 4  # lines of more words than ALL have marks at one word in SAMPLE, chosen by the word itself
+SHARED = 10  # a line is not a text's own if one in so many of its marks stands in another text
+OWN = 5  # a text counts by itself if more than one in so many of its words are on lines of its own
 
 
 def md5_long(text: Column) -> Column:
@@ -47,8 +57,34 @@ def line_template(line: Column) -> Column:
     return let(F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1)), of)
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text_key, keys): the boilerplate templates of each distinct text that has any."""
+def line_marks(line: Column) -> Column:
+    """Struct of words, their number, and marks, the distinct marks of a line."""
+
+    def of(tokens: Column) -> Column:
+        few = F.size(tokens) <= ALL
+        run = lambda t, i: F.when((i <= F.greatest(F.lit(0), F.size(tokens) - RUN)) & (few | (F.pmod(F.xxhash64(t), F.lit(SAMPLE)) == 0)), F.xxhash64(F.slice(tokens, i + 1, RUN)))
+        runs = F.filter(F.transform(tokens, run), lambda x: x.isNotNull())
+        return F.struct(F.size(tokens).alias("words"), F.array_distinct(F.concat(F.array(line_template(line)["k"]), runs)).alias("marks"))
+
+    return let(F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1)), of)
+
+
+def independent(texts: DataFrame) -> DataFrame:
+    """texts(t) -> (text_key): the distinct texts of which more than a fifth of the words are on lines of their own."""
+    parsed = texts.select(md5_long(F.col("t")).alias("text_key"), F.posexplode(F.transform(F.split("t", "\n", -1), line_marks)).alias("i", "z"))
+    lines = materialize(parsed.where("z.words > 0").select("text_key", "i", "z.*"), "line-marks")
+    each = lines.select("text_key", "i", F.explode("marks").alias("mark"))
+    shared = each.groupBy("mark").agg(F.min("text_key").alias("one"), F.max("text_key").alias("other")).where("one <> other").select("mark")
+    # Equal texts are one: their lines meet here, and each has its marks as often as there are such texts.
+    met = each.join(shared, "mark").groupBy("text_key", "i").agg(F.count_distinct("mark").alias("n"))
+    alone = lines.select("text_key", "i", "words", F.size("marks").alias("marks")).dropDuplicates(["text_key", "i"]).join(met, ["text_key", "i"], "left")
+    own = F.when(F.coalesce("n", F.lit(0)) * SHARED < F.col("marks"), F.col("words")).otherwise(0)
+    return alone.groupBy("text_key").agg(F.sum(own).alias("own"), F.sum("words").alias("words")).where(F.col("own") * OWN > F.col("words")).select("text_key")
+
+
+def boilerplate(docs: DataFrame, text_col: str = "text", blocks: bool = True) -> DataFrame:
+    """(text_key, keys): the boilerplate templates of each distinct text that has any; without blocks, only those whose
+    neighbours vary."""
     texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
     parsed = texts.select(md5_long(F.col("t")).alias("text_key"), F.transform(F.split("t", "\n", -1), line_template).alias("p"))
 
@@ -65,11 +101,14 @@ def boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     varied = kinds.select("k", "texts", "need", "z.kind", "z.v").where("v is not null").groupBy("k", "need", "kind", "v").agg(F.count("*").alias("m"))
     varied = varied.groupBy("k", "need", "kind").agg(F.count("*").alias("c"), F.sum("m").alias("t"))
     found = varied.groupBy("k", "need").agg(F.max("c").alias("contexts"), F.min((F.col("c") - 1) * 100 - (F.col("t") - 1) * VARIES).alias("margin"))
-    found = found.where((F.col("contexts") >= F.col("need")) & (F.col("margin") >= 0))
-    return held.join(found.select("k"), "k").groupBy("text_key").agg(F.collect_set("k").alias("keys"))
+    found = found.where((F.col("contexts") >= F.col("need")) & (F.col("margin") >= 0)).select("k")
+    if blocks:
+        alone = held.join(independent(texts), "text_key", "left_semi").groupBy("k").agg(F.count("*").alias("texts"), F.max("need").alias("need"))
+        found = found.union(alone.where("texts >= need").select("k")).distinct()
+    return held.join(found, "k").groupBy("text_key").agg(F.collect_set("k").alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, text_col: str = "text", blocks: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of text_col, and n_lines and n_dropped beside (0 and 0 for a null text).
 
     A text without boilerplate is returned as it is; one of nothing else becomes empty. Null and empty texts, repeated
@@ -77,7 +116,7 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     input gives an empty result. A document that holds no other line than its boilerplate template has no context and
     stays whole, as do blank lines.
     """
-    flags = boilerplate(docs, text_col)
+    flags = boilerplate(docs, text_col, blocks)
     keyed = docs.drop("n_lines", "n_dropped").withColumn("_key", md5_long(F.col(text_col)))
     joined = keyed.join(flags, keyed["_key"] == flags["text_key"], "left").drop("text_key")
     lines = F.split(F.col(text_col), "\n", -1)
@@ -90,8 +129,8 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with its boilerplate lines dropped."""
-    return drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document with its boilerplate lines dropped, as the SQL below has it: blocks stay."""
+    return drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text"), blocks=False)
 
 
 ORACLE_OP4 = r"""

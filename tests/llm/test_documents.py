@@ -216,6 +216,25 @@ def test_boilerplate_lines_go_and_copies_stay(spark, odd, none):
     assert line_dedup.drop_boilerplate(odd).count() == odd.count() and line_dedup.drop_boilerplate(none).count() == 0
 
 
+def test_blocks_and_lines_of_copy_families_go(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    line = lambda: " ".join(word() for _ in range(12))
+    block, common = [line() for _ in range(3)], line()
+    rows = {i: [line(), *block, line(), line()] for i in range(10)}
+    original = [line() for _ in range(4)] + [common] + [line() for _ in range(4)]
+    for i in range(100, 160):  # near copies: one word of one line is another
+        rows[i] = list(original)
+        at = int(rng.choice([0, 1, 2, 3, 5, 6, 7, 8]))
+        words = rows[i][at].split()
+        words[int(rng.integers(12))] = word()
+        rows[i][at] = " ".join(words)
+    rows |= {i: [line(), line(), common, line(), line()] for i in range(200, 220)}
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert got == {i: [x for x in ls if x not in block and x != common] for i, ls in rows.items()}
+
+
 def test_packing_loses_no_token(docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
