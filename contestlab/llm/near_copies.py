@@ -79,11 +79,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = keyed.select(F.col("_key").alias("key"), F.col(id_col).alias("id"), blank(F.col(text_col)).alias("text"))
     marked = materialize(_fingerprinted(base, kinds).dropDuplicates(["key", "id"]), "near-fingerprints")
     nodes = materialize(marked.groupBy("key").agg(F.min("id").alias("id"), *[F.first(f"f{k}").alias(f"f{k}") for k in range(kinds)]), "near-texts", marked.count())
-    # All kinds at once: a node is (kind, fp), and the text of least key stands for it.
+    # All kinds at once: a node is (kind, fp), and the text of least key stands for it. Links may be rejected below, so
+    # each is told under every prefix.
     each = nodes.select("key", F.posexplode(F.array(*[F.col(f"f{k}") for k in range(kinds)])).alias("kind", "fp"))
     fps = materialize(each.groupBy("kind", "fp").agg(F.min("key").alias("least")), "near-kinds", kinds * nodes.count())
     alike = each.join(fps, ["kind", "fp"]).select(F.col("key").alias("x"), F.col("least").alias("y"))
-    links = ball_links(fps.select("kind", "fp"), radius, fps.count())
+    links = ball_links(fps.select("kind", "fp"), radius, fps.count(), every=True)
     apart = links.join(fps.withColumnsRenamed({"fp": "a", "least": "x"}), ["kind", "a"]).join(fps.withColumnsRenamed({"fp": "b", "least": "y"}), ["kind", "b"])
     pairs = alike.union(apart.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = materialize(pairs.distinct(), "near-pairs")

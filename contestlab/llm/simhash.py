@@ -140,13 +140,16 @@ def meet(fps: np.ndarray, reached: np.ndarray, left: np.ndarray, low: int) -> tu
     return both[:, 0], both[:, 1]
 
 
-def ball_links(distinct: DataFrame, radius: int, total: int) -> DataFrame:
+def ball_links(distinct: DataFrame, radius: int, total: int, every: bool = False) -> DataFrame:
     """distinct(kind, fp), about `total` rows -> (kind, a, b): pairs of fingerprints of one kind (0 to 127) at `radius`
     or fewer differing bits whose graph has the same components as all such pairs.
 
     A link (a, least) is found under many prefixes but told under one: the least fingerprint's own prefix, or, where a
     differs from it in too many leading bits to reach that, any. What meets under the own prefix with a smaller least
-    is linked to that one, so by induction on the smaller end nothing falls apart."""
+    is linked to that one, so by induction on the smaller end nothing falls apart.
+
+    That holds only if every link counts. A caller that rejects some wants every: links told under every prefix, so
+    that a link also stands where the own prefix's patterns hold a third that is less."""
     half = (radius + 1) // 2
     lead = min(24, max(4, math.ceil(math.log2(max(1, total) * ball_size(64, half) / PATTERNS_PER_PREFIX))))
     low = 64 - lead
@@ -179,7 +182,7 @@ def ball_links(distinct: DataFrame, radius: int, total: int) -> DataFrame:
             outs = [np.empty(0, np.int8)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for some in np.split(np.arange(len(fps)), np.flatnonzero(key[1:] != key[:-1]) + 1):
                 a, b = meet(fps[some], (prefix[some] << np.uint64(low)) | (fps[some] & mask), left[some], low)
-                own = (b >> np.uint64(low) == prefix[some[0]]) | (np.bitwise_count((a ^ b) >> np.uint64(low)) > half)
+                own = every | (b >> np.uint64(low) == prefix[some[0]]) | (np.bitwise_count((a ^ b) >> np.uint64(low)) > half)
                 outs[0].append(np.full(int(own.sum()), key[some[0]] >> lead, np.int8))
                 outs[1].append(a[own])
                 outs[2].append(b[own])

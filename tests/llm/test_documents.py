@@ -191,6 +191,13 @@ def test_ball_links_find_every_pair_within_the_radius(spark):
     assert roots(signed, [(r["a"], r["b"]) for r in links]) == want
 
 
+def test_links_that_may_be_rejected_are_told_under_every_prefix(spark):
+    # 0 is in all patterns that the others share under the prefix of 7, and in none of those under the other prefix.
+    rows = spark.createDataFrame([(0, 0), (0, 7), (0, 1 << 60)], "kind int, fp long")
+    links = {(r["a"], r["b"]) for r in simhash.ball_links(rows, 4, 3, every=True).collect()}
+    assert links == {(7, 0), (1 << 60, 0), (1 << 60, 7)}
+
+
 def test_near_copies_keep_one_of_each_group(docs, odd, none):
     rows = {r["doc_id"]: WORD.findall((r["text"] or "").lower()) for r in docs.collect()}
     sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in rows.items()}
