@@ -210,6 +210,19 @@ def test_near_copies_keep_one_of_each_group(docs, odd, none):
     assert near_copies.near_copies(none).count() == 0
 
 
+def test_near_copies_that_differ_by_a_block_meet(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        whole = words(200)
+        texts += [whole, whole[:90] + words(30) + whole[90:], words(200), words(200)]
+        texts.append(texts[-1][:170])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_copies.near_copies(docs).collect()}
+    assert kept == {i for i in range(150) if i % 5 in (0, 2, 3)}
+
+
 def test_boilerplate_lines_go_and_copies_stay(spark, odd, none):
     rng = np.random.default_rng(1)
     line = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(12))
