@@ -24,19 +24,19 @@ def query(sql: str | None = None):
 
 
 def _pooled(s, d):
-    """Rated contests, in one pool for each region of the home side."""
-    home = teams(s, d).select(F.col("team_id").alias("home_id"), F.col("conference").alias("region"))
-    return ratable(contests(s, d)).join(home, "home_id")
+    """Rated contests in one pool: sides meet across all regions, and a team has one rating."""
+    known = teams(s, d).select(F.col("team_id").alias("home_id"))
+    return ratable(contests(s, d)).join(known, "home_id", "left_semi").withColumn("pool", F.lit(1))
 
 
 @query()
 def elo_walk(s, d):
-    return folds.elo(_pooled(s, d), "region")
+    return folds.elo(_pooled(s, d), "pool")
 
 
 @query()
 def kalman_replay(s, d):
-    return folds.kalman(_pooled(s, d), "region")
+    return folds.kalman(_pooled(s, d), "pool")
 
 
 PAIR = ", pair AS (SELECT team_id, opp_id, (sum((scored > allowed)::INT) + 1) / (count(*) + 2)::DOUBLE AS p FROM rated GROUP BY ALL)"
@@ -76,7 +76,7 @@ def kalman_by_day(s, d):
     home = rows.join(rest.withColumnsRenamed({"team_id": "home_id", "tired": "_h"}), ["game_id", "home_id"], "left")
     both = home.join(rest.withColumnsRenamed({"team_id": "away_id", "tired": "_a"}), ["game_id", "away_id"], "left").dropDuplicates(["game_id"])
     points = F.coalesce("_a", F.lit(0.0)) - F.coalesce("_h", F.lit(0.0))
-    return folds.kalman(both.withColumn("rest", points), "region", adjust="rest", by_day=True)
+    return folds.kalman(both.withColumn("rest", points), "pool", adjust="rest", by_day=True)
 
 
 @query()

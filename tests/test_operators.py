@@ -212,3 +212,21 @@ def test_a_day_is_priced_from_the_state_before_it(spark):
 def test_uncertain_series_bracket_the_certain_one(spark):
     row = spark.range(1).select(simulate.series_uncertainty(F.col("id"), F.lit(2.0), F.lit(1.0)).alias("p"), simulate.series_win(1 / (1 + F.exp(F.lit(-2.0 / 6.5)))).alias("w")).first()
     assert row["p"]["p10"] < row["w"] < row["p"]["p90"] and abs(row["p"]["p50"] - row["w"]) < 0.03
+
+
+def test_a_team_has_one_rating_wherever_it_plays(spark):
+    from contestlab.plans import models
+    from contestlab.sources.views import contests, ratable
+
+    sf = "/root/testdata/sf0.001"
+    rows = ratable(contests(spark, sf)).orderBy("season", "game_date", "game_id").collect()
+    got = {r["game_id"]: r for r in models.elo_walk(spark, sf).collect()}
+    assert len(got) == len(rows)
+    ratings, season = {}, rows[0]["season"]
+    for g in rows:
+        if g["season"] != season:
+            season, ratings = g["season"], {t: 0.75 * r + 0.25 * 1505 for t, r in ratings.items()}
+        h, a = (ratings.get(g[x], 1505.0) for x in ("home_id", "away_id"))
+        want = 1 / (1 + 10 ** (-(h - a + (0 if g["neutral"] else 100)) / 400))
+        assert got[g["game_id"]]["p_home"] == pytest.approx(want)
+        ratings[g["home_id"]], ratings[g["away_id"]] = got[g["game_id"]]["home_rating"], got[g["game_id"]]["away_rating"]
