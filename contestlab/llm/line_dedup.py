@@ -1,19 +1,17 @@
 """Line deduplication with a fixed-depth log-template tree.
 
-A line descends the tree by its token count and then by its first DEPTH tokens, a token with a digit counting as the
-wildcard <*>; what follows is variable. The leaf that it reaches is its template, so parsing needs no state: a
-template is a key computed from the line alone.
-
-A template is boilerplate when it recurs across documents that are not copies of each other. Copies repeat a line
-together with its neighbours, boilerplate does not: of the two lines before and the two after, even the kind of
-neighbour that varies least must be another one in most of the distinct texts that have one. Boilerplate lines are
-dropped wherever they stand. Equal texts count once.
-
-Neighbours vary too little in a block of boilerplate lines, and where a family of copies repeats the line as well. So a
-template is boilerplate, too, if as many texts as it must recur in hold it besides enough of their own. A line is a
-text's own if fewer than a tenth of its marks (its template and its five-word runs) stand in another text: lines of
-copies, edited ones included, are nobody's own. A text counts that has more than a fifth of its words on own lines;
-however many copies there are, they neither count nor dilute.
+A line descends the tree by its token count and then by its tokens in PIECES steps of equally many tokens, a token with
+a digit being the wildcard <*>. A leaf's template generalises one variable field more: two neighbouring pieces, at most
+a quarter of a line of eight tokens and more, may hold anything. So a line has one key for each place of that field, and
+lines are of one template if they share a key: as many tokens, and all tokens outside the field the same. Lines of
+fewer than FIELD tokens have no field and one key. Keys are computed from the line alone; nothing is parsed in order.
+
+A template recurs when it stands in enough distinct texts that are not copies of each other, whatever its neighbours
+are. A text is taken for no copy if more than one in OWN of its words are on lines whose template stands in no other
+distinct text: then less than 0.8 of it can be anyone else's, so it's no near copy at that similarity. Copies, edited
+ones included, are so neither counted nor in the way, however many there are. Lines of recurring templates are dropped
+wherever they stand. Short templates need more texts; a line counts only if at least half of its tokens are constants,
+that is, hold a letter and no digit, since numbers and rules of symbols have no text that could recur.
 """
 
 from __future__ import annotations
@@ -21,149 +19,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, blank, let, materialize, table
-
-DEPTH = 8
-SHORT, LEAST_SHORT = 4, 5  # tokens from which a line counts, and in how many contexts it must recur
-LEAST = 3  # contexts for a line that fills the tree's depth
-VARIES = 55  # percent: further distinct neighbours of a kind, of the further texts that have one
-RUN = 5  # words of a mark
-ALL, SAMPLE = 24, 4  # lines of more words than ALL have marks at one word in SAMPLE, chosen by the word itself
-SHARED = 10  # a line is not a text's own if one in so many of its marks stands in another text
-OWN = 5  # a text counts by itself if more than one in so many of its words are on lines of its own
-
-
-def md5_long(text: Column) -> Column:
-    """The first 60 bits of the MD5."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
-def line_template(line: Column) -> Column:
-    """Struct of k, the template's key (null for a blank line), and n, in how many contexts it must recur (null: it
-    is never boilerplate, having few tokens or more wildcards than constants)."""
-
-    def of(tokens: Column) -> Column:
-        count = F.size(tokens)
-        lead = F.transform(F.slice(tokens, 1, DEPTH), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
-
-        def made(path: Column) -> Column:
-            fixed = F.size(F.filter(path, lambda t: t != "<*>"))
-            key = F.when(count > 0, md5_long(F.concat(count.cast("string"), F.lit(" "), F.array_join(path, " "))))
-            need = F.when((count >= SHORT) & (fixed * 2 >= F.size(path)), F.when(count >= DEPTH, F.lit(LEAST)).otherwise(F.lit(LEAST_SHORT)))
-            return F.struct(key.alias("k"), need.alias("n"))
-
-        return let(lead, made)
-
-    return let(F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1)), of)
-
-
-def line_marks(line: Column) -> Column:
-    """Struct of words, their number, and marks, the distinct marks of a line."""
-
-    def of(tokens: Column) -> Column:
-        few = F.size(tokens) <= ALL
-        run = lambda t, i: F.when((i <= F.greatest(F.lit(0), F.size(tokens) - RUN)) & (few | (F.pmod(F.xxhash64(t), F.lit(SAMPLE)) == 0)), F.xxhash64(F.slice(tokens, i + 1, RUN)))
-        runs = F.filter(F.transform(tokens, run), lambda x: x.isNotNull())
-        return F.struct(F.size(tokens).alias("words"), F.array_distinct(F.concat(F.array(line_template(line)["k"]), runs)).alias("marks"))
-
-    return let(F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1)), of)
-
-
-def independent(texts: DataFrame) -> DataFrame:
-    """texts(t) -> (text_key): the distinct texts of which more than a fifth of the words are on lines of their own."""
-    parsed = texts.select(md5_long(F.col("t")).alias("text_key"), F.posexplode(F.transform(F.split("t", "\n", -1), line_marks)).alias("i", "z"))
-    lines = materialize(parsed.where("z.words > 0").select("text_key", "i", "z.*"), "line-marks")
-    each = lines.select("text_key", "i", F.explode("marks").alias("mark"))
-    shared = each.groupBy("mark").agg(F.min("text_key").alias("one"), F.max("text_key").alias("other")).where("one <> other").select("mark")
-    # Equal texts are one: their lines meet here, and each has its marks as often as there are such texts.
-    met = each.join(shared, "mark").groupBy("text_key", "i").agg(F.count_distinct("mark").alias("n"))
-    alone = lines.select("text_key", "i", "words", F.size("marks").alias("marks")).dropDuplicates(["text_key", "i"]).join(met, ["text_key", "i"], "left")
-    own = F.when(F.coalesce("n", F.lit(0)) * SHARED < F.col("marks"), F.col("words")).otherwise(0)
-    return alone.groupBy("text_key").agg(F.sum(own).alias("own"), F.sum("words").alias("words")).where(F.col("own") * OWN > F.col("words")).select("text_key")
-
-
-def boilerplate(docs: DataFrame, text_col: str = "text", blocks: bool = True) -> DataFrame:
-    """(text_key, keys): the boilerplate templates of each distinct text that has any; without blocks, only those whose
-    neighbours vary."""
-    texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
-    parsed = texts.select(md5_long(F.col("t")).alias("text_key"), F.transform(F.split("t", "\n", -1), line_template).alias("p"))
-
-    def near(i: Column, step: int) -> Column:
-        return F.when(i + step >= 0, F.try_element_at(F.col("p"), i + (1 + step))["k"])
-
-    steps = {"p2": -2, "p1": -1, "n1": 1, "n2": 2}
-    placed = F.transform("p", lambda x, i: F.struct(x["k"].alias("k"), x["n"].alias("need"), *[near(i, step).alias(c) for c, step in steps.items()]))
-    lines = parsed.select("text_key", F.explode(F.filter(placed, lambda x: x["need"].isNotNull())).alias("z")).select("text_key", "z.*")
-    held = materialize(lines.groupBy("k", "text_key").agg(F.max("need").alias("need"), *[F.min(c).alias(c) for c in steps]), "line-templates")
-    counts = held.groupBy("k").agg(F.count("*").alias("texts"), F.max("need").alias("need")).where("texts >= need")
-    again = held.drop("need").join(counts, "k")
-    kinds = again.select("k", "texts", "need", F.explode(F.array(*[F.struct(F.lit(j).alias("kind"), F.col(c).alias("v")) for j, c in enumerate(steps)])).alias("z"))
-    varied = kinds.select("k", "texts", "need", "z.kind", "z.v").where("v is not null").groupBy("k", "need", "kind", "v").agg(F.count("*").alias("m"))
-    varied = varied.groupBy("k", "need", "kind").agg(F.count("*").alias("c"), F.sum("m").alias("t"))
-    found = varied.groupBy("k", "need").agg(F.max("c").alias("contexts"), F.min((F.col("c") - 1) * 100 - (F.col("t") - 1) * VARIES).alias("margin"))
-    found = found.where((F.col("contexts") >= F.col("need")) & (F.col("margin") >= 0)).select("k")
-    if blocks:
-        alone = held.join(independent(texts), "text_key", "left_semi").groupBy("k").agg(F.count("*").alias("texts"), F.max("need").alias("need"))
-        found = found.union(alone.where("texts >= need").select("k")).distinct()
-    return held.join(found, "k").groupBy("text_key").agg(F.collect_set("k").alias("keys"))
-
-
-def drop_boilerplate(docs: DataFrame, text_col: str = "text", blocks: bool = True) -> DataFrame:
-    """docs with boilerplate lines taken out of text_col, and n_lines and n_dropped beside (0 and 0 for a null text).
-
-    A text without boilerplate is returned as it is; one of nothing else becomes empty. Null and empty texts, repeated
-    rows and null ids stay rows; other columns are kept, but columns named n_lines or n_dropped are replaced. An empty
-    input gives an empty result. A document that holds no other line than its boilerplate template has no context and
-    stays whole, as do blank lines.
+from .common import WORD, blank, forget, hot_keys, materialize, spread_join, table, unfold, whole_row
+
+PIECES = 8
+FIELD = 4  # tokens from which a line has a variable field
+LEAST = ((8, 3), (4, 5), (1, 10))  # (tokens, texts): from so many tokens a template recurs in so many texts
+OWN = 5
+LETTER = r"[A-Za-z]|[^\x00-\x7F]"
+
+
+def template_keys(tokens: Column) -> Column:
+    """The keys of a line of such tokens, one for each place of the variable field."""
+    n = F.size(tokens)
+    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    at = [F.floor(n * j / PIECES).cast("int") for j in range(PIECES + 1)]
+    pieces = [F.xxhash64(F.slice(masked, at[j] + 1, at[j + 1] - at[j])) for j in range(PIECES)]
+    fields = [F.xxhash64(n, *[F.lit("<*>") if j in (v, v + 1) else pieces[j] for j in range(PIECES)]) for v in range(PIECES - 1)]
+    return F.when(n >= FIELD, F.array(*fields)).otherwise(F.array(F.xxhash64(n, masked)))
+
+
+def texts_needed(tokens: Column) -> Column:
+    """In how many texts a template of such tokens must recur; null for a line with too few constants."""
+    constants = F.size(F.filter(tokens, lambda t: t.rlike(LETTER) & ~t.rlike("[0-9]")))
+    need = F.lit(None).cast("int")
+    for least, texts in reversed(LEAST):
+        need = F.when(F.size(tokens) >= least, texts).otherwise(need)
+    return F.when((constants > 0) & (constants * 2 >= F.size(tokens)), need)
+
+
+def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(t, t2, text), t and t2 hashes of the text -> (t, t2, drop): where the recurring lines of each distinct text
+    are, and (t, n): how many rows each text has."""
+    split = docs.where("text is not null").select("t", "t2", F.regexp_count("text", F.lit(WORD)).alias("total"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    tokens = split.select("t", "t2", "total", "i", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("w"))
+    full = F.size("w") > 0
+    parsed = tokens.where(full | (F.col("i") == 0)).select("t", "t2", "total", "i", F.size("w").alias("words"), texts_needed(F.col("w")).alias("need"), F.when(full, template_keys(F.col("w"))).alias("keys"))
+    lines = materialize(parsed, "line-keys")
+    each = lines.select("t", "t2", "total", "i", "words", "need", F.explode("keys").alias("k"))
+    # Equal texts are one: they have one t.
+    counts = each.groupBy("k").agg(F.min("t").alias("one"), F.max("t").alias("other"), F.count("*").alias("n"))
+    shared = materialize(counts.where("one <> other").select("k", "n"), "line-shared")
+    total = lines.agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot = hot_keys(shared, "k", total)
+    met = materialize(spread_join(each, shared.select("k"), "k", hot, F.xxhash64("t", "i")).dropDuplicates(["t", "t2", "i", "k"]), "line-met")
+    theirs = met.groupBy("t", "t2", "i").agg(F.max("words").alias("words"), F.max("total").alias("total"))
+    apart = theirs.groupBy("t", "t2").agg(F.sum("words").alias("theirs"), F.max("total").alias("total")).where((F.col("total") - F.col("theirs")) * OWN > F.col("total"))
+    counted = met.where("need is not null").join(apart.select("t", "t2"), ["t", "t2"], "left_semi").select("k", "need", "t", "t2").distinct()
+    found = counted.groupBy("k", "need").agg(F.count("*").alias("texts")).where("texts >= need").select("k").distinct()
+    dropped = spread_join(met.where("need is not null"), found, "k", hot, F.xxhash64("t", "i"))
+    flags = materialize(dropped.groupBy("t", "t2").agg(F.collect_set("i").alias("drop")), "line-drops")
+    rows = materialize(lines.where("i = 0").groupBy("t").agg(F.count("*").alias("n")), "line-texts")
+    forget(lines, shared, met)
+    return flags, rows
+
+
+def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with recurring lines taken out of text_col, and n_lines and n_dropped beside (0 and 0 for a null text).
+
+    A text without recurring lines is returned as it is; one of nothing else becomes empty. Null and empty texts,
+    repeated rows and null ids stay rows; other columns are kept, whatever their names, but columns named n_lines or
+    n_dropped are replaced. An empty input gives an empty result. Blank lines stay. Lines of any length are compared
+    whole.
     """
-    flags = boilerplate(docs, text_col, blocks)
-    keyed = docs.drop("n_lines", "n_dropped").withColumn("_key", md5_long(F.col(text_col)))
-    joined = keyed.join(flags, keyed["_key"] == flags["text_key"], "left").drop("text_key")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("keys"), line_template(line)["k"]), F.lit(False)))
-    joined = joined.withColumn("_kept", F.when(F.col("keys").isNotNull(), kept))
-    total = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(blank(F.col(text_col))) - F.length(F.replace(blank(F.col(text_col)), F.lit("\n"))) + 1)
-    out = joined.withColumns({"n_lines": total.cast("long"), "n_dropped": F.when(F.col("_kept").isNull(), 0).otherwise(total - F.size("_kept")).cast("long")})
-    out = out.withColumn(text_col, F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
-    return out.drop("_key", "keys", "_kept")
+    text = F.col(text_col)
+    keyed = docs.select(whole_row(docs).alias("row"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"))
+    flags, rows = recurring_lines(keyed.select("t", "t2", "text"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    flags = flags.withColumnRenamed("t2", "other")
+    # The two hashes together tell texts apart; t alone deals them.
+    hot = hot_keys(rows, "t", total)
+    grouped = flags.groupBy("t").agg(F.collect_list(F.struct("other", "drop")).alias("known"))
+    joined = spread_join(keyed, grouped, "t", hot, F.monotonically_increasing_id(), "left")
+    drop = F.try_element_at(F.filter("known", lambda x: x["other"] == F.col("t2")), F.lit(1))["drop"]
+    joined = joined.select("row", "text", F.when(F.col("text").isNotNull(), drop).alias("drop"))
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("drop", i))
+    total = F.length(blank(F.col("text"))) - F.length(F.replace(blank(F.col("text")), F.lit("\n"))) + 1
+    made = {
+        text_col: F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(total).cast("long"),
+        "n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"),
+    }
+    out = unfold(joined, "row", docs.schema, made)
+    return out.select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with its boilerplate lines dropped, as the SQL below has it: blocks stay."""
-    return drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text"), blocks=False)
+    """Every document with its recurring lines dropped; null texts stay null, empty and repeated ones stay rows."""
+    return drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE_OP4 = r"""
-WITH lines AS (
-  SELECT doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS text_key, i, l[i] AS line
-  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-tokens AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
-paths AS (
-  SELECT *, len(w) AS c, list_transform(w[1:8], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS path FROM tokens),
-parsed AS (
-  SELECT *, CASE WHEN c > 0 THEN ('0x' || substr(md5(c::VARCHAR || ' ' || array_to_string(path, ' ')), 1, 15))::BIGINT END AS k,
-         CASE WHEN c >= 4 AND len(list_filter(path, lambda t: t <> '<*>')) * 2 >= len(path) THEN CASE WHEN c >= 8 THEN 3 ELSE 5 END END AS need
-  FROM paths),
-near AS (
-  SELECT text_key, k, need, doc_id,
-         lag(k, 2) OVER d AS p2, lag(k, 1) OVER d AS p1, lead(k, 1) OVER d AS n1, lead(k, 2) OVER d AS n2
-  FROM parsed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-held AS (
-  SELECT k, text_key, max(need) AS need, min(p2) AS p2, min(p1) AS p1, min(n1) AS n1, min(n2) AS n2
-  FROM near WHERE need IS NOT NULL GROUP BY k, text_key),
-counts AS (SELECT k, count(*) AS texts, max(need) AS need FROM held GROUP BY k HAVING count(*) >= max(need)),
-kinds AS (
-  SELECT k, 0 AS kind, count(DISTINCT p2) AS c, count(p2) AS t FROM held GROUP BY k UNION ALL
-  SELECT k, 1, count(DISTINCT p1), count(p1) FROM held GROUP BY k UNION ALL
-  SELECT k, 2, count(DISTINCT n1), count(n1) FROM held GROUP BY k UNION ALL
-  SELECT k, 3, count(DISTINCT n2), count(n2) FROM held GROUP BY k),
+WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT text, i, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT text, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM texts)),
+masked AS (
+  SELECT text, i, len(w) AS n, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS m,
+         len(list_filter(w, lambda t: regexp_matches(t, '[A-Za-z]|[^\x00-\x7F]') AND NOT regexp_matches(t, '[0-9]'))) AS constants
+  FROM lines WHERE len(w) > 0),
+pieces AS (
+  SELECT text, i, n, m, list_transform(range(0, 8), lambda j: array_to_string(m[(n * j // 8) + 1 : n * (j + 1) // 8], ' ')) AS p,
+         CASE WHEN constants > 0 AND constants * 2 >= n THEN CASE WHEN n >= 8 THEN 3 WHEN n >= 4 THEN 5 ELSE 10 END END AS need
+  FROM masked),
+keyed AS (
+  SELECT text, i, n, need, unnest(CASE WHEN n >= 4 THEN list_transform(range(0, 7), lambda v:
+           n || chr(10) || array_to_string(list_transform(range(0, 8), lambda j: CASE WHEN j = v OR j = v + 1 THEN '<*>' ELSE p[j + 1] END), chr(10)))
+         ELSE [n || chr(10) || array_to_string(m, ' ')] END) AS k
+  FROM pieces),
+shared AS (SELECT k FROM keyed GROUP BY k HAVING min(text) <> max(text)),
+met AS (SELECT DISTINCT text, i, n, need, k FROM keyed SEMI JOIN shared USING (k)),
+theirs AS (SELECT text, sum(n) AS words FROM (SELECT DISTINCT text, i, n FROM met) GROUP BY text),
+totals AS (SELECT text, sum(n) AS words FROM masked GROUP BY text),
+apart AS (SELECT text FROM totals JOIN theirs USING (text) WHERE (totals.words - theirs.words) * 5 > totals.words),
 found AS (
-  SELECT k FROM counts JOIN (SELECT k, max(c) AS contexts, min((c - 1) * 100 - (t - 1) * 55) AS margin FROM kinds WHERE c > 0 GROUP BY k) USING (k)
-  WHERE contexts >= need AND margin >= 0),
-flagged AS (SELECT k, text_key FROM held SEMI JOIN found USING (k)),
-marked AS (SELECT p.*, f.k IS NOT NULL AS dropped FROM parsed p LEFT JOIN flagged f ON p.k = f.k AND p.text_key = f.text_key)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS text,
-       count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped
-FROM marked GROUP BY doc_id
+  SELECT k FROM (SELECT DISTINCT k, need, text FROM met SEMI JOIN apart USING (text) WHERE need IS NOT NULL)
+  GROUP BY k, need HAVING count(*) >= need),
+dropped AS (SELECT text, list(DISTINCT i) AS drop FROM met SEMI JOIN found USING (k) WHERE need IS NOT NULL GROUP BY text),
+split AS (SELECT doc_id, d.text, string_split(d.text, chr(10)) AS l, coalesce(drop, []) AS drop FROM documents d LEFT JOIN dropped USING (text) WHERE d.text IS NOT NULL)
+SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(drop, i)), lambda i: l[i]), chr(10)) AS text,
+       len(l)::BIGINT AS n_lines, len(drop)::BIGINT AS n_dropped
+FROM split
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
