@@ -76,17 +76,23 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spr
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def whole_row(df: DataFrame) -> Column:
     """All of df's columns as one struct, so that an operator's own columns clash with none of them."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+    return F.struct(*quoted(df)) if df.columns else F.struct(F.lit(0).alias("none"))
 
 
 def unfold(df: DataFrame, row: str, schema, made: dict[str, Column]) -> DataFrame:
     """The columns of the struct `row` (schema: what it was made of) and then the columns `made`, which replace
     columns of the same name (in any case)."""
     names = {c.lower() for c in made}
-    kept = [F.col(row)[f.name].alias(f.name) for f in schema.fields if f.name.lower() not in names]
-    return df.select(*kept, *[value.alias(name) for name, value in made.items()])
+    kept = [F.col(row).getField(f.name).alias(f.name) for f in schema.fields if f.name.lower() not in names]
+    df = df.select(row, *[value.alias(f"made{i}") for i, value in enumerate(made.values())])
+    return df.select(*kept, *[F.col(f"made{i}").alias(name) for i, name in enumerate(made)])
 
 
 def let(value: Column, body) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, blank, forget, hot_keys, materialize, spread_join, table, unfold, whole_row
+from .common import WORD, blank, forget, hot_keys, materialize, quoted, spread_join, table, unfold, whole_row
 
 PIECES = 8
 FIELD = 4  # tokens from which a line has a variable field
@@ -82,7 +82,8 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     whole.
     """
     text = F.col(text_col)
-    keyed = docs.select(whole_row(docs).alias("row"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"))
+    others = docs.drop(text_col)
+    keyed = docs.select(whole_row(others).alias("row"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"))
     flags, rows = recurring_lines(keyed.select("t", "t2", "text"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     flags = flags.withColumnRenamed("t2", "other")
@@ -99,8 +100,8 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(total).cast("long"),
         "n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"),
     }
-    out = unfold(joined, "row", docs.schema, made)
-    return out.select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
+    out = unfold(joined, "row", others.schema, made)
+    return out.select(*quoted(docs.drop("n_lines", "n_dropped")), "n_lines", "n_dropped")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

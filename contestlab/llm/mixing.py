@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, materialize, table, unfold, whole_row
 
 CYCLE = (5, 2, 1)  # weights of the sources by code point, repeating
 SHARE = 1.5  # of all words, what the mix holds
@@ -56,43 +56,51 @@ def copies_to_target(rows: DataFrame, id_col: str = "doc_id", source_col: str =
 
     The same rows with the same seed give the same copies. A null source is a source; null ids and repeated rows are
     rows of their own (rows alike in id and size are interchangeable); a size of zero takes no words however often it
-    is copied; an empty input gives an empty result. Columns named source_size, target or copies are replaced.
+    is copied; an empty input gives an empty result. Other columns are kept, whatever their names, but columns named
+    source_size, target or copies are replaced.
     """
-    named = {"_key": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "_size": F.coalesce(F.col(size_col), F.lit(0)).cast("long")}
-    base = materialize(rows.drop("source_size", "target", "copies").withColumns(named), "mix-sizes")
+    packed = rows.select(whole_row(rows).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"))
+    taken = _taken(packed, seed)
+    return unfold(taken, "row", rows.schema, {c: F.col(c) for c in ("source_size", "target", "copies")})
+
+
+def _taken(packed: DataFrame, seed: int) -> DataFrame:
+    """packed(row, id, source, size) -> row, source_size, target, copies."""
+    made = {"key": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), "size": F.coalesce(F.col("size"), F.lit(0)).cast("long")}
+    base = materialize(packed.select("row", "id", *[value.alias(name) for name, value in made.items()]), "mix-sizes")
     total = base.count()
     salts = math.ceil(total / max(1, math.ceil(2 * math.sqrt(total)))) or 1
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    bits = F.length(F.bin("_size"))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    bits = F.length(F.bin("size"))
     base = base.withColumns(
         {
-            "_class": (bits * 2 + F.when(F.col("_size") * 4 >= F.pow(F.lit(2.0), bits) * 3, 1).otherwise(0)).cast("int"),
-            "_hash": hashed,
-            "_salt": F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long"), F.lit(salts)),
+            "class": (bits * 2 + F.when(F.col("size") * 4 >= F.pow(F.lit(2.0), bits) * 3, 1).otherwise(0)).cast("int"),
+            "hash": hashed,
+            "salt": F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long"), F.lit(salts)),
         }
     )
-    group = ["_key", "_class", "_salt"]
-    groups = base.groupBy(*group).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"))
-    sizes = groups.groupBy("_key").agg(F.sum("_words").alias("source_size"))
-    sizes = sizes.withColumn("source", F.when(F.col("_key") != "", F.substr("_key", F.lit(2))))
-    targets = source_targets(sizes).withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
-    before = Window.partitionBy("_key").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_words").join(targets, "_key")
-    inside = Window.partitionBy(*group).orderBy("_size", "_hash", id_col)
-    ranked = base.withColumn("_nth", F.row_number().over(inside)).join(starts, group)
+    group = ["key", "class", "salt"]
+    groups = base.groupBy(*group).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    sizes = groups.groupBy("key").agg(F.sum("words").alias("source_size"))
+    sizes = sizes.withColumn("source", F.when(F.col("key") != "", F.substr("key", F.lit(2))))
+    targets = source_targets(sizes).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
+    before = Window.partitionBy("key").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "words").join(targets, "key")
+    inside = Window.partitionBy(*group).orderBy("size", "hash", "id")
+    ranked = base.withColumn("nth", F.row_number().over(inside)).join(starts, group)
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    rank = F.col("_first") + F.col("_nth")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("_key"))), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    rank = F.col("first") + F.col("nth")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("key"))), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
     copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    return ranked.withColumn("copies", copies.cast("int")).drop("_key", "_class", "_salt", "_hash", "_size", "_first", "_nth")
+    return ranked.select("row", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; same columns as docs."""
-    rows = docs.withColumn("_words", words(F.col("text")))
-    taken = copies_to_target(rows, size_col="_words", seed=seed)
-    repeated = taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    """The documents themselves, each as often as the mix takes it; the columns of docs, whatever their names and
+    values. Null texts take no words; null sources are a source; an empty input gives an empty result."""
+    packed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("source"), words(F.col("text")).alias("size"))
+    repeated = _taken(packed, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unfold(repeated, "row", docs.schema, {})
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
@@ -104,7 +112,8 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 ORACLE_OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS k,
-         coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+         coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
          md5('11:' || coalesce(doc_id::VARCHAR, '')) AS h
   FROM documents),
 law AS (SELECT greatest(1, ceil(count(*) / greatest(1, ceil(2 * sqrt(count(*))))))::BIGINT AS salts FROM sized),

@@ -1,17 +1,20 @@
-"""Documents grouped as near copies: ball hashing finds candidates, exact shingle similarity confirms them.
+"""Documents grouped as near copies: ball hashing and bands of minima find candidates, exact similarity confirms them.
 
 Two texts are near copies when the Jaccard similarity of their sets of word shingles reaches the threshold. A
 fingerprint of five-word shingles moves by about ten bits at a similarity of 0.8, too far for any ball; one of the
-text's distinct words moves by about four. So each text has several independent fingerprints of its distinct words,
-ball hashing links each kind within `radius` bits, and every link between different texts is verified on the shingles
-themselves. That finds texts that differ in single words. Where they differ by a whole block the words differ as much
-as the shingles, so each text is also met by a prefix of its shingles: of n distinct ones the least n - ceil(0.8 n) + 1
-by hash, of which any two texts at the threshold share one. Who meets on a shingle is linked to the least text there.
+text's distinct words moves by about four. So each text has KINDS independent fingerprints of its distinct words, and
+ball hashing links each kind within `radius` bits. That finds texts that differ in single words. Where they differ by a
+whole block the words differ as much as the shingles, so texts also meet in BANDS bands of ROWS shingle minima each: two
+texts at similarity s share one with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9998 at 0.8.
+
+The members of a band are linked as a star around the one that shares most bands with most texts, which in a family of
+edited copies is the one the others were made from. Links are verified on the shingles in rounds: first one for each
+text, then those that still join two components, then, as a link may be rejected, the rejected members of each band
+around new centres, twice as many each round, until no band has two of them left. Centres leave, so rounds end.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,118 +22,208 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import blank, materialize
+from .common import WORD, blank, forget, hot_keys, materialize, spread_join, unfold, whole_row
 from .graph import components
-from .simhash import LOWER, ball_links, fingerprint, shingle_hashes
+from .simhash import LOWER, ball_links, fingerprint
 
-KINDS = 4
-DEGREE = 2048  # links of one text that are verified in one group
+KINDS = 2
+BANDS, ROWS = 16, 4
+BLOCK = 4096  # shingles minimised at once
+CACHE_ENTRIES = 500_000
+_rng = np.random.default_rng(17)
+_XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_ODD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_fingerprints(text: str, kinds: int) -> list[int]:
-    """Independent fingerprints of the distinct words (A-Z lower-cased)."""
-    words = set(text.encode("utf-8", "surrogatepass").translate(LOWER).split())
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out = []
-    for kind in range(kinds):
-        with np.errstate(over="ignore"):
-            x = (h + np.uint64((kind * 0x9E3779B97F4A7C15) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(fingerprint(x ^ (x >> np.uint64(29))))
-    return out
+class _Words(dict):
+    """Word -> its hash; emptied when full."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-def _fingerprinted(rows: DataFrame, kinds: int) -> DataFrame:
-    """(key, id, text) -> (key, id, f0, f1, ...)."""
+
+_words = _Words()
+
+
+def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of a text's words in order (A-Z lower-cased)."""
+    found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+
+
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """The distinct hashes of runs of `size` words; of all of them if there are fewer; of nothing if there is none."""
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    out = np.zeros(len(words) - size + 1, np.uint64)
+    for j in range(size):
+        out = mix(out ^ words[j : len(words) - size + 1 + j], j + 1)
+    return np.unique(out)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band: of its number and its minima."""
+    if not len(found):
+        return found
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(found), BLOCK):
+        least = np.minimum(least, ((found[None, at : at + BLOCK] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        key = mix(key ^ least[j::ROWS], j + 1)
+    return key
+
+
+def _sketched(rows: DataFrame, kinds: int, size: int) -> DataFrame:
+    """(key, id, text) -> (key, id, n, fps, bands): the number of shingles, the fingerprints and the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([word_fingerprints(x.as_py(), kinds) for x in batch.column(2)], np.uint64).reshape(-1, kinds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(made[:, k]) for k in range(kinds))], names=["key", "id", *(f"f{k}" for k in range(kinds))])
+            n, fps, keys = [], [], []
+            for text in batch.column(2):
+                words = word_hashes(text.as_py())
+                found, distinct = shingles(words, size), np.unique(words)
+                n.append(len(found))
+                fps.append(np.array([fingerprint(mix(distinct, k)) for k in range(kinds)], np.uint64).view(np.int64))
+                keys.append(bands(found).view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), *lists], names=["key", "id", "n", "fps", "bands"])
 
-    schema = StructType([*rows.schema.fields[:2], *(StructField(f"f{k}", LongType()) for k in range(kinds))])
-    return rows.mapInArrow(run, schema)
+    made = [StructField("n", IntegerType()), StructField("fps", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *made]))
 
 
 def _shingled(rows: DataFrame, size: int) -> DataFrame:
-    """(key, text) -> (key, shingles): the distinct shingles' hashes."""
+    """(node, text) -> (node, shingles): the distinct shingles' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = np.unique(shingle_hashes(batch.column(1)[i].as_py(), size)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.int64()))], names=["key", "shingles"])
+                found = shingles(word_hashes(batch.column(1)[i].as_py()), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return rows.mapInArrow(run, StructType([rows.schema.fields[0], StructField("shingles", ArrayType(LongType()))]))
 
 
-def _prefixed(rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(key, text) -> (shingle, key) for the least shingles, so many that two texts at the similarity share one."""
+def _known(id_col: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit(""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                made = []
-                for text in part.column(1):
-                    found = np.unique(shingle_hashes(text.as_py(), size))
-                    made.append(found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].view(np.int64))
-                owner = np.repeat(np.arange(part.num_rows), [len(x) for x in made])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), part.column(0).take(pa.array(owner))], names=["shingle", "key"])
 
-    return rows.mapInArrow(run, StructType([StructField("shingle", LongType()), rows.schema.fields[0]]))
+def _stars(held: DataFrame, rows: int, ways: int) -> DataFrame:
+    """held(g, node, p) -> (g, x, y): each member x of a group g and its centres y, the members of most p in `ways`
+    parts of the group."""
+    part = F.pmod(F.xxhash64("node", F.lit(ways)), F.lit(ways))
+    best = held.groupBy("g", part.alias("part")).agg(F.max(F.struct("p", (-F.col("node")).alias("m"))).alias("b"), F.count("*").alias("n"))
+    best = materialize(best.select("g", "n", (-F.col("b.m")).alias("y")), "near-centres", rows)
+    hot = hot_keys(best.groupBy("g").agg(F.sum("n").alias("n")), "g", rows)
+    told = spread_join(held, best.select("g", "y"), "g", hot, F.xxhash64("node"))
+    return told.where("node <> y").select("g", F.col("node").alias("x"), "y")
 
 
-def _known(id_col: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit(""))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs(x, y) -> (x, y, alike); y may have very many partners."""
+    rows = pairs.count()
+    hot = hot_keys(pairs.groupBy("y").agg(F.count("*").alias("n")), "y", rows)
+    left = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x")
+    met = spread_join(left, sets.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y", hot, F.xxhash64("x"))
+    shared = F.size(F.array_intersect("s", "t"))
+    return met.select("x", "y", (shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).alias("alike"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, kinds: int = KINDS) -> DataFrame:
-    """One document of each group of near copies: the one of the least id; all its columns.
+    """One document of each group of near copies: the one of the least id; all its columns, whatever their names.
 
     Equal texts are copies; a null text equals an empty one, and texts without words are copies of each other. Texts
     of fewer words than a shingle are compared whole. Null ids count as the largest. Of repeated rows one is kept. An
     empty input gives an empty result.
     """
-    keyed = docs.withColumn("_key", F.md5(blank(F.col(text_col))))
-    # One row stands for each text: the text goes with its least id, rows alike in both are one.
-    base = keyed.select(F.col("_key").alias("key"), F.col(id_col).alias("id"), blank(F.col(text_col)).alias("text"))
-    marked = materialize(_fingerprinted(base, kinds).dropDuplicates(["key", "id"]), "near-fingerprints")
-    nodes = materialize(marked.groupBy("key").agg(F.min("id").alias("id"), *[F.first(f"f{k}").alias(f"f{k}") for k in range(kinds)]), "near-texts", marked.count())
-    # All kinds at once: a node is (kind, fp), and the text of least key stands for it. Links may be rejected below, so
-    # each is told under every prefix.
-    each = nodes.select("key", F.posexplode(F.array(*[F.col(f"f{k}") for k in range(kinds)])).alias("kind", "fp"))
-    fps = materialize(each.groupBy("kind", "fp").agg(F.min("key").alias("least")), "near-kinds", kinds * nodes.count())
-    alike = each.join(fps, ["kind", "fp"]).select(F.col("key").alias("x"), F.col("least").alias("y"))
-    links = ball_links(fps.select("kind", "fp"), radius, fps.count(), every=True)
-    apart = links.join(fps.withColumnsRenamed({"fp": "a", "least": "x"}), ["kind", "a"]).join(fps.withColumnsRenamed({"fp": "b", "least": "y"}), ["kind", "b"])
-    # One row for each text again, by its least id; the star of a shingle is around its least text.
-    whole = base.withColumn("_known", _known(F.col("id"))).join(nodes.select("key", _known(F.col("id")).alias("_known")), ["key", "_known"], "left_semi")
-    held = materialize(_prefixed(whole.select("key", "text").dropDuplicates(["key"]), shingle, similarity), "near-prefixes")
-    stars = held.groupBy("shingle").agg(F.min("key").alias("y"), F.max("key").alias("last")).where("y <> last").select("shingle", "y")
-    starred = held.join(stars, "shingle").select(F.col("key").alias("x"), "y")
-    pairs = alike.union(apart.select("x", "y")).union(starred).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = materialize(pairs.distinct(), "near-pairs")
-
-    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select(F.col("y").alias("key"))).distinct().join(nodes.select("key", "id"), "key")
-    wanted = wanted.select("key", _known(F.col("id")).alias("_known"))
-    texts = base.withColumn("_known", _known(F.col("id"))).join(wanted, ["key", "_known"], "left_semi").select("key", "text").dropDuplicates(["key"])
+    text = blank(F.col(text_col))
+    worded = F.when(text.rlike(WORD), text).otherwise("")
+    keyed = docs.select(whole_row(docs).alias("row"), F.md5(worded).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    # One row stands for each text: that of its least id. Rows alike in both are one.
+    base = keyed.select("key", "id", "text")
+    marked = materialize(_sketched(base, kinds, shingle), "near-sketches")
+    first = marked.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "fps", "bands")])
+    nodes = materialize(first.withColumn("node", F.monotonically_increasing_id()), "near-texts")
+    total = nodes.count()
+    forget(marked)
+
+    fps = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
+    least = materialize(fps.groupBy("kind", "fp").agg(F.min("node").alias("least")), "near-kinds", kinds * total)
+    alike = fps.join(least, ["kind", "fp"]).select(F.col("node").alias("x"), F.col("least").alias("y"))
+    links = ball_links(least.select("kind", "fp"), radius, kinds * total, every=True)
+    apart = links.join(least.withColumnsRenamed({"fp": "a", "least": "x"}), ["kind", "a"]).join(least.withColumnsRenamed({"fp": "b", "least": "y"}), ["kind", "b"])
+    balls = alike.union(apart.select("x", "y")).where("x <> y")
+
+    each = nodes.select("node", F.explode("bands").alias("g"))
+    sizes = materialize(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "near-bands", BANDS * total)
+    shared = spread_join(each, sizes, "g", hot_keys(sizes, "g", BANDS * total), F.xxhash64("node"))
+    popular = shared.groupBy("node").agg(F.sum("n").alias("p"), F.collect_set("g").alias("gs"))
+    held = materialize(popular.select("node", "p", F.explode("gs").alias("g")), "near-held")
+    stars = materialize(_stars(held, max(1, held.count()), 1), "near-stars")
+
+    fit = nodes.select("node", "n")
+    both = balls.union(stars.select("x", "y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Those whose sizes allow the similarity."""
+        sized = pairs.join(fit.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(fit.withColumnsRenamed({"node": "y", "n": "ny"}), "y")
+        return sized.where(F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny"))
+
+    pairs = materialize(candidates(both.groupBy("x", "y").agg(F.count("*").alias("votes"))).select("x", "y", "votes"), "near-pairs")
+    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).union(stars.select(F.col("x").alias("node"))).distinct()
+    wanted = wanted.join(nodes.select("key", "id", "node"), "node").select("node", "key", _known(F.col("id")).alias("_known"))
+    texts = base.withColumn("_known", _known(F.col("id"))).join(wanted, ["key", "_known"]).select("node", "text").dropDuplicates(["node"])
     sets = materialize(_shingled(texts, shingle), "near-shingles")
 
-    # A text with many links is met in several groups, each with its own copy of the shingles.
-    many = pairs.groupBy("x").count().where(F.col("count") > DEGREE).select("x", F.ceil(F.col("count") / DEGREE).alias("n"))
-    dealt = pairs.join(many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), F.coalesce("n", F.lit(1))).alias("lot"))
-    left = sets.withColumnsRenamed({"key": "x", "shingles": "s"}).join(many, "x", "left")
-    left = left.select("x", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)) - 1)).alias("lot"))
-    met = dealt.join(sets.withColumnsRenamed({"key": "y", "shingles": "t"}), "y").join(left, ["x", "lot"])
-    shared = F.size(F.array_intersect("s", "t"))
-    alike = met.where(F.when((F.size("s") == 0) & (F.size("t") == 0), F.lit(True)).otherwise(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)))
-    roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    grouped = nodes.select("key", "id").join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("m"))
-    winners = best.select(F.col("m.key").alias("_key"), _known(F.col("m.id")).alias("_known"))
-    kept = keyed.withColumn("_known", _known(F.col(id_col))).join(winners, ["_key", "_known"], "left_semi")
-    return kept.dropDuplicates(["_key", "_known"]).select(*docs.columns)
+    # First the link of most votes for each text, then the links between different components.
+    best = pairs.groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("m"))).alias("b")).select("x", (-F.col("b.m")).alias("y"))
+    told = materialize(_verified(best, sets, similarity), "near-verified")
+    roots = materialize(components(told.where("alike").select(F.col("x").alias("a"), F.col("y").alias("b"))), "near-roots")
+
+    def across(some: DataFrame) -> DataFrame:
+        """Those of different components, as the present roots have it."""
+        named = some.join(roots.withColumnsRenamed({"v": "x", "root": "rx"}), "x", "left").join(roots.withColumnsRenamed({"v": "y", "root": "ry"}), "y", "left")
+        return named.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).drop("rx", "ry")
+
+    rest = across(pairs.join(best, ["x", "y"], "left_anti").select("x", "y"))
+    later = materialize(_verified(materialize(rest, "near-rest"), sets, similarity), "near-verified")
+    edges = [told.where("alike"), later.where("alike")]
+    ways, now = 1, stars
+    while True:
+        # Who is neither its centre's like nor of its component meets the others of its band that aren't; centres have met all.
+        ended = edges[-1].select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+        left = across(now.select("g", F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), F.col("x").alias("node"))).join(ended, ["x", "y"], "left_anti")
+        left = left.select("g", "node").distinct().join(now.select("g", F.col("y").alias("node")).distinct(), ["g", "node"], "left_anti").join(held, ["g", "node"])
+        again = materialize(left, "near-left")
+        count = again.count()
+        if not count:
+            break
+        now = materialize(_stars(again, count, ways), "near-stars")
+        more = candidates(now.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()).select("x", "y")
+        more = materialize(across(more.join(pairs, ["x", "y"], "left_anti")), "near-pairs")
+        edges.append(materialize(_verified(more, sets, similarity), "near-verified").where("alike"))
+        ways *= 2
+    joined = edges[0]
+    for some in edges[1:]:
+        joined = joined.union(some)
+    roots = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    grouped = nodes.select("key", "id", "node").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("m"))
+    winners = first.select(F.col("m.key").alias("key"), _known(F.col("m.id")).alias("_known"))
+    kept = keyed.withColumn("_known", _known(F.col("id"))).join(winners, ["key", "_known"], "left_semi").dropDuplicates(["key", "_known"])
+    return unfold(kept, "row", docs.schema, {})

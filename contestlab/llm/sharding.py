@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank, group_bits, let, materialize, table, unit
+from .common import blank, group_bits, let, materialize, table, unfold, unit, whole_row
 
 
 def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column) -> Column:
@@ -123,33 +123,27 @@ def communication_matrix(counts: DataFrame, bits: int, shards: int, rows: int, s
 def shuffle_shards(rows: DataFrame, shards: int = 16, seed: int = 20240229) -> DataFrame:
     """Every row with `shard` (0..shards-1, counts at most one apart) and `slot` (gapless from 0 in its shard).
 
-    All columns are kept, whatever their values; columns named shard or slot are replaced. An empty input gives an
-    empty result; repeated rows are rows of their own. The rows are written once to the shared folder, so row ids
-    stay the same if tasks run again.
+    All columns are kept, whatever their names and values, but columns named shard or slot are replaced. An empty input
+    gives an empty result; repeated rows are rows of their own. The rows are written once to the shared folder, so row
+    ids stay the same if tasks run again.
     """
-    base = materialize(rows.drop("shard", "slot").withColumn("_rid", F.monotonically_increasing_id()), "shard-rows")
+    base = materialize(rows.select(whole_row(rows).alias("row"), F.monotonically_increasing_id().alias("rid")), "shard-rows")
     total = base.count()
     bits = group_bits(total)
-    base = base.withColumn("_bucket", F.pmod(F.xxhash64("_rid", F.lit(seed)), F.lit(1 << bits)))
-    matrix = communication_matrix(base.groupBy(F.col("_bucket").alias("bucket")).agg(F.count("*").alias("n")), bits, shards, total, seed)
-    local = Window.partitionBy("_bucket").orderBy(F.xxhash64("_rid", F.lit(seed + 1)), "_rid")
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << bits)))
+    matrix = communication_matrix(base.groupBy("bucket").agg(F.count("*").alias("n")), bits, shards, total, seed)
+    local = Window.partitionBy("bucket").orderBy(F.xxhash64("rid", F.lit(seed + 1)), "rid")
     sent = (
-        base.withColumn("_at", F.row_number().over(local))
-        .join(matrix.withColumnRenamed("bucket", "_bucket"), "_bucket")
-        .withColumn("shard", F.size(F.filter("upto", lambda c: c < F.col("_at"))))
-        .withColumn("_key", F.xxhash64("_rid", F.lit(seed + 2)))
-        .drop("_bucket", "_at", "upto")
-    )
-    sent = sent.withColumn("_block", F.shiftrightunsigned("_key", 64 - max(4, bits - 2)))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sent.groupBy("shard", "_block").agg(F.count("*").alias("n")).select("shard", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("shard", "_block").orderBy("_key", "_rid")
-    return (
-        sent.withColumn("_nth", F.row_number().over(inside))
-        .join(blocks, ["shard", "_block"])
-        .withColumn("slot", F.col("_first") + F.col("_nth") - 1)
-        .drop("_rid", "_key", "_block", "_nth", "_first")
+        base.withColumn("at", F.row_number().over(local))
+        .join(matrix, "bucket")
+        .select("row", "rid", F.size(F.filter("upto", lambda c: c < F.col("at"))).alias("shard"), F.xxhash64("rid", F.lit(seed + 2)).alias("key"))
     )
+    sent = sent.withColumn("block", F.shiftrightunsigned("key", 64 - max(4, bits - 2)))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sent.groupBy("shard", "block").agg(F.count("*").alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard", "block").orderBy("key", "rid")
+    placed = sent.withColumn("nth", F.row_number().over(inside)).join(blocks, ["shard", "block"])
+    return unfold(placed, "row", rows.schema, {"shard": F.col("shard"), "slot": F.col("first") + F.col("nth") - 1})
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

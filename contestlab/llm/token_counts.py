@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import quoted, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -126,18 +126,20 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     rows; other columns are kept, but columns of the three names are replaced. An empty input gives an empty result.
     """
     made = ("n_tokens", "n_byte_tokens", "log_score")
-    others = [c for c in docs.columns if c != text_col and c not in made]
+    kept = docs.drop(text_col, *[c for c in docs.columns if c.lower() in made])
+    others = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
             found = [count(text.as_py() or "") for text in batch.column(len(others))]
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *columns], names=[*others, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *columns], names=[*plain, *made])
 
-    rows = docs.select(*others, text_col)
-    schema = rows.drop(text_col).schema.add("n_tokens", "long").add("n_byte_tokens", "long").add("log_score", "double")
-    return rows.mapInArrow(run, schema)
+    plain = [f"c{i}" for i in range(len(others))]
+    rows = docs.select(*[c.alias(name) for c, name in zip(quoted(kept), plain)], F.col(text_col).alias("text"))
+    schema = rows.drop("text").schema.add("n_tokens", "long").add("n_byte_tokens", "long").add("log_score", "double")
+    return rows.mapInArrow(run, schema).toDF(*others, *made)
 
 
 def vocabulary_path() -> str:

@@ -400,7 +400,7 @@ def score_documents(docs: DataFrame, net: Network | None, prior: float = 0.0, te
     other columns are kept, but columns of the three names are replaced. An empty input gives an empty result.
     """
     made = ("score", "worst_start", "n_windows")
-    others = [c for c in docs.columns if c not in made]
+    others = [c for c in docs.columns if c.lower() not in made]
     at = others.index(text_col)
     scorer = net.frozen() if net else None
 
@@ -414,10 +414,12 @@ def score_documents(docs: DataFrame, net: Network | None, prior: float = 0.0, te
                 count = np.array([len(starts(len(t))) if t else 0 for t in map(tokens_of, texts)], np.int64)
                 score, where = np.full(len(texts), prior), np.zeros(len(texts), np.int64)
             begin = pa.array([int(w) if n and scorer else None for w, n in zip(where, count)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), begin, pa.array(count)], names=[*others, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), begin, pa.array(count)], names=[*plain, *made])
 
-    rows = docs.select(*others)
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("worst_start", LongType()), StructField("n_windows", LongType())]))
+    plain = [f"c{i}" for i in range(len(others))]
+    rows = docs.drop(*[c for c in docs.columns if c.lower() in made]).toDF(*plain)
+    scored = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("worst_start", LongType()), StructField("n_windows", LongType())]))
+    return scored.toDF(*others, *made)
 
 
 def held_out_fifth(id_col: str = "doc_id") -> Column:
