@@ -1,20 +1,22 @@
 """Mixture-controlled packing of tokenised documents into windows of fixed length.
 
-Windows are filled slot by slot (a slot is `quantum` tokens) from one queue per source by deficit round-robin: a
-source earns credit in proportion to its target share, is served when its credit is due, and what it is owed at the
-end of a window carries over to the next one. The k-th slot of a source with n slots falls due at (k + 1/2) / n of
-the whole schedule, so serving order is the order of those fractions over all sources, and the schedule needs no
-sequential pass: fractions are uniform in [0, 1), equal ranges of them hold equally many slots, and slots are ranked
-range by range with the counts of the ranges before. Any window therefore holds each source's share to within a slot,
-and no task holds more than one range, whatever the skew of sources.
-
-Documents are cut where the quantum divides them; the rest of a document is cut into powers of two. Laid out by
-falling size, powers of two tile slots without crossing a slot's end, so only the last slot of a source can be
-part-filled and only the last window is short.
+Windows are filled slot by slot (a slot is `quantum` tokens) from one queue per source by deficit round-robin. A source
+earns credit in proportion to its target share and is served when it is furthest behind: the next slot goes to the
+source with the least (served + 1/2) / share of those with tokens left. What a source is owed at the end of a window
+carries over to the next one, so any window holds the shares to within a slot, until a queue is empty and the others
+go on in theirs. The k-th slot of a source is thus due at (k + 1/2) / share, and merging the queues in the order of
+due times is the same schedule without a sequential pass; the test runs that pass beside it.
+
+A queue is the stream of its documents' tokens, cut at every slot's end. Where a document begins in the stream is the
+count of its queue's tokens in the chunks before its own (the partitions that tokenised them) and before it in its
+chunk, so what a partition leaves unfilled is filled by the next one. Only a queue's last slot can be part-filled.
+Slots are dealt over ranges of due times and ranked range by range, with the counts of the ranges before; no task holds
+more than one range or chunk, whatever the skew of sources.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_bits, materialize, table
+from .common import forget, materialize, table
 
 WINDOW = 1024
 QUANTUM = 128
+ROWS_PER_RANGE = 1 << 16  # pieces ranked in one task
 CACHE_ENTRIES = 300_000
 END_OF_TEXT = "<|endoftext|>"  # the vocabulary's special token and its id; in a text it stands for itself
 END_OF_TEXT_ID = 50256
@@ -84,105 +87,88 @@ def byte_bpe(path: str):
     return encode
 
 
-def cuts(n: int, quantum: int) -> list[int]:
-    """Where the pieces of n tokens end: every quantum, then by falling powers of two."""
-    ends = list(range(quantum, n + 1, quantum))
-    at, bit = n - n % quantum, quantum >> 1
-    while bit:
-        if n & bit:
-            at += bit
-            ends.append(at)
-        bit >>= 1
-    return ends
-
-
-def tokenised(docs: DataFrame, ranks: str, quantum: int, end_id: int) -> DataFrame:
-    """(_rid, doc_id, source) and text -> tokens in each document (with the end id) and the checksum of each piece."""
+def tokenised(docs: DataFrame, ranks: str, end_id: int) -> DataFrame:
+    """(doc_id, queue, text) -> with the tokens and their number in place of the text, the chunk that a row was
+    tokenised in and the tokens of its queue that came before it there. Token ids of 16 bits are kept as such."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(ranks)
+        from pyspark import TaskContext
+
+        encode, chunk, seen = byte_bpe(ranks), TaskContext.get().partitionId(), {}
         for batch in batches:
-            counts, sums = [], []
-            for text in batch.column(batch.schema.get_field_index("text")):
-                data = memoryview(encode(text.as_py() or "") + end)
-                n, start, crcs = len(data) // 4, 0, []
-                for stop in cuts(n, quantum):
-                    crcs.append(zlib.crc32(data[4 * start : 4 * stop]))
-                    start = stop
-                counts.append(n)
-                sums.append(crcs)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("_rid", "doc_id", "_queue")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["_rid", "doc_id", "_queue", "doc_tokens", "_crcs"])
+            counts, before, kept = [], [], []
+            for queue, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u4")
+                counts.append(len(ids))
+                before.append(seen.get(queue, 0))
+                seen[queue] = before[-1] + len(ids)
+                kept.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes())
+            made = [pa.array(counts, pa.int64()), pa.array([chunk] * len(counts), pa.int64()), pa.array(before, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "queue", "doc_tokens", "chunk", "before", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("_rid", "doc_id", "_queue", "text").mapInArrow(run, f"_rid long, doc_id {kind}, _queue string, doc_tokens long, _crcs array<long>")
+    return docs.select("doc_id", "queue", "text").mapInArrow(run, f"doc_id {kind}, queue string, doc_tokens long, chunk long, before long, ids binary")
+
 
+def cut(placed: DataFrame, quantum: int) -> DataFrame:
+    """(doc_id, queue, doc_tokens, at, ids) -> a row per piece: start and length in its document, the number of its slot
+    in the queue, where in the slot it begins, and its checksum."""
 
-def pack(docs: DataFrame, ranks: str, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 0) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, starts, lengths, sums, places = [], [], [], [], []
+            for i, (n, at, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4))):
+                raw = raw.as_py()
+                ids = memoryview(raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
+                begin = np.r_[0, np.arange(quantum - at % quantum, n, quantum)]
+                ends = np.r_[begin[1:], n]
+                owner.append(np.full(len(begin), i))
+                starts.append(begin)
+                lengths.append(ends - begin)
+                places.append(at + begin)
+                sums += [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(begin.tolist(), ends.tolist())]
+            if owner:
+                who, place = pa.array(np.concatenate(owner)), np.concatenate(places)
+                made = [pa.array(np.concatenate(x)) for x in (starts, lengths)] + [pa.array(place // quantum), pa.array(place % quantum), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in range(3)), *made], names=["doc_id", "queue", "doc_tokens", "start", "length", "k", "inner", "ids_crc32"])
+
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    rows = placed.select("doc_id", "queue", "doc_tokens", "at", "ids")
+    return rows.mapInArrow(run, f"doc_id {kind}, queue string, doc_tokens long, start long, length long, k long, inner long, ids_crc32 long")
+
+
+def pack(docs: DataFrame, ranks: str, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 0, shares: dict[str | None, float] | None = None) -> DataFrame:
     """docs(doc_id, source, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    window is a multiple of quantum, quantum a power of two. A null text is empty and still has its end id; null
-    sources form one queue; repeated rows are documents of their own; other columns are ignored. An empty input
-    gives no pieces. Texts of any length are encoded whole.
+    shares: the sources' target proportions of a window's tokens (1 for one that isn't named); without them every
+    source weighs the tokens it has, so all queues end together. window is a multiple of quantum. A null text is empty
+    and still has its end id; null sources form one queue; repeated rows and null ids are documents of their own; other
+    columns are ignored. An empty input gives no pieces. Texts of any length are encoded whole.
     """
-    bits = quantum.bit_length() - 1
     slots_per_window = window // quantum
     queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = docs.select("doc_id", "text", queue.alias("_queue"), F.monotonically_increasing_id().alias("_rid"))
-    base = materialize(tokenised(rows, ranks, quantum, end_id), "pack-tokens")
-    total = base.count()
-    ways = 1 << group_bits(total)
-    base = base.withColumn("_salt", F.pmod(F.xxhash64("_rid"), F.lit(ways)))
-
-    # How many whole slots and how many rests of each size come before a document in its source.
-    counted = {"_c0": F.shiftright("doc_tokens", bits)} | {f"_c{1 + b}": F.shiftright("doc_tokens", b).bitwiseAND(F.lit(1)) for b in range(bits)}
-    base = base.withColumns(counted)
-    group = ["_queue", "_salt"]
-    groups = base.groupBy(*group).agg(*[F.sum(c).alias(c) for c in counted])
-    earlier = Window.partitionBy("_queue").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("_queue")
-    groups = groups.select(
-        *group,
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias("_g" + c) for c in counted],
-        *[F.sum(c).over(every).alias("_t" + c) for c in counted],
-    )
-    running = Window.partitionBy(*group).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumns({"_r" + c: F.coalesce(F.sum(c).over(running), F.lit(0)) for c in counted}).join(groups, group)
-    placed = placed.withColumns({"_at" + c: F.col("_g" + c) + F.col("_r" + c) for c in counted})
-    # Tokens of the rests that are larger, so where the rests of each size begin among all rests of the source.
-    rest_tokens = sum((F.col(f"_t_c{1 + b}") * (1 << b) for b in range(bits)), F.lit(0))
-    placed = placed.withColumn("_slots", F.col("_t_c0") + F.shiftright(rest_tokens + (quantum - 1), bits))
-    whole = F.when(
-        F.col("_c0") > 0,
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("_c0") - 1), lambda i: F.struct((i * quantum).alias("start"), F.lit(quantum).cast("long").alias("length"), (F.col("_at_c0") + i).alias("k"), F.lit(0).cast("long").alias("inner"))),
-    ).otherwise(F.array().cast("array<struct<start:bigint,length:bigint,k:bigint,inner:bigint>>"))
-    rests = []
-    for b in reversed(range(bits)):
-        larger = [c for c in range(b + 1, bits)]
-        start = F.col("_c0") * quantum + sum((F.col(f"_c{1 + c}") * (1 << c) for c in larger), F.lit(0))
-        at = sum((F.col(f"_t_c{1 + c}") * (1 << c) for c in larger), F.lit(0)) + F.col(f"_at_c{1 + b}") * (1 << b)
-        rests.append(
-            F.when(
-                F.col(f"_c{1 + b}") > 0,
-                F.struct(start.cast("long").alias("start"), F.lit(1 << b).cast("long").alias("length"), (F.col("_t_c0") + F.shiftright(at, bits)).cast("long").alias("k"), F.pmod(at, F.lit(quantum)).cast("long").alias("inner")),
-            )
-        )
-    rest = F.filter(F.array(*rests), lambda x: x.isNotNull())
-    laid = placed.select("doc_id", "doc_tokens", "_queue", "_slots", F.concat(whole, rest).alias("p"), F.col("_crcs").alias("crc"))
-    pieces = laid.select("doc_id", "doc_tokens", "_queue", "_slots", F.explode(F.arrays_zip("p", "crc")).alias("z"))
-    due = (F.col("z.p.k") + 0.5) / F.col("_slots")
-    pieces = pieces.select("doc_id", "doc_tokens", "_queue", "z.p.start", "z.p.length", "z.p.k", "z.p.inner", F.col("z.crc").alias("ids_crc32"), due.alias("_due"))
-    slots = base.agg(F.sum("doc_tokens").alias("n")).first()["n"] or 0
-    ranges = 1 << group_bits(slots // quantum + 1, most=20)
-    pieces = materialize(pieces.withColumn("_range", F.floor(F.col("_due") * ranges).cast("int")), "pack-pieces")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = pieces.where("inner = 0").groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    order = Window.partitionBy("_range").orderBy("_due", "_queue", "k")
-    ranked = pieces.withColumn("_nth", F.dense_rank().over(order) - 1).join(firsts, "_range")
-    slot = F.col("_first") + F.col("_nth")
-    ranked = ranked.withColumns({"sequence_id": F.floor(slot / slots_per_window).cast("long"), "_slot": slot})
-    inside = Window.partitionBy("sequence_id").orderBy("_slot", "inner").rowsBetween(Window.unboundedPreceding, -1)
+    base = materialize(tokenised(docs.select("doc_id", queue.alias("queue"), "text"), ranks, end_id), "pack-tokens")
+    chunks = base.groupBy("queue", "chunk").agg(F.sum("doc_tokens").alias("n"))
+    earlier = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("queue")
+    own = F.ceil(F.sum("n").over(every) / F.lit(quantum)).cast("double")
+    named = None if shares is None else F.create_map(*[F.lit(x) for s, w in shares.items() for x in ("" if s is None else "=" + s, float(w))])
+    share = own if named is None else F.coalesce(F.try_element_at(named, F.col("queue")), F.lit(1.0))
+    chunks = materialize(chunks.select("queue", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), share.alias("share")), "pack-chunks")
+    # One row for each chunk and source: Spark broadcasts it if it is small, and else sends a chunk's rows to one task.
+    placed = base.join(chunks.drop("share"), ["queue", "chunk"]).withColumn("at", F.col("first") + F.col("before"))
+    pieces = materialize(cut(placed, quantum), "pack-pieces")
+    forget(base)
+    due = pieces.join(chunks.select("queue", "share").distinct(), "queue").withColumn("due", (F.col("k") + 0.5) / F.col("share")).drop("share")
+    ranges = max(8, math.ceil(pieces.count() / ROWS_PER_RANGE))
+    ranged = materialize(due.repartitionByRange(ranges, "due", "queue", "k").withColumn("range", F.spark_partition_id()), "pack-ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.where("inner = 0").groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    order = Window.partitionBy("range").orderBy("due", "queue", "k")
+    ranked = ranged.withColumn("nth", F.dense_rank().over(order) - 1).join(firsts, "range").withColumn("slot", F.col("first") + F.col("nth"))
+    ranked = ranked.withColumn("sequence_id", F.floor(F.col("slot") / slots_per_window).cast("long"))
+    inside = Window.partitionBy("sequence_id").orderBy("slot", "inner").rowsBetween(Window.unboundedPreceding, -1)
     return ranked.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
