@@ -1,145 +1,230 @@
 """Nearest neighbours by multiprobe p-stable hashing.
 
-A table hashes a unit vector with M functions floor((a.u + b) / w), a Gaussian. A query visits the buckets around its
-own in falling order of their estimated success, the chance that a neighbour at distance `reach` has moved there (a
-product of Gaussian intervals), until the visited buckets hold the chance `success`. What the tables find is merged
-and ranked by exact cosine. Equal vectors are hashed once and carry their k + 1 smallest ids, which is all that a
-result of k can need. A bucket too large for a task is dealt over chunks by row; queries visit all chunks.
+A table hashes a unit vector with M functions floor((a.u + b) / WIDTH), a Gaussian; the functions of the tables that
+share a basis are orthogonal. M is the logarithm of the number of vectors, so buckets keep a bounded size while the
+share of all vectors that a query visits falls. A query visits the buckets around its own in falling order of their
+estimated success, the chance that a neighbour at distance `reach` has moved there (a product of Gaussian intervals),
+until the visited buckets hold the chance SUCCESS in each of TABLES tables. `reach` is measured: the mean distance of
+the k-th neighbour of SAMPLE vectors. What the tables find is merged and ranked by exact cosine; queries that found
+fewer than k are searched again in blocks against all vectors.
+
+Buckets lie in parts of about PART rows, a crowded bucket in several; a query is sent once to each part that holds one
+of its buckets, and only the members of these are compared. Equal vectors are hashed once and carry their k + 1
+smallest ids, which is all that a result of k can need.
 """
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import forget, hot_keys, materialize, spread_join, table
 from .vectors import as_rows, common_length, directions, matrix, norms
 
-TABLES, FUNCTIONS, WIDTH = 8, 4, 1.5
-SUCCESS, REACH = 0.4, 1.1
-CHUNK = 4096
-SPAN = 16  # hash values -8..7 are told apart; unit vectors' projections stay well inside
+TABLES, WIDTH, SUCCESS = 8, 2.5, 0.26
+MOST_FUNCTIONS = 20
+SAMPLE = 64  # vectors whose neighbours' distance is measured, against all
+PART, CHUNK, LOT = 1 << 14, 1 << 12, 1 << 12  # members of a part, of a bucket in one part, queries in one group
+PAIRS = 1 << 16  # compared at once
+
+
+@cache
+def moves(functions: int) -> np.ndarray:
+    """All moves by -1, 0 or 1 in so many functions."""
+    return np.array(list(itertools.product((0, 1, -1), repeat=functions)), np.int64).reshape(3**functions, functions)
 
 
 class Tables:
-    def __init__(self, dim: int, seed: int = 7):
+    def __init__(self, dim: int, rows: int, reach: float, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.a = rng.standard_normal((TABLES, FUNCTIONS, dim))
-        self.b = rng.uniform(0, WIDTH, (TABLES, FUNCTIONS))
+        self.m = max(1, min(dim, MOST_FUNCTIONS, round(math.log2(max(2, rows)))))
+        bases = [np.linalg.qr(rng.standard_normal((dim, dim)))[0].T * math.sqrt(dim) for _ in range(-(-TABLES // (dim // self.m)))]
+        rows_of = np.concatenate([b[: dim // self.m * self.m] for b in bases])
+        self.a = rows_of[: TABLES * self.m].reshape(TABLES, self.m, dim)
+        self.b = rng.uniform(0, WIDTH, (TABLES, self.m))
+        self.reach = max(reach, 1e-3)
 
     def project(self, u: np.ndarray, t: int) -> np.ndarray:
         return (u @ self.a[t].T + self.b[t]) / WIDTH
 
-
-def bucket_number(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(h.shape[:-1], np.int64)
-    for i in range(h.shape[-1]):
-        out = out * SPAN + np.clip(h[..., i] + SPAN // 2, 0, SPAN - 1)
-    return out
-
-
-def probes(x: np.ndarray) -> list[int]:
-    """The buckets to visit for one projected query, the likeliest first."""
-    home = np.floor(x).astype(int)
-    options = []
-    for i, f in enumerate(x - home):
-        steps = range(-4, 5)
-        tail = [math.erf((s - f) * WIDTH / REACH / math.sqrt(2)) / 2 for s in range(-4, 6)]
-        options.append(sorted(((tail[k + 1] - tail[k], home[i] + s) for k, s in enumerate(steps)), reverse=True))
-    chance = lambda at: math.prod(o[k][0] for o, k in zip(options, at))
-    first = (0,) * len(options)
-    heap, seen, total, out = [(-chance(first), first)], {first}, 0.0, []
-    while heap and total < SUCCESS:
-        p, at = heapq.heappop(heap)
-        total -= p
-        out.append([options[i][k][1] for i, k in enumerate(at)])
-        for i, k in enumerate(at):
-            later = at[:i] + (k + 1,) + at[i + 1 :]
-            if k + 1 < len(options[i]) and later not in seen:
-                seen.add(later)
-                heapq.heappush(heap, (-chance(later), later))
-    return bucket_number(np.array(out)).tolist()
+    def number(self, floors: np.ndarray, t: int) -> np.ndarray:
+        """One number for each bucket of a table (two that share one are visited together)."""
+        out = np.full(floors.shape[:-1], t + 1, np.uint64)
+        for i in range(self.m):
+            out = (out ^ floors[..., i].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+        return out.view(np.int64)
+
+    def probes(self, x: np.ndarray, t: int) -> np.ndarray:
+        """The buckets to visit for one projected query, the likeliest first."""
+        home = np.floor(x)
+        f = x - home
+        tail = np.vectorize(lambda z: math.erf(z * WIDTH / self.reach / math.sqrt(2)) / 2, otypes=[float])
+        stay, up, down = tail(1 - f) + tail(f), tail(2 - f) - tail(1 - f), tail(1 + f) - tail(f)
+        logs = np.log(np.maximum(np.stack([stay, up, down]), 1e-300))
+        halves = []
+        for some in np.array_split(np.arange(self.m), 2):
+            steps = moves(len(some))
+            chance = logs[steps, some].sum(axis=1) if len(some) else np.zeros(1)
+            order = np.argsort(-chance, kind="stable")
+            order = order[chance[order] > chance[order[0]] - 12]
+            halves.append((chance[order], steps[order]))
+        (first, one), (second, two) = halves
+        mass = np.r_[0, np.cumsum(np.exp(second))]
+        reached = lambda least: np.searchsorted(-second, first - least, side="right")
+        low, high = first[-1] + second[-1], first[0] + second[0]
+        if (np.exp(first) * mass[reached(low)]).sum() > SUCCESS:
+            for _ in range(30):
+                middle = (low + high) / 2
+                low, high = (middle, high) if (np.exp(first) * mass[reached(middle)]).sum() >= SUCCESS else (low, middle)
+        counts = reached(low)
+        i = np.repeat(np.arange(len(first)), counts)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order = np.argsort(-(first[i] + second[j]), kind="stable")
+        return self.number(home + np.concatenate([one[i[order]], two[j[order]]], axis=1), t)
+
+
+def _measured_reach(distinct: DataFrame, k: int) -> float:
+    """The mean distance from SAMPLE vectors, chosen by a hash, to the k-th nearest of all distinct others."""
+    picked = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
+    if len(picked) < 2:
+        return 1.0
+    sample = directions(np.frombuffer(b"".join(picked), "<f8").reshape(len(picked), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.empty((len(sample), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                s = sample @ directions(matrix(batch.column(0).slice(at, 4096))).T
+                best = -np.sort(-np.concatenate([best, np.where(s > 1 - 1e-12, -2, s)], axis=1), axis=1)[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sample)), best.shape[1])), pa.array(best.ravel())], names=["i", "s"])
+
+    found = distinct.select("v").mapInArrow(run, "i long, s double")
+    order = Window.partitionBy("i").orderBy(F.desc("s"))
+    mean = found.withColumn("n", F.row_number().over(order)).where((F.col("n") == k) & (F.col("s") > -2)).agg(F.avg(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))))).first()[0]
+    return float(mean) if mean else 1.0
+
+
+def _found_schema(kind: str) -> str:
+    return f"qrid long, query_id {kind}, rid long, vec_id {kind}, score double"
+
+
+def _best(k: int, qrid, qid, who: np.ndarray, member: np.ndarray, q: np.ndarray, m: np.ndarray, rows: list, id_type: pa.DataType) -> pa.Table:
+    """Of the pairs (who, member) of rows of q and m, each query's k + 1 nearest members (ties included) with their rows."""
+    out = {"qrid": [], "query_id": [], "rid": [], "vec_id": [], "score": []}
+    qn, mn = norms(q), norms(m)
+    score = np.empty(len(who))
+    for at in range(0, len(who), PAIRS):
+        a, b = who[at : at + PAIRS], member[at : at + PAIRS]
+        score[at : at + PAIRS] = np.einsum("ij,ij->i", q[a], m[b]) / (qn[a] * mn[b])
+    order = np.lexsort((-score, who))
+    for some in np.split(order, np.flatnonzero(np.diff(who[order])) + 1) if len(order) else ():
+        i = int(who[some[0]])
+        floor = score[some[min(k, len(some) - 1)]] - 1e-12
+        for p in some[: int(np.searchsorted(-score[some], -floor, side="right"))].tolist():
+            for r in rows[member[p]]:
+                if r["rid"] != qrid[i]:
+                    for c, x in zip(out, (qrid[i], qid[i], r["rid"], r["id"], score[p])):
+                        out[c].append(x)
+    return pa.table(out, schema=pa.schema([("qrid", pa.int64()), ("query_id", id_type), ("rid", pa.int64()), ("vec_id", id_type), ("score", pa.float64())]))
 
 
 def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row where is_query(id) holds, the k nearest others found, by cosine.
+    """(query_id, rank, vec_id, score): for each row where is_query(id) holds, the k nearest others found, by cosine;
+    all others, if there are no more than k.
 
     Ties go to the smaller id. Vectors that are null, zero or not finite, or of another length than most, take no
     part, nor do null ids as queries; a null id as a neighbour comes last among equals. Repeated rows are rows of
-    their own: a query only leaves out its own row. An empty input gives an empty result.
+    their own: a query only leaves out its own row. Other columns are ignored. An empty input gives an empty result.
     """
     base = materialize(as_rows(df, id_col, vec_col), "ann-vectors")
     length = common_length(base)
     good = base.where((F.length("v") == length) & (F.length("v") > 0))
-    salted = Window.partitionBy("v", F.pmod(F.xxhash64("rid"), F.lit(64))).orderBy(F.col("id").asc_nulls_last(), "rid")
-    least = good.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= k + 1)
-    few = least.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "rid"))).where(F.col("_n") <= k + 1)
-    distinct = few.groupBy("v").agg(F.collect_list(F.struct("rid", "id")).alias("rows"))
-    tables = Tables(max(1, length // 8))
     kind = base.schema["id"].dataType.simpleString()
+    salted = Window.partitionBy("v", F.pmod(F.xxhash64("rid"), F.lit(64))).orderBy(F.col("id").asc_nulls_last(), "rid")
+    least = good.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+    few = least.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "rid"))).where(F.col("n") <= k + 1)
+    distinct = materialize(few.groupBy("v").agg(F.collect_list(F.struct("rid", "id")).alias("rows")), "ann-distinct")
+    count, others = distinct.count(), good.count() - 1
+    tables = Tables(max(1, length // 8), count, _measured_reach(distinct, k))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = directions(matrix(batch.column(0)))
             for t in range(TABLES) if len(u) else ():
-                bucket = bucket_number(np.floor(tables.project(u, t)).astype(int)) * TABLES + t
+                bucket = tables.number(np.floor(tables.project(u, t)), t)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], names=["bucket", "v", "rows"])
 
     indexed = materialize(distinct.mapInArrow(index, f"bucket long, v binary, rows array<struct<rid:bigint,id:{kind}>>"), "ann-index")
-    # At most SPAN ** FUNCTIONS * TABLES numbers, and only of buckets over a chunk.
-    sizes = indexed.groupBy("bucket").count().where(F.col("count") > CHUNK).collect()
-    chunks = {r["bucket"]: -(-r["count"] // CHUNK) for r in sizes}
+    parts = max(1, TABLES * count // PART)
+    sizes = indexed.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    sizes = materialize(sizes, "ann-buckets", TABLES * count)
+    hot = hot_keys(sizes, "bucket", TABLES * count)
+    part = F.pmod(F.xxhash64("bucket", "chunk"), F.lit(parts))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column(2)
-            u = directions(matrix(v))
-            for t in range(TABLES) if len(u) else ():
-                who, bucket, chunk = [], [], []
-                for i, x in enumerate(tables.project(u, t)):
-                    for b in probes(x):
-                        n = chunks.get(b * TABLES + t, 1)
-                        who += [i] * n
-                        bucket += [b * TABLES + t] * n
-                        chunk += range(n)
-                at = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), v.take(at)], names=["bucket", "chunk", "query_id", "qrid", "v"]
-                )
-
-    asked = good.where(is_query(F.col("id"))).select("id", "rid", "v").mapInArrow(visit, f"bucket long, chunk long, query_id {kind}, qrid long, v binary")
-    many = F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair]) if chunks else None
-    dealt = F.pmod(F.xxhash64("v"), F.coalesce(many[F.col("bucket")], F.lit(1))) if chunks else F.lit(0)
-    members = indexed.withColumn("chunk", dealt.cast("long"))
-
-    def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"qrid": [], "query_id": [], "rid": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                u = directions(matrix(some.column(1)))
+                for t in range(TABLES):
+                    found = [tables.probes(x, t) for x in tables.project(u, t)]
+                    who = pa.array(np.repeat(np.arange(len(u)), [len(x) for x in found]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), some.column(0).take(who)], names=["bucket", "qrid"])
+
+    asked = materialize(good.where(is_query(F.col("id"))).select("id", "rid", "v"), "ann-queries")
+    probed = asked.select("rid", "v").mapInArrow(visit, "bucket long, qrid long")
+    met = spread_join(probed, sizes.select("bucket", "chunks"), "bucket", hot, F.xxhash64("qrid"))
+    met = met.select("bucket", "qrid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    sent = materialize(met.groupBy(part.alias("part"), "qrid").agg(F.collect_set("bucket").alias("buckets")), "ann-probes")
+    lots = sent.groupBy("part").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    queries = sent.join(lots, "part").withColumn("lot", F.pmod(F.xxhash64("qrid"), F.col("lots")).cast("int"))
+    queries = queries.select("part", "lot", "qrid", "buckets").join(asked.select(F.col("rid").alias("qrid"), F.col("id").alias("query_id"), "v"), "qrid")
+    crowded = sizes.where("chunks > 1").select("bucket", "chunks")
+    members = spread_join(indexed, crowded, "bucket", hot, F.xxhash64("v"), "left")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).cast("int")).select("bucket", "v", "rows", part.alias("part"))
+    members = members.join(lots, "part").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+
+    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _best(k, [], [], np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1)), np.empty((0, 1)), [], left.schema.field("query_id").type)
+        right = right.sort_by("bucket")
+        bucket, lists = right["bucket"].to_numpy(), left["buckets"].combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        wanted, owner = lists.flatten().to_numpy(), np.repeat(np.arange(left.num_rows), lists.value_lengths().to_numpy())
+        a, b = np.searchsorted(bucket, wanted, "left"), np.searchsorted(bucket, wanted, "right")
+        who = np.repeat(owner, b - a)
+        member = np.arange(len(who)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+        return _best(k, left["qrid"].to_pylist(), left["query_id"].to_pylist(), who, member, matrix(left["v"]), matrix(right["v"]), right["rows"].to_pylist(), left.schema.field("query_id").type)
+
+    found = queries.groupBy("part", "lot").cogroup(members.groupBy("part", "lot")).applyInArrow(compare, _found_schema(kind))
+    merged = materialize(found.groupBy("qrid", "query_id", "rid", "vec_id").agg(F.max("score").alias("score")), "ann-found")
+    forget(indexed, sent)
+
+    # Queries with too few found meet all vectors, in blocks.
+    held = merged.groupBy("qrid").agg(F.count("*").alias("n"))
+    short = asked.select(F.col("rid").alias("qrid"), F.col("id").alias("query_id"), "v").join(held, "qrid", "left").where(F.coalesce("n", F.lit(0)) < min(k, max(0, others))).drop("n")
+    short = materialize(short, "ann-short")
+    few = short.count()
+    if few:
+        blocks, pieces = -(-few // LOT), -(-count // CHUNK)
+        left = short.withColumn("block", F.pmod(F.xxhash64("qrid"), F.lit(blocks))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        right = distinct.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+        def exact(key, left: pa.Table, right: pa.Table) -> pa.Table:
             q, m = matrix(left["v"]), matrix(right["v"])
-            qn, mn = norms(q), norms(m)
-            rows = right["rows"].to_pylist()
-            qrid, qid = left["qrid"].to_pylist(), left["query_id"].to_pylist()
-            for at in range(0, len(q), 512):
-                s = (q[at : at + 512] @ m.T) / (qn[at : at + 512, None] * mn[None, :])
-                want = min(k + 1, s.shape[1])
-                floor = np.partition(s, s.shape[1] - want, axis=1)[:, s.shape[1] - want] - 1e-12
-                a, b = np.nonzero(s >= floor[:, None])
-                exact = np.einsum("ij,ij->i", q[a + at], m[b]) / (qn[a + at] * mn[b])
-                for i, j, e in zip((a + at).tolist(), b.tolist(), exact.tolist()):
-                    for r in rows[j]:
-                        if r["rid"] != qrid[i]:
-                            for c, x in zip(out, (qrid[i], qid[i], r["rid"], r["id"], e)):
-                                out[c].append(x)
-        return pa.table(out, schema=pa.schema([("qrid", pa.int64()), ("query_id", left.schema.field("query_id").type), ("rid", pa.int64()), ("vec_id", left.schema.field("query_id").type), ("score", pa.float64())]))
-
-    found = asked.groupBy("bucket", "chunk").cogroup(members.groupBy("bucket", "chunk")).applyInArrow(rank, f"qrid long, query_id {kind}, rid long, vec_id {kind}, score double")
-    merged = found.groupBy("qrid", "query_id", "rid", "vec_id").agg(F.max("score").alias("score"))
+            who, member = (x.ravel() for x in np.indices((len(q), len(m))))
+            return _best(k, left["qrid"].to_pylist(), left["query_id"].to_pylist(), who, member, q, m, right["rows"].to_pylist(), left.schema.field("query_id").type)
+
+        again = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece")).applyInArrow(exact, _found_schema(kind))
+        merged = merged.join(short, "qrid", "left_anti").select("qrid", "query_id", "rid", "vec_id", "score").union(again)
     order = Window.partitionBy("qrid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contestlab.llm import embedding_dedup, nearest
 
@@ -48,6 +49,40 @@ def test_nearest_reaches_the_recall(vectors, spark):
     assert nearest.nearest(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_few_vectors_are_all_found(spark):
+    rows = [(50, [1.0, 0.0, 0.0]), (1, [-1.0, 0.1, 0.0]), (2, [0.0, 0.0, -5.0]), (100, [0.0, 1.0, 0.0]), (3, None)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("bucket", F.lit("clash")), lambda i: i % 50 == 0).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == {50: [2, 100, 1], 100: [1, 2, 50]}  # ties to the smaller id
+    far = [(i, (np.eye(20)[i] * (1 if i % 2 else -1)).tolist()) for i in range(20)]
+    got = nearest.nearest(spark.createDataFrame(far, "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(i, i) for i in range(1, 6)]
+    alone = nearest.nearest(spark.createDataFrame(far[:1], "vec_id long, embedding array<double>"), lambda i: i == 0)
+    assert alone.count() == 0
+
+
+@pytest.mark.parametrize("n, most", [(4000, 0.5), (50_000, 0.27)])
+def test_the_share_of_vectors_visited_falls(n, most):
+    """On directions without any structure, the hardest case."""
+    rng = np.random.default_rng(2)
+    u = rng.standard_normal((n, 64))
+    u /= np.sqrt((u**2).sum(1))[:, None]
+    asked = range(60)
+    s = u[:60] @ u.T
+    s[np.arange(60), np.arange(60)] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    tables = nearest.Tables(64, n, float(np.sqrt(2 - 2 * s[np.arange(60), best[:, 4]]).mean()))
+    seen = np.zeros((60, n), bool)
+    for t in range(nearest.TABLES):
+        buckets = tables.number(np.floor(tables.project(u, t)), t)
+        for i in asked:
+            seen[i] |= np.isin(buckets, tables.probes(tables.project(u[i], t), t))
+    recall = np.mean([seen[i, best[i]].mean() for i in asked])
+    assert recall >= 0.9 and seen.mean() <= most
+
+
 def test_links_and_components(vectors):
     rows, df = vectors
     ids, x, n = usable(rows)
