@@ -23,24 +23,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hot_keys, materialize, spread_join, table
 from .graph import components
 from .vectors import as_rows, common_length, directions, matrix, norms
 
 TARGET = 0.999  # recall at the threshold itself
-SAMPLE_PER_WORD, LEAST_SAMPLE = 64, 4096  # distinct vectors that the codebooks are fitted on, for each codeword and at least
+SAMPLE_PER_WORD, LEAST_SAMPLE, MOST_SAMPLE = 64, 4096, 65_536  # distinct vectors that the codebooks are fitted on
 PER_CELL = 16  # distinct vectors, on average; so codebooks grow as the square root of the vectors
-WORDS = 1024  # at most, in a half: what knows cells by number has at most WORDS ** 2 rows
+WORDS = 16_384  # at most, in a half: reached at PER_CELL * WORDS ** 2, four thousand million distinct vectors
 MEMBERS, VISITORS = 512, 2048  # of a cell in one block
+ROWS = 1024  # of a sample or batch against all codewords at once
+
+
+def _near(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The nearest codeword of each row, a block of rows at a time."""
+    square = (words**2).sum(1)
+    return np.concatenate([np.empty(0, np.int64), *(np.argmin(square[None, :] - 2 * x[at : at + ROWS] @ words.T, axis=1) for at in range(0, len(x), ROWS))])
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     words = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = np.argmin((words**2).sum(1)[None, :] - 2 * x @ words.T, axis=1)
-        for j in range(len(words)):
-            if (near == j).any():
-                words[j] = x[near == j].mean(0)
+        near = _near(x, words)
+        order = np.argsort(near, kind="stable")
+        found, first = np.unique(near[order], return_index=True)
+        words[found] = np.add.reduceat(x[order], first) / np.diff(np.r_[first, len(x)])[:, None]
     return words
 
 
@@ -53,45 +60,50 @@ class Grid:
         self.cut = max(1, u.shape[1] // 2)
         self.k = int(min(WORDS, words, max(1, len(u) // 2)))
         self.words = [kmeans(x, self.k, rng) for x in self.halves(u)]
-        self.gaps = [np.sqrt(np.maximum(((w[:, None] - w[None]) ** 2).sum(2), 1e-300)) for w in self.words]
-        aside = rng.standard_normal(u.shape)
-        aside -= (aside * u).sum(1)[:, None] * u
-        aside /= np.maximum(np.sqrt((aside**2).sum(1)), 1e-12)[:, None]
-        moved = threshold * u + np.sqrt(1 - threshold**2) * aside
-        cell = self.cell(moved)
-        cost = self.costs(u)
-        met = cost[0][np.arange(len(u)), cell // self.k] + cost[1][np.arange(len(u)), cell % self.k]
+        met = [np.zeros(0)]
+        for at in range(0, len(u), ROWS):
+            part = u[at : at + ROWS]
+            aside = rng.standard_normal(part.shape)
+            aside -= (aside * part).sum(1)[:, None] * part
+            aside /= np.maximum(np.sqrt((aside**2).sum(1)), 1e-12)[:, None]
+            cell = self.cell(threshold * part + np.sqrt(1 - threshold**2) * aside)
+            first, second = self.costs(part)
+            row = np.arange(len(part))
+            met.append(first[row, cell // self.k] + second[row, cell % self.k])
+        met = np.concatenate(met)
         self.limit = float(np.quantile(met, target)) if len(met) else 0.0
 
     def halves(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return u[:, : self.cut], u[:, self.cut :] if u.shape[1] > 1 else u[:, :1]
 
     def cell(self, u: np.ndarray) -> np.ndarray:
-        i, j = (np.argmin((w**2).sum(1)[None, :] - 2 * x @ w.T, axis=1) for x, w in zip(self.halves(u), self.words))
+        i, j = (_near(x, w) for x, w in zip(self.halves(u), self.words))
         return i * self.k + j
 
     def costs(self, u: np.ndarray) -> list[np.ndarray]:
-        """For each half the squared distance from each row to each codeword's region, from below."""
+        """For each half the squared distance from each row to each codeword's region, from below. Give few rows."""
         out = []
-        for x, w, gap in zip(self.halves(u), self.words, self.gaps):
-            d = (x**2).sum(1)[:, None] + (w**2).sum(1)[None, :] - 2 * x @ w.T
-            own = np.argmin(d, axis=1)
-            plane = np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * gap[own])
-            plane[np.arange(len(x)), own] = 0
+        for x, w in zip(self.halves(u), self.words):
+            square = (w**2).sum(1)
+            d = (x**2).sum(1)[:, None] + square[None, :] - 2 * x @ w.T
+            own, row = np.argmin(d, axis=1), np.arange(len(x))
+            gap = np.sqrt(np.maximum(square[own][:, None] + square[None, :] - 2 * w[own] @ w.T, 1e-300))
+            plane = np.maximum(d - d[row, own][:, None], 0) / (2 * gap)
+            plane[row, own] = 0
             out.append(plane**2)
         return out
 
     def visits(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of all visits, each row's cheapest cells first."""
+        """(row, cell) of all visits. The halves' codewords are traversed from the nearest up; with each of the first
+        half go as many of the second as the limit leaves, the frontier of the multi-sequence order."""
         first, second = self.costs(u)
         rows, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for r in range(len(u)):
-            i, j = np.flatnonzero(first[r] <= self.limit), np.flatnonzero(second[r] <= self.limit)
-            total = first[r, i][:, None] + second[r, j][None]
-            a, b = np.nonzero(total <= self.limit)
-            order = np.argsort(total[a, b], kind="stable")
-            rows.append(np.full(len(a), r))
-            cells.append((i[a] * self.k + j[b])[order])
+            i, j = np.argsort(first[r], kind="stable"), np.argsort(second[r], kind="stable")
+            i = i[: np.searchsorted(first[r, i], self.limit, "right")]
+            reach = np.searchsorted(second[r, j], self.limit - first[r, i], "right")
+            rows.append(np.full(int(reach.sum()), r))
+            cells.append(np.repeat(i, reach) * self.k + j[np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)])
         return np.concatenate(rows), np.concatenate(cells)
 
 
@@ -119,7 +131,8 @@ def embedding_links(df: DataFrame, threshold: float = 0.95, target: float = TARG
     good = base.where(usable)
     distinct = materialize(good.groupBy("v").agg(F.min("rid").alias("node"), F.count("*").alias("n")), "dedup-distinct")
     words = min(WORDS, max(1, math.isqrt(distinct.count() // PER_CELL)))
-    picked = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(max(LEAST_SAMPLE, SAMPLE_PER_WORD * words)).toPandas()["v"]
+    sample = min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLE_PER_WORD * words))
+    picked = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()["v"]
     grid = Grid(np.frombuffer(b"".join(picked), "<f8").reshape(len(picked), -1) if len(picked) else np.ones((1, 1)), threshold, target, words)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +142,11 @@ def embedding_links(df: DataFrame, threshold: float = 0.95, target: float = TARG
                 yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=["v", "node", "n", "cell"])
 
     placed = materialize(distinct.select("v", "node", "n").mapInArrow(place, "v binary, node long, n long, cell long"), "dedup-cells")
-    # One row for each of at most WORDS ** 2 cells, so these two may be broadcast.
-    blocks = placed.groupBy(F.col("cell").alias("at")).agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("blocks"))
+    cells = materialize(placed.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("n")), "dedup-sizes")
+    hot = hot_keys(cells, "at", distinct.count())
+    # Only cells of more than one block, and below of more than one lot, are known by tables.
+    blocks = cells.where(F.col("n") > MEMBERS).select("at", F.ceil(F.col("n") / MEMBERS).cast("long").alias("blocks"))
+    one = F.lit(1).cast("long")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,14 +156,20 @@ def embedding_links(df: DataFrame, threshold: float = 0.95, target: float = TARG
                 kept = [c.take(pa.array(row)) for c in part.columns]
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *kept], names=["at", "v", "node", "n", "cell"])
 
-    visits = placed.mapInArrow(visit, "at long, v binary, node long, n long, cell long").join(F.broadcast(blocks), "at")
-    visits = materialize(visits, "dedup-visits")
-    lots = visits.groupBy("at").agg(F.ceil(F.count("*") / VISITORS).cast("long").alias("lots"))
-    visitors = visits.join(F.broadcast(lots), "at").withColumn("lot", F.pmod(F.xxhash64("node"), "lots"))
-    visitors = visitors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "lots")
-    held = placed.withColumn("at", F.col("cell")).join(F.broadcast(blocks), "at").join(F.broadcast(lots), "at")
-    held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
-    held = held.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("blocks", "lots")
+    filled = cells.select("at")
+    visits = placed.mapInArrow(visit, "at long, v binary, node long, n long, cell long")
+    visits = materialize(spread_join(visits, filled, "at", hot, F.xxhash64("node"), "left_semi"), "dedup-visits")
+    lots = visits.groupBy("at").agg(F.ceil(F.count("*") / VISITORS).cast("long").alias("lots")).where("lots > 1")
+    lots = materialize(lots, "dedup-lots")
+
+    def dealt(rows: DataFrame, mine: str, width: str, salt: int, each: str, other: str) -> DataFrame:
+        """rows(at, node, ...) with a number `mine` below `width` by hash, and one row for each number `each` below `other`."""
+        known = spread_join(spread_join(rows, blocks, "at", hot, F.xxhash64("node"), "left"), lots, "at", hot, F.xxhash64("node"), "left")
+        known = known.withColumn(mine, F.pmod(F.xxhash64("node", F.lit(salt)), F.coalesce(width, one)))
+        return known.withColumn(each, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, one) - 1))).drop("blocks", "lots")
+
+    visitors = dealt(visits, "lot", "lots", 0, "block", "blocks")
+    held = dealt(placed.withColumn("at", F.col("cell")), "block", "blocks", 1, "lot", "lots")
 
     def verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64)] * 3
@@ -157,7 +179,7 @@ def embedding_links(df: DataFrame, threshold: float = 0.95, target: float = TARG
             who, whom = left["node"].to_numpy(), right["node"].to_numpy()
             s = (a @ b.T) / (norms(a)[:, None] * norms(b)[None, :])
             linked = (s >= threshold) & (who[:, None] != whom[None, :])
-            first, second = grid.costs(directions(b))
+            first, second = grid.costs(directions(b))  # b holds at most MEMBERS rows, or a few more
             cell = left["cell"].to_numpy()
             once = linked & (first[:, cell // grid.k] + second[:, cell % grid.k] > grid.limit).T
             l, r = _groups(linked, who.copy(), whom.copy())
