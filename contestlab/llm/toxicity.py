@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A token's input is its word's vector beside the mean of the vectors of its character n-grams, so that new or disguised
-words are read by their spelling. Windows of WINDOW tokens overlap by half and cover the whole text; in each, two
+A token's input is its word's vector beside the mean of the vectors of its distinct character n-grams, so that new or disguised
+words are read by their spelling; tokens of any length are read whole. Windows of WINDOW tokens overlap by half and cover the whole text; in each, two
 gated recurrent layers run in opposite directions, attention pools their states, and one unit makes the logit. A
 document's logit is that of its most toxic window, calibrated.
 
@@ -34,7 +34,7 @@ WINDOW, STEP = 32, 16
 FEATURES = 24_000  # words and n-grams with vectors of their own: those of the greatest log-odds
 LEAST_DOCS = 3  # of the sample, in which one of them must occur
 GRAM = 5
-LONG = 256  # characters from which a token is remembered by its digest and, in a training window, cut
+LONG = 256  # characters from which a token is remembered by its digest
 DIM, HIDDEN = 6, 8
 ROUNDS, EPOCHS, BATCH, RATE = 2, 4, 128, 0.02
 CHUNK = 2048  # windows run at once
@@ -83,12 +83,12 @@ class Network:
         self.slope, self.shift = 1.0, 0.0
 
     def rows(self, token: str) -> list[int]:
-        """Numbers of the token's word (0: unknown) and of its known n-grams."""
+        """Numbers of the token's word (0: unknown) and of its distinct known n-grams, fewer than the vocabulary has."""
         found = features(token)
         if not found:
             return [0]
         get = self.vocabulary.get
-        return [get(found[0], 0), *filter(None, map(get, found[1:]))]
+        return [get(found[0], 0), *sorted(set(filter(None, map(get, found[1:]))))]
 
     def vectors(self, rows: list[list[int]]) -> np.ndarray:
         """The input of each token."""
@@ -341,15 +341,19 @@ def fit(sample: DataFrame, totals: dict[int, int], seed: int = 3) -> Network | N
                     mixed = sorted(rest.tolist(), key=lambda k: zlib.crc32(f"{k}:{len(tokens)}".encode()))
                     others = [] if toxic else mixed[: WINDOWS_PER_DOC - len(top)]
                     chosen = [*top.tolist(), *others]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([" ".join(t[:LONG] for t in tokens[begins[k] : begins[k] + WINDOW]) for k in chosen], pa.string()), pa.array([toxic] * len(chosen), pa.int32())],
-                        names=["window", "toxic"],
-                    )
-
-        got = sample.mapInArrow(pick, "window string, toxic int").toPandas().sort_values(["window", "toxic"])
-        cache: dict[str, list[int]] = {}
-        rows = [[cache.get(t) or cache.setdefault(t, net.rows(t)) for t in w.split()] for w in got["window"]]
-        labels = got["toxic"].to_numpy(float)
+                    made = [[scorer.net.rows(t) for t in tokens[begins[k] : begins[k] + WINDOW]] for k in chosen]
+                    kind = pa.list_(pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(made, kind), pa.array([toxic] * len(chosen), pa.int32())], names=["window", "toxic"])
+
+        # A token's numbers are kept once, however many windows hold it.
+        cache: dict[tuple[int, ...], list[int]] = {}
+        got = []
+        for batch in sample.mapInArrow(pick, "window array<array<int>>, toxic int").toArrow().to_batches(1024):
+            for window, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got.append(([cache.setdefault(tuple(r), r) for r in window], toxic))
+        got.sort()
+        rows = [w for w, _ in got]
+        labels = np.array([t for _, t in got], float)
         balance = Counter(labels.tolist())
         importance = np.where(labels > 0, balance[0.0] / max(1, balance[1.0]), 1.0) ** 0.5
         for _ in range(EPOCHS):
