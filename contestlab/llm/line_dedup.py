@@ -16,7 +16,7 @@ that is, hold a letter and no digit, since numbers and rules of symbols have no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, blank, forget, hot_keys, materialize, quoted, spread_join, table, unfold, whole_row
@@ -28,49 +28,51 @@ OWN = 5
 LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 
 
-def template_keys(tokens: Column) -> Column:
-    """The keys of a line of such tokens, one for each place of the variable field."""
-    n = F.size(tokens)
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
-    at = [F.floor(n * j / PIECES).cast("int") for j in range(PIECES + 1)]
-    pieces = [F.xxhash64(F.slice(masked, at[j] + 1, at[j + 1] - at[j])) for j in range(PIECES)]
-    fields = [F.xxhash64(n, *[F.lit("<*>") if j in (v, v + 1) else pieces[j] for j in range(PIECES)]) for v in range(PIECES - 1)]
-    return F.when(n >= FIELD, F.array(*fields)).otherwise(F.array(F.xxhash64(n, masked)))
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """lines(..., line) -> (..., words, need, keys): the number of tokens, in how many texts a template of such tokens
+    must recur (null for a line with too few constants) and the line's keys, one for each place of the variable field.
 
-
-def texts_needed(tokens: Column) -> Column:
-    """In how many texts a template of such tokens must recur; null for a line with too few constants."""
-    constants = F.size(F.filter(tokens, lambda t: t.rlike(LETTER) & ~t.rlike("[0-9]")))
+    Each select computes what the next one uses several times."""
+    kept = [c for c in lines.columns if c != "line"]
+    tokens = lines.select(*kept, F.col("line").rlike("[0-9]").alias("digits"), F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("w"))
+    masked = F.when(F.col("digits"), F.transform("w", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(F.col("w"))
+    tokens = tokens.select(*kept, F.size("w").alias("words"), masked.alias("m"))
+    constants = F.size(F.filter("m", lambda t: t.rlike(LETTER) & (t != "<*>")))
+    at = [F.floor(F.col("words") * j / PIECES).cast("int") for j in range(PIECES + 1)]
+    pieces = [F.xxhash64(F.slice("m", at[j] + 1, at[j + 1] - at[j])).alias(f"p{j}") for j in range(PIECES)]
+    hashed = tokens.select(*kept, "words", constants.alias("constants"), F.xxhash64("words", "m").alias("whole"), *pieces)
     need = F.lit(None).cast("int")
     for least, texts in reversed(LEAST):
-        need = F.when(F.size(tokens) >= least, texts).otherwise(need)
-    return F.when((constants > 0) & (constants * 2 >= F.size(tokens)), need)
+        need = F.when(F.col("words") >= least, texts).otherwise(need)
+    need = F.when((F.col("constants") > 0) & (F.col("constants") * 2 >= F.col("words")), need)
+    fields = [F.xxhash64("words", *[F.lit("<*>") if j in (v, v + 1) else F.col(f"p{j}") for j in range(PIECES)]) for v in range(PIECES - 1)]
+    keys = F.when(F.col("words") >= FIELD, F.array(*fields)).when(F.col("words") > 0, F.array("whole"))
+    return hashed.select(*kept, "words", need.alias("need"), keys.alias("keys"))
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(t, t2, text), t and t2 hashes of the text -> (t, t2, drop): where the recurring lines of each distinct text
     are, and (t, n): how many rows each text has."""
-    split = docs.where("text is not null").select("t", "t2", F.regexp_count("text", F.lit(WORD)).alias("total"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    tokens = split.select("t", "t2", "total", "i", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("w"))
-    full = F.size("w") > 0
-    parsed = tokens.where(full | (F.col("i") == 0)).select("t", "t2", "total", "i", F.size("w").alias("words"), texts_needed(F.col("w")).alias("need"), F.when(full, template_keys(F.col("w"))).alias("keys"))
-    lines = materialize(parsed, "line-keys")
-    each = lines.select("t", "t2", "total", "i", "words", "need", F.explode("keys").alias("k"))
+    split = docs.where("text is not null").select("t", "t2", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    lines = materialize(parsed_lines(split).where((F.col("words") > 0) | (F.col("i") == 0)), "line-keys")
+    each = lines.select("t", "t2", "i", "words", "need", F.explode("keys").alias("k"))
     # Equal texts are one: they have one t.
     counts = each.groupBy("k").agg(F.min("t").alias("one"), F.max("t").alias("other"), F.count("*").alias("n"))
     shared = materialize(counts.where("one <> other").select("k", "n"), "line-shared")
-    total = lines.agg(F.sum(F.size("keys"))).first()[0] or 0
-    hot = hot_keys(shared, "k", total)
+    keys = lines.agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot = hot_keys(shared, "k", keys)
     met = materialize(spread_join(each, shared.select("k"), "k", hot, F.xxhash64("t", "i")).dropDuplicates(["t", "t2", "i", "k"]), "line-met")
-    theirs = met.groupBy("t", "t2", "i").agg(F.max("words").alias("words"), F.max("total").alias("total"))
-    apart = theirs.groupBy("t", "t2").agg(F.sum("words").alias("theirs"), F.max("total").alias("total")).where((F.col("total") - F.col("theirs")) * OWN > F.col("total"))
+    theirs = met.groupBy("t", "t2", "i").agg(F.max("words").alias("words")).groupBy("t", "t2").agg(F.sum("words").alias("theirs"))
+    texts = lines.groupBy("t", "t2").agg(F.sum("words").alias("words"), F.sum((F.col("i") == 0).cast("long")).alias("n"))
+    texts = materialize(texts, "line-texts")
+    total = F.col("words") / F.col("n")
+    apart = texts.join(theirs, ["t", "t2"]).where((total - F.col("theirs")) * OWN > total)
     counted = met.where("need is not null").join(apart.select("t", "t2"), ["t", "t2"], "left_semi").select("k", "need", "t", "t2").distinct()
     found = counted.groupBy("k", "need").agg(F.count("*").alias("texts")).where("texts >= need").select("k").distinct()
     dropped = spread_join(met.where("need is not null"), found, "k", hot, F.xxhash64("t", "i"))
     flags = materialize(dropped.groupBy("t", "t2").agg(F.collect_set("i").alias("drop")), "line-drops")
-    rows = materialize(lines.where("i = 0").groupBy("t").agg(F.count("*").alias("n")), "line-texts")
     forget(lines, shared, met)
-    return flags, rows
+    return flags, texts.groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
