@@ -7,11 +7,12 @@ lines are of one template if they share a key: as many tokens, and all tokens ou
 fewer than FIELD tokens have no field and one key. Keys are computed from the line alone; nothing is parsed in order.
 
 A template recurs when it stands in enough distinct texts that are not copies of each other, whatever its neighbours
-are. A text is taken for no copy if more than one in OWN of its words are on lines whose template stands in no other
-distinct text: then less than 0.8 of it can be anyone else's, so it's no near copy at that similarity. Copies, edited
-ones included, are so neither counted nor in the way, however many there are. Lines of recurring templates are dropped
-wherever they stand. Short templates need more texts; a line counts only if at least half of its tokens are constants,
-that is, hold a letter and no digit, since numbers and rules of symbols have no text that could recur.
+are. A text is taken for no copy if more than two fifths of its runs of RUN words (within lines, digits aside) stand in
+no other distinct text; in lines of more than EVERY words, the runs that begin at one word in STEP, told by the word
+itself, stand for all. Copies, edited ones included, are so neither counted nor in the way, however many there are.
+Lines of recurring templates are dropped wherever they stand. Short templates need more texts; a line counts only if at
+least half of its tokens are constants, that is, hold a letter and no digit, since numbers and rules of symbols have no
+text that could recur.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from .common import WORD, blank, forget, hot_keys, materialize, quoted, spread_j
 PIECES = 8
 FIELD = 4  # tokens from which a line has a variable field
 LEAST = ((8, 3), (4, 5), (1, 10))  # (tokens, texts): from so many tokens a template recurs in so many texts
-OWN = 5
+RUN, EVERY, STEP = 5, 24, 8
 LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """lines(..., line) -> (..., words, need, keys): the number of tokens, in how many texts a template of such tokens
-    must recur (null for a line with too few constants) and the line's keys, one for each place of the variable field.
+    """lines(..., line) -> (..., words, need, keys, marks): the number of tokens, in how many texts a template of such
+    tokens must recur (null for a line with too few constants), the line's keys, one for each place of the variable
+    field, and its runs.
 
     Each select computes what the next one uses several times."""
     kept = [c for c in lines.columns if c != "line"]
@@ -40,14 +42,17 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     constants = F.size(F.filter("m", lambda t: t.rlike(LETTER) & (t != "<*>")))
     at = [F.floor(F.col("words") * j / PIECES).cast("int") for j in range(PIECES + 1)]
     pieces = [F.xxhash64(F.slice("m", at[j] + 1, at[j + 1] - at[j])).alias(f"p{j}") for j in range(PIECES)]
-    hashed = tokens.select(*kept, "words", constants.alias("constants"), F.xxhash64("words", "m").alias("whole"), *pieces)
+    chosen = lambda t: (F.col("words") <= EVERY) | ((F.length(t) * 5 + F.ascii(t)) % STEP == 0)
+    runs = F.transform("m", lambda t, i: F.when((i <= F.col("words") - RUN) & chosen(t), F.xxhash64(F.slice("m", i + 1, RUN))))
+    marks = F.when(F.col("words") < RUN, F.array(F.xxhash64("m"))).otherwise(F.filter(runs, lambda x: x.isNotNull()))
+    hashed = tokens.select(*kept, "words", constants.alias("constants"), F.xxhash64("words", "m").alias("whole"), marks.alias("marks"), *pieces)
     need = F.lit(None).cast("int")
     for least, texts in reversed(LEAST):
         need = F.when(F.col("words") >= least, texts).otherwise(need)
     need = F.when((F.col("constants") > 0) & (F.col("constants") * 2 >= F.col("words")), need)
     fields = [F.xxhash64("words", *[F.lit("<*>") if j in (v, v + 1) else F.col(f"p{j}") for j in range(PIECES)]) for v in range(PIECES - 1)]
     keys = F.when(F.col("words") >= FIELD, F.array(*fields)).when(F.col("words") > 0, F.array("whole"))
-    return hashed.select(*kept, "words", need.alias("need"), keys.alias("keys"))
+    return hashed.select(*kept, "words", need.alias("need"), keys.alias("keys"), F.when(F.col("words") > 0, F.col("marks")).alias("marks"))
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,24 +60,25 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     are, and (t, n): how many rows each text has."""
     split = docs.where("text is not null").select("t", "t2", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     lines = materialize(parsed_lines(split).where((F.col("words") > 0) | (F.col("i") == 0)), "line-keys")
-    each = lines.select("t", "t2", "i", "words", "need", F.explode("keys").alias("k"))
+    each = lines.select("t", "t2", "i", "need", F.explode("keys").alias("k"))
     # Equal texts are one: they have one t.
     counts = each.groupBy("k").agg(F.min("t").alias("one"), F.max("t").alias("other"), F.count("*").alias("n"))
     shared = materialize(counts.where("one <> other").select("k", "n"), "line-shared")
     keys = lines.agg(F.sum(F.size("keys"))).first()[0] or 0
     hot = hot_keys(shared, "k", keys)
     met = materialize(spread_join(each, shared.select("k"), "k", hot, F.xxhash64("t", "i")).dropDuplicates(["t", "t2", "i", "k"]), "line-met")
-    theirs = met.groupBy("t", "t2", "i").agg(F.max("words").alias("words")).groupBy("t", "t2").agg(F.sum("words").alias("theirs"))
-    texts = lines.groupBy("t", "t2").agg(F.sum("words").alias("words"), F.sum((F.col("i") == 0).cast("long")).alias("n"))
-    texts = materialize(texts, "line-texts")
-    total = F.col("words") / F.col("n")
-    apart = texts.join(theirs, ["t", "t2"]).where((total - F.col("theirs")) * OWN > total)
-    counted = met.where("need is not null").join(apart.select("t", "t2"), ["t", "t2"], "left_semi").select("k", "need", "t", "t2").distinct()
+    # Equal texts count as often on both sides of the comparison, so they need not be told apart.
+    runs = lines.select("t", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("t").alias("t"), F.max("t").alias("other"), F.count("*").alias("n"))
+    own = runs.where("t = other").groupBy("t").agg(F.sum("n").alias("own"))
+    texts = lines.groupBy("t").agg(F.sum(F.size("marks")).alias("runs"), F.sum((F.col("i") == 0).cast("long")).alias("n"))
+    texts = materialize(texts.join(own, "t", "left"), "line-texts")
+    apart = texts.where("own * 5 > runs * 2").select("t")
+    counted = met.where("need is not null").join(apart, "t", "left_semi").select("k", "need", "t").distinct()
     found = counted.groupBy("k", "need").agg(F.count("*").alias("texts")).where("texts >= need").select("k").distinct()
     dropped = spread_join(met.where("need is not null"), found, "k", hot, F.xxhash64("t", "i"))
     flags = materialize(dropped.groupBy("t", "t2").agg(F.collect_set("i").alias("drop")), "line-drops")
     forget(lines, shared, met)
-    return flags, texts.groupBy("t").agg(F.sum("n").alias("n"))
+    return flags, texts.select("t", "n")
 
 
 def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -131,9 +137,14 @@ keyed AS (
   FROM pieces),
 shared AS (SELECT k FROM keyed GROUP BY k HAVING min(text) <> max(text)),
 met AS (SELECT DISTINCT text, i, n, need, k FROM keyed SEMI JOIN shared USING (k)),
-theirs AS (SELECT text, sum(n) AS words FROM (SELECT DISTINCT text, i, n FROM met) GROUP BY text),
-totals AS (SELECT text, sum(n) AS words FROM masked GROUP BY text),
-apart AS (SELECT text FROM totals JOIN theirs USING (text) WHERE (totals.words - theirs.words) * 5 > totals.words),
+marks AS (
+  SELECT text, unnest(CASE WHEN n < 5 THEN [array_to_string(m, ' ')] ELSE list_transform(list_filter(range(1, n - 3),
+           lambda i: n <= 24 OR (length(m[i]) * 5 + ascii(m[i])) % 8 = 0), lambda i: array_to_string(m[i : i + 4], ' ')) END) AS mark
+  FROM masked),
+own AS (SELECT any_value(text) AS text, count(*) AS n FROM marks GROUP BY mark HAVING min(text) = max(text)),
+apart AS (
+  SELECT text FROM (SELECT text, count(*) AS runs FROM marks GROUP BY text) JOIN (SELECT text, sum(n) AS own FROM own GROUP BY text) USING (text)
+  WHERE own * 5 > runs * 2),
 found AS (
   SELECT k FROM (SELECT DISTINCT k, need, text FROM met SEMI JOIN apart USING (text) WHERE need IS NOT NULL)
   GROUP BY k, need HAVING count(*) >= need),

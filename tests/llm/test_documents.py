@@ -241,12 +241,18 @@ def brute_boilerplate(texts):
         for i, line in enumerate(ls):
             for a, b in fields(len(line)) if line else ():
                 where.setdefault((len(line), a, b, tuple(line[:a]), tuple(line[b:])), []).append((x, i))
-    theirs = {x: set() for x in lines}
-    for held in where.values():
-        if len({x for x, _ in held}) > 1:
-            for x, i in held:
-                theirs[x].add(i)
-    apart = {x for x, ls in lines.items() if 5 * sum(len(l) for i, l in enumerate(ls) if i not in theirs[x]) > sum(map(len, ls))}
+    runs = {}
+    for x, ls in lines.items():
+        for line in filter(None, ls):
+            for i in range(max(1, len(line) - 4)):
+                if len(line) <= 24 or (len(line[i]) * 5 + ord(line[i][0])) % 8 == 0:
+                    runs.setdefault(tuple(line[i : i + 5]), []).append(x)
+    total, own = Counter(), Counter()
+    for held in runs.values():
+        total.update(held)
+        if len(set(held)) == 1:
+            own.update(held)
+    apart = {x for x in lines if 5 * own[x] > 2 * total[x]}
     gone = {x: set() for x in lines}
     for held in where.values():
         held = [(x, i) for x, i in held if need(lines[x][i])]
