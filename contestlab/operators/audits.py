@@ -35,3 +35,19 @@ def phase_ends(rows: DataFrame, key: str, at: list[str], kind: str, closing: lis
     phase = F.coalesce(F.sum(ends.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = rows.withColumn("phase", phase)
     return numbered.groupBy(key, "phase").agg(F.count("*").alias("steps"), F.max(F.when(F.col(kind).isin(*closing), "closed").when(F.col(kind).isin(*resets), "reset").otherwise(None)).alias("_e")).select(key, "phase", "steps", F.coalesce("_e", F.lit("open")).alias("ended"))
+
+
+def leakage(rows: DataFrame, snapshots: DataFrame, keys: list[str], at: str, as_of: str) -> DataFrame:
+    """rows with `rule`, of those whose snapshot is missing or not of a day strictly before theirs."""
+    rule = F.when(F.col(as_of).isNull(), "missing").when(F.col(as_of) >= F.col(at), "not before")
+    return rows.join(snapshots, keys, "left").withColumn("rule", rule).where("rule IS NOT NULL").select(*keys, at, "rule")
+
+
+def pooled_rates(cells: DataFrame, order: str, hits: str, n: str) -> DataFrame:
+    """cells (few: a registry's) with `rate`, hits / n pooled over neighbours so that it never falls along `order`: the
+    greatest, over cells from which a block may start, of the least rate of a block that holds the cell."""
+    all_cells = cells.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(hits).alias("h"), F.col(n).alias("n")))).alias("c"))
+    part = lambda a, b, field: F.aggregate(F.transform(F.slice("c", a, b - a + 1), lambda x: x[field]), F.lit(0).cast("long"), lambda s, x: s + x)
+    low = lambda i, a: F.array_min(F.transform(F.sequence(i, F.size("c")), lambda b: part(a, b, "h").cast("double") / part(a, b, "n")))
+    rates = F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.array_max(F.transform(F.sequence(F.lit(1), i), lambda a: low(i, a))))
+    return all_cells.select(F.explode(F.arrays_zip("c", rates.alias("r"))).alias("z")).select(F.col("z.c.o").alias(order), F.col("z.c.h").alias(hits), F.col("z.c.n").alias(n), F.col("z.r").alias("rate"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contestlab.session import cut_lineage
+
 
 def won() -> Column:
     return (F.col("scored") > F.col("allowed")).cast("long")
@@ -127,12 +129,14 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], value: str, to
 def adjusted_net(side_rows: DataFrame, sweeps: int = 10) -> DataFrame:
     """Damped fixed point of opponent-adjusted margin: r = (r + net + mean opponent's r) / 2, in `sweeps` rounds.
 
-    The graph of pairs is aggregated once: its edges are pairs of teams, not contests. Each round is one join."""
+    Contests are read once: the graph's edges are pairs of teams, written before the first round. Each round is one join
+    of pairs with teams whose result is written, so plans stay of one size."""
     edges = side_rows.groupBy("team_id", "opp_id").agg(F.count("*").alias("w"), F.sum(F.col("scored") - F.col("allowed")).alias("m"))
+    edges = cut_lineage(edges)
     net = edges.groupBy("team_id").agg((F.sum("m") / F.sum("w")).alias("net"))
     now = net.select("team_id", "net", F.lit(0.0).alias("r"))
     for _ in range(sweeps):
         other = now.select(F.col("team_id").alias("opp_id"), F.col("r").alias("_o"))
         faced = edges.join(other, "opp_id").groupBy("team_id").agg((F.sum(F.col("w") * F.col("_o")) / F.sum("w")).alias("_f"))
-        now = now.join(faced, "team_id").select("team_id", "net", (F.col("r") * 0.5 + (F.col("net") + F.col("_f")) * 0.5).alias("r"))
+        now = cut_lineage(now.join(faced, "team_id").select("team_id", "net", (F.col("r") * 0.5 + (F.col("net") + F.col("_f")) * 0.5).alias("r")))
     return now

@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the views, each with the SQL that states it."""
 
-from . import appearances, audits, contests, forecasts, models, views
+from . import appearances, audits, contests, forecasts, models, payloads, views
 
-MODULES = (contests, appearances, forecasts, models, audits, views)
+MODULES = (contests, appearances, forecasts, models, audits, payloads, views)

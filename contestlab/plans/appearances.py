@@ -9,20 +9,10 @@ from contestlab.functions import text as X
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import appearances as A
 from contestlab.operators.temporal import decayed
+from contestlab.plans.registry import registry
 from contestlab.sources.views import BOX, box_lines, table, with_views
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registry()
 
 
 @query(with_views(BOX) + f"SELECT athlete_id, count(DISTINCT game_id) AS games, sum(starter::INT)::BIGINT AS starts, sum(minutes)::BIGINT AS minutes, sum(points)::BIGINT AS points, {rnd_sql('sum(points) / count(DISTINCT game_id)')} AS per_game, {rnd_sql('48 * sum(points) / sum(minutes)')} AS per_48 FROM box GROUP BY athlete_id")

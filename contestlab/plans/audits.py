@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import implied_probability, rnd, rnd_sql, without_margin
 from contestlab.operators import audits as U
+from contestlab.plans.registry import registry
 from contestlab.sources.views import BOX, CONTEST, LEDGER, PLAY, PREDICTION, SIDES, TEAM, box_lines, contests, ledger, plays, predictions, ratable, sides, table, teams, with_views
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES, ORACLES, query = registry()
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+@query(
+    with_views(CONTEST, SIDES)
+    + """, f AS (SELECT season, team_id, game_date, row_number() OVER (PARTITION BY season, team_id ORDER BY game_date, game_id) AS n FROM sides WHERE status = 'final'),
+shot AS (SELECT season, team_id, game_date AS as_of FROM f WHERE n = 10),
+x AS (SELECT s.season, CASE WHEN as_of IS NULL THEN 'missing' WHEN as_of >= s.game_date THEN 'not before' END AS rule FROM sides s LEFT JOIN shot USING (season, team_id))
+SELECT season, rule, count(*) AS rows FROM x WHERE rule IS NOT NULL GROUP BY ALL"""
+)
+def snapshot_leakage(s, d):
+    """A team's snapshot is dated by its tenth result of the season: sides of contests without one, or not after it."""
+    rows = sides(contests(s, d))
+    nth = F.row_number().over(Window.partitionBy("season", "team_id").orderBy("game_date", "game_id"))
+    shots = rows.where("status = 'final'").withColumn("n", nth).where("n = 10").select("season", "team_id", F.col("game_date").alias("as_of"))
+    found = U.leakage(rows.select("season", "team_id", "game_date"), shots, ["season", "team_id"], "game_date", "as_of")
+    return found.groupBy("season", "rule").agg(F.count("*").alias("rows"))
 
 
 @query(with_views(CONTEST) + """SELECT game_id, unnest(list_filter([CASE WHEN status = 'final' AND home_score = away_score THEN 'tied' END, CASE WHEN home_score + away_score = 0 THEN 'no score' END,
   CASE WHEN status = 'scheduled' AND home_score > 0 AND away_score > 0 THEN 'scored early' END, CASE WHEN home_score > 300 THEN 'extreme' END], lambda x: x IS NOT NULL)) AS rule FROM contest""")
-def leakage_violations(s, d):
+def score_rule_violations(s, d):
     rules = {
         "tied": (F.col("status") == "final") & (F.col("home_score") == F.col("away_score")),
         "no score": F.col("home_score") + F.col("away_score") == 0,
@@ -136,9 +142,10 @@ def raw_plus_minus(s, d):
     return t.select("athlete_id", "raw", rnd(100 * F.col("raw") / F.col("_m")).alias("per_100"))
 
 
-@query("SELECT event_type AS kind, approx_count_distinct(user_id) > 0 AS seen FROM events GROUP BY 1")
+@query()
 def approx_distinct_users(s, d):
-    return table(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg((F.approx_count_distinct("user_id") > 0).alias("seen"))
+    """Distinct users of each kind by a sketch of 2 % standard error; the test holds it against the exact count."""
+    return table(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
 
 
 @query(
@@ -169,12 +176,16 @@ def margin_breakdown(s, d):
 
 
 @query(
-    """WITH r AS (SELECT o_custkey, o_orderpriority AS status, o_orderstatus = 'F' AS absent FROM orders)
-SELECT status, count(*) AS n, sum(absent::INT)::BIGINT AS absences, """
-    + rnd_sql("(sum(absent::INT) + 1.0::DOUBLE) / (count(*) + 2)")
-    + " AS rate FROM r GROUP BY status"
+    """WITH r AS (SELECT o_orderpriority AS status, count(*) + 2 AS n, sum((o_orderstatus = 'F')::INT) + 1 AS absences FROM orders GROUP BY 1),
+c AS (SELECT *, sum(n) OVER o AS cn, sum(absences) OVER o AS ca, row_number() OVER o AS i FROM r WINDOW o AS (ORDER BY status)),
+blocks AS (SELECT m.status, a.i AS first, min((b.ca - a.ca + a.absences)::DOUBLE / (b.cn - a.cn + a.n)) AS low
+  FROM c m JOIN c a ON a.i <= m.i JOIN c b ON b.i >= m.i GROUP BY ALL)
+SELECT status, (n - 2)::BIGINT AS n, (absences - 1)::BIGINT AS absences, """
+    + rnd_sql("max(low)")
+    + " AS rate FROM blocks JOIN r USING (status) GROUP BY ALL"
 )
 def status_absence_rates(s, d):
-    """Smoothed rate of an outcome for each report status."""
-    o = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("status")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("absences"))
-    return o.select("*", rnd((F.col("absences") + 1.0) / (F.col("n") + 2)).alias("rate"))
+    """Smoothed rate of an outcome for each report status, pooled so that it never falls along the statuses' order."""
+    o = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("status")).agg((F.count("*") + 2).alias("n"), (F.sum((F.col("o_orderstatus") == "F").cast("long")) + 1).alias("absences"))
+    pooled = U.pooled_rates(o, "status", "absences", "n")
+    return pooled.select("status", (F.col("n") - 2).alias("n"), (F.col("absences") - 1).alias("absences"), rnd(F.col("rate")).alias("rate"))

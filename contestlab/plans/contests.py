@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import logistic, rnd, rnd_sql
 from contestlab.operators import standings as S
+from contestlab.plans.registry import registry
 from contestlab.sources.views import CONTEST, SIDES, TEAM, contests, ratable, sides, table, teams, with_views
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registry()
 
 
 def _won(s, d):
@@ -208,23 +198,32 @@ def adjusted_net_fixed_point(s, d):
     return S.adjusted_net(_won(s, d), sweeps=6).select("team_id", rnd(F.col("net")).alias("net"), rnd(F.col("r")).alias("adjusted"))
 
 
-GRID = ", g AS (SELECT 2.0::DOUBLE + k * 2.0::DOUBLE AS scale FROM range(0, 50) t(k))"
+GRID = ", g AS (SELECT (20 + k) / 10.0::DOUBLE AS scale FROM range(0, 141) t(k))"
 
 
 @query(
     with_views(CONTEST)
     + GRID
-    + f""", l AS (SELECT season, scale, avg(power(1.0::DOUBLE / (1.0::DOUBLE + exp(-(home_score - away_score) / scale)) - 0.75::DOUBLE, 2)) AS loss FROM ratable, g GROUP BY ALL)
+    + f""", side AS (SELECT season, home_id AS team_id, home_score - away_score AS m FROM ratable UNION ALL SELECT season, away_id, away_score - home_score FROM ratable),
+net AS (SELECT season + 1 AS season, team_id, avg(m) AS net FROM side GROUP BY ALL),
+x AS (SELECT season, h.net - a.net + CASE WHEN neutral THEN 0.0::DOUBLE ELSE 2.2::DOUBLE END AS m, (home_score > away_score)::INT AS y
+  FROM ratable r JOIN net h USING (season) JOIN net a USING (season) WHERE h.team_id = home_id AND a.team_id = away_id),
+l AS (SELECT season, scale, avg(power(1.0::DOUBLE / (1.0::DOUBLE + exp(-m / scale)) - y, 2)) AS loss FROM x, g GROUP BY ALL)
 SELECT season, arg_min(scale, (floor(loss * 1e9), scale)) AS scale, {rnd_sql('min(loss)')} AS loss FROM l GROUP BY season"""
 )
 def logistic_scale_grid(s, d):
-    """The scale at which the mean squared distance of the margin's chance from three quarters is least, per season.
-
-    Every contest meets all 50 scales inside its own row; what shuffles is one partial sum per season and scale."""
-    games = ratable(contests(s, d)).select("season", (F.col("home_score") - F.col("away_score")).alias("m"))
-    each = games.select("season", "m", F.explode(F.array(*[F.lit(2.0 + 2.0 * k) for k in range(50)])).alias("scale"))
+    """For each season the scale, of 2 to 16 by tenths, whose chances from last season's net margins come nearest the outcomes.
+
+    Every contest meets all scales inside its own row; what shuffles is one partial sum per season and scale."""
+    games = ratable(contests(s, d)).select("season", "home_id", "away_id", "neutral", (F.col("home_score") - F.col("away_score")).alias("d"))
+    side = games.select("season", F.explode(F.array(F.struct(F.col("home_id").alias("team_id"), F.col("d").alias("m")), F.struct(F.col("away_id").alias("team_id"), (-F.col("d")).alias("m")))).alias("z"))
+    net = side.groupBy((F.col("season") + 1).alias("season"), F.col("z.team_id").alias("team_id")).agg(F.avg("z.m").alias("net"))
+    of = lambda who: net.select("season", F.col("team_id").alias(who), F.col("net").alias("net_" + who))
+    x = games.join(of("home_id"), ["season", "home_id"]).join(of("away_id"), ["season", "away_id"])
+    margin = F.col("net_home_id") - F.col("net_away_id") + F.when(F.col("neutral"), 0.0).otherwise(2.2)
+    each = x.select("season", margin.alias("m"), (F.col("d") > 0).cast("int").alias("y"), F.explode(F.array(*[F.lit((20 + k) / 10.0) for k in range(141)])).alias("scale"))
     p = 1.0 / (1.0 + F.exp(-F.col("m") / F.col("scale")))
-    loss = each.groupBy("season", "scale").agg(F.avg(F.pow(p - 0.75, F.lit(2))).alias("loss"))
+    loss = each.groupBy("season", "scale").agg(F.avg(F.pow(p - F.col("y"), F.lit(2))).alias("loss"))
     return loss.groupBy("season").agg(F.min_by("scale", F.struct(F.floor(F.col("loss") * 1e9), "scale")).alias("scale"), rnd(F.min("loss")).alias("loss"))
 
 

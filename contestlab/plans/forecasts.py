@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from contestlab.functions.scoring import brier, normal_cdf, normal_cdf_sql, rnd, rnd_sql
 from contestlab.operators import evaluation as E
 from contestlab.operators import temporal as T
+from contestlab.plans.registry import registry
 from contestlab.sources.views import LEDGER, PLAY, PREDICTION, ledger, plays, predictions, table, with_views
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registry()
 
 
 Q = "least(1 - 1e-7::DOUBLE, greatest(1e-7::DOUBLE, p))"
@@ -139,13 +129,12 @@ def ledger_latest_result(s, d):
     return ledger(s, d).where("entry = 'result'").groupBy("game").agg(F.max("ord").alias("ord"), F.max_by("won", "ord").alias("won"), F.date_format(F.max("happened"), "yyyy-MM").alias("month"))
 
 
-@query(with_views(PLAY, LEDGER) + "SELECT strftime(happened, '%Y-%m-%d') AS day, count(*) AS n, sha256(string_agg(ord || ':' || entry, ',' ORDER BY ord)) AS digest FROM ledger GROUP BY 1")
+@query(with_views(PLAY, LEDGER) + "SELECT strftime(happened, '%Y-%m-%d') AS day, count(*) AS n, sum(('0x' || substr(sha256(ord || ':' || entry), 1, 12))::BIGINT)::VARCHAR AS digest FROM ledger GROUP BY 1")
 def manifest_hashes(s, d):
-    """Each day's entries under one digest, as a manifest of published partitions."""
-    line = F.concat_ws(":", "ord", "entry")
-    return ledger(s, d).groupBy(F.date_format("happened", "yyyy-MM-dd").alias("day")).agg(
-        F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), ","), 256).alias("digest")
-    )
+    """Each day's entries under one digest, as a manifest of published partitions: the sum of the entries' own digests, so
+    it needs no order and no list of a day's entries."""
+    line = F.conv(F.substring(F.sha2(F.concat_ws(":", "ord", "entry"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return ledger(s, d).groupBy(F.date_format("happened", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum(line).cast("string").alias("digest"))
 
 
 @query(with_views(PLAY) + """, l AS (SELECT event_id, user_id, ts FROM play WHERE kind = 'purchase'), r AS (SELECT user_id, ts, event_id AS found, value FROM play WHERE kind = 'view')

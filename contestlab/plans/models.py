@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import folds, simulate
 from contestlab.operators.standings import rest_flags, won
+from contestlab.plans.registry import registry
 from contestlab.sources.views import CONTEST, SIDES, contests, ratable, sides, teams, with_views
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registry()
 
 
 def _pooled(s, d):

@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import relations as R
+from contestlab.plans.registry import registry
 from contestlab.sources.views import BOX, CONTEST, LEDGER, PLAY, SIDES, TEAM, box_lines, contests, ledger, ratable, sides, table, teams, with_views
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registry()
 
 
 @query(with_views(CONTEST) + """, n AS (SELECT game_date, count(*) AS games, count(*) FILTER (status = 'final') AS finals FROM contest GROUP BY game_date)
@@ -92,12 +82,14 @@ def nested_game_logs(s, d):
     )
 
 
-@query(with_views(PLAY, LEDGER) + """, l AS (SELECT game, ord, p FROM ledger WHERE entry = 'final'), a AS (SELECT game, arg_max(p, ord) AS p, max(ord) AS ord FROM l GROUP BY game), b AS (SELECT game, arg_min(p, ord) AS p FROM l GROUP BY game)"""
-+ f" SELECT game, a.ord, {rnd_sql('a.p')} AS latest, {rnd_sql('a.p - b.p')} AS change FROM a JOIN b USING (game)")
+@query(with_views(PLAY, LEDGER) + """, l AS (SELECT game, ord, p FROM ledger WHERE entry = 'final'), v AS (SELECT game, ord, p, lag(p) OVER (PARTITION BY game ORDER BY ord) AS before FROM l)"""
++ f" SELECT game, max(ord) AS ord, {rnd_sql('arg_max(p, ord)')} AS latest, {rnd_sql('arg_max(p - coalesce(before, p), ord)')} AS change FROM v GROUP BY game")
 def latest_version_delta(s, d):
-    """Each game's latest final forecast and its change from the first."""
-    g = ledger(s, d).where("entry = 'final'").groupBy("game").agg(F.max("ord").alias("ord"), F.max_by("p", "ord").alias("a"), F.min_by("p", "ord").alias("b"))
-    return g.select("game", "ord", rnd(F.col("a")).alias("latest"), rnd(F.col("a") - F.col("b")).alias("change"))
+    """Each game's latest final forecast and its change from the one before (0 for the only one)."""
+    before = F.lag("p").over(Window.partitionBy("game").orderBy("ord"))
+    v = ledger(s, d).where("entry = 'final'").withColumn("before", before)
+    g = v.groupBy("game").agg(F.max("ord").alias("ord"), F.max_by("p", "ord").alias("a"), F.max_by(F.col("p") - F.coalesce("before", "p"), "ord").alias("b"))
+    return g.select("game", "ord", rnd(F.col("a")).alias("latest"), rnd(F.col("b")).alias("change"))
 
 
 @query(with_views(PLAY, LEDGER) + "SELECT game, 'final' AS kind, count(*) AS n FROM ledger WHERE entry = 'final' GROUP BY game UNION ALL SELECT game, 'morning', count(*) FROM ledger WHERE entry = 'morning' AND game NOT IN (SELECT game FROM ledger WHERE entry = 'final') GROUP BY game")
@@ -134,9 +126,14 @@ def rotation_minutes(s, d):
     return R.bounded_shares(m, "game_id", "w", "athlete_id", 240.0, 40.0).select("game_id", "athlete_id", rnd(F.col("share"), 4).alias("minutes"))
 
 
-@query("SELECT s_nationkey AS nation, sha256(string_agg(s_suppkey || ':' || s_name, '|' ORDER BY s_suppkey)) AS digest, string_agg(s_name, ', ' ORDER BY s_suppkey) AS names FROM supplier GROUP BY 1")
+@query(
+    """WITH m AS (SELECT l_suppkey, sum(l_quantity)::BIGINT AS minutes FROM lineitem GROUP BY 1)
+SELECT s_suppkey, s_name, s_nationkey AS nation, coalesce(minutes, 0)::BIGINT AS minutes, row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(minutes, 0) DESC, s_suppkey) AS place
+FROM supplier LEFT JOIN m ON s_suppkey = l_suppkey"""
+)
 def supplier_index(s, d):
-    """Names of each nation in order, and their digest."""
-    rows = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("l"))
-    line = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["s_suppkey"], x["s_name"])), "|")
-    return rows.select("nation", F.sha2(line, 256).alias("digest"), F.array_join(F.transform("l", lambda x: x["s_name"]), ", ").alias("names"))
+    """The search index: a row for each name with its place in its nation, most minutes first."""
+    m = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").cast("long").alias("minutes"))
+    rows = table(s, d, "supplier").join(m, F.col("s_suppkey") == F.col("l_suppkey"), "left").withColumn("minutes", F.coalesce("minutes", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("minutes"), "s_suppkey"))
+    return rows.select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"), "minutes", place.alias("place"))

@@ -24,9 +24,12 @@ def session(name: str = "contestlab", master: str = "local[8]", partitions: int
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written once to the session's checkpoint folder, which all executors share; a temporary folder only where
-    the session names none (tests)."""
+    """df written once to the session's checkpoint folder, which all executors share; a temporary folder only on a local
+    master whose session names none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="contestlab-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="contestlab-"))
     return df.checkpoint()

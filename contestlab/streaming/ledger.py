@@ -16,9 +16,10 @@ def plays_stream(spark, folder: str, schema: StructType | str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def append_once(stream: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
-    """The first entry of each key; entries that come later than `late` can't be told from new ones and are dropped."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+def append_once(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The first entry of each key, however much later another one comes: a ledger never seals twice. The state holds
+    one entry for each key, so keep it in RocksDB (spark.sql.streaming.stateStore.providerClass) where there are many."""
+    return stream.dropDuplicates(keys)
 
 
 def windowed_counts(stream: DataFrame, at: str, by: list[str], size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -38,7 +38,7 @@ def test_windowed_counts_equal_the_batch(spark, folder):
 
 
 def test_append_once(spark, folder):
-    rows = collect(spark, L.append_once(L.plays_stream(spark, str(folder / "in"), SCHEMA, 10), ["game"], "at", "3 days"), "once")
+    rows = collect(spark, L.append_once(L.plays_stream(spark, str(folder / "in"), SCHEMA, 10), ["game"]), "once")
     assert sorted(r["game"] for r in rows) == ["g1", "g2", "g3"]
 
 
