@@ -7,9 +7,9 @@ lines are of one template if they share a key: as many tokens, and all tokens ou
 fewer than FIELD tokens have no field and one key. Keys are computed from the line alone; nothing is parsed in order.
 
 A template recurs when it stands in enough distinct texts that are not copies of each other, whatever its neighbours
-are. A text is taken for no copy if more than two fifths of its runs of RUN words (within lines, digits aside) stand in
-no other distinct text; in lines of more than EVERY words, the runs that begin at one word in STEP, told by the word
-itself, stand for all. Copies, edited ones included, are so neither counted nor in the way, however many there are.
+are. A text is taken for no copy if more than two fifths of it stand in no other distinct text, by the characters of
+its passages: lines are cut before words with one of a few first letters, and passages shorter than PASSAGE don't
+count. Copies, edited ones included, are so neither counted nor in the way, however many there are.
 Lines of recurring templates are dropped wherever they stand. Short templates need more texts; a line counts only if at
 least half of its tokens are constants, that is, hold a letter and no digit, since numbers and rules of symbols have no
 text that could recur.
@@ -25,27 +25,30 @@ from .common import WORD, blank, forget, hot_keys, materialize, quoted, spread_j
 PIECES = 8
 FIELD = 4  # tokens from which a line has a variable field
 LEAST = ((8, 3), (4, 5), (1, 10))  # (tokens, texts): from so many tokens a template recurs in so many texts
-RUN, EVERY, STEP = 5, 24, 8
+PASSAGE = 20  # characters
+CUT = " ([lnpwLNPW])"  # before about one word in seven
+SYMBOLS = r"(?:^|[\x20\x09-\x0D])[\x00-\x08\x0E-\x1F\x21-\x40\x5B-\x60\x7B-\x7F]+(?:[\x20\x09-\x0D]|$)"  # a token without letters
 LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """lines(..., line) -> (..., words, need, keys, marks): the number of tokens, in how many texts a template of such
     tokens must recur (null for a line with too few constants), the line's keys, one for each place of the variable
-    field, and its runs.
+    field, and its passages.
 
     Each select computes what the next one uses several times."""
     kept = [c for c in lines.columns if c != "line"]
-    tokens = lines.select(*kept, F.col("line").rlike("[0-9]").alias("digits"), F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("w"))
-    masked = F.when(F.col("digits"), F.transform("w", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(F.col("w"))
-    tokens = tokens.select(*kept, F.size("w").alias("words"), masked.alias("m"))
-    constants = F.size(F.filter("m", lambda t: t.rlike(LETTER) & (t != "<*>")))
+    spaced = F.when(F.col("line").rlike("[\\x09-\\x0D]"), F.translate("line", "\t\x0b\x0c\r", "    ")).otherwise(F.col("line"))
+    passages = F.filter(F.split(F.regexp_replace("line", CUT, "\n$1"), "\n", -1), lambda x: F.length(x) >= PASSAGE)
+    marks = F.transform(passages, lambda x: F.struct(F.xxhash64(x).alias("mark"), F.length(x).alias("size")))
+    odd = F.col("line").rlike(SYMBOLS + "|[0-9]")  # few lines are, and only these are looked at token by token
+    tokens = lines.select(*kept, odd.alias("odd"), marks.alias("marks"), F.array_remove(F.split(spaced, " ", -1), "").alias("w"))
+    masked = F.when(F.col("odd"), F.transform("w", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(F.col("w"))
+    tokens = tokens.select(*kept, "marks", "odd", F.size("w").alias("words"), masked.alias("m"))
+    constants = F.when(F.col("odd"), F.size(F.filter("m", lambda t: t.rlike(LETTER) & (t != "<*>")))).otherwise(F.col("words"))
     at = [F.floor(F.col("words") * j / PIECES).cast("int") for j in range(PIECES + 1)]
     pieces = [F.xxhash64(F.slice("m", at[j] + 1, at[j + 1] - at[j])).alias(f"p{j}") for j in range(PIECES)]
-    chosen = lambda t: (F.col("words") <= EVERY) | ((F.length(t) * 5 + F.ascii(t)) % STEP == 0)
-    runs = F.transform("m", lambda t, i: F.when((i <= F.col("words") - RUN) & chosen(t), F.xxhash64(F.slice("m", i + 1, RUN))))
-    marks = F.when(F.col("words") < RUN, F.array(F.xxhash64("m"))).otherwise(F.filter(runs, lambda x: x.isNotNull()))
-    hashed = tokens.select(*kept, "words", constants.alias("constants"), F.xxhash64("words", "m").alias("whole"), marks.alias("marks"), *pieces)
+    hashed = tokens.select(*kept, "words", constants.alias("constants"), F.xxhash64("words", "m").alias("whole"), "marks", *pieces)
     need = F.lit(None).cast("int")
     for least, texts in reversed(LEAST):
         need = F.when(F.col("words") >= least, texts).otherwise(need)
@@ -68,11 +71,12 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = hot_keys(shared, "k", keys)
     met = materialize(spread_join(each, shared.select("k"), "k", hot, F.xxhash64("t", "i")).dropDuplicates(["t", "t2", "i", "k"]), "line-met")
     # Equal texts count as often on both sides of the comparison, so they need not be told apart.
-    runs = lines.select("t", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("t").alias("t"), F.max("t").alias("other"), F.count("*").alias("n"))
-    own = runs.where("t = other").groupBy("t").agg(F.sum("n").alias("own"))
-    texts = lines.groupBy("t").agg(F.sum(F.size("marks")).alias("runs"), F.sum((F.col("i") == 0).cast("long")).alias("n"))
+    passages = lines.select("t", F.explode("marks").alias("z")).groupBy("z.mark").agg(F.min("t").alias("t"), F.max("t").alias("other"), F.sum("z.size").alias("size"))
+    own = passages.where("t = other").groupBy("t").agg(F.sum("size").alias("own"))
+    total = F.sum(F.coalesce(F.aggregate("marks", F.lit(0).cast("long"), lambda n, x: n + x["size"]), F.lit(0)))
+    texts = lines.groupBy("t").agg(total.alias("size"), F.sum((F.col("i") == 0).cast("long")).alias("n"))
     texts = materialize(texts.join(own, "t", "left"), "line-texts")
-    apart = texts.where("own * 5 > runs * 2").select("t")
+    apart = texts.where("own * 5 > size * 2").select("t")
     counted = met.where("need is not null").join(apart, "t", "left_semi").select("k", "need", "t").distinct()
     found = counted.groupBy("k", "need").agg(F.count("*").alias("texts")).where("texts >= need").select("k").distinct()
     dropped = spread_join(met.where("need is not null"), found, "k", hot, F.xxhash64("t", "i"))
@@ -138,13 +142,14 @@ keyed AS (
 shared AS (SELECT k FROM keyed GROUP BY k HAVING min(text) <> max(text)),
 met AS (SELECT DISTINCT text, i, n, need, k FROM keyed SEMI JOIN shared USING (k)),
 marks AS (
-  SELECT text, unnest(CASE WHEN n < 5 THEN [array_to_string(m, ' ')] ELSE list_transform(list_filter(range(1, n - 3),
-           lambda i: n <= 24 OR (length(m[i]) * 5 + ascii(m[i])) % 8 = 0), lambda i: array_to_string(m[i : i + 4], ' ')) END) AS mark
-  FROM masked),
-own AS (SELECT any_value(text) AS text, count(*) AS n FROM marks GROUP BY mark HAVING min(text) = max(text)),
+  SELECT text, mark, length(mark) AS size
+  FROM (SELECT text, unnest(string_split(regexp_replace(line, ' ([lnpwLNPW])', chr(10) || '\1', 'g'), chr(10))) AS mark
+        FROM (SELECT text, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))
+  WHERE length(mark) >= 20),
+own AS (SELECT min(text) AS text, sum(size) AS n FROM marks GROUP BY mark HAVING min(text) = max(text)),
 apart AS (
-  SELECT text FROM (SELECT text, count(*) AS runs FROM marks GROUP BY text) JOIN (SELECT text, sum(n) AS own FROM own GROUP BY text) USING (text)
-  WHERE own * 5 > runs * 2),
+  SELECT text FROM (SELECT text, sum(size) AS size FROM marks GROUP BY text) JOIN (SELECT text, sum(n) AS own FROM own GROUP BY text) USING (text)
+  WHERE own * 5 > size * 2),
 found AS (
   SELECT k FROM (SELECT DISTINCT k, need, text FROM met SEMI JOIN apart USING (text) WHERE need IS NOT NULL)
   GROUP BY k, need HAVING count(*) >= need),

@@ -241,17 +241,17 @@ def brute_boilerplate(texts):
         for i, line in enumerate(ls):
             for a, b in fields(len(line)) if line else ():
                 where.setdefault((len(line), a, b, tuple(line[:a]), tuple(line[b:])), []).append((x, i))
-    runs = {}
-    for x, ls in lines.items():
-        for line in filter(None, ls):
-            for i in range(max(1, len(line) - 4)):
-                if len(line) <= 24 or (len(line[i]) * 5 + ord(line[i][0])) % 8 == 0:
-                    runs.setdefault(tuple(line[i : i + 5]), []).append(x)
+    passages = {}
+    for x in lines:
+        for line in filter(WORD.search, x.split("\n")):
+            for part in re.sub(" ([lnpwLNPW])", "\n\\1", line).split("\n"):
+                if len(part) >= 20:
+                    passages.setdefault(part, []).append(x)
     total, own = Counter(), Counter()
-    for held in runs.values():
-        total.update(held)
-        if len(set(held)) == 1:
-            own.update(held)
+    for part, held in passages.items():
+        for x in held:
+            total[x] += len(part)
+            own[x] += len(part) if len(set(held)) == 1 else 0
     apart = {x for x in lines if 5 * own[x] > 2 * total[x]}
     gone = {x: set() for x in lines}
     for held in where.values():
