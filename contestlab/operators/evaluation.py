@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,28 +70,19 @@ def newton_calibration(rows: DataFrame, steps: int = 8, floor: float = 1e-6) ->
     return a, b
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 1000, seed: int = 17, blocks: int = 16) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 1000, seed: int = 17) -> DataFrame:
     """Mean of `value` with the 2.5 and 97.5 % points of its bootstrap over clusters.
 
-    Clusters collapse to a sum and a count before anything is drawn. Every cluster's multiplicity in a draw is Poisson
-    (a bootstrap whose clusters are independent, so it needs no global pass) and made from a hash of cluster and draw;
-    tasks add up the draws of their clusters, and `draws` rows per block meet at the end."""
-    import pandas as pd
-
+    Clusters collapse to a sum and a count before anything is drawn. A draw takes as many clusters as there are, with
+    replacement, each by a digest of the seed, the draw and its place in it, so any engine draws the same."""
     sums = rows.groupBy(cluster).agg(F.sum(value).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
-    keyed = sums.select(F.xxhash64(cluster).alias("h"), "s", "n").withColumn("block", F.pmod("h", F.lit(blocks)))
-
-    def draw(batches):
-        total = np.zeros((draws, 2))
-        for pdf in batches:
-            for h, s, n in zip(pdf["h"], pdf["s"], pdf["n"]):
-                times = np.random.default_rng([seed, int(h) & (2**63 - 1)]).poisson(1.0, draws)
-                total += times[:, None] * np.array([s, n])
-        yield pd.DataFrame({"draw": np.arange(draws), "s": total[:, 0], "n": total[:, 1]})
-
-    drawn = keyed.repartition(blocks, "block").select("h", "s", "n").mapInPandas(draw, "draw int, s double, n double").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    many = sums.count()
+    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    slots = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(many, 1) - 1))).alias("slot"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "slot")), 1, 8), 16, 10).cast("long")
+    drawn = slots.withColumn("i", (digest % max(many, 1)).cast("int")).join(numbered, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
     ranked = drawn.agg(F.sort_array(F.collect_list("m")).alias("all"))  # one number per draw
     point = sums.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("clusters"))
-    low, high = F.floor(F.size("all") * 0.025) + 1, F.ceil(F.size("all") * 0.975)  # a draw without any cluster has no mean
     at = lambda k: F.try_element_at("all", k.cast("int"))
-    return point.crossJoin(ranked).select("clusters", "mean", at(low).alias("low"), at(high).alias("high"))  # one row each
+    low, high = F.floor(F.size("all") * 0.025) + 1, F.ceil(F.size("all") * 0.975)
+    return point.join(F.broadcast(ranked)).select("clusters", "mean", at(low).alias("low"), at(high).alias("high"))  # one row each

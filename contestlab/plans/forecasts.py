@@ -77,11 +77,17 @@ def paired_model_difference(s, d):
     return predictions(s, d).groupBy("season").agg(F.count("*").alias("n"), rnd(F.avg(a - b)).alias("mean_difference"), rnd(F.stddev_samp(a - b)).alias("sd"), F.sum((a < b).cast("long")).alias("wins"))
 
 
-@query()
+@query(
+    with_views(PREDICTION)
+    + f""", c AS (SELECT season, sum((p - y) * (p - y) - (p2 - y) * (p2 - y)) AS s, count(*) AS n, row_number() OVER (ORDER BY season) - 1 AS i FROM prediction GROUP BY season), k AS (SELECT count(*) AS k FROM c),
+picks AS (SELECT draw, ('0x' || substr(md5('17:' || draw || ':' || slot), 1, 8))::BIGINT % k AS i FROM range(0, 1000) a(draw), range(0, 64) b(slot), k WHERE slot < k),
+m AS (SELECT draw, sum(s) / sum(n) AS m FROM picks JOIN c USING (i) GROUP BY draw), r AS (SELECT m, row_number() OVER (ORDER BY m) AS r FROM m)
+SELECT (SELECT k FROM k) AS clusters, (SELECT {rnd_sql('sum(s) / sum(n)')} FROM c) AS mean, {rnd_sql('max(m) FILTER (r = 26)')} AS low, {rnd_sql('max(m) FILTER (r = 975)')} AS high FROM r"""
+)
 def cluster_bootstrap_ci(s, d):
     """Difference of two models' squared errors, with an interval over seasons as clusters."""
     rows = predictions(s, d).withColumn("gain", F.pow(F.col("p") - F.col("y"), F.lit(2)) - F.pow(F.col("p2") - F.col("y"), F.lit(2)))
-    return E.cluster_bootstrap(rows, "season", "gain")
+    return E.cluster_bootstrap(rows, "season", "gain").select("clusters", *[rnd(F.col(c)).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(with_views(PREDICTION) + f"SELECT id, {rnd_sql('(p - y) * (p - y)')} AS loss FROM prediction ORDER BY (p - y) * (p - y) DESC, id LIMIT 12")
