@@ -9,8 +9,8 @@ texts at similarity s share one with probability 1 - (1 - s ** ROWS) ** BANDS, 0
 
 The members of a band are linked as a star around the one that shares most bands with most texts, which in a family of
 edited copies is the one the others were made from. Links are verified on the shingles in rounds: first one for each
-text, then those that still join two components, then, as a link may be rejected, the rejected members of each band
-around new centres, twice as many each round, until no band has two of them left. Centres leave, so rounds end.
+text, then those between texts of different centres, then, as a link may be rejected, the rejected members of each band
+around new centres, WAYS times as many each round, until no band has two of them left. Centres leave, so rounds end.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from .simhash import LOWER, ball_links, fingerprint
 
 KINDS = 2
 BANDS, ROWS = 16, 4
+WAYS = 8  # times as many centres in a band each round
 BLOCK = 4096  # shingles minimised at once
 CACHE_ENTRIES = 500_000
 _rng = np.random.default_rng(17)
@@ -189,34 +190,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = base.withColumn("_known", _known(F.col("id"))).join(wanted, ["key", "_known"]).select("node", "text").dropDuplicates(["node"])
     sets = materialize(_shingled(texts, shingle), "near-shingles")
 
-    # First the link of most votes for each text, then the links between different components.
+    # First the link of most votes for each text, then the links between texts of different centres.
     best = pairs.groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("m"))).alias("b")).select("x", (-F.col("b.m")).alias("y"))
     told = materialize(_verified(best, sets, similarity), "near-verified")
-    roots = materialize(components(told.where("alike").select(F.col("x").alias("a"), F.col("y").alias("b"))), "near-roots")
+    centre = told.where("alike").select(F.col("x").alias("v"), F.col("y").alias("c"))
 
     def across(some: DataFrame) -> DataFrame:
-        """Those of different components, as the present roots have it."""
-        named = some.join(roots.withColumnsRenamed({"v": "x", "root": "rx"}), "x", "left").join(roots.withColumnsRenamed({"v": "y", "root": "ry"}), "y", "left")
-        return named.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).drop("rx", "ry")
-
-    rest = across(pairs.join(best, ["x", "y"], "left_anti").select("x", "y"))
-    later = materialize(_verified(materialize(rest, "near-rest"), sets, similarity), "near-verified")
-    edges = [told.where("alike"), later.where("alike")]
-    ways, now = 1, stars
+        """Those that don't share a centre of the first round, nor are each other's."""
+        named = some.join(centre.withColumnsRenamed({"v": "x", "c": "cx"}), "x", "left").join(centre.withColumnsRenamed({"v": "y", "c": "cy"}), "y", "left")
+        return named.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).drop("cx", "cy")
+
+    rest = materialize(across(pairs.join(best, ["x", "y"], "left_anti").select("x", "y")), "near-rest")
+    edges = [told.where("alike"), materialize(_verified(rest, sets, similarity), "near-verified").where("alike")]
+    ways, now = WAYS, stars
     while True:
-        # Who is neither its centre's like nor of its component meets the others of its band that aren't; centres have met all.
+        # Who is neither its centre's like nor of its family meets the others of its band that aren't; centres have met all.
         ended = edges[-1].select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
         left = across(now.select("g", F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), F.col("x").alias("node"))).join(ended, ["x", "y"], "left_anti")
         left = left.select("g", "node").distinct().join(now.select("g", F.col("y").alias("node")).distinct(), ["g", "node"], "left_anti").join(held, ["g", "node"])
-        again = materialize(left, "near-left")
+        again = materialize(left.join(left.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "g", "left_semi"), "near-left")
         count = again.count()
         if not count:
             break
         now = materialize(_stars(again, count, ways), "near-stars")
         more = candidates(now.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()).select("x", "y")
-        more = materialize(across(more.join(pairs, ["x", "y"], "left_anti")), "near-pairs")
+        more = materialize(across(more.join(pairs.select("x", "y"), ["x", "y"], "left_anti")), "near-pairs")
         edges.append(materialize(_verified(more, sets, similarity), "near-verified").where("alike"))
-        ways *= 2
+        ways *= WAYS
     joined = edges[0]
     for some in edges[1:]:
         joined = joined.union(some)
