@@ -133,6 +133,21 @@ def test_shards_are_exact_and_gapless(odd, none, spark):
     assert sharding.shuffle_shards(odd).count() == odd.count() and sharding.shuffle_shards(none).count() == 0
 
 
+def test_the_final_permutation_is_uniform(spark):
+    """Places of neighbouring rows under many seeds: every shard and every half of a shard equally often, and pairs apart."""
+    n, shards, runs = 960, 4, 3
+    places, together = np.zeros((shards, 2)), 0
+    for seed in range(runs):
+        rows = {r["id"]: (r["shard"], r["slot"]) for r in sharding.shuffle_shards(spark.range(n), shards, seed=seed * 7919 + 1).collect()}
+        for i in range(120):
+            places[rows[i][0], int(rows[i][1] >= n // shards // 2)] += 1
+        together += sum(rows[i][0] == rows[i + 1][0] for i in range(n - 1))
+    expected = 120 * runs / (2 * shards)
+    assert ((places - expected) ** 2 / expected).sum() < 24.3  # chi-square, 7 degrees, 0.1 %
+    p = (n // shards - 1) / (n - 1)
+    assert abs(together - runs * (n - 1) * p) < 4 * (runs * (n - 1) * p * (1 - p)) ** 0.5
+
+
 def test_hypergeometric_law(spark):
     got = spark.range(4000).select(sharding.hypergeometric(F.lit(50), F.lit(20), F.lit(10), sharding.unit(F.xxhash64("id", F.lit(3)))).alias("x")).groupBy("x").count().collect()
     from math import comb
@@ -411,6 +426,44 @@ def test_language_model_base_and_normalisation(docs, odd, none):
     assert language_model.score_corpus(none, language_model.held_out_tenth()).count() == 0
 
 
+def brute_model(rows, held):
+    """Counts of a bigram model from its definition, and its weights learned on counts less the token's own."""
+    one, two = Counter(), Counter()
+    for i, ws in rows:
+        if not held(i):
+            one["<start>"] += 1
+            for h, w in zip(["<start>", *ws], ws):
+                one[w] += 1
+                two[h, w] += 1
+    n, v = sum(c for w, c in one.items() if w != "<start>"), len(one) - 1
+    cells = Counter()
+    log = lambda c, of, step: -round(step * np.log2(c / of)) if c > 0 else 9999
+    for (h, w), c in two.items():
+        ch = one[h] - 1
+        bucket = int(np.floor(np.log2(ch))) + 1 if ch > 0 else 0
+        cells[(bucket * 10_000 + log(c - 1, ch, language_model.STEP_2)) * 10_000 + log(one[w] - 1, max(1, n - 1), language_model.STEP_1)] += c
+    weights = language_model.learn_weights(np.array(sorted(cells)), np.array([cells[k] for k in sorted(cells)]), v)
+
+    def chance(h, w):
+        b = int(np.floor(np.log2(one[h]))) + 1 if one[h] else 0
+        return weights[b][0] * two[h, w] / max(1, one[h]) + weights[b][1] * (one[w] if w != "<start>" else 0) / n + weights[b][2] / (v + 1)
+
+    return one, chance
+
+
+def test_language_model_scores_equal_brute_force(docs):
+    rows = [(r["doc_id"], ["".join(c.lower() if c.isascii() else c for c in x) for x in WORD.findall(r["text"] or "")] + ["\n"]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    one, chance = brute_model(rows, held)
+    words = [w for w in one if w != "<start>"]
+    for h in ["<start>", "never seen", *words[:3], max(words[1:], key=lambda w: one[w] if w != "\n" else 0)]:
+        if h != "\n":
+            assert sum(chance(h, w) for w in words) + chance(h, "an unknown word") == pytest.approx(1, abs=1e-9)
+    got = {r["doc_id"]: r["score"] for r in language_model.score_corpus(docs, language_model.held_out_tenth(), block_tokens=5000, range_keys=2000).collect()}
+    for i, ws in rows:
+        assert got[i] == pytest.approx(sum(log10(chance(h, w)) for h, w in zip(["<start>", *ws], ws)), rel=1e-6)
+
+
 def test_expectation_maximisation_prefers_what_predicts():
     hit = (5 * 10_000 + 8) * 10_000 + 40  # a context seen 16 to 31 times, its bigram at one half, the word at 2 ** -10
     weights = language_model.learn_weights(np.array([hit]), np.array([1000]), 1000)
