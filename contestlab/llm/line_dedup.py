@@ -26,9 +26,8 @@ PIECES = 8
 FIELD = 4  # tokens from which a line has a variable field
 LEAST = ((8, 3), (4, 5), (1, 10))  # (tokens, texts): from so many tokens a template recurs in so many texts
 PASSAGE = 20  # characters
-CUT = " ([lnpwLNPW])"  # before about one word in seven
-SYMBOL = r"(?:^| )[\x00-\x08\x0E-\x1F\x21-\x40\x5B-\x60\x7B-\x7F]"  # begins a token that may have no letter
-BROADCAST_TEXTS = 100_000  # with dropped lines; more meet their documents in a shuffle
+CUT = " (?=[lnpwLNPW])"  # before about one word in seven
+SYMBOL = r"[\x00-\x08\x0E-\x1F\x21-\x40\x5B-\x60\x7B-\x7F]"  # a token without letters begins with one
 LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 
 
@@ -40,9 +39,9 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     Each select computes what the next one uses several times."""
     kept = [c for c in lines.columns if c != "line"]
     spaced = F.when(F.col("line").rlike("[\\x09-\\x0D]"), F.translate("line", "\t\x0b\x0c\r", "    ")).otherwise(F.col("line"))
-    passages = F.filter(F.split(F.regexp_replace("line", CUT, "\n$1"), "\n", -1), lambda x: F.length(x) >= PASSAGE)
+    passages = F.filter(F.split("line", CUT, -1), lambda x: F.length(x) >= PASSAGE)
     marks = F.transform(passages, lambda x: F.struct(F.xxhash64(x).alias("mark"), F.length(x).alias("size")))
-    odd = spaced.rlike(SYMBOL) | F.col("line").rlike("[0-9]")  # few lines are, and only these are looked at token by token
+    odd = spaced.rlike(" " + SYMBOL) | F.substring("line", 1, 1).rlike(SYMBOL) | F.col("line").rlike("[0-9]")  # few lines are, and only these are looked at token by token
     tokens = lines.select(*kept, odd.alias("odd"), marks.alias("marks"), F.array_remove(F.split(spaced, " ", -1), "").alias("w"))
     masked = F.when(F.col("odd"), F.transform("w", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(F.col("w"))
     tokens = tokens.select(*kept, "marks", "odd", F.size("w").alias("words"), masked.alias("m"))
@@ -103,11 +102,7 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # The two hashes together tell texts apart; t alone deals them.
     hot = hot_keys(rows, "t", total)
     grouped = flags.groupBy("t").agg(F.collect_list(F.struct("other", "drop")).alias("known"))
-    few = flags.agg(F.count("*"), F.sum(F.size("drop"))).first()
-    if few[0] <= BROADCAST_TEXTS and (few[1] or 0) <= 4 * BROADCAST_TEXTS:
-        joined = keyed.join(F.broadcast(grouped), "t", "left")
-    else:
-        joined = spread_join(keyed, grouped, "t", hot, F.monotonically_increasing_id(), "left")
+    joined = spread_join(keyed, grouped, "t", hot, F.monotonically_increasing_id(), "left")
     drop = F.try_element_at(F.filter("known", lambda x: x["other"] == F.col("t2")), F.lit(1))["drop"]
     joined = joined.select("row", "text", F.when(F.col("text").isNotNull(), drop).alias("drop"))
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("drop", i))
