@@ -1,8 +1,8 @@
 """Nearest neighbours by multiprobe p-stable hashing.
 
 A table hashes a unit vector with M functions floor((a.u + b) / WIDTH), a Gaussian; the functions of the tables that
-share a basis are orthogonal. M is the logarithm of the number of vectors, so buckets keep a bounded size while the
-share of all vectors that a query visits falls. A query visits the buckets around its own in falling order of their
+share a basis are orthogonal. M grows by one as the vectors grow eightfold, so the share of all vectors that a query
+visits falls while its buckets, whose number grows with M, stay few. A query visits the buckets around its own in falling order of their
 estimated success, the chance that a neighbour at distance `reach` has moved there (a product of Gaussian intervals),
 until the visited buckets hold the chance SUCCESS in each of TABLES tables. `reach` is measured: the mean distance of
 the k-th neighbour of SAMPLE vectors. What the tables find is merged and ranked by exact cosine; queries that found
@@ -44,7 +44,7 @@ def moves(functions: int) -> np.ndarray:
 class Tables:
     def __init__(self, dim: int, rows: int, reach: float, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.m = max(1, min(dim, MOST_FUNCTIONS, round(math.log2(max(2, rows)))))
+        self.m = max(1, min(dim, MOST_FUNCTIONS, round(8 + math.log2(max(2, rows)) / 3)))
         bases = [np.linalg.qr(rng.standard_normal((dim, dim)))[0].T * math.sqrt(dim) for _ in range(-(-TABLES // (dim // self.m)))]
         rows_of = np.concatenate([b[: dim // self.m * self.m] for b in bases])
         self.a = rows_of[: TABLES * self.m].reshape(TABLES, self.m, dim)
