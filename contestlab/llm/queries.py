@@ -12,6 +12,7 @@ from .sharding import op7_sharding
 from .simhash import op5_simhash
 from .token_counts import op1_token_counts
 from .toxicity import op2_toxicity
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_language_model": op10_language_model,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {"op3_mixing": ORACLE_OP3, "op4_line_dedup": ORACLE_OP4}
