@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .embedding_dedup import op8_embedding_dedup
 from .language_model import op10_language_model
 from .line_dedup import ORACLE_OP4, op4_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_language_model": op10_language_model,
+    "op11_alignment": op11_alignment,
     "op13_whitening": op13_whitening,
 }
 ORACLES = {"op3_mixing": ORACLE_OP3, "op4_line_dedup": ORACLE_OP4}

@@ -14,13 +14,14 @@ COLUMNS = {
     "op7": "doc_id size text_crc32 law shard slot grown_shard",
     "op8": "vec_id n_links component_id kept",
     "op9": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op11": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     "op13": "vec_id component n deviation whitened explained identity_error",
     "op10": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 12), 13]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
