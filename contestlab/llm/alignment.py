@@ -25,69 +25,38 @@ from pyspark.sql import types as T
 from .common import forget, hot_keys, materialize, spread_join, table
 
 RANGE = 1 << 15  # bytes of text to an event row
-CACHE_ENTRIES = 200_000
-CACHED_LENGTH = 64
 ROWS_PER_BATCH = 256
 MOST_BROADCAST = 1 << 20  # id pairs that are broadcast (16 bytes each); more are joined by a shuffle
 DOC, A, B = 0, 1, 2  # kinds of event rows
 
 
-def _byte_of_symbol() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others, in order, for 256 and on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Side:
-    """text -> (ids, byte lengths) of its tokens, or None where the tokens' bytes aren't those of a space and the text.
-
-    Neither tokenizer has a token across the border of a character that isn't white space and a single space, so texts
-    without longer runs of white space are encoded word by word, and words are remembered."""
+    """text -> (ids, byte lengths) of its tokens, or None where the tokens' bytes aren't those of a space and the text."""
 
     def __init__(self, encode, pieces: list[bytes]):
         self.encode, self.pieces = encode, pieces
         self.sizes = np.array([len(p) for p in pieces], np.uint16)
-        self.known: dict[str, np.ndarray | None] = {}
-
-    def _encode(self, text: str) -> np.ndarray | None:
-        ids = self.encode(text)
-        whole = b"".join(map(self.pieces.__getitem__, ids)) == b" " + text.encode("utf-8", "surrogatepass")
-        return np.array(ids, np.int32) if whole else None
-
-    def word(self, word: str) -> np.ndarray | None:
-        try:
-            return self.known[word]
-        except KeyError:
-            made = self._encode(word)
-            if len(word) <= CACHED_LENGTH:
-                if len(self.known) >= CACHE_ENTRIES:
-                    self.known.clear()
-                self.known[word] = made
-            return made
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        import re
-
-        if text[0].isspace() or text[-1].isspace() or re.search(r"\s\s", text):
-            ids = self._encode(text)
-        else:
-            found = list(map(self.word, text.split(" ")))
-            ids = None if any(x is None for x in found) else np.concatenate(found)
-        return None if ids is None else (ids, self.sizes[ids])
+        ids = self.encode(text)
+        if b"".join(map(self.pieces.__getitem__, ids)) != b" " + text.encode("utf-8", "surrogatepass"):
+            return None
+        ids = np.array(ids, np.int32)
+        return ids, self.sizes[ids]
 
 
 @cache
 def byte_bpe_side(path: str) -> Side:
-    """A: a space and the text, by a byte-level vocabulary, in which special tokens' strings are plain text."""
-    from tokenizers import Tokenizer
+    """A: a space and the text, by the byte-level ranks at path; special tokens' strings are plain text."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    symbols = _byte_of_symbol()
-    names = [model.id_to_token(i) for i in range(model.get_vocab_size())]
-    pieces = [bytes(symbols[c] for c in name) if all(c in symbols for c in name) else name.encode() for name in names]
-    return Side(lambda text: model.encode(" " + text, add_special_tokens=False).ids, pieces)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    model = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Side(lambda text: model.encode_ordinary(" " + text), sorted(ranks, key=ranks.get))
 
 
 @cache
@@ -165,15 +134,20 @@ class Sweep:
         """-> (A ids, B ids, A tokens of each group, B tokens of each group, links' A ids, links' B ids) up to the last
         common end so far, which are then forgotten; None if there is none."""
         a, b = self.ends[A], self.ends[B]
-        ends = np.union1d(a, b)
-        of_a, of_b = np.searchsorted(a, ends), np.searchsorted(b, ends)
-        common = np.flatnonzero((of_a < len(a)) & (of_b < len(b)) & (a.take(of_a, mode="clip") == ends) & (b.take(of_b, mode="clip") == ends)) if len(a) and len(b) else []
+        met = np.concatenate([a, b])
+        met.sort(kind="stable")  # merges the two runs
+        new = np.ones(len(met), bool)
+        np.not_equal(met[1:], met[:-1], out=new[1:])
+        common = met[~new]
         if not len(common):
             return None
-        last = common[-1] + 1
-        na, nb = of_a[common] + 1, of_b[common] + 1  # tokens up to each common end
+        ends = met[new]
+        ends = ends[: np.searchsorted(ends, common[-1]) + 1]
+        of_a, of_b = np.searchsorted(a, ends), np.searchsorted(b, ends)
+        at = np.searchsorted(ends, common)
+        na, nb = of_a[at] + 1, of_b[at] + 1  # tokens up to each common end
         ia, ib = self.ids[A], self.ids[B]
-        made = ia[: na[-1]], ib[: nb[-1]], np.diff(na, prepend=0), np.diff(nb, prepend=0), ia[of_a[:last]], ib[of_b[:last]]
+        made = ia[: na[-1]], ib[: nb[-1]], np.diff(na, prepend=0), np.diff(nb, prepend=0), ia[of_a], ib[of_b]
         for kind, n in ((A, na[-1]), (B, nb[-1])):
             self.ids[kind], self.ends[kind] = self.ids[kind][n:], self.ends[kind][n:]
         return made
@@ -343,4 +317,4 @@ def op11_alignment(spark, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))

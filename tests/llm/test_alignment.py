@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contestlab.llm import alignment
 
-A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def models():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(A_PATH)
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     a.encode_special_tokens = True
     return a, sentencepiece.SentencePieceProcessor(model_file=B_PATH)
 
