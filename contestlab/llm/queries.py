@@ -11,6 +11,7 @@ from .nearest import op6_nearest
 from .packing import op9_packing
 from .sharding import op7_sharding
 from .simhash import op5_simhash
+from .suffix_index import op12_suffix_dedup
 from .token_counts import op1_token_counts
 from .toxicity import op2_toxicity
 from .whitening import op13_whitening
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_model": op10_language_model,
     "op11_alignment": op11_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_whitening": op13_whitening,
 }
 ORACLES = {"op3_mixing": ORACLE_OP3, "op4_line_dedup": ORACLE_OP4}
