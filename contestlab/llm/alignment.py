@@ -70,12 +70,13 @@ def piece_side(path: str) -> Side:
     return Side(lambda text: model.encode(text, num_threads=1), pieces)
 
 
-EVENT = "kind byte, range int, ids binary, sizes binary"
+EVENT = "kind byte, range int, n int, ids binary, sizes binary"
 
 
 def end_events(docs: DataFrame, sides) -> DataFrame:
-    """docs(row, doc_id, text) -> (row, doc_id, kind, range, ids, sizes): for each document a row of kind DOC, and for
-    each side and range of offsets in which its tokens end a row with the tokens' ids and byte lengths, in order.
+    """docs(row, doc_id, text) -> (row, doc_id, kind, range, n, ids, sizes): for each document a row of kind DOC, and for
+    each side and range of offsets in which its tokens end a row with n tokens' ids and byte lengths, in order, as few
+    bytes wide as they fit.
 
     sides: a function that gives the worker's two Sides. Documents without tokens have their DOC row alone."""
 
@@ -84,12 +85,13 @@ def end_events(docs: DataFrame, sides) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(begin, ROWS_PER_BATCH)
-                owner, kinds, ranges, ids, sizes = [], [], [], [], []
+                owner, kinds, ranges, counts, ids, sizes = [], [], [], [], [], []
                 for i, text in enumerate(part.column(2)):
                     text = text.as_py()
                     owner.append(i)
                     kinds.append(DOC)
                     ranges.append(-1)
+                    counts.append(0)
                     ids.append(None)
                     sizes.append(None)
                     made = [side(text) for side in both] if text else [None]
@@ -102,11 +104,12 @@ def end_events(docs: DataFrame, sides) -> DataFrame:
                             owner.append(i)
                             kinds.append(kind)
                             ranges.append(int(at[lo]))
+                            counts.append(hi - lo)
                             ids.append(tokens[lo:hi].astype("<u4" if tokens.max() >> 16 else "<u2").tobytes())
-                            sizes.append(lengths[lo:hi].astype("<u2").tobytes())
+                            sizes.append(lengths[lo:hi].astype("<u2" if lengths.max() >> 8 else "<u1").tobytes())
                 who = pa.array(owner, pa.int64())
-                made = [pa.array(kinds, pa.int8()), pa.array(ranges, pa.int32()), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), *made], names=["row", "doc_id", "kind", "range", "ids", "sizes"])
+                made = [pa.array(kinds, pa.int8()), pa.array(ranges, pa.int32()), pa.array(counts, pa.int32()), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), *made], names=["row", "doc_id", "kind", "range", "n", "ids", "sizes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, {EVENT}")
@@ -122,9 +125,9 @@ class Sweep:
         self.ends = {A: np.empty(0, np.int64), B: np.empty(0, np.int64)}
         self.at = {A: 0, B: 0}
 
-    def take(self, kind: int, ids: bytes, sizes: bytes) -> None:
-        lengths = np.frombuffer(sizes, "<u2")
-        tokens = np.frombuffer(ids, "<u2" if len(ids) == len(sizes) else "<u4").astype(np.int32)
+    def take(self, kind: int, n: int, ids: bytes, sizes: bytes) -> None:
+        lengths = np.frombuffer(sizes, f"<u{len(sizes) // n}")
+        tokens = np.frombuffer(ids, f"<u{len(ids) // n}").astype(np.int32)
         ends = self.at[kind] + np.cumsum(lengths, dtype=np.int64)
         self.at[kind] = int(ends[-1])
         self.ids[kind] = np.concatenate([self.ids[kind], tokens])
@@ -180,13 +183,13 @@ def align(events: DataFrame) -> DataFrame:
         nothing = [np.empty(0, np.int32)] * len(PARTS)
         for batch in batches:
             arrow_id = batch.column(1).type
-            for row, doc_id, what, ids, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 4, 5))):
+            for row, doc_id, what, n, ids, sizes in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if row != now:
                     now, sweep, part = row, Sweep(), 0
                 if what == DOC:
                     out.append((row, doc_id, 0, *nothing))
                     continue
-                sweep.take(what, ids, sizes)
+                sweep.take(what, n, ids, sizes)
                 made = sweep.closed() if what == B else None
                 if made:
                     part += 1
@@ -199,7 +202,7 @@ def align(events: DataFrame) -> DataFrame:
             yield batch_of(out)
 
     ordered = events.repartition("row").sortWithinPartitions("row", "range", "kind")
-    return ordered.select("row", "doc_id", "kind", "range", "ids", "sizes").mapInArrow(run, schema)
+    return ordered.select("row", "doc_id", "kind", "n", "ids", "sizes").mapInArrow(run, schema)
 
 
 @cache
