@@ -34,6 +34,7 @@ K = 16  # bytes whose hash makes an anchor
 SPAN = 320  # places of a window's start among which its anchor is chosen
 BLOCK = 1 << 20  # bytes hashed at once
 BATCHES = 4
+REMEMBERED = 1 << 18  # texts whose copies a task leaves out; more are harmless repetitions
 CROWD = 1 << 15  # different contexts of one suffix start from which its windows are dealt out
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -100,11 +101,12 @@ def owned_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int, s
 def suffixes(texts: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """texts(t, t2, text) -> (key, whole, t, t2, at, n): a row for each suffix: the hash of its first bytes and of all
     bytes of the windows it owns, its text, and the place of the first of its n windows. Long texts are cut into blocks
-    of windows; a run that a cut divides has other bytes than its copies and is compared window by window."""
+    of windows; a run that a cut divides has other bytes than its copies and is compared window by window. A task gives
+    the rows of equal texts once, as long as it remembers them."""
     head = length - span + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, seen = xxhash.xxh3_64_intdigest, set()
         for batch in batches:
             ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             pieces, size = [], 0  # (text, where in it, bytes)
@@ -124,6 +126,11 @@ def suffixes(texts: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFr
                 return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, wholes, t, t2, at, (last - first + 1).astype(np.int32))], names=["key", "whole", "t", "t2", "at", "n"])
 
             for i, text in enumerate(batch.column(2)):
+                if (one := (ids[0][i], ids[1][i])) in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(one)
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for at in range(0, max(0, len(raw) - length + 1), BLOCK):
                     piece = raw[at : at + BLOCK + length - 1]
