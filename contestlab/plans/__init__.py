@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the views, each with the SQL that states it."""
 
-from . import appearances, audits, contests, forecasts, models, payloads, seals, views
+from . import appearances, audits, contests, forecasts, models, payloads, reports, seals, views
 
-MODULES = (contests, appearances, forecasts, models, audits, payloads, seals, views)
+MODULES = (contests, appearances, forecasts, models, audits, payloads, reports, seals, views)
