@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FINAL_MINUTES, WAIT_MINUTES = 60, 360  # before the start: when a final seal is due, and until when others are waited for
+FALLBACK_HOURS = WAIT_MINUTES // 60
+ROLL_HOUR = 6  # of its day, from when a contest may be sealed
+BLOCKING_DAYS = 2  # days before a contest's on which an open one holds it up; older ones are stuck and don't
+CLOSED_DAYS = 3  # days from a contest's on after which nothing about it matters
+LEAD_HOURS = 6  # of a contest's start after the first row on it, beside the row's own hours
+OPEN_STATUSES = ("scheduled", "in-progress")
 
 
 def decision(minutes_to_start: Column, has_first: Column, has_final: Column, blockers: Column) -> Column:
@@ -23,6 +29,44 @@ def decision(minutes_to_start: Column, has_first: Column, has_final: Column, blo
     )
 
 
+def seal_times(feed: DataFrame) -> DataFrame:
+    """feed(team, at, ord, game, status, hours) -> (team, game, decision, at, incomplete): when each contest is sealed.
+
+    `morning` at the first instant at which it is scheduled and either its day has begun and no open contest of its team of
+    the two days before is in the way, or its start is within six hours; `final` once, at the first instant of the last
+    hour at which it is scheduled; `missed` at its start if it has a morning seal but no final one. incomplete: something
+    was in the way. A rule can come true only with a row of the team or at four instants of the contest's own, so these
+    are looked at, day by day of a team: joins on team and day, with a range within the day.
+    """
+    span = Window.partitionBy("team", "game").orderBy("at", "ord")
+    first = Window.partitionBy("team", "game").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hours = lambda n: F.make_dt_interval(hours=n)
+    # The last of a contest's rows at one instant holds, until its next one.
+    rows = feed.withColumns({"known": F.first("at").over(first), "lead": F.first("hours").over(first), "until": F.lead("at").over(span)})
+    rows = rows.withColumn("start", F.col("known") + hours(F.col("lead") + LEAD_HOURS)).withColumn("day", F.to_date("start"))
+    states = rows.where("until is null OR until > at").select("team", "game", "day", "at", "until", "status")
+    games = rows.select("team", "game", "known", "start", "day").distinct()
+    opens = F.col("day").cast("timestamp") + hours(F.lit(ROLL_HOUR))
+    own = games.select("*", F.explode(F.array("known", opens, F.col("start") - hours(F.lit(FALLBACK_HOURS)), F.col("start") - F.make_dt_interval(mins=F.lit(FINAL_MINUTES)))).alias("now"))
+    days = games.withColumn("date", F.explode(F.sequence(F.to_date("known"), F.to_date("start"))))
+    others = days.join(feed.select("team", F.to_date("at").alias("date"), F.col("at").alias("now")), ["team", "date"]).drop("date")
+    instants = own.unionByName(others).where("now >= known AND now < start").distinct()
+    now = instants.join(states.select("team", "game", "at", "until", "status"), ["team", "game"]).where("at <= now AND (until is null OR now < until) AND status = 'scheduled'")
+    now = now.drop("at", "until", "status")
+    before = now.withColumn("other_day", F.explode(F.array(*[F.date_sub("day", n) for n in range(1, BLOCKING_DAYS + 1)])))
+    held = states.where(F.col("status").isin(*OPEN_STATUSES)).select("team", F.col("day").alias("other_day"), "at", "until")
+    blocked = before.join(held, ["team", "other_day"]).where("at <= now AND (until is null OR now < until)").select("team", "game", "now").distinct()
+    looked = now.join(blocked.withColumn("blocked", F.lit(True)), ["team", "game", "now"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    morning = ((F.col("now") >= opens) & ~F.col("blocked")) | (F.col("now") >= F.col("start") - hours(F.lit(FALLBACK_HOURS)))
+    final = F.col("now") >= F.col("start") - F.make_dt_interval(mins=F.lit(FINAL_MINUTES))
+    seal = F.struct(F.col("now").alias("at"), F.col("blocked").alias("incomplete"))
+    found = looked.groupBy("team", "game", "start").agg(F.min(F.when(morning, seal)).alias("morning"), F.min(F.when(final, seal)).alias("final"))
+    missed = F.when(F.col("final").isNull(), F.struct(F.col("start").alias("at"), F.lit(False).alias("incomplete")))
+    kinds = [F.struct(F.lit(n).alias("decision"), c.alias("s")) for n, c in (("morning", F.col("morning")), ("final", F.col("final")), ("missed", missed))]
+    made = found.where("morning is not null").select("team", "game", F.explode(F.array(*kinds)).alias("k")).where("k.s is not null")
+    return made.select("team", "game", "k.decision", "k.s.at", "k.s.incomplete")
+
+
 def order_rules(ledger: DataFrame) -> DataFrame:
     """(game, ord, rule): entries that a ledger may not hold. One window per game in the order of appending."""
     w = Window.partitionBy("game").orderBy("ord")

@@ -1,12 +1,13 @@
-"""Queries over printed reports and hidden tables, drawn from the web pages' link lists first."""
+"""Queries over printed reports, drawn from the web pages' link lists first, and over the instants of seals."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contestlab.operators import sealing as Z
 from contestlab.plans.registry import registry
 from contestlab.sources import positioned as P
-from contestlab.sources.views import table
+from contestlab.sources.views import FEED, PLAY, status_feed, table, with_views
 
 QUERIES, ORACLES, query = registry()
 
@@ -79,3 +80,24 @@ FROM lost l JOIN line t ON t.report = l.report AND t.i = l.g LEFT JOIN line m ON
 def printed_reports(s, d):
     """Reports printed as positioned text, upright and sideways, read back as rows."""
     return P.report_rows(printed(s, d))
+
+
+@query(
+    with_views(PLAY, FEED)
+    + """, g AS (SELECT team, game, min(happened) AS known, arg_min(hours, (happened, ord)) AS lead FROM feed GROUP BY ALL),
+game AS (SELECT *, known + to_hours((6 + lead)::BIGINT) AS start, (known + to_hours((6 + lead)::BIGINT))::DATE AS day FROM g),
+now AS (SELECT DISTINCT * FROM (
+  SELECT team, game, unnest([known, day::TIMESTAMP + INTERVAL 6 HOUR, start - INTERVAL 6 HOUR, start - INTERVAL 1 HOUR]) AS now, known, start, day FROM game
+  UNION ALL SELECT x.team, x.game, f.happened, x.known, x.start, x.day FROM game x JOIN feed f ON f.team = x.team AND f.happened BETWEEN x.known AND x.start) WHERE now >= known AND now < start),
+state AS (SELECT n.team, n.game, n.now, arg_max(f.status, (f.happened, f.ord)) AS status FROM now n JOIN feed f ON f.team = n.team AND f.game = n.game AND f.happened <= n.now GROUP BY ALL),
+other AS (SELECT n.team, n.game, n.now, o.game AS other, arg_max(f.status, (f.happened, f.ord)) AS status FROM now n JOIN game o ON o.team = n.team AND o.day < n.day AND o.day >= n.day - 2 JOIN feed f ON f.team = o.team AND f.game = o.game AND f.happened <= n.now GROUP BY ALL),
+block AS (SELECT team, game, now, bool_or(status IN ('scheduled', 'in-progress')) AS blocked FROM other GROUP BY ALL),
+look AS (SELECT n.*, coalesce(blocked, false) AS blocked FROM now n JOIN state s USING (team, game, now) LEFT JOIN block USING (team, game, now) WHERE s.status = 'scheduled'),
+seal AS (SELECT team, game, start, min(now) FILTER (now >= day::TIMESTAMP + INTERVAL 6 HOUR AND NOT blocked OR now >= start - INTERVAL 6 HOUR) AS m, min(now) FILTER (now >= start - INTERVAL 1 HOUR) AS f FROM look GROUP BY ALL)
+SELECT s.team, s.game, 'morning' AS decision, strftime(m, '%Y-%m-%dT%H:%M:%S.%f') AS "at", blocked AS incomplete FROM seal s JOIN look l ON l.team = s.team AND l.game = s.game AND l.now = s.m
+UNION ALL SELECT s.team, s.game, 'final', strftime(f, '%Y-%m-%dT%H:%M:%S.%f'), blocked FROM seal s JOIN look l ON l.team = s.team AND l.game = s.game AND l.now = s.f WHERE m IS NOT NULL
+UNION ALL SELECT team, game, 'missed', strftime(start, '%Y-%m-%dT%H:%M:%S.%f'), false FROM seal WHERE m IS NOT NULL AND f IS NULL"""
+)
+def seal_timeline(s, d):
+    """When each contest of a team is sealed in the morning and for good, or missed, from all that the events tell of it."""
+    return Z.seal_times(status_feed(s, d)).withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))

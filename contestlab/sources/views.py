@@ -100,6 +100,15 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what users' contests are at an instant: (team, at, ord, game, status, hours)."""
+    status = F.create_map(*[F.lit(x) for x in ("signup", "scheduled", "view", "scheduled", "purchase", "in-progress", "error", "delayed", "click", "final")])
+    return plays(spark, sf_dir).select(
+        F.col("user_id").alias("team"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("ord"),
+        F.concat_ws("-", "user_id", F.col("k") % 20).alias("game"), status[F.col("kind")].alias("status"), F.col("k").alias("hours"),
+    )
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as forecasts: (id, season, round, flag, p, p2, y)."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -157,6 +166,12 @@ ledger AS (
          least(1.0::DOUBLE, greatest(0.0::DOUBLE, value / 500)) AS p, (floor(value)::BIGINT % 2 = 1)::INT AS won
   FROM play)"""
 
+FEED = """
+feed AS (
+  SELECT user_id AS team, ts AS happened, event_id AS ord, user_id || '-' || k % 20 AS game,
+         CASE kind WHEN 'purchase' THEN 'in-progress' WHEN 'error' THEN 'delayed' WHEN 'click' THEN 'final' ELSE 'scheduled' END AS status, k AS hours
+  FROM play)"""
+
 PREDICTION = """
 prediction AS (
   SELECT doc_id AS id, doc_id % 8 AS season, lang AS round, toxic AS flag, n_chars / (n_chars + 1500.0::DOUBLE) AS p, 0.75::DOUBLE AS p2, quality AS y
