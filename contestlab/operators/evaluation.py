@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +72,53 @@ def newton_calibration(rows: DataFrame, steps: int = 8, floor: float = 1e-6) ->
     return a, b
 
 
+# From which uniform number on a Poisson draw of mean one is at least 1, 2, ...
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k)) for k in range(1, 11))
+PIECES = 4  # draws that one digest serves
+
+
+def bootstrap_sums(rows: DataFrame, cluster: str, sums: dict[str, Column], draws: int = 1000, seed: int = 17) -> DataFrame:
+    """rows -> (draw, *sums): each draw's sums over clusters drawn with replacement.
+
+    A cluster stands in a draw as often as a Poisson number of mean one says, taken from a digest of the seed, the cluster
+    and the draw, so clusters are drawn independently, in any number and by any engine alike. They collapse to their sums
+    first; a task keeps one row of sums for each draw, and those are what is shuffled. A draw without clusters has no row."""
+    each = rows.groupBy(cluster).agg(*[F.sum(v.cast("double")).alias(n) for n, v in sums.items()])
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(cluster).cast("string"), "part"))
+    told = each.select("*", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // PIECES))).alias("part")).select(*sums, "part", digest.alias("digest"))
+    told = told.select(*sums, "part", "digest", F.explode(F.array(*map(F.lit, range(PIECES)))).alias("piece"))
+    u = F.conv(F.substring("digest", F.col("piece") * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2.0**32
+    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    drawn = told.select((F.col("part") * PIECES + F.col("piece")).alias("draw"), times.alias("times"), *sums).where(f"times > 0 AND draw < {draws}")
+    return drawn.groupBy("draw").agg(*[F.sum(F.col("times") * F.col(n)).alias(n) for n in sums])
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 1000, seed: int = 17) -> DataFrame:
-    """Mean of `value` with the 2.5 and 97.5 % points of its bootstrap over clusters.
-
-    Clusters collapse to a sum and a count before anything is drawn. A draw takes as many clusters as there are, with
-    replacement, each by a digest of the seed, the draw and its place in it, so any engine draws the same."""
-    sums = rows.groupBy(cluster).agg(F.sum(value).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
-    many = sums.count()
-    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    slots = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(many, 1) - 1))).alias("slot"))
-    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "slot")), 1, 8), 16, 10).cast("long")
-    drawn = slots.withColumn("i", (digest % max(many, 1)).cast("int")).join(numbered, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
+    """Mean of `value` with the 2.5 and 97.5 % points of its bootstrap over clusters."""
+    drawn = bootstrap_sums(rows, cluster, {"s": F.col(value), "n": F.lit(1)}, draws, seed).select((F.col("s") / F.col("n")).alias("m"))
     ranked = drawn.agg(F.sort_array(F.collect_list("m")).alias("all"))  # one number per draw
-    point = sums.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("clusters"))
+    point = rows.agg(F.avg(F.col(value).cast("double")).alias("mean"), F.count_distinct(cluster).alias("clusters"))
     at = lambda k: F.try_element_at("all", k.cast("int"))
     low, high = F.floor(F.size("all") * 0.025) + 1, F.ceil(F.size("all") * 0.975)
     return point.join(F.broadcast(ranked)).select("clusters", "mean", at(low).alias("low"), at(high).alias("high"))  # one row each
+
+
+def ratio_bootstrap(rows: DataFrame, cluster: str, error: str, other: str, bar: float = 1.0, draws: int = 1000, seed: int = 17) -> DataFrame:
+    """(ratio, low, median, high, share_at_or_below): root mean squared `error` over that of `other`, its interpolated 2.5,
+    50 and 97.5 % points over draws of clusters, and how many draws are no higher than `bar`."""
+    squares = {"a": F.pow(F.col(error), F.lit(2)), "b": F.pow(F.col(other), F.lit(2))}
+    drawn = bootstrap_sums(rows, cluster, squares, draws, seed).where("b > 0").select(F.sqrt(F.col("a") / F.col("b")).alias("r"))
+    ranked = drawn.agg(*[F.percentile("r", p).alias(n) for n, p in (("low", 0.025), ("median", 0.5), ("high", 0.975))], F.avg((F.col("r") <= bar).cast("double")).alias("share_at_or_below"))
+    point = rows.agg(F.sqrt(F.sum(squares["a"]) / F.sum(squares["b"])).alias("ratio"))
+    return point.join(F.broadcast(ranked))  # one row each
+
+
+def seeded_folds(rows: DataFrame, group: str, folds: int, seed: int = 17) -> DataFrame:
+    """(group, fold): the distinct groups in the order of a seeded digest, dealt in turn, so folds differ by one group at
+    most and depend on the set of groups alone. Places are counted by digest prefix: no task orders all groups."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
+    each = rows.select(group).distinct().select(group, digest.alias("_d")).withColumn("_p", F.substring("_d", 1, 3))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each of 4096 prefixes
+    firsts = each.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_d", group)) - 1 + F.col("_first")
+    return each.join(F.broadcast(firsts), "_p").select(group, (place % folds).cast("int").alias("fold"))

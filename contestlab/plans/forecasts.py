@@ -77,12 +77,19 @@ def paired_model_difference(s, d):
     return predictions(s, d).groupBy("season").agg(F.count("*").alias("n"), rnd(F.avg(a - b)).alias("mean_difference"), rnd(F.stddev_samp(a - b)).alias("sd"), F.sum((a < b).cast("long")).alias("wins"))
 
 
+def _draws_sql(cluster: str, sums: str, draws: int = 1000) -> str:
+    """drawn(draw, times, *sums of the cluster): the same Poisson numbers from the same digests."""
+    cuts = ", ".join(repr(p) for p in E.POISSON)
+    return f""", c AS (SELECT {cluster} AS k, {sums} FROM prediction GROUP BY 1),
+u AS (SELECT draw, c.*, ('0x' || substr(md5('17:' || k || ':' || draw // 4), 1 + 8 * (draw % 4)::INT, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM c, range(0, {draws}) d(draw)),
+drawn AS (SELECT *, len(list_filter([{cuts}], lambda p: u >= p)) AS times FROM u)"""
+
+
 @query(
     with_views(PREDICTION)
-    + f""", c AS (SELECT season, sum((p - y) * (p - y) - (p2 - y) * (p2 - y)) AS s, count(*) AS n, row_number() OVER (ORDER BY season) - 1 AS i FROM prediction GROUP BY season), k AS (SELECT count(*) AS k FROM c),
-picks AS (SELECT draw, ('0x' || substr(md5('17:' || draw || ':' || slot), 1, 8))::BIGINT % k AS i FROM range(0, 1000) a(draw), range(0, 64) b(slot), k WHERE slot < k),
-m AS (SELECT draw, sum(s) / sum(n) AS m FROM picks JOIN c USING (i) GROUP BY draw), r AS (SELECT m, row_number() OVER (ORDER BY m) AS r FROM m)
-SELECT (SELECT k FROM k) AS clusters, (SELECT {rnd_sql('sum(s) / sum(n)')} FROM c) AS mean, {rnd_sql('max(m) FILTER (r = 26)')} AS low, {rnd_sql('max(m) FILTER (r = 975)')} AS high FROM r"""
+    + _draws_sql("season", "sum((p - y) * (p - y) - (p2 - y) * (p2 - y)) AS s, count(*) AS n")
+    + f""", m AS (SELECT draw, sum(times * s) / sum(times * n) AS m FROM drawn WHERE times > 0 GROUP BY draw), r AS (SELECT m, row_number() OVER (ORDER BY m) AS r, count(*) OVER () AS k FROM m)
+SELECT (SELECT count(*) FROM c) AS clusters, (SELECT {rnd_sql('sum(s) / sum(n)')} FROM c) AS mean, {rnd_sql('max(m) FILTER (r = floor(k * 0.025::DOUBLE) + 1)')} AS low, {rnd_sql('max(m) FILTER (r = ceil(k * 0.975::DOUBLE))')} AS high FROM r"""
 )
 def cluster_bootstrap_ci(s, d):
     """Difference of two models' squared errors, with an interval over seasons as clusters."""
@@ -90,6 +97,25 @@ def cluster_bootstrap_ci(s, d):
     return E.cluster_bootstrap(rows, "season", "gain").select("clusters", *[rnd(F.col(c)).alias(c) for c in ("mean", "low", "high")])
 
 
+@query(
+    with_views(PREDICTION)
+    + _draws_sql("id", "sum((p - y) ** 2) AS a, sum((p2 - y) ** 2) AS b")
+    + f""", m AS (SELECT draw, sqrt(sum(times * a) / sum(times * b)) AS r FROM drawn WHERE times > 0 GROUP BY draw)
+SELECT (SELECT {rnd_sql('sqrt(sum(a) / sum(b))')} FROM c) AS ratio, {rnd_sql('quantile_cont(r, 0.025)')} AS low, {rnd_sql('quantile_cont(r, 0.5)')} AS median, {rnd_sql('quantile_cont(r, 0.975)')} AS high, {rnd_sql('avg((r <= 1)::INT)')} AS share_at_or_below FROM m"""
+)
+def ratio_bootstrap_ci(s, d):
+    """Ratio of two models' root mean squared errors, with an interval over all forecasts."""
+    rows = predictions(s, d).withColumns({"e": F.col("p") - F.col("y"), "e2": F.col("p2") - F.col("y")})
+    got = E.ratio_bootstrap(rows, "id", "e", "e2")
+    return got.select(*[rnd(F.col(c)).alias(c) for c in ("ratio", "low", "median", "high", "share_at_or_below")])
+
+
+@query("SELECT o_orderkey AS game_id, ((row_number() OVER (ORDER BY md5('17:' || o_orderkey), o_orderkey) - 1) % 5)::INT AS fold FROM (SELECT DISTINCT o_orderkey FROM orders)")
+def contest_folds(s, d):
+    """Five folds of all contests, dealt in a seeded order."""
+    return E.seeded_folds(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("game_id")), "game_id", 5)
+
+
 @query(with_views(PREDICTION) + f"SELECT id, {rnd_sql('(p - y) * (p - y)')} AS loss FROM prediction ORDER BY (p - y) * (p - y) DESC, id LIMIT 12")
 def worst_forecasts_top12(s, d):
     loss = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))

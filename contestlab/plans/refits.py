@@ -1,4 +1,4 @@
-"""Queries over models refitted by date and by season."""
+"""Queries over models refitted by date and by season, and over seeds refined tie by tie."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import brier, log_loss, rnd, rnd_sql
 from contestlab.operators import refits as R
+from contestlab.operators import seeding as S
 from contestlab.plans.registry import registry
-from contestlab.sources.views import CONTEST, PREDICTION, contests, predictions, ratable, with_views
+from contestlab.sources.views import CONTEST, PREDICTION, SIDES, TEAM, contests, predictions, ratable, sides, teams, with_views
 
 QUERIES, ORACLES, query = registry()
 
@@ -111,3 +112,38 @@ def fitted_baselines(s, d):
     scored = R.held_out(rows, fits, "season", ["x"]).join(F.broadcast(rate), "season")
     model, plain = brier(F.col("fitted"), F.col("y")), brier(F.col("rate"), F.col("y"))
     return scored.groupBy("season").agg(F.count("*").alias("n"), rnd(model).alias("margin_brier"), rnd(plain).alias("rate_brier"), (model < plain).alias("better"))
+
+
+def _refine_sql(name: str, source: str, part: str, rounds: int = 6) -> str:
+    """name(*, place): source's rows ordered within `part` by unrolled rounds of the tie-break."""
+    share = lambda w, l: f"coalesce({w}::DOUBLE / nullif({w} + {l}, 0), 0)"
+    parts = [f", {name}0 AS (SELECT *, rank() OVER (PARTITION BY {part} ORDER BY {share('wins', 'losses')} DESC) AS g FROM {source})"]
+    for k in range(rounds):
+        same = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in [*part.split(","), "g"])
+        spread = lambda m: f"max({m}) OVER t - min({m}) OVER t >= 1e-9"
+        parts.append(
+            f""", {name}h{k} AS (SELECT a.month, a.team_id, sum(w) AS w, sum(l) AS l FROM {name}0 z JOIN {name}{k} a USING (month, team_id) JOIN met m ON m.month = a.month AND m.team_id = a.team_id JOIN {name}{k} b ON b.month = a.month AND b.team_id = m.opp_id AND {same} GROUP BY ALL),
+{name}m{k} AS (SELECT x.*, {share('h.w', 'h.l')} AS hh, count(*) OVER t AS n, min(division) OVER t = max(division) OVER t AS one FROM {name}{k} x LEFT JOIN {name}h{k} h USING (month, team_id) WINDOW t AS (PARTITION BY {part}, g)),
+{name}s{k} AS (SELECT *, CASE WHEN n = 2 THEN hh ELSE leader END AS m0, CASE WHEN n = 2 THEN leader ELSE hh END AS m1, CASE WHEN one THEN {share('div_wins', 'div_losses')} ELSE 0 END AS m2, {share('conf_wins', 'conf_losses')} AS m3, diff::DOUBLE AS m4 FROM {name}m{k}),
+{name}v{k} AS (SELECT *, CASE {' '.join(f'WHEN {spread(m)} THEN {m}' for m in ('m0', 'm1', 'm2', 'm3', 'm4'))} ELSE -team_id END AS v FROM {name}s{k} WINDOW t AS (PARTITION BY {part}, g)),
+{name}{k + 1} AS (SELECT * EXCLUDE (hh, n, one, m0, m1, m2, m3, m4, v, g), g + rank() OVER (PARTITION BY {part}, g ORDER BY v DESC) - 1 AS g FROM {name}v{k})"""
+        )
+    parts.append(f", {name} AS (SELECT * EXCLUDE (g), g AS place FROM {name}{rounds})")
+    return "".join(parts)
+
+
+@query(
+    with_views(CONTEST, SIDES, TEAM)
+    + """, r AS (SELECT strftime(game_date, '%Y-%m') AS month, s.team_id, opp_id, (scored > allowed)::INT AS won, scored - allowed AS d, a.conference, a.division, a.conference = b.conference AS conf, a.division = b.division AS div
+  FROM sides s JOIN team a ON a.team_id = s.team_id JOIN team b ON b.team_id = opp_id WHERE status = 'final' AND scored <> allowed),
+met AS (SELECT month, team_id, opp_id, sum(won) AS w, sum(1 - won) AS l FROM r GROUP BY ALL),
+base AS (SELECT month, team_id, conference, division, sum(won) AS wins, sum(1 - won) AS losses, sum(won * conf::INT) AS conf_wins, sum((1 - won) * conf::INT) AS conf_losses, sum(won * (conf AND div)::INT) AS div_wins, sum((1 - won) * (conf AND div)::INT) AS div_losses, sum(d) AS diff, 0 AS leader FROM r GROUP BY ALL)"""
+    + _refine_sql("p", "base", "month, conference, division")
+    + ", led AS (SELECT * EXCLUDE (place, leader), (place = 1)::INT AS leader FROM p)"
+    + _refine_sql("q", "led", "month, conference")
+    + " SELECT month, conference, team_id, wins::BIGINT AS wins, losses::BIGINT AS losses, leader, place::INT AS place FROM q"
+)
+def seeds_by_month(s, d):
+    """Seeds of every month's conferences by the recursive tie-break, where short records leave many ties."""
+    rows = sides(ratable(contests(s, d))).withColumn("month", F.date_format("game_date", "yyyy-MM"))
+    return S.seeds(rows.select("month", "team_id", "opp_id", "scored", "allowed"), teams(s, d), "month")
