@@ -1,13 +1,16 @@
-"""Queries over printed reports, drawn from the web pages' link lists first, and over the instants of seals."""
+"""Queries over printed reports, drawn from the web pages' link lists first, over the instants of seals and the record of forecasts."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from contestlab.functions.scoring import rnd, rnd_sql
+from contestlab.operators import records as L
 from contestlab.operators import sealing as Z
 from contestlab.plans.registry import registry
 from contestlab.sources import positioned as P
-from contestlab.sources.views import FEED, PLAY, status_feed, table, with_views
+from contestlab.sources.views import FEED, LEDGER, PLAY, ledger, status_feed, table, with_views
 
 QUERIES, ORACLES, query = registry()
 
@@ -101,3 +104,52 @@ UNION ALL SELECT team, game, 'missed', strftime(start, '%Y-%m-%dT%H:%M:%S.%f'),
 def seal_timeline(s, d):
     """When each contest of a team is sealed in the morning and for good, or missed, from all that the events tell of it."""
     return Z.seal_times(status_feed(s, d)).withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+VERSIONED = """, entries AS (
+  SELECT ord, game, CASE WHEN hour(happened) < 12 THEN 'v1' ELSE 'v2' END AS version, entry, p, lag(p) OVER (PARTITION BY split_part(game, '-', 1) ORDER BY ord) AS reference, hour(happened) >= 20 AS incomplete,
+         CASE WHEN happened >= TIMESTAMP '2024-01-20' THEN 3 WHEN happened >= TIMESTAMP '2024-01-10' THEN 2 ELSE 1 END AS revision, won
+  FROM ledger),
+seal AS (SELECT version, game, arg_min(p, ord) FILTER (entry = 'final') AS f, arg_min(p, ord) FILTER (entry = 'reissued') AS r, arg_min(p, ord) FILTER (entry = 'morning') AS m,
+  min(ord) FILTER (entry = 'final') AS fo, min(ord) FILTER (entry = 'reissued') AS ro, min(ord) FILTER (entry = 'morning') AS mo FROM entries WHERE entry IN ('final', 'reissued', 'morning') GROUP BY ALL),
+res AS (SELECT game, arg_max(won, ord) AS won FROM ledger WHERE entry = 'result' GROUP BY game),
+g AS (SELECT s.*, e.p, e.reference, e.incomplete, e.revision, res.won, coalesce(r, m) AS l FROM seal s JOIN entries e ON e.ord = coalesce(fo, ro, mo) LEFT JOIN res ON res.game = s.game),
+c AS (SELECT *, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, p)) AS q, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, l)) AS lq, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, m)) AS mq, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, r)) AS rq, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, reference)) AS eq FROM g)"""
+
+
+def versioned_ledger(s, d):
+    """The ledger with what a version's seals carry: rows before noon are one model's, later ones another's; a seal's
+    reference is the user's forecast before it, and inputs are incomplete late in the day."""
+    rows, hour = ledger(s, d), F.hour("happened")
+    before = F.lag("p").over(Window.partitionBy(F.substring_index("game", "-", 1)).orderBy("ord"))
+    revision = F.when(F.col("happened") >= F.lit("2024-01-20").cast("timestamp_ntz"), 3).when(F.col("happened") >= F.lit("2024-01-10").cast("timestamp_ntz"), 2).otherwise(1)
+    return rows.select("ord", "game", F.when(hour < 12, "v1").otherwise("v2").alias("version"), "entry", "p", before.alias("reference"), (hour >= 20).alias("incomplete"), revision.alias("revision"), "won")
+
+
+@query(
+    with_views(PLAY, LEDGER)
+    + VERSIONED
+    + f""" SELECT version, count(*) AS sealed, count(won) AS scored, count(*) - count(won) AS pending, count(*) FILTER (incomplete) AS incomplete, {rnd_sql('avg((q - won) ** 2)')} AS brier,
+  {rnd_sql('avg(-CASE WHEN won = 1 THEN ln(q) WHEN won = 0 THEN ln(1 - q) END)')} AS log_loss, {rnd_sql('avg(((q > 0.5) = (won = 1))::INT)')} AS accuracy, {rnd_sql('avg((0.6::DOUBLE - won) ** 2)')} AS baseline_brier,
+  count(*) FILTER (won IS NOT NULL AND fo IS NULL) AS no_final_seal, {rnd_sql('avg((lq - won) ** 2) FILTER (l IS NOT NULL)')} AS latest_brier, count(*) FILTER (won IS NOT NULL AND l IS NOT NULL) AS latest_count,
+  {rnd_sql('avg((mq - won) ** 2) FILTER (m IS NOT NULL)')} AS original_brier, count(*) FILTER (won IS NOT NULL AND m IS NOT NULL) AS original_count, {rnd_sql('avg((rq - won) ** 2) FILTER (r IS NOT NULL)')} AS reissued_brier, count(*) FILTER (won IS NOT NULL AND r IS NOT NULL) AS reissued_count,
+  CASE WHEN count(won) > 0 AND count(won) FILTER (reference IS NOT NULL) = count(won) THEN {rnd_sql('avg((eq - won) ** 2)')} END AS reference_brier, count(won) < 500 AS small_sample,
+  (SELECT count(*) FROM entries e WHERE e.entry = 'missed' AND e.version = c.version) AS missed FROM c GROUP BY version"""
+)
+def full_forecast_record(s, d):
+    """All measures of each model version's forecasts, nulls where they don't apply."""
+    got = L.forecast_record(versioned_ledger(s, d), 0.6)
+    return got.select(*[rnd(F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in got.dtypes])
+
+
+@query(
+    with_views(PLAY, LEDGER)
+    + VERSIONED
+    + f""", every AS (SELECT DISTINCT version, revision FROM (SELECT DISTINCT version FROM seal), unnest([1, 2, 3, 4]) AS u(revision))
+SELECT version, revision, (SELECT count(*) FROM entries e WHERE e.version = v.version AND e.revision = v.revision AND entry IN ('final', 'reissued', 'morning')) AS seal_rows, count(c.game) AS sealed, count(won) AS scored, {rnd_sql('avg((q - won) ** 2)')} AS brier
+FROM every v LEFT JOIN c USING (version, revision) GROUP BY ALL"""
+)
+def record_by_revision(s, d):
+    """The record by policy revision, one that no row has yet included."""
+    got = L.revision_record(versioned_ledger(s, d), [1, 2, 3, 4])
+    return got.withColumn("brier", rnd(F.col("brier")))
