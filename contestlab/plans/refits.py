@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from contestlab.functions.scoring import brier, log_loss, rnd, rnd_sql
 from contestlab.operators import refits as R
 from contestlab.operators import seeding as S
+from contestlab.operators import sparse as P
 from contestlab.plans.registry import registry
-from contestlab.sources.views import CONTEST, PREDICTION, SIDES, TEAM, contests, predictions, ratable, sides, teams, with_views
+from contestlab.sources.views import BOX, CONTEST, PREDICTION, SIDES, TEAM, box_lines, contests, predictions, ratable, sides, teams, with_views
 
 QUERIES, ORACLES, query = registry()
 
@@ -147,3 +148,33 @@ def seeds_by_month(s, d):
     """Seeds of every month's conferences by the recursive tie-break, where short records leave many ties."""
     rows = sides(ratable(contests(s, d))).withColumn("month", F.date_format("game_date", "yyyy-MM"))
     return S.seeds(rows.select("month", "team_id", "opp_id", "scored", "allowed"), teams(s, d), "month")
+
+
+@query()
+def paired_effects_by_season(s, d):
+    """Each season's teams for and against: home points less away points from season levels, the home court and both teams'
+    effects, which shrink towards half of the team's plain mean margin."""
+    games = ratable(contests(s, d))
+    term = lambda x, *parts: F.struct(F.concat_ws(":", *parts).alias("c"), F.lit(x).alias("x"))
+    season = F.col("season").cast("string")
+    terms = F.array(term(1.0, F.lit("season"), season), term(1.0, F.lit("team"), season, "home_id"), term(-1.0, F.lit("team"), season, "away_id"))
+    court = F.when(~F.col("neutral"), F.array(term(1.0, F.lit("home")))).otherwise(F.array().cast("array<struct<c: string, x: double>>"))
+    rows = games.select(F.concat(terms, court).alias("terms"), (F.col("home_score") - F.col("away_score")).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    plain = sides(games).groupBy(F.concat_ws(":", F.lit("team"), season, "team_id").alias("c")).agg(F.lit(20.0).alias("penalty"), (F.avg(F.col("scored") - F.col("allowed")) / 2).alias("prior"))
+    return P.sparse_ridge(rows, plain).select("c", rnd(F.col("prior"), 4).alias("prior"), rnd(F.col("effect"), 4).alias("effect"))
+
+
+@query(
+    with_views(BOX)
+    + f""", own AS (SELECT athlete_id, game_id, sum(points * minutes) AS s, sum(minutes) AS w FROM box GROUP BY ALL),
+rest AS (SELECT athlete_id, game_id, s / w AS y, CASE WHEN sum(w) OVER a > w THEN (sum(s) OVER a - s) / (sum(w) OVER a - w) END AS x FROM own WINDOW a AS (PARTITION BY athlete_id))
+SELECT athlete_id % 10 AS grp, count(*) AS n, {rnd_sql('avg(x)', 4)} AS mean_left_out, {rnd_sql('regr_slope(y, x)', 4)} AS slope FROM rest WHERE x IS NOT NULL GROUP BY ALL"""
+)
+def left_out_regression(s, d):
+    """How an athlete's points in a game follow from the mean of all of their other games, by group of athletes."""
+    lines = box_lines(s, d)
+    points, minutes = F.col("points").cast("double"), F.col("minutes").cast("double")
+    own = lines.groupBy("athlete_id", "game_id").agg((F.sum(points * minutes) / F.sum(minutes)).alias("y"))
+    rest = P.leave_one_out(lines, ["athlete_id"], "game_id", points, minutes).where("left_out is not null")
+    rows = own.join(rest, ["athlete_id", "game_id"])
+    return rows.groupBy((F.col("athlete_id") % 10).alias("grp")).agg(F.count("*").alias("n"), rnd(F.avg("left_out"), 4).alias("mean_left_out"), rnd(F.regr_slope("y", "left_out"), 4).alias("slope"))
