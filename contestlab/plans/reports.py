@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import records as L
 from contestlab.operators import sealing as Z
 from contestlab.plans.registry import registry
+from contestlab.session import shared_dir
+from contestlab.sources import html_tables as H
 from contestlab.sources import positioned as P
+from contestlab.sources import published as B
 from contestlab.sources.views import FEED, LEDGER, PLAY, ledger, status_feed, table, with_views
 
 QUERIES, ORACLES, query = registry()
@@ -153,3 +158,33 @@ def record_by_revision(s, d):
     """The record by policy revision, one that no row has yet included."""
     got = L.revision_record(versioned_ledger(s, d), [1, 2, 3, 4])
     return got.withColumn("brier", rnd(F.col("brier")))
+
+
+@query(
+    LISTED
+    + """, wide AS (SELECT report, n, i, name, other, first_value(name) OVER (PARTITION BY report, i // 2 ORDER BY i) AS lead FROM line)
+SELECT DISTINCT report, r AS "row", c AS col, t AS text, h AS heading FROM (
+  SELECT report, 0 AS r, unnest([0, 1, 2]) AS c, unnest(['Who & whom', 'Who & whom', 'Other']) AS t, true AS h FROM wide
+  UNION ALL SELECT report, i + 1, unnest([0, 1, 2]), unnest([lead, name, other || ' & co']), false FROM wide)"""
+)
+def hidden_tables(s, d):
+    """Tables hidden in comments, with cells over several rows and columns, read back place by place."""
+    x = listed_names(s, d)
+    lead = F.when(F.col("i") % 2 == 0, F.concat(F.lit('<td rowspan="2">'), "name", F.lit("</td>"))).otherwise("")
+    row = F.concat(F.lit("<tr>"), lead, F.lit('<td class="a"><a href="/x">'), "name", F.lit("</a></td>\n<td>"), "other", F.lit(" &amp; co</td></tr>"))
+    rows = x.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", row.alias("h")))), lambda r: r["h"]), "").alias("rows"))
+    head = "<table id='other'><tr><td>no</td></tr></table><!-- note --><!--<div><table class='s' id=\"stats\"><tr><th colspan=2>Who &amp;\n whom</th><th>Other</th></tr>"
+    pages = rows.select("report", F.concat(F.lit(head), "rows", F.lit("</table></div>--><p>after</p>")).alias("html"))
+    return H.table_cells(pages, "report", "html", "stats").select("report", "row", "col", "text", "heading")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS orders, '2' AS version, 'older' AS delivery FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY ALL")
+def published_snapshot(s, d):
+    """Orders published three times as they grew; the last version is torn, so the one before it is read, whole."""
+    root = f"{shared_dir(s)}/published-{uuid.uuid4().hex}"
+    orders = table(s, d, "orders")
+    for version, until in (("1", "1997-01-01"), ("2", "1999-01-01"), ("3", "2100-01-01")):
+        B.publish({"orders": orders.where(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz"))}, root, version)
+    orders.limit(1).write.mode("overwrite").parquet(f"{root}/data/3/orders")
+    found = B.Snapshot(s, root)
+    return found.table("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("orders")).select("*", F.lit(found.version).alias("version"), F.lit(found.delivery).alias("delivery"))

@@ -23,13 +23,20 @@ def session(name: str = "contestlab", master: str = "local[8]", partitions: int
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only on a local master whose session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="contestlab-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written once to the session's checkpoint folder, which all executors share; a temporary folder only on a local
-    master whose session names none."""
+    """df written once to the session's checkpoint folder, which all executors share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="contestlab-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
