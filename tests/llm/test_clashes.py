@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from contestlab.llm import line_dedup, mixing, near_copies, sharding, token_counts, toxicity
+from contestlab.llm import alignment, line_dedup, mixing, near_copies, packing, sharding, suffix_index, token_counts, toxicity
 
 SOURCES = pathlib.Path(line_dedup.__file__).parent
 OWN = {"doc_id", "text", "lang", "source", "n_chars"}
@@ -46,8 +46,9 @@ def intact(got, replaced=()):
         (near_copies.near_copies, ()),
         (lambda d: token_counts.token_counts(d, token_counts.vocabulary_path()), {"n_tokens", "n_byte_tokens", "log_score"}),
         (lambda d: toxicity.score_documents(d, None), {"score", "worst_start", "n_windows"}),
+        (suffix_index.drop_repeats, {"n_bytes", "kept", "spans"}),
     ],
-    ids=["copies_to_target", "mix", "drop_boilerplate", "shuffle_shards", "near_copies", "token_counts", "score_documents"],
+    ids=["copies_to_target", "mix", "drop_boilerplate", "shuffle_shards", "near_copies", "token_counts", "score_documents", "drop_repeats"],
 )
 def test_operators_give_columns_back(clashing, run, replaced):
     intact(run(clashing), replaced)
@@ -60,5 +61,10 @@ def test_stages_give_columns_back(spark, clashing, name, stage):
     intact(got)
 
 
+def test_alignment_ignores_other_columns(clashing):
+    got = alignment.alignment_counts(clashing, packing.ranks_path(), token_counts.vocabulary_path())
+    assert got.columns[0] == "doc_id" and got.count() == clashing.count()
+
+
 def test_packing_ignores_other_columns(spark, clashing):
     assert corpus_pipeline.STAGES[-1][1](spark, clashing, "/root/testdata/sf0.001").count() > 0
