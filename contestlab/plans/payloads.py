@@ -119,14 +119,16 @@ def local_days_and_hours(s, d):
 
 
 @query(
-    """WITH g AS (SELECT n, TIMESTAMP '2024-11-03 00:00:00' + n * INTERVAL 15 MINUTE AS w FROM range(0, 16) t(n))
-SELECT n, strftime(w, '%H:%M') AS wall, strftime(w + CASE WHEN w < TIMESTAMP '2024-11-03 01:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END, '%Y-%m-%dT%H:%M:%SZ') AS instant FROM g"""
+    """WITH e AS (SELECT event_id, TIMESTAMP '2024-11-03 00:00:00' + to_minutes(((hour(ts) % 4 * 60 + minute(ts)) // 15 * 15)::BIGINT) AS w FROM events)
+SELECT strftime(w, '%H:%M') AS wall, strftime(w + CASE WHEN w < TIMESTAMP '2024-11-03 01:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END, '%Y-%m-%dT%H:%M:%SZ') AS instant, count(*) AS n, min(event_id) AS first_event FROM e GROUP BY ALL"""
 )
 def wall_clock_instants(s, d):
-    """Quarters of the night on which an hour comes twice: the later reading counts."""
-    w = F.expr("TIMESTAMP_NTZ '2024-11-03 00:00:00' + make_dt_interval(0, 0, int(n) * 15, 0)")
-    g = s.range(16).select(F.col("id").alias("n")).withColumn("w", w)
-    return g.select("n", F.date_format("w", "HH:mm").alias("wall"), F.date_format(P.utc_instant(F.col("w")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("instant"))
+    """Events by the quarter of their four hours, as if on the night on which an hour comes twice: the later reading counts."""
+    quarter = F.floor((F.hour("ts") % 4 * 60 + F.minute("ts")) / 15).cast("int") * 15
+    w = F.lit("2024-11-03 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=quarter)
+    g = table(s, d, "events").select("event_id", w.alias("w"))
+    read = g.select("event_id", F.date_format("w", "HH:mm").alias("wall"), F.date_format(P.utc_instant(F.col("w")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("instant"))
+    return read.groupBy("wall", "instant").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
 @query(
@@ -220,14 +222,16 @@ def names_positions_reasons(s, d):
 
 @query(
     with_views(CONTEST, SIDES, BOX)
-    + f""", t AS (SELECT team_id, avg(scored - allowed) AS net, count(*) AS n FROM sides WHERE status = 'final' GROUP BY team_id), a AS (SELECT supplier % 25 AS team_id, athlete_id, sum(minutes) / 50.0::DOUBLE AS minutes FROM box WHERE athlete_id <= 40 GROUP BY ALL),
+    + f""", t AS (SELECT team_id, avg(scored - allowed) AS net, count(*) AS n FROM sides WHERE status = 'final' GROUP BY team_id), m AS (SELECT supplier % 25 AS team_id, athlete_id, sum(minutes) AS total FROM box GROUP BY ALL),
+a AS (SELECT team_id, athlete_id, total / 50.0::DOUBLE AS minutes FROM m QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY total DESC, athlete_id) <= 10),
 v AS (SELECT team_id, sum((athlete_id % 9 - 4) * minutes * (athlete_id % 2)) / 240 AS talent FROM a GROUP BY team_id)
 SELECT team_id, {rnd_sql('0.6::DOUBLE * net + 0.3::DOUBLE * (n % 200) / 35.0::DOUBLE + 0.1::DOUBLE * talent', 4)} AS strength FROM t JOIN v USING (team_id)"""
 )
 def team_strengths(s, d):
-    """Strength from net margin, a rating, and the values of those who are available, over a nested list of players."""
+    """Strength from net margin, a rating, and the values of those who are available of the ten who play most."""
     t = sides(contests(s, d)).where("status = 'final'").groupBy("team_id").agg(F.avg(F.col("scored") - F.col("allowed")).alias("net"), F.count("*").alias("n"))
-    a = box_lines(s, d).where("athlete_id <= 40").groupBy((F.col("supplier") % 25).alias("team_id"), "athlete_id").agg((F.sum("minutes") / 50.0).alias("minutes"))
+    a = box_lines(s, d).groupBy((F.col("supplier") % 25).alias("team_id"), "athlete_id").agg(F.sum("minutes").alias("total"))
+    a = a.withColumn("nth", F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc("total"), "athlete_id"))).where("nth <= 10").withColumn("minutes", F.col("total") / 50.0)
     v = a.groupBy("team_id").agg(F.collect_list(F.struct((F.col("athlete_id") % 9 - 4).cast("double").alias("impact"), "minutes", (F.col("athlete_id") % 2).alias("available"))).alias("players"))
     return t.join(v, "team_id").select("team_id", rnd(P.team_strength(F.col("net"), 1500 + F.col("n") % 200, F.col("players"), (0.6, 0.3, 0.1)), 4).alias("strength"))
 

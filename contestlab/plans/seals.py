@@ -141,18 +141,18 @@ def newest_results(s, d):
 @query(
     with_views(CONTEST)
     + """, c AS (SELECT game_id, season, status, CASE WHEN status = 'final' THEN home_score - away_score END AS v, home_id, game_date FROM contest)
-SELECT game_id, row_number() OVER (ORDER BY v ASC NULLS LAST, game_id) AS up, row_number() OVER (ORDER BY v DESC NULLS LAST, game_id) AS down,
-row_number() OVER (ORDER BY CASE status WHEN 'final' THEN 0 WHEN 'in-progress' THEN 1 ELSE 2 END, v DESC NULLS LAST, game_id) AS by_status, row_number() OVER (ORDER BY season, game_date, game_id) AS by_time FROM c WHERE home_id = 3 AND season = 1995"""
+SELECT game_id, row_number() OVER (t ORDER BY v ASC NULLS LAST, game_id) AS up, row_number() OVER (t ORDER BY v DESC NULLS LAST, game_id) AS down,
+row_number() OVER (t ORDER BY CASE status WHEN 'final' THEN 0 WHEN 'in-progress' THEN 1 ELSE 2 END, v DESC NULLS LAST, game_id) AS by_status, row_number() OVER (t ORDER BY game_date, game_id) AS by_time FROM c WINDOW t AS (PARTITION BY home_id, season)"""
 )
 def sorted_places(s, d):
-    """Places under four orders, missing values last in either direction: a page of one team's season."""
+    """Places in each home team's season under four orders, missing values last in either direction."""
     v = F.when(F.col("status") == "final", F.col("home_score") - F.col("away_score"))
-    c = contests(s, d).where("home_id = 3 AND season = 1995").withColumn("v", v)
+    c = contests(s, d).withColumn("v", v)
     rank = F.when(F.col("status") == "final", 0).when(F.col("status") == "in-progress", 1).otherwise(2)
-    place = lambda *o: F.row_number().over(Window.orderBy(*o))
+    place = lambda *o: F.row_number().over(Window.partitionBy("home_id", "season").orderBy(*o))
     return c.select(
         "game_id", place(F.col("v").asc_nulls_last(), "game_id").alias("up"), place(F.col("v").desc_nulls_last(), "game_id").alias("down"),
-        place(rank, F.col("v").desc_nulls_last(), "game_id").alias("by_status"), place("season", "game_date", "game_id").alias("by_time"),
+        place(rank, F.col("v").desc_nulls_last(), "game_id").alias("by_status"), place("game_date", "game_id").alias("by_time"),
     )
 
 
@@ -390,15 +390,15 @@ def historical_extremes(s, d):
 
 @query(
     with_views(CONTEST, SIDES)
-    + """, o AS (SELECT DISTINCT team_id, game_date FROM sides WHERE status <> 'final' AND season = 1995), r AS (SELECT *, dense_rank() OVER (PARTITION BY team_id ORDER BY game_date) AS i FROM o)
-SELECT team_id, min(game_date) FILTER (i = 1)::VARCHAR AS first, min(game_date) FILTER (i = 2)::VARCHAR AS second, count(*) FILTER (i > 2) AS others FROM r GROUP BY team_id"""
+    + """, o AS (SELECT DISTINCT team_id, season, game_date FROM sides WHERE status <> 'final'), r AS (SELECT *, dense_rank() OVER (PARTITION BY team_id, season ORDER BY game_date) AS i FROM o)
+SELECT team_id, season, min(game_date) FILTER (i = 1)::VARCHAR AS first, min(game_date) FILTER (i = 2)::VARCHAR AS second, count(*) FILTER (i > 2) AS others FROM r GROUP BY team_id, season"""
 )
 def report_blocks(s, d):
-    """The first two dates of each team's report, and how many others follow."""
-    o = sides(contests(s, d)).where("status <> 'final' AND season = 1995").select("team_id", "game_date").distinct()
-    r = o.withColumn("i", F.dense_rank().over(Window.partitionBy("team_id").orderBy("game_date")))
+    """The first two dates of each team's report of a season, and how many others follow."""
+    o = sides(contests(s, d)).where("status <> 'final'").select("team_id", "season", "game_date").distinct()
+    r = o.withColumn("i", F.dense_rank().over(Window.partitionBy("team_id", "season").orderBy("game_date")))
     at = lambda i: F.min(F.when(F.col("i") == i, F.col("game_date"))).cast("string")
-    return r.groupBy("team_id").agg(at(1).alias("first"), at(2).alias("second"), F.count(F.when(F.col("i") > 2, 1)).alias("others"))
+    return r.groupBy("team_id", "season").agg(at(1).alias("first"), at(2).alias("second"), F.count(F.when(F.col("i") > 2, 1)).alias("others"))
 
 
 @query(
