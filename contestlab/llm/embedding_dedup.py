@@ -199,5 +199,9 @@ def embedding_links(df: DataFrame, threshold: float = 0.95, target: float = TARG
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    """Links of cosine 0.95 and more among all vectors, as counts and components."""
+    """Links of cosine 0.95 and more among all vectors, as counts and components.
+
+    Null, zero and non-finite vectors stay rows without links; repeated rows are linked with each other; null ids stay
+    rows; an empty table gives an empty result; other columns are not read.
+    """
     return embedding_links(table(spark, sf_dir, "embeddings")).withColumn("component_id", F.col("component_id").cast("long"))

@@ -308,5 +308,9 @@ def held_out_tenth(id_col: str = "doc_id"):
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
-    """Every document's log10 probability under the model of the other nine tenths, and the unigram base beside it."""
+    """Every document's log10 probability under the model of the other nine tenths, and the unigram base beside it.
+
+    A null, empty or blank text is its end token alone; texts of any length are scored whole; repeated rows count each time;
+    null ids stay rows; an empty table gives an empty result; other columns are not read.
+    """
     return score_corpus(table(spark, sf_dir, "documents"), held_out_tenth())

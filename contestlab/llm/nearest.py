@@ -230,6 +230,10 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col
 
 
 def op6_nearest(spark, sf_dir: str) -> DataFrame:
-    """The five nearest of every vector whose id is divisible by 50, among all others."""
+    """The five nearest of every vector whose id is divisible by 50, among all others.
+
+    Null, zero and non-finite vectors and those of another length take no part, nor null ids as queries; ties go to the
+    smaller id; repeated rows are rows of their own; an empty table gives an empty result; other columns are not read.
+    """
     found = nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
     return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", "vec_id", "score")

@@ -182,5 +182,9 @@ def ranks_path() -> str:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents in windows of at most 1024 tokens, every window mixed in the sources' own proportions."""
+    """All documents in windows of at most 1024 tokens, every window mixed in the sources' own proportions.
+
+    A null or empty text is its end token alone; texts of any length are packed whole; null sources form one queue; repeated
+    rows and null ids are documents of their own; an empty table gives no pieces; other columns are not read.
+    """
     return pack(table(spark, sf_dir, "documents"), ranks_path())

@@ -147,7 +147,11 @@ def shuffle_shards(rows: DataFrame, shards: int = 16, seed: int = 20240229) -> D
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards under the law `rows`; a null text counts as an empty one."""
+    """All documents in 16 shards under the law `rows`.
+
+    A null text counts as an empty one, of size 1; texts of any length count whole; repeated rows and null ids are rows of
+    their own; nothing is tied, as every row has a place; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     text = blank(F.col("text"))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))

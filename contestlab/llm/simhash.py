@@ -221,6 +221,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
-    """The fingerprint and component of every document: four-word shingles, links at four or fewer differing bits."""
+    """The fingerprint and component of every document: four-word shingles, links at four or fewer differing bits.
+
+    Null, empty and blank texts have fingerprint zero, linked like any other; texts of any length are read whole; repeated
+    rows and ties share a component; null ids stay rows; an empty table gives an empty result; other columns are not read.
+    """
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

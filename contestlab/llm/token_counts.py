@@ -149,7 +149,11 @@ def vocabulary_path() -> str:
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Tokens of every whole document."""
+    """Tokens of every whole document.
+
+    Null and empty texts have none; repeated rows and null ids stay rows; ties go to what the tokenizer reaches first; an
+    empty table gives an empty result; other columns are not read.
+    """
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path()).select(
         "doc_id", "n_tokens", "n_byte_tokens", F.col("log_score")
     )

@@ -440,7 +440,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
-    """The toxicity of every document, learned from four fifths of the labels."""
+    """The toxicity of every document, learned from four fifths of the labels.
+
+    Null, empty and blank texts have the prior's score; texts of any length are scored whole; equal texts score alike;
+    repeated rows and null ids stay rows; an empty table gives an empty result; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, table(spark, sf_dir, "labels"), training=~held_out_fifth())
     return scored.select("doc_id", held_out_fifth().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "n_windows")
