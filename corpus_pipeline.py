@@ -73,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents.
+
+    Null, empty and blank texts pass as each stage says and end as pieces of their end token; texts of any length are used
+    whole; repeated rows are copies, of which near-dedup keeps one; null ids stay rows; columns of any name pass until
+    packing; an empty table gives no pieces."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
