@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import brier, log_loss, rnd, rnd_sql
+from contestlab.operators import absences as A
 from contestlab.operators import refits as R
 from contestlab.operators import seeding as S
 from contestlab.operators import sparse as P
@@ -178,3 +179,31 @@ def left_out_regression(s, d):
     rest = P.leave_one_out(lines, ["athlete_id"], "game_id", points, minutes).where("left_out is not null")
     rows = own.join(rest, ["athlete_id", "game_id"])
     return rows.groupBy((F.col("athlete_id") % 10).alias("grp")).agg(F.count("*").alias("n"), rnd(F.avg("left_out"), 4).alias("mean_left_out"), rnd(F.regr_slope("y", "left_out"), 4).alias("slope"))
+
+
+@query(
+    with_views(CONTEST, SIDES, BOX)
+    + f""", tg AS (SELECT team_id, game_id, is_home, row_number() OVER (PARTITION BY team_id ORDER BY game_date, game_id) AS n FROM sides WHERE status = 'final'),
+pl AS (SELECT t.team_id, b.supplier AS athlete_id, t.n, sum(b.points) AS points FROM tg t JOIN box b ON b.game_id = t.game_id AND (b.side = 'home') = t.is_home GROUP BY ALL),
+sp AS (SELECT *, lead(n) OVER (PARTITION BY team_id, athlete_id ORDER BY n) - n - 1 AS length FROM pl),
+fur AS (SELECT missed, avg(length - missed) AS expected FROM (SELECT length, unnest(range(1, least(length, 20) + 1)) AS missed FROM sp WHERE length > 0) GROUP BY missed),
+now AS (SELECT p.team_id, athlete_id, l.last - max(n) AS missed, avg(points) / 10 AS points FROM pl p JOIN (SELECT team_id, max(n) AS last FROM tg GROUP BY 1) l USING (team_id) GROUP BY p.team_id, athlete_id, l.last),
+ab AS (SELECT team_id, points, expected FROM now JOIN fur ON fur.missed = least(now.missed, 20) WHERE now.missed > 0 AND expected > 0),
+pe AS (SELECT team_id, count(*) AS games FROM sides WHERE status = 'scheduled' GROUP BY 1),
+pt AS (SELECT team_id, games, unnest(range(-1, games)) AS place FROM pe),
+sh AS (SELECT p.team_id, place, points * least(1.0::DOUBLE, greatest(0.0::DOUBLE, expected - CASE WHEN place < 0 THEN games ELSE place END)) AS v FROM pt p JOIN ab USING (team_id))
+SELECT pt.team_id, pt.place::INT AS place, {rnd_sql('coalesce(sum(v), 0)', 4)} AS points, count(*) FILTER (v > 0) AS absent FROM pt LEFT JOIN sh ON sh.team_id = pt.team_id AND sh.place = pt.place GROUP BY ALL"""
+)
+def absences_ahead(s, d):
+    """What absences take from each team's coming contests, by how long absences that have lasted as long went on."""
+    side = sides(contests(s, d))
+    done = side.where("status = 'final'")
+    games = done.select("team_id", "game_id", "is_home", F.row_number().over(Window.partitionBy("team_id").orderBy("game_date", "game_id")).alias("n"))
+    lines = box_lines(s, d).select("game_id", (F.col("side") == "home").alias("is_home"), F.col("supplier").alias("athlete_id"), "points")
+    played = games.join(lines, ["game_id", "is_home"]).groupBy("team_id", "athlete_id", "n").agg(F.sum("points").alias("points"))
+    ended, open_ = A.spells(played, games)
+    worth = played.groupBy("team_id", "athlete_id").agg((F.avg("points") / 10).alias("points"))
+    going = open_.join(worth, ["team_id", "athlete_id"]).withColumn("missed", F.least("missed", F.lit(A.MOST)))
+    absences = going.join(F.broadcast(A.further(ended)), "missed")  # at most MOST rows
+    pending = side.where("status = 'scheduled'").groupBy("team_id").agg(F.count("*").alias("games"))
+    return A.spread(absences, pending).select("team_id", "place", rnd(F.col("points"), 4).alias("points"), "absent")
