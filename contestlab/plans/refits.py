@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from contestlab.functions.scoring import brier, log_loss, rnd, rnd_sql
 from contestlab.operators import absences as A
 from contestlab.operators import refits as R
+from contestlab.operators import search as D
 from contestlab.operators import seeding as S
 from contestlab.operators import sparse as P
 from contestlab.plans.registry import registry
+from contestlab.session import cut_lineage
 from contestlab.sources.views import BOX, CONTEST, PREDICTION, SIDES, TEAM, box_lines, contests, predictions, ratable, sides, teams, with_views
 
 QUERIES, ORACLES, query = registry()
@@ -207,3 +209,55 @@ def absences_ahead(s, d):
     absences = going.join(F.broadcast(A.further(ended)), "missed")  # at most MOST rows
     pending = side.where("status = 'scheduled'").groupBy("team_id").agg(F.count("*").alias("games"))
     return A.spread(absences, pending).select("team_id", "place", rnd(F.col("points"), 4).alias("points"), "absent")
+
+
+CURVE = {"scale": [8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0, 1024.0], "home": [-8.0, -4.0, 0.0, 2.0, 4.0, 8.0, 16.0], "cap": [2.0, 5.0, 10.0, 20.0, 40.0, 80.0]}
+START = {"scale": 16.0, "home": 4.0, "cap": 40.0}
+
+
+def _descent_sql(passes: int = 4) -> str:
+    """best{k}(scale, home, cap, loss) after each coordinate, unrolled; from cell(x, neutral, n, won)."""
+    loss = "sum(-won * ln(q) - (n - won) * ln(1 - q))"
+    q = "least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, 1 / (1 + exp(-(least(cap, greatest(-cap, x)) + CASE WHEN neutral THEN 0 ELSE home END) / scale))))"
+    first = ", ".join(f"{v}::DOUBLE AS {k}" for k, v in START.items())
+    parts = [f", best0 AS (SELECT scale, home, cap, {loss} AS loss FROM (SELECT *, {q} AS q FROM cell, (SELECT {first})) GROUP BY ALL)"]
+    k = 0
+    for turn in range(2 * passes):
+        for name, values in CURVE.items():
+            listed = f"{values}::DOUBLE[]"
+            if turn >= passes:  # the grids whose edge was best have one step more
+                edge = lambda at, step: f"CASE WHEN (SELECT {name} FROM best{passes * len(CURVE)}) = {at} THEN [{step}]::DOUBLE[] ELSE []::DOUBLE[] END"
+                listed = f"({edge(values[0], 2 * values[0] - values[1])} || {listed} || {edge(values[-1], 2 * values[-1] - values[-2])})"
+            rest = ", ".join("v AS " + c if c == name else c for c in CURVE)
+            parts.append(
+                f", try{k} AS (SELECT scale, home, cap, i, {loss} AS loss FROM (SELECT *, {q} AS q FROM cell, (SELECT i, {rest} FROM best{k}, (SELECT unnest({listed}) AS v, generate_subscripts({listed}, 1) AS i))) GROUP BY ALL),"
+                f" best{k + 1} AS (SELECT CASE WHEN t.loss < b.loss - 1e-7 THEN t.scale ELSE b.scale END AS scale, CASE WHEN t.loss < b.loss - 1e-7 THEN t.home ELSE b.home END AS home, CASE WHEN t.loss < b.loss - 1e-7 THEN t.cap ELSE b.cap END AS cap, least(t.loss, b.loss) AS loss FROM best{k} b, (SELECT * FROM try{k} ORDER BY loss, i LIMIT 1) t)"
+            )
+            k += 1
+    return "".join(parts) + f", best AS (SELECT * FROM best{k})"
+
+
+@query(
+    with_views(CONTEST)
+    + """, cell AS (SELECT (h.m - a.m)::DOUBLE AS x, neutral, count(*) AS n, sum((home_score > away_score)::INT) AS won FROM ratable c
+  JOIN (SELECT season, home_id AS t, floor(avg(home_score - away_score)) AS m FROM ratable GROUP BY ALL) h ON h.season = c.season - 1 AND h.t = home_id
+  JOIN (SELECT season, away_id AS t, floor(avg(away_score - home_score)) AS m FROM ratable GROUP BY ALL) a ON a.season = c.season - 1 AND a.t = away_id GROUP BY ALL)"""
+    + _descent_sql()
+    + f" SELECT scale, home, cap, {rnd_sql('loss', 4)} AS loss FROM best"
+)
+def margin_curve_search(s, d):
+    """Scale, home court and cap of a curve from last season's margins to chances, by coordinate descent over its cells."""
+    games = ratable(contests(s, d))
+    margin = F.col("home_score") - F.col("away_score")
+    form = lambda side, m: games.groupBy((F.col("season") + 1).alias("season"), side).agg(F.floor(F.avg(m)).alias("m_" + side))
+    rows = games.join(form("home_id", margin), ["season", "home_id"]).join(form("away_id", -margin), ["season", "away_id"])
+    x = (F.col("m_home_id") - F.col("m_away_id")).cast("double").alias("x")
+    cells = cut_lineage(rows.groupBy(x, "neutral").agg(F.count("*").alias("n"), F.sum((margin > 0).cast("long")).alias("won")))
+
+    def loss(p):
+        z = F.least(p["cap"], F.greatest(-p["cap"], F.col("x"))) + F.when(F.col("neutral"), 0.0).otherwise(p["home"])
+        q = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), 1.0 / (1.0 + F.exp(-z / p["scale"]))))
+        return -F.col("won") * F.ln(q) - (F.col("n") - F.col("won")) * F.ln(1.0 - q)
+
+    best, least = D.coordinate_descent(cells, CURVE, START, loss)
+    return s.range(1).select(*[F.lit(best[k]).alias(k) for k in CURVE], rnd(F.lit(least), 4).alias("loss"))
