@@ -13,11 +13,12 @@ def broken_rules(rows: DataFrame, keys: list[str], rules: dict[str, Column]) ->
 
 
 def clause_counts(rows: DataFrame, clauses: dict[str, Column]) -> DataFrame:
-    """How many rows each clause rejects, how many it alone rejects, and how many any does; one row per clause."""
+    """How many rows each clause rejects, how many it alone rejects, how many any does and how many there are; one row per
+    clause, at its place."""
     hits = [F.coalesce(c, F.lit(False)).cast("int") for c in clauses.values()]
     total = sum(hits[1:], hits[0])
-    sums = [F.struct(F.lit(n).alias("clause"), F.sum(h).cast("long").alias("rejected"), F.sum(((h == 1) & (total == 1)).cast("long")).alias("alone")) for n, h in zip(clauses, hits)]
-    return rows.agg(F.array(*sums).alias("all"), F.sum((total > 0).cast("long")).alias("any")).select(F.explode("all").alias("c"), "any").select("c.*", "any")
+    sums = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("clause"), F.coalesce(F.sum(h).cast("long"), F.lit(0)).alias("rejected"), F.coalesce(F.sum(((h == 1) & (total == 1)).cast("long")), F.lit(0)).alias("alone")) for i, (n, h) in enumerate(zip(clauses, hits))]
+    return rows.agg(F.array(*sums).alias("all"), F.coalesce(F.sum((total > 0).cast("long")), F.lit(0)).alias("any"), F.count("*").alias("candidates")).select(F.explode("all").alias("c"), "any", "candidates").select("c.*", "any", "candidates")
 
 
 def observation_issues(rows: DataFrame, known: DataFrame, unique: list[str], reference: str, at: str, until: str) -> DataFrame:

@@ -52,7 +52,7 @@ CL = {"low p": "p < 0.2", "high p": "p > 0.8", "flagged": "flag = 1", "foreign":
     + " UNION ALL ".join(f"SELECT '{n}' AS clause, sum(c{i})::BIGINT AS rejected, sum((c{i} = 1 AND n = 1)::INT)::BIGINT AS alone, sum((n > 0)::INT)::BIGINT AS \"any\" FROM t" for i, n in enumerate(CL))
 )
 def rejection_clause_counts(s, d):
-    return U.clause_counts(predictions(s, d), {n: F.expr(c) for n, c in CL.items()})
+    return U.clause_counts(predictions(s, d), {n: F.expr(c) for n, c in CL.items()}).drop("place", "candidates")
 
 
 @query(
