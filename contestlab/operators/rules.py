@@ -155,3 +155,128 @@ def values_before(rows: DataFrame, decay: float, weight: float, prior: float) ->
     met = current.join(summed, ["athlete_id", "season"]).withColumn("played", F.col("d") + F.col("past_d"))
     value = F.when(F.col("played") > 0, (F.col("r") + F.col("past_r") + weight * prior) / (F.col("played") + weight))
     return met.select("athlete_id", "season", "day", "played", value.alias("value"))
+
+
+# How many series a round of a conference holds, how long a series is, and the bounds of settings.
+ROUNDS = {"First Round": 4, "Conference Semifinal": 2, "Conference Final": 1}
+FINALS, FINALS_CONFERENCE = "Finals", "Finals"
+WINS_REQUIRED = (3, 4)
+WEIGHTS, WEIGHT_SLACK, HOME_ADVANTAGE = (0.5, 1.5), 0.15, (0, 5)
+
+
+def _levelled(rows: DataFrame, keys: list[str], errors: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
+    """broken_rules() of both in one pass, with the level before the rule."""
+    level = F.when(F.col("rule").isin(*warnings), "warning").otherwise("error").alias("level")
+    return broken_rules(rows, keys, errors | warnings).select(*keys, level, "rule")
+
+
+def most_games(wins_required: Column) -> Column:
+    return wins_required * 2 - 1
+
+
+def series_rules(series: DataFrame, teams: DataFrame) -> DataFrame:
+    """(bracket, series_id, level, rule): what is wrong with each configured series by itself, as errors or warnings.
+
+    series(bracket, series_id, conference, round, bracket_order, team_a, team_b, wins_required, wins_a, wins_b,
+    home_pattern, p); teams(team_id, conference), small: joined for either side. Fields are whole numbers or doubles;
+    a null number breaks its rule; home_pattern is bounded by a series' length."""
+    of = lambda side: teams.select(F.col("team_id").alias(f"team_{side}"), F.lit(True).alias(f"_{side}"), F.col("conference").alias(f"_conference_{side}"))
+    rows = series.join(of("a"), "team_a", "left").join(of("b"), "team_b", "left")
+    need, a, b = F.col("wins_required"), F.col("wins_a"), F.col("wins_b")
+    last = F.col("round") == FINALS
+    known = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    whole = lambda x: F.coalesce(x == F.floor(x), F.lit(False))
+    errors = {
+        "must need three or four wins": ~F.coalesce(need.isin(*WINS_REQUIRED), F.lit(False)),
+        "finals outside their conference": last & (F.col("conference") != FINALS_CONFERENCE),
+        "finals' conference in another round": ~last & (F.col("conference") == FINALS_CONFERENCE),
+        "bracket order not positive": ~(whole(F.col("bracket_order")) & (F.col("bracket_order") > 0)),
+        "missing team A": F.col("_a").isNull(),
+        "missing team B": F.col("_b").isNull(),
+        "home pattern names another team": F.exists("home_pattern", lambda x: (x != F.col("team_a")) & (x != F.col("team_b"))),
+        "score not whole": ~(whole(a) & whole(b)),
+        "negative score": (a < 0) | (b < 0),
+        "score above the wins needed": (a > need) | (b > need),
+        "both have the wins needed": (a == need) & (b == need),
+        "more games than possible": a + b > most_games(need),
+        "finals in one conference": last & known & (F.col("_conference_a") == F.col("_conference_b")),
+        "chance out of bounds": known & outside(F.col("p"), 0, 1),
+    }
+    warnings = {"home pattern of another length": F.size("home_pattern") != most_games(need)}
+    return _levelled(rows, ["bracket", "series_id"], errors, warnings)
+
+
+def bracket_coverage(series: DataFrame, conferences: DataFrame) -> DataFrame:
+    """(bracket, conference, round, configured, expected, repeated, complete) for every bracket, conference and round.
+
+    A first round must be whole; later rounds may be empty. repeated: some of its bracket orders are equal. The frame of
+    brackets, conferences(conference) and rounds is laid out first, so empty rounds have their row: conferences are few."""
+    frame = series.select("bracket").distinct().join(F.broadcast(conferences.select("conference").distinct()))
+    rounds = F.explode(F.array(*[F.struct(F.lit(n).alias("round"), F.lit(k).alias("expected")) for n, k in ROUNDS.items()])).alias("r")
+    frame = frame.select("bracket", "conference", rounds).select("bracket", "conference", "r.*")
+    held = series.groupBy("bracket", "conference", "round").agg(F.count("*").alias("configured"), (F.count("bracket_order") > F.count_distinct("bracket_order")).alias("repeated"))
+    met = frame.join(held, ["bracket", "conference", "round"], "left").na.fill({"configured": 0, "repeated": False})
+    complete = (F.col("configured") == F.col("expected")) | ((F.col("configured") == 0) & (F.col("round") != next(iter(ROUNDS))))
+    return met.select("bracket", "conference", "round", "configured", "expected", "repeated", complete.alias("complete"))
+
+
+def bracket_rules(series: DataFrame, conferences: DataFrame) -> DataFrame:
+    """(bracket, conference, round, level, rule): what is wrong with brackets as wholes."""
+    covered = bracket_coverage(series, conferences)
+    rounds = _levelled(covered, ["bracket", "conference", "round"], {"bracket orders repeated": F.col("repeated")}, {"round not whole": ~F.col("complete")})
+    finals = series.where(F.col("round") == FINALS).groupBy("bracket").agg(F.count("*").alias("n")).where("n > 1")
+    many = finals.select("bracket", F.lit(FINALS_CONFERENCE).alias("conference"), F.lit(FINALS).alias("round"), F.lit("error").alias("level"), F.lit("more than one finals series").alias("rule"))
+    return rounds.unionByName(many)
+
+
+def settings_rules(settings: DataFrame) -> DataFrame:
+    """(settings_id, level, rule) of settings(settings_id, player_weight, rating_weight, elo_weight, home_advantage,
+    iterations, scale); nulls break their rule."""
+    total = F.col("player_weight") + F.col("rating_weight") + F.col("elo_weight")
+    n = F.col("iterations")
+    errors = {
+        "weights far from one": outside(total, *WEIGHTS),
+        "iterations not a positive whole number": ~F.coalesce((n == F.floor(n)) & (n > 0), F.lit(False)),
+        "scale not positive": ~F.coalesce(F.col("scale") > 0, F.lit(False)),
+    }
+    warnings = {"weights don't add up to one": F.abs(total - 1) > WEIGHT_SLACK, "home advantage out of range": outside(F.col("home_advantage"), *HOME_ADVANTAGE)}
+    return _levelled(settings, ["settings_id"], errors, warnings)
+
+
+def series_anomalies(series: DataFrame) -> DataFrame:
+    """(season, series_id, rule) of finished series(season, series_id, wins_required, team_a, team_b, winner, wins_a,
+    wins_b, games, home_pattern, bubble, bubble_season)."""
+    need, a, b = F.col("wins_required"), F.col("wins_a"), F.col("wins_b")
+    won = F.when(F.col("winner") == F.col("team_a"), a).when(F.col("winner") == F.col("team_b"), b)
+    return broken_rules(series, ["season", "series_id"], {
+        "games out of bounds": ~F.coalesce(F.col("games").between(need, most_games(need)), F.lit(False)),
+        "winner without the wins needed": ~F.coalesce(won == need, F.lit(False)),
+        "wins don't add up to games": a + b != F.col("games"),
+        "home pattern of another length": F.size("home_pattern") != F.col("games"),
+        "bubble flag": F.col("bubble") != F.col("bubble_season"),
+    })
+
+
+def archive_leakage(records: DataFrame) -> DataFrame:
+    """(id, rule) of records(id, number, included, wins_a, wins_b, snapshot_as_of, forecast_as_of): forecasts that may know
+    more or less than the contests before theirs."""
+    return broken_rules(records, ["id"], {
+        "other results included": F.col("included") != F.col("number") - 1,
+        "score differs from the results included": F.col("wins_a") + F.col("wins_b") != F.col("included"),
+        "snapshot not before the forecast": F.col("snapshot_as_of") >= F.col("forecast_as_of"),
+    })
+
+
+SCORE_BOUND, ON_COURT_BOUND, PARTS_TOLERANCE = 25, 10, 0.0011  # points per 100 possessions; three decimals of three numbers
+
+
+def score_rules(scores: DataFrame) -> DataFrame:
+    """(athlete_id, rule) of published scores(athlete_id, score, box, on_court, share); nulls and NaN break their rule."""
+    off = F.abs(F.col("score") - (F.col("box") + F.col("on_court")))
+    return broken_rules(scores, ["athlete_id"], {
+        "score out of bounds": outside(F.col("score"), -SCORE_BOUND, SCORE_BOUND),
+        "box value out of bounds": outside(F.col("box"), -SCORE_BOUND, SCORE_BOUND),
+        "on-court value out of bounds": outside(F.col("on_court"), -ON_COURT_BOUND, ON_COURT_BOUND),
+        "not the sum of its parts": outside(off, 0, PARTS_TOLERANCE),
+        "share out of bounds": outside(F.col("share"), 0, 1),
+    })

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import rules as R
 from contestlab.plans.registry import registry
-from contestlab.sources.views import BOX, CONTEST, box_lines, contests, table, with_views
+from contestlab.sources.views import BOX, CONTEST, TEAM, box_lines, contests, table, teams, with_views
 
 QUERIES, ORACLES, query = registry()
 
@@ -165,3 +166,151 @@ def value_before_each_day(s, d):
     rows = box_lines(s, d).join(day, "game_id").select("athlete_id", "season", "day", F.col("minutes").alias("played"), F.col("points").alias("rated"))
     got = R.values_before(rows, 0.5, 100.0, 1.5)
     return got.select("athlete_id", "season", F.col("day").cast("string").alias("day"), rnd(F.col("played")).alias("played"), rnd(F.col("value")).alias("value"))
+
+
+BRACKET = """
+numbered AS (SELECT *, least(home_id, away_id) AS a, greatest(home_id, away_id) AS b, row_number() OVER (PARTITION BY season, least(home_id, away_id), greatest(home_id, away_id) ORDER BY game_date, game_id) AS n FROM contest),
+pair AS (SELECT season, a, b, count(*) AS total, CASE WHEN bool_or(neutral AND n <= 7) THEN 3 ELSE 4 END AS need, count(*) FILTER (n <= 7 AND status = 'final') AS games,
+    count(*) FILTER (n <= 7 AND status = 'final' AND CASE WHEN home_id = a THEN home_score > away_score ELSE away_score > home_score END) AS wins_a,
+    count(*) FILTER (n <= 7 AND status = 'final' AND CASE WHEN home_id = a THEN home_score < away_score ELSE away_score < home_score END) AS wins_b,
+    list(home_id ORDER BY n) FILTER (n <= 7) AS pattern FROM numbered GROUP BY ALL),
+bracket AS (SELECT pair.*, season || '-' || a || '-' || b AS series_id, total % 5 AS bracket_order, x.conference AS ca, y.conference AS cb, CASE WHEN x.conference = y.conference THEN x.conference ELSE 'Finals' END AS conference,
+    CASE WHEN x.conference <> y.conference THEN 'Finals' ELSE CASE row_number() OVER (PARTITION BY season, x.conference, x.conference = y.conference ORDER BY total DESC, a, b) WHEN 5 THEN 'Conference Semifinal' WHEN 6 THEN 'Conference Semifinal' WHEN 7 THEN 'Conference Final' ELSE 'First Round' END END AS round
+  FROM pair JOIN team x ON x.team_id = a JOIN team y ON y.team_id = b)"""
+
+
+def bracket(s, d):
+    """Pairs of teams as a season's series of at most seven contests: pairs of one conference are its rounds, the fifth
+    and sixth most frequent the semifinals, the seventh the final; pairs of two conferences are finals."""
+    c = contests(s, d).withColumns({"team_a": F.least("home_id", "away_id"), "team_b": F.greatest("home_id", "away_id")})
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy("season", "team_a", "team_b").orderBy("game_date", "game_id")))
+    held, done = F.col("n") <= 7, F.col("status") == "final"
+    lead = F.when(F.col("home_id") == F.col("team_a"), 1).otherwise(-1) * (F.col("home_score") - F.col("away_score"))
+    pair = c.groupBy("season", "team_a", "team_b").agg(
+        F.count("*").alias("total"), F.when(F.max(F.col("neutral") & held), 3).otherwise(4).alias("wins_required"), F.count(F.when(held & done, 1)).alias("games"),
+        F.count(F.when(held & done & (lead > 0), 1)).alias("wins_a"), F.count(F.when(held & done & (lead < 0), 1)).alias("wins_b"), F.sort_array(F.collect_list(F.when(held, F.struct("n", "home_id"))))["home_id"].alias("home_pattern"),
+    )
+    of = lambda side: teams(s, d).select(F.col("team_id").alias(f"team_{side}"), F.col("conference").alias(f"c{side}"))
+    both = pair.join(F.broadcast(of("a")), "team_a").join(F.broadcast(of("b")), "team_b").withColumn("inner", F.col("ca") == F.col("cb"))
+    place = F.row_number().over(Window.partitionBy("season", "ca", "inner").orderBy(F.desc("total"), "team_a", "team_b"))
+    rounds = F.when(~F.col("inner"), "Finals").when(place.isin(5, 6), "Conference Semifinal").when(place == 7, "Conference Final").otherwise("First Round")
+    return both.select(
+        "season", F.col("season").alias("bracket"), F.concat_ws("-", "season", "team_a", "team_b").alias("series_id"), F.when(F.col("inner"), F.col("ca")).otherwise("Finals").alias("conference"), rounds.alias("round"),
+        (F.col("total") % 5).alias("bracket_order"), "team_a", "team_b", "wins_required", "wins_a", "wins_b", "games", "home_pattern", F.try_divide(F.col("wins_a"), F.col("wins_a") + F.col("wins_b")).alias("p"),
+    )
+
+
+SERIES_RULES = {
+    ("error", "must need three or four wins"): "need NOT IN (3, 4)", ("error", "finals outside their conference"): "round = 'Finals' AND conference <> 'Finals'", ("error", "finals' conference in another round"): "round <> 'Finals' AND conference = 'Finals'",
+    ("error", "bracket order not positive"): "bracket_order <= 0", ("error", "home pattern names another team"): "len(list_filter(pattern, lambda x: x <> a AND x <> b)) > 0", ("error", "negative score"): "wins_a < 0 OR wins_b < 0",
+    ("error", "score above the wins needed"): "wins_a > need OR wins_b > need", ("error", "both have the wins needed"): "wins_a = need AND wins_b = need", ("error", "more games than possible"): "wins_a + wins_b > need * 2 - 1",
+    ("error", "finals in one conference"): "round = 'Finals' AND ca = cb", ("error", "chance out of bounds"): "wins_a + wins_b = 0", ("warning", "home pattern of another length"): "len(pattern) <> need * 2 - 1",
+}
+
+
+def _listed(rules: dict) -> str:
+    """SQL of the broken rules of a row, as structs of level and rule."""
+    cases = [f"CASE WHEN {sql} THEN struct_pack(level := '{level}', rule := '{rule.replace(chr(39), chr(39) * 2)}') END" for (level, rule), sql in rules.items()]
+    return f"unnest(list_filter([{', '.join(cases)}], lambda z: z IS NOT NULL))"
+
+
+@query(with_views(CONTEST, TEAM, BRACKET) + f", x AS (SELECT series_id, {_listed(SERIES_RULES)} AS r FROM bracket) SELECT series_id, r.level AS level, r.rule AS rule FROM x")
+def series_rule_violations(s, d):
+    """Errors and warnings of every series of every season's bracket."""
+    return R.series_rules(bracket(s, d), teams(s, d)).select("series_id", "level", "rule")
+
+
+COVERAGE = """
+expected AS (SELECT unnest(['First Round', 'Conference Semifinal', 'Conference Final']) AS round, unnest([4, 2, 1]) AS expected),
+coverage AS (SELECT f.season AS bracket, f.conference, f.round, expected, count(b.series_id) AS configured, count(b.series_id) > count(DISTINCT b.bracket_order) AS repeated, count(b.series_id) = expected OR (count(b.series_id) = 0 AND f.round <> 'First Round') AS complete
+  FROM (SELECT DISTINCT season, team.conference, expected.round, expected FROM bracket, team, expected) f LEFT JOIN bracket b ON b.season = f.season AND b.conference = f.conference AND b.round = f.round GROUP BY f.season, f.conference, f.round, expected)"""
+
+
+@query(with_views(CONTEST, TEAM, BRACKET, COVERAGE) + "SELECT * FROM coverage")
+def bracket_round_coverage(s, d):
+    """How many series each round of each conference holds, of those that it should."""
+    return R.bracket_coverage(bracket(s, d), teams(s, d))
+
+
+@query(
+    with_views(CONTEST, TEAM, BRACKET, COVERAGE)
+    + """SELECT bracket, conference, round, 'error' AS level, 'bracket orders repeated' AS rule FROM coverage WHERE repeated UNION ALL SELECT bracket, conference, round, 'warning', 'round not whole' FROM coverage WHERE NOT complete
+UNION ALL SELECT season, 'Finals', 'Finals', 'error', 'more than one finals series' FROM bracket WHERE round = 'Finals' GROUP BY season HAVING count(*) > 1"""
+)
+def bracket_rule_violations(s, d):
+    """What is wrong with each season's bracket as a whole."""
+    return R.bracket_rules(bracket(s, d), teams(s, d))
+
+
+SETTINGS_RULES = {
+    ("error", "weights far from one"): "w NOT BETWEEN 0.5 AND 1.5", ("error", "iterations not a positive whole number"): "n <= 0", ("error", "scale not positive"): "scale <= 0",
+    ("warning", "weights don't add up to one"): "abs(w - 1) > 0.15", ("warning", "home advantage out of range"): "home NOT BETWEEN 0 AND 5",
+}
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey AS settings_id, p_size / 50 + 0.25::DOUBLE + 0.25::DOUBLE AS w, p_retailprice / 250 AS home, p_size * 200 - 200 AS n, p_size - 2 AS scale FROM part), x AS (SELECT {_listed(SETTINGS_RULES)} AS r FROM s)
+SELECT r.level AS level, r.rule AS rule, count(*) AS settings FROM x GROUP BY ALL"""
+)
+def settings_rule_violations(s, d):
+    """Parts as candidate settings, by size and price: how many break each rule."""
+    p = table(s, d, "part")
+    size = F.col("p_size")
+    settings = p.select(
+        F.col("p_partkey").alias("settings_id"), (size / 50).alias("player_weight"), F.lit(0.25).alias("rating_weight"), F.lit(0.25).alias("elo_weight"), (F.col("p_retailprice") / 250).alias("home_advantage"),
+        (size * 200 - 200).alias("iterations"), (size - 2).alias("scale"),
+    )
+    return R.settings_rules(settings).groupBy("level", "rule").agg(F.count("*").alias("settings"))
+
+
+ANOMALIES = {
+    ("", "games out of bounds"): "games NOT BETWEEN need AND need * 2 - 1", ("", "winner without the wins needed"): "coalesce(CASE WHEN wins_a > wins_b THEN wins_a WHEN wins_b > wins_a THEN wins_b END <> need, true)",
+    ("", "wins don't add up to games"): "wins_a + wins_b <> games", ("", "home pattern of another length"): "len(pattern) <> games", ("", "bubble flag"): "(need = 3) <> (season = 1996)",
+}
+
+
+@query(with_views(CONTEST, TEAM, BRACKET) + f", x AS (SELECT season, series_id, {_listed(ANOMALIES)} AS r FROM bracket) SELECT season, series_id, r.rule AS rule FROM x")
+def series_anomaly_list(s, d):
+    """What is odd about each series as a finished one; 1996 is the season of neutral ground, where three wins are needed."""
+    winner = F.when(F.col("wins_a") > F.col("wins_b"), F.col("team_a")).when(F.col("wins_b") > F.col("wins_a"), F.col("team_b"))
+    rows = bracket(s, d).withColumns({"winner": winner, "bubble": F.col("wins_required") == 3, "bubble_season": F.col("season") == 1996})
+    return R.series_anomalies(rows)
+
+
+@query(
+    with_views(CONTEST)
+    + """, r AS (SELECT game_id, row_number() OVER o AS number, coalesce(count(*) FILTER (status = 'final') OVER b, 0) AS included, coalesce(count(*) FILTER (status = 'final' AND home_score <> away_score) OVER b, 0) AS wins, lag(game_date) OVER o AS shot, game_date FROM contest
+WINDOW o AS (PARTITION BY season, least(home_id, away_id), greatest(home_id, away_id) ORDER BY game_date, game_id), b AS (PARTITION BY season, least(home_id, away_id), greatest(home_id, away_id) ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT game_id, unnest(list_filter([CASE WHEN included <> number - 1 THEN 'other results included' END, CASE WHEN wins <> included THEN 'score differs from the results included' END, CASE WHEN shot >= game_date THEN 'snapshot not before the forecast' END], lambda z: z IS NOT NULL)) AS rule FROM r"""
+)
+def archive_leakage_list(s, d):
+    """Each contest as a forecast of its day that includes its pair's finished contests and was taken at the one before."""
+    c = contests(s, d).withColumns({"a": F.least("home_id", "away_id"), "b": F.greatest("home_id", "away_id")})
+    order = Window.partitionBy("season", "a", "b").orderBy("game_date", "game_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    done = F.col("status") == "final"
+    lead = F.when(F.col("home_id") == F.col("a"), 1).otherwise(-1) * (F.col("home_score") - F.col("away_score"))
+    count = lambda what: F.count(F.when(what, 1)).over(before)
+    records = c.select(
+        F.col("game_id").alias("id"), F.row_number().over(order).alias("number"), count(done).alias("included"), count(done & (lead > 0)).alias("wins_a"), count(done & (lead < 0)).alias("wins_b"),
+        F.lag("game_date").over(order).alias("snapshot_as_of"), F.col("game_date").alias("forecast_as_of"),
+    )
+    return R.archive_leakage(records).withColumnRenamed("id", "game_id")
+
+
+@query(
+    with_views(BOX)
+    + """, x AS (SELECT athlete_id, floor(100 * sum(CASE side WHEN 'home' THEN points ELSE -points END)::DOUBLE / sum(minutes) / 4 * 1000 + 0.5) / 1000 AS score, floor(100 * sum(CASE WHEN starter THEN CASE side WHEN 'home' THEN points ELSE -points END END)::DOUBLE / sum(minutes) / 4 * 1000 + 0.5) / 1000 AS box,
+floor(100 * sum(CASE WHEN line_no IN (3, 4) THEN CASE side WHEN 'home' THEN points ELSE -points END END)::DOUBLE / sum(minutes) / 4 * 1000 + 0.5) / 1000 AS on_court, sum(minutes) FILTER (starter)::DOUBLE / sum(minutes) AS share FROM box GROUP BY athlete_id)
+SELECT athlete_id, unnest(list_filter([CASE WHEN NOT coalesce(score BETWEEN -25 AND 25, false) THEN 'score out of bounds' END, CASE WHEN NOT coalesce(box BETWEEN -25 AND 25, false) THEN 'box value out of bounds' END, CASE WHEN NOT coalesce(on_court BETWEEN -10 AND 10, false) THEN 'on-court value out of bounds' END,
+CASE WHEN NOT coalesce(abs(score - (box + on_court)) <= 0.0011, false) THEN 'not the sum of its parts' END, CASE WHEN NOT coalesce(share BETWEEN 0 AND 1, false) THEN 'share out of bounds' END], lambda z: z IS NOT NULL)) AS rule FROM x"""
+)
+def published_score_rules(s, d):
+    """Signed points a minute of every athlete, in two parts to three decimals: what a published score may not be."""
+    signed = F.when(F.col("side") == "home", F.col("points")).otherwise(-F.col("points"))
+    per = lambda what: F.floor(100 * F.sum(what).cast("double") / F.sum("minutes") / 4 * 1000 + 0.5) / 1000
+    scores = box_lines(s, d).groupBy("athlete_id").agg(
+        per(signed).alias("score"), per(F.when(F.col("starter"), signed)).alias("box"), per(F.when(F.col("line_no").isin(3, 4), signed)).alias("on_court"),
+        (F.sum(F.when(F.col("starter"), F.col("minutes"))).cast("double") / F.sum("minutes")).alias("share"),
+    )
+    return R.score_rules(scores)

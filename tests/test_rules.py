@@ -137,3 +137,76 @@ def test_values_before_each_day(spark):
         ("a", 2026, 1): (24 / 4 + 10 / 8, pytest.approx((14 / 4 + 20 / 8 + 5) / (24 / 4 + 10 / 8 + 5))),
     }
     assert got.where(F.col("value").isNull()).count() == 2
+
+
+SERIES = {
+    "bracket": 1, "series_id": "s", "conference": "East", "round": "First Round", "bracket_order": 1.0, "team_a": "a", "team_b": "b", "wins_required": 4, "wins_a": 4.0, "wins_b": 3.0,
+    "home_pattern": list("aabbaba"), "p": 0.5,
+}
+SERIES_TYPES = "bracket int, series_id string, conference string, round string, bracket_order double, team_a string, team_b string, wins_required int, wins_a double, wins_b double, home_pattern array<string>, p double"
+
+
+def test_rules_of_a_series(spark):
+    teams = spark.createDataFrame([("a", "East"), ("b", "East"), ("w", "West")], "team_id string, conference string")
+    finals = {"round": "Finals", "conference": "Finals", "team_b": "w", "home_pattern": list("aawwawa")}
+    cases = [
+        ({}, []),
+        (finals, []),
+        (finals | {"conference": "East"}, ["finals outside their conference"]),
+        (finals | {"team_b": "b", "home_pattern": list("aabbaba")}, ["finals in one conference"]),
+        ({"conference": "Finals"}, ["finals' conference in another round"]),
+        ({"wins_required": 5, "home_pattern": list("aabbabaab")}, ["must need three or four wins"]),
+        ({"wins_required": 3, "home_pattern": list("aabba"), "wins_a": 3.0, "wins_b": 2.0}, []),
+        *[({"bracket_order": x}, ["bracket order not positive"]) for x in (0.0, 1.5, None)],
+        ({"team_a": "x", "home_pattern": list("xxbbxbx")}, ["missing team A"]),
+        ({"team_b": "x", "home_pattern": list("aaxxaxa"), "p": None}, ["missing team B"]),
+        ({"home_pattern": list("aawbaba")}, ["home pattern names another team"]),
+        ({"home_pattern": list("aabbab")}, ["home pattern of another length"]),
+        ({"wins_a": 2.5}, ["score not whole"]),
+        ({"wins_b": -1.0}, ["negative score"]),
+        ({"wins_a": 5.0, "wins_b": 1.0}, ["score above the wins needed"]),
+        ({"wins_b": 4.0}, ["both have the wins needed", "more games than possible"]),
+        *[({"p": x}, ["chance out of bounds"]) for x in (None, 1.01, float("nan"))],
+    ]
+    rows = [tuple((SERIES | {"series_id": f"{i:02}"} | c).values()) for i, (c, _) in enumerate(cases)]
+    got = sorted((int(r.series_id), r.rule, r.level) for r in R.series_rules(spark.createDataFrame(rows, SERIES_TYPES), teams).collect())
+    assert got == [(i, rule, "warning" if "length" in rule else "error") for i, (_, rules) in enumerate(cases) for rule in rules]
+
+
+def test_rounds_of_a_bracket(spark):
+    row = lambda **c: tuple((SERIES | c).values())
+    whole = [row(bracket_order=float(i)) for i in range(4)]
+    rows = whole + [row(conference="West", bracket_order=1.0)] * 2 + [row(conference="West", round="Conference Final")] + [row(conference="Finals", round="Finals")] * 2
+    series, conferences = spark.createDataFrame(rows, SERIES_TYPES), spark.createDataFrame([("East",), ("West",)], "conference string")
+    got = {(r.conference, r.round): (r.configured, r.repeated, r.complete) for r in R.bracket_coverage(series, conferences).collect()}
+    assert got == {
+        ("East", "First Round"): (4, False, True), ("East", "Conference Semifinal"): (0, False, True), ("East", "Conference Final"): (0, False, True),
+        ("West", "First Round"): (2, True, False), ("West", "Conference Semifinal"): (0, False, True), ("West", "Conference Final"): (1, False, True),
+    }
+    rules = sorted(tuple(r)[1:] for r in R.bracket_rules(series, conferences).collect())
+    assert rules == [("Finals", "Finals", "error", "more than one finals series"), ("West", "First Round", "error", "bracket orders repeated"), ("West", "First Round", "warning", "round not whole")]
+    assert R.bracket_rules(series.limit(0), conferences).count() == 0
+
+
+def test_rules_of_settings_scores_archives_and_finished_series(spark):
+    settings = [(1, 0.5, 0.25, 0.25, 2.0, 100.0, 1.0), (2, 0.5, 0.25, 0.0, 2.0, 100.0, 1.0), (3, 1.0, 0.5, 0.25, 2.0, 100.0, 1.0), (4, 0.5, 0.25, 0.25, 6.0, 1.5, 0.0), (5, 0.5, 0.25, 0.25, 2.0, None, None)]
+    got = R.settings_rules(spark.createDataFrame(settings, "settings_id int, player_weight double, rating_weight double, elo_weight double, home_advantage double, iterations double, scale double"))
+    n, scale, one = "iterations not a positive whole number", "scale not positive", "weights don't add up to one"
+    assert sorted((r.settings_id, r.rule) for r in got.collect()) == [(2, one), (3, one), (3, "weights far from one"), (4, "home advantage out of range"), (4, n), (4, scale), (5, n), (5, scale)]
+
+    nan = float("nan")
+    scores = [(1, 3.0, 2.0, 1.0, 0.5), (2, 3.001, 2.0, 1.0, 1.0), (3, 3.002, 2.0, 1.0, 1.01), (4, 26.0, 26.0, 0.0, 0.5), (5, 11.0, 0.0, 11.0, 0.5), (6, nan, 1.0, 1.0, None)]
+    got = R.score_rules(spark.createDataFrame(scores, "athlete_id int, score double, box double, on_court double, share double"))
+    parts, share = "not the sum of its parts", "share out of bounds"
+    assert sorted((r.athlete_id, r.rule) for r in got.collect()) == [(3, parts), (3, share), (4, "box value out of bounds"), (4, "score out of bounds"), (5, "on-court value out of bounds"), (6, parts), (6, "score out of bounds"), (6, share)]
+
+    d = lambda n: DAY + dt.timedelta(n)
+    records = [(1, 3, 2, 1, 1, d(0), d(1)), (2, 3, 1, 1, 0, d(0), d(1)), (3, 3, 2, 2, 1, d(0), d(1)), (4, 3, 2, 1, 1, d(1), d(1)), (5, 1, 0, 0, 0, None, d(1))]
+    got = R.archive_leakage(spark.createDataFrame(records, "id int, number int, included int, wins_a int, wins_b int, snapshot_as_of date, forecast_as_of date"))
+    assert sorted(tuple(r) for r in got.collect()) == [(2, "other results included"), (3, "score differs from the results included"), (4, "snapshot not before the forecast")]
+
+    row = lambda i, need=4, winner="a", a=4, b=1, games=5, pattern=5, bubble=False, season=False: (2020, i, need, "a", "b", winner, a, b, games, ["a"] * pattern, bubble, season)
+    rows = [row(1), row(2, winner="b"), row(3, winner=None), row(4, b=2), row(5, pattern=4), row(6, bubble=True), row(7, b=4, games=8, pattern=8), row(8, need=3, a=3, b=2), row(9, bubble=True, season=True)]
+    got = R.series_anomalies(spark.createDataFrame(rows, "season int, series_id int, wins_required int, team_a string, team_b string, winner string, wins_a int, wins_b int, games int, home_pattern array<string>, bubble boolean, bubble_season boolean"))
+    won = "winner without the wins needed"
+    assert sorted((r.series_id, r.rule) for r in got.collect()) == [(2, won), (3, won), (4, "wins don't add up to games"), (5, "home pattern of another length"), (6, "bubble flag"), (7, "games out of bounds")]
