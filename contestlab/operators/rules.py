@@ -280,3 +280,38 @@ def score_rules(scores: DataFrame) -> DataFrame:
         "not the sum of its parts": outside(off, 0, PARTS_TOLERANCE),
         "share out of bounds": outside(F.col("share"), 0, 1),
     })
+
+
+CHANCE_TOLERANCE, PRICE_TOLERANCE = 1e-9, 1e-6
+
+
+def projection_rules(projections: DataFrame, games: DataFrame, scale: float) -> DataFrame:
+    """(game_id, rule): projections that don't follow from the ratings, absences and schedule they name, and due games
+    without one.
+
+    projections(game_id, p_home, p_away, complete, basis, and for home and away: <side>_points, <side>_named (the sum of the
+    drivers' points), <side>_least (of the drivers; null for none), <side>_unfiled, <side>_tired); games(game_id, due, gap,
+    and the same <side>_tired), gap the expected margin of healthy sides."""
+    told = games.select("game_id", "due", "gap", *[F.col(f"{n}_tired").alias(f"_{n}_tired") for n in ("home", "away")])
+    rows = projections.join(told, "game_id", "left")
+    p, home, away, gap = (F.col(n) for n in ("p_home", "home_points", "away_points", "gap"))
+    known = gap.isNotNull()
+    priced = lambda margin: 1.0 / (1.0 + F.exp(-margin / scale))
+    inside = lambda x: F.coalesce((x > 0) & (x < 1), F.lit(False))
+    rules = {
+        "chance not between 0 and 1": ~(inside(p) & inside(F.col("p_away"))),
+        "chances don't add up to one": outside(p + F.col("p_away") - 1, -CHANCE_TOLERANCE, CHANCE_TOLERANCE),
+        "negative absence": ~F.coalesce((home >= 0) & (away >= 0), F.lit(False)),
+        "drivers not complete": ~F.coalesce("complete", F.lit(False)),
+        "unfiled without a report": (F.col("basis") == "current") & (F.col("home_unfiled") | F.col("away_unfiled")),
+        "not a game": F.col("due").isNull(),
+        "not due": ~F.col("due"),
+        "rest differs from the schedule": (F.col("home_tired") != F.col("_home_tired")) | (F.col("away_tired") != F.col("_away_tired")),
+        "not from the ratings and absences": known & outside(priced(gap - home + away) - p, -PRICE_TOLERANCE, PRICE_TOLERANCE),
+        "absences don't lower the chance": known & (((home > 0) & ~(priced(gap - home) < priced(gap))) | ((away > 0) & ~(priced(gap + away) > priced(gap)))),
+    }
+    for side in ("home", "away"):
+        rules[f"{side} drivers don't add up"] = outside(F.col(f"{side}_named") - F.col(f"{side}_points"), -SUM_TOLERANCE, SUM_TOLERANCE)
+        rules[f"negative {side} driver"] = F.col(f"{side}_least") < 0
+    missing = games.where("due").select("game_id").join(projections.select("game_id"), "game_id", "left_anti")
+    return broken_rules(rows, ["game_id"], rules).unionByName(missing.withColumn("rule", F.lit("no projection")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import rules as R
 from contestlab.plans.registry import registry
-from contestlab.sources.views import BOX, CONTEST, TEAM, box_lines, contests, table, teams, with_views
+from contestlab.sources.views import BOX, CONTEST, SIDES, TEAM, box_lines, contests, sides, table, teams, with_views
 
 QUERIES, ORACLES, query = registry()
 
@@ -314,3 +314,44 @@ def published_score_rules(s, d):
         (F.sum(F.when(F.col("starter"), F.col("minutes"))).cast("double") / F.sum("minutes")).alias("share"),
     )
     return R.score_rules(scores)
+
+
+PROJECTION_RULES = {
+    "chance not between 0 and 1": "NOT (p > 0 AND p < 1)", "drivers not complete": "neutral", "unfiled without a report": "status <> 'in-progress' AND ((hn = 0 AND hl > 0) OR (an = 0 AND al > 0))", "not due": "status <> 'scheduled'",
+    "rest differs from the schedule": "ht <> hs OR at_ <> as_", "not from the ratings and absences": "abs(1 / (1 + exp(-(gap - hp + ap) / 10.0::DOUBLE)) - p) > 1e-6",
+    "home drivers don't add up": "abs(hn - hp) > 0.01", "away drivers don't add up": "abs(an - ap) > 0.01",
+}
+
+
+@query(
+    with_views(CONTEST, SIDES)
+    + """, strength AS (SELECT season, team_id, avg(scored - allowed) AS net FROM sides WHERE status = 'final' GROUP BY ALL), busy AS (SELECT DISTINCT team_id, game_date + 1 AS day FROM sides), pending AS (SELECT DISTINCT team_id, game_date + 1 AS day FROM sides WHERE status = 'scheduled'),
+named AS (SELECT l_orderkey AS game_id, coalesce(sum(l_quantity) FILTER (l_linestatus = 'O' AND l_returnflag <> 'N'), 0) / 100 AS hn, coalesce(sum(l_quantity) FILTER (l_linestatus = 'F' AND l_returnflag <> 'N'), 0) / 100 AS an, count(*) FILTER (l_linestatus = 'O') AS hl, count(*) FILTER (l_linestatus = 'F') AS al FROM lineitem GROUP BY 1),
+g AS (SELECT c.*, coalesce(h.net, 0) - coalesce(a.net, 0) AS gap, home_score / 100 AS hp, away_score / 100 AS ap, bh.day IS NOT NULL AS ht, ba.day IS NOT NULL AS at_, ph.day IS NOT NULL AS hs, pa.day IS NOT NULL AS as_, hn, an, hl, al FROM contest c JOIN named USING (game_id)
+  LEFT JOIN strength h ON h.season = c.season AND h.team_id = home_id LEFT JOIN strength a ON a.season = c.season AND a.team_id = away_id LEFT JOIN busy bh ON bh.team_id = home_id AND bh.day = game_date LEFT JOIN busy ba ON ba.team_id = away_id AND ba.day = game_date
+  LEFT JOIN pending ph ON ph.team_id = home_id AND ph.day = game_date LEFT JOIN pending pa ON pa.team_id = away_id AND pa.day = game_date),
+x AS (SELECT *, 1 / (1 + exp(-(gap - hn + an) / 10.0::DOUBLE)) AS p FROM g WHERE status = 'in-progress' OR (status = 'scheduled' AND NOT (hl = 0 AND neutral)))
+SELECT game_id, unnest(list_filter(["""
+    + ", ".join("CASE WHEN " + sql + " THEN '" + rule.replace("'", "''") + "' END" for rule, sql in PROJECTION_RULES.items())
+    + "], lambda z: z IS NOT NULL)) AS rule FROM x UNION ALL SELECT game_id, 'no projection' FROM g WHERE status = 'scheduled' AND hl = 0 AND neutral"
+)
+def projection_rule_violations(s, d):
+    """Open contests as projections: the lines' quantities are the absences, those of flag N not named as drivers; rest is
+    taken from scheduled contests alone, and neutral contests without a home line have no projection."""
+    c = contests(s, d)
+    both = sides(c)
+    net = both.where("status = 'final'").groupBy("season", "team_id").agg(F.avg(F.col("scored") - F.col("allowed")).alias("net"))
+    after = lambda rows, flag: rows.select("team_id", F.date_add("game_date", 1).alias("game_date")).distinct().withColumn(flag, F.lit(True))
+    busy, pending = after(both, "busy"), after(both.where("status = 'scheduled'"), "pending")
+    told = both.join(net, ["season", "team_id"], "left").join(busy, ["team_id", "game_date"], "left").join(pending, ["team_id", "game_date"], "left").na.fill({"net": 0.0, "busy": False, "pending": False})
+    side = lambda home, n: told.where(F.col("is_home") == home).select("game_id", F.col("net").alias(f"{n}_net"), F.col("busy").alias(f"{n}_tired"), F.col("pending").alias(f"{n}_guess"))
+    games = c.select("game_id", "status", "neutral", (F.col("home_score") / 100).alias("home_points"), (F.col("away_score") / 100).alias("away_points")).join(side(True, "home"), "game_id").join(side(False, "away"), "game_id")
+    games = games.withColumns({"gap": F.col("home_net") - F.col("away_net"), "due": F.col("status") == "scheduled"})
+    of = lambda code: F.when(F.col("l_linestatus") == code, F.col("l_quantity"))
+    named = lambda code: (F.coalesce(F.sum(F.when(F.col("l_returnflag") != "N", of(code))), F.lit(0)) / 100)
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(*[x for n, code in (("home", "O"), ("away", "F")) for x in (named(code).alias(f"{n}_named"), F.min(of(code)).alias(f"{n}_least"), F.count(of(code)).alias(f"{n}_lines"))])
+    rows = games.join(lines, "game_id").where("status = 'in-progress' OR (status = 'scheduled' AND NOT (home_lines = 0 AND neutral))")
+    p = 1.0 / (1.0 + F.exp(-(F.col("gap") - F.col("home_named") + F.col("away_named")) / 10.0))
+    made = [x for n in ("home", "away") for x in (F.col(f"{n}_points"), F.col(f"{n}_named"), F.col(f"{n}_least"), ((F.col(f"{n}_named") == 0) & (F.col(f"{n}_lines") > 0)).alias(f"{n}_unfiled"), F.col(f"{n}_guess").alias(f"{n}_tired"))]
+    projections = rows.select("game_id", p.alias("p_home"), (1.0 - p).alias("p_away"), (~F.col("neutral")).alias("complete"), F.when(F.col("due"), "current").otherwise("report").alias("basis"), *made)
+    return R.projection_rules(projections, games.select("game_id", "due", "gap", "home_tired", "away_tired"), 10.0)

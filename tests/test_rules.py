@@ -1,6 +1,7 @@
 """Rule sets by hand: each case breaks what it says and nothing else."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,35 @@ def test_rules_of_settings_scores_archives_and_finished_series(spark):
     got = R.series_anomalies(spark.createDataFrame(rows, "season int, series_id int, wins_required int, team_a string, team_b string, winner string, wins_a int, wins_b int, games int, home_pattern array<string>, bubble boolean, bubble_season boolean"))
     won = "winner without the wins needed"
     assert sorted((r.series_id, r.rule) for r in got.collect()) == [(2, won), (3, won), (4, "wins don't add up to games"), (5, "home pattern of another length"), (6, "bubble flag"), (7, "games out of bounds")]
+
+
+def test_rules_of_a_projection(spark):
+    price = lambda margin: 1 / (1 + math.exp(-margin / 10))
+    p = price(4.0 - 3.0 + 1.0)
+    clean = {
+        "p_home": p, "p_away": 1 - p, "complete": True, "basis": "report", "home_points": 3.0, "home_named": 3.0, "home_least": 1.0, "home_unfiled": False, "home_tired": True,
+        "away_points": 1.0, "away_named": 1.0, "away_least": None, "away_unfiled": False, "away_tired": False,
+    }
+    off = "not from the ratings and absences"
+    cases = [
+        ({}, True, []),
+        ({"p_home": 1.0, "p_away": 0.0}, True, ["chance not between 0 and 1", off]),
+        ({"p_home": None}, True, ["chance not between 0 and 1", "chances don't add up to one", off]),
+        ({"p_away": 1 - p + 1e-8}, True, ["chances don't add up to one"]),
+        ({"p_home": price(5.0), "p_away": 1 - price(5.0), "away_points": -2.0, "away_named": -2.0, "home_points": -3.0, "home_named": -3.0}, True, ["negative absence"]),
+        ({"complete": None}, True, ["drivers not complete"]),
+        ({"basis": "current", "home_unfiled": True}, True, ["unfiled without a report"]),
+        ({"home_unfiled": True}, True, []),
+        ({}, None, ["not a game"]),
+        ({}, False, ["not due"]),
+        ({"home_tired": False}, True, ["rest differs from the schedule"]),
+        ({"p_home": p + 2e-6, "p_away": 1 - p - 2e-6}, True, [off]),
+        ({"home_named": 3.02}, True, ["home drivers don't add up"]),
+        ({"away_named": 1.009, "away_least": -0.1}, True, ["negative away driver"]),
+    ]
+    schema = "game_id int, p_home double, p_away double, complete boolean, basis string, " + ", ".join(f"{n}_points double, {n}_named double, {n}_least double, {n}_unfiled boolean, {n}_tired boolean" for n in ("home", "away"))
+    projections = spark.createDataFrame([(i, *(clean | c).values()) for i, (c, _, _) in enumerate(cases)], schema)
+    games = [(i, due, 4.0, True, False) for i, (_, due, _) in enumerate(cases) if due is not None] + [(98, False, 4.0, True, False), (99, True, 4.0, True, False)]
+    got = R.projection_rules(projections, spark.createDataFrame(games, "game_id int, due boolean, gap double, home_tired boolean, away_tired boolean"), 10.0)
+    want = [(i, rule) for i, (_, _, rules) in enumerate(cases) for rule in rules] + [(99, "no projection")]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
