@@ -15,10 +15,14 @@ def broken_rules(rows: DataFrame, keys: list[str], rules: dict[str, Column]) ->
 def clause_counts(rows: DataFrame, clauses: dict[str, Column]) -> DataFrame:
     """How many rows each clause rejects, how many it alone rejects, how many any does and how many there are; one row per
     clause, at its place."""
-    hits = [F.coalesce(c, F.lit(False)).cast("int") for c in clauses.values()]
-    total = sum(hits[1:], hits[0])
-    sums = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("clause"), F.coalesce(F.sum(h).cast("long"), F.lit(0)).alias("rejected"), F.coalesce(F.sum(((h == 1) & (total == 1)).cast("long")), F.lit(0)).alias("alone")) for i, (n, h) in enumerate(zip(clauses, hits))]
-    return rows.agg(F.array(*sums).alias("all"), F.coalesce(F.sum((total > 0).cast("long")), F.lit(0)).alias("any"), F.count("*").alias("candidates")).select(F.explode("all").alias("c"), "any", "candidates").select("c.*", "any", "candidates")
+    # Each clause is computed once, then counted.
+    judged = rows.select(*[F.coalesce(c, F.lit(False)).cast("int").alias(f"c{i}") for i, c in enumerate(clauses.values())])
+    hits = [F.col(f"c{i}") for i in range(len(clauses))]
+    judged = judged.select("*", sum(hits[1:], hits[0]).alias("hits"))
+    count = lambda what: F.count(F.when(what, 1))
+    sums = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("clause"), F.sum(h).alias("rejected"), count((h == 1) & (F.col("hits") == 1)).alias("alone")) for i, (n, h) in enumerate(zip(clauses, hits))]
+    counted = judged.agg(F.array(*sums).alias("all"), count(F.col("hits") > 0).alias("any"), F.count("*").alias("candidates")).select(F.explode("all").alias("c"), "any", "candidates")
+    return counted.select("c.place", "c.clause", F.coalesce("c.rejected", F.lit(0)).alias("rejected"), "c.alone", "any", "candidates")
 
 
 def observation_issues(rows: DataFrame, known: DataFrame, unique: list[str], reference: str, at: str, until: str) -> DataFrame:
