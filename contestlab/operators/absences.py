@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST = 20  # contests missed, from which absences are of one kind
@@ -28,14 +28,32 @@ def further(done: DataFrame, most: int = MOST) -> DataFrame:
 def spread(absences: DataFrame, pending: DataFrame) -> DataFrame:
     """absences(team_id, points, expected) and pending(team_id, games) -> (team_id, place, points, absent): what each of
     a team's coming contests (from 0) lacks, and under place -1 what is left for those after them. An absence takes its
-    points from as many contests as are expected, the last in part; every coming contest has a row."""
-    share = lambda left: F.least(F.lit(1.0), F.greatest(F.lit(0.0), left))
+    points from as many contests as are expected, the last in part; every coming contest has a row.
+
+    Absences are summed by the contest that they reach last. Between two such contests a team lacks the same, what reaches
+    the later one, so each coming contest is written once, however many absences there are and however long they go on."""
     rows = absences.where("expected > 0").join(pending, "team_id")
-    reach = F.least(F.ceil("expected"), F.col("games")).cast("int")
-    early = rows.where(reach > 0).select("team_id", "points", "expected", F.explode(F.sequence(F.lit(0), reach - 1)).alias("place"))
-    early = early.select("team_id", "place", (F.col("points") * share(F.col("expected") - F.col("place"))).alias("points"))
-    late = rows.select("team_id", F.lit(-1).alias("place"), (F.col("points") * share(F.col("expected") - F.col("games"))).alias("points"))
-    lost = early.union(late).groupBy("team_id", "place").agg(F.sum("points").alias("points"), F.count(F.when(F.col("points") > 0, 1)).alias("absent"))
-    places: Column = F.concat(F.array(F.lit(-1)), F.when(F.col("games") > 0, F.sequence(F.lit(0), F.col("games").cast("int") - 1)).otherwise(F.array().cast("array<int>")))
-    every = pending.select("team_id", F.explode(places).alias("place"))
-    return every.join(lost, ["team_id", "place"], "left").fillna(0).select("team_id", "place", "points", "absent")
+    last = F.least(F.floor("expected"), F.col("games") + 1).cast("int")  # the contest taken in part; beyond all of them: none
+    part = F.when(last <= F.col("games"), F.col("expected") - last).otherwise(F.lit(0.0))
+    rows = rows.select("team_id", last.alias("last"), "points", part.alias("part"), (F.col("points") > 0).alias("counts"))
+    reached = rows.groupBy("team_id", "last").agg(
+        F.sum("points").alias("whole"), F.sum(F.col("points") * F.col("part")).alias("partly"),
+        F.count(F.when(F.col("counts"), 1)).alias("all"), F.count(F.when(F.col("counts") & (F.col("part") > 0), 1)).alias("some"),
+    )
+    end = pending.select("team_id", (F.col("games") + 1).cast("int").alias("last"), *[F.lit(0.0).alias(c) for c in ("whole", "partly")], *[F.lit(0).alias(c) for c in ("all", "some")])
+    steps = reached.unionByName(end).groupBy("team_id", "last").agg(*[F.sum(c).alias(c) for c in ("whole", "partly", "all", "some")])
+    w = Window.partitionBy("team_id").orderBy("last")  # a row for each contest that some absence reaches last
+    later = w.rowsBetween(1, Window.unboundedFollowing)
+    beyond = lambda c: F.coalesce(F.sum(c).over(later), F.lit(0))
+    steps = steps.select(
+        "team_id", "last", "partly", "some", F.coalesce(F.lag("last").over(w) + 1, F.lit(0)).alias("first"),
+        "whole", "all", beyond("whole").alias("whole_later"), beyond("all").alias("all_later"),
+    ).join(pending, "team_id")
+    upto = F.least(F.col("last"), F.col("games")).cast("int")
+    each = steps.where(F.col("first") <= upto).withColumn("place", F.explode(F.sequence("first", upto)))
+    at_last = F.col("place") == F.col("last")
+    return each.select(
+        "team_id", F.when(F.col("place") < F.col("games"), F.col("place")).otherwise(-1).alias("place"),
+        (F.col("whole_later") + F.when(at_last, F.col("partly")).otherwise(F.col("whole"))).alias("points"),
+        (F.col("all_later") + F.when(at_last, F.col("some")).otherwise(F.col("all"))).alias("absent"),
+    )
