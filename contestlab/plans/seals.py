@@ -65,7 +65,7 @@ def alert_days(s, d):
 @query(
     with_views(PLAY)
     + """, x AS (SELECT *, max(CASE WHEN kind <> 'error' THEN event_id END) OVER (PARTITION BY user_id) AS good, max(ts) OVER () AS now FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM play)),
-g AS (SELECT user_id, max(CASE WHEN kind <> 'error' THEN i END) AS last_good, count(*) AS rows, date_diff('second', max(ts), max(now)) // 3600 AS age FROM x GROUP BY user_id)
+g AS (SELECT user_id, max(CASE WHEN kind <> 'error' THEN i END) AS last_good, count(*) AS rows, date_sub('second', max(ts), max(now)) // 3600 AS age FROM x GROUP BY user_id)
 SELECT user_id, (rows - coalesce(last_good, 0))::BIGINT AS streak, rows, age::BIGINT AS age_hours, age > CASE WHEN user_id % 2 = 0 THEN 12 ELSE 36 END AS stale FROM g"""
 )
 def failure_streaks(s, d):
