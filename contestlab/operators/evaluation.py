@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import accuracy, brier, clamp, log_loss
@@ -74,23 +74,39 @@ def newton_calibration(rows: DataFrame, steps: int = 8, floor: float = 1e-6) ->
 
 # From which uniform number on a Poisson draw of mean one is at least 1, 2, ...
 POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k)) for k in range(1, 11))
+CUTS = tuple(f"{math.ceil(p * 2.0**32):08x}" for p in POISSON)  # the same as eight hexadecimal digits of u * 2^32
 PIECES = 4  # draws that one digest serves
 
 
+def poisson_times(digits: Column) -> Column:
+    """How often a cluster stands in a draw, by eight hexadecimal digits: equal lengths compare as the numbers do."""
+    times = F.when(digits < CUTS[0], 0)
+    for k, cut in enumerate(CUTS[1:], 1):
+        times = times.when(digits < cut, k)
+    return times.otherwise(len(CUTS))
+
+
 def bootstrap_sums(rows: DataFrame, cluster: str, sums: dict[str, Column], draws: int = 1000, seed: int = 17) -> DataFrame:
     """rows -> (draw, *sums): each draw's sums over clusters drawn with replacement.
 
     A cluster stands in a draw as often as a Poisson number of mean one says, taken from a digest of the seed, the cluster
     and the draw, so clusters are drawn independently, in any number and by any engine alike. They collapse to their sums
-    first; a task keeps one row of sums for each draw, and those are what is shuffled. A draw without clusters has no row."""
+    first and are dealt over all tasks, since their draws are the work, however few bytes they are. A task keeps one row of
+    sums for each digest's draws, and those are what is shuffled. A draw without clusters has no row."""
     each = rows.groupBy(cluster).agg(*[F.sum(v.cast("double")).alias(n) for n, v in sums.items()])
+    context = rows.sparkSession.sparkContext
+    each = each.repartition(max(4 * context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), cluster)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(cluster).cast("string"), "part"))
     told = each.select("*", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // PIECES))).alias("part")).select(*sums, "part", digest.alias("digest"))
-    told = told.select(*sums, "part", "digest", F.explode(F.array(*map(F.lit, range(PIECES)))).alias("piece"))
-    u = F.conv(F.substring("digest", F.col("piece") * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2.0**32
-    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    drawn = told.select((F.col("part") * PIECES + F.col("piece")).alias("draw"), times.alias("times"), *sums).where(f"times > 0 AND draw < {draws}")
-    return drawn.groupBy("draw").agg(*[F.sum(F.col("times") * F.col(n)).alias(n) for n in sums])
+    pieces = [poisson_times(F.substring("digest", 8 * i + 1, 8)).alias(f"times{i}") for i in range(PIECES)]
+    parts = told.select(*sums, "part", *pieces).groupBy("part").agg(
+        *[F.sum(f"times{i}").alias(f"times{i}") for i in range(PIECES)],
+        *[F.sum(F.when(F.col(f"times{i}") > 0, F.col(f"times{i}") * F.col(n))).alias(f"{n}{i}") for n in sums for i in range(PIECES)],
+    )
+    drawn = parts.select(F.explode(F.array(*[
+        F.struct((F.col("part") * PIECES + i).alias("draw"), F.col(f"times{i}").alias("times"), *[F.col(f"{n}{i}").alias(n) for n in sums]) for i in range(PIECES)
+    ])).alias("d"))
+    return drawn.select("d.*").where(f"times > 0 AND draw < {draws}").drop("times")
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 1000, seed: int = 17) -> DataFrame:

@@ -77,3 +77,13 @@ def test_seeds_equal_the_recursion(spark, seed):
             t[x] = {"division": place[x][1], "all": (len(won), len(lost)), "conf": count(lambda o: place[o][0] == place[x][0]), "div": count(lambda o: place[o] == place[x]), "diff": sum(g[3] for g in won) - sum(g[3] for g in lost)}
         leaders = {by_record([x for x in t if place[x] == p], t, beat, set())[0] for p in {place[x] for x in t}}
         assert order == by_record([x for x in t if place[x][0] == c], t, beat, leaders)
+
+
+def test_digits_give_the_counts_of_the_numbers_and_draws_use_all_tasks(spark):
+    at = [v for p in E.POISSON for v in (int(p * 2**32), int(p * 2**32) + 1)] + [0, 2**32 - 1]
+    df = spark.createDataFrame([(v, f"{v:08x}") for v in at], "v long, digits string")
+    assert [(r.v, r.n) for r in df.select("v", E.poisson_times(F.col("digits")).alias("n")).collect()] == [(v, sum(v / 2**32 >= p for p in E.POISSON)) for v in at]
+    clusters = spark.range(20_000).select(F.col("id").alias("c"), F.lit(1.0).alias("e"))
+    used = E.bootstrap_sums(clusters, "c", {"s": F.col("e")}, draws=8)
+    assert used._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") > 0  # few bytes, much work: not coalesced into one task
+    assert used.count() == 8
