@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_A_TASK = 500_000  # rows of one task where sorts and sums of all rows are held together
+
+
+def dealt(rows: DataFrame, keys: list[str], rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """rows shuffled by keys into as many partitions as leave a task about rows_a_task rows, so that what a task holds does
+    not grow with the table; unchanged where the session's number of partitions does that. Rows are counted, which for a
+    table read as it is takes its files' footers."""
+    n = -(-rows.count() // rows_a_task)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def within_interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
     """Points with the spans of their key that hold them, ends included: spans name their days, so it is an equality
     join on key and day, whatever the number of spans of a key."""

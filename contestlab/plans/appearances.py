@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contestlab.functions import text as X
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import appearances as A
+from contestlab.operators.relations import dealt
 from contestlab.operators.temporal import decayed
 from contestlab.plans.registry import registry
 from contestlab.sources.views import BOX, box_lines, table, with_views
@@ -79,7 +80,8 @@ def rapm_gram(s, d):
 
 @query(with_views(BOX) + f"SELECT game_id, side, athlete_id, {rnd_sql('sum(minutes) / max(total)')} AS share FROM (SELECT *, sum(minutes) OVER (PARTITION BY game_id, side) AS total FROM box) GROUP BY 1, 2, 3")
 def playing_time_shares(s, d):
-    rows = box_lines(s, d).withColumn("_t", F.sum("minutes").over(Window.partitionBy("game_id", "side")))
+    lines = dealt(box_lines(s, d).select("game_id", "side", "athlete_id", "minutes"), ["game_id", "side"])
+    rows = lines.withColumn("_t", F.sum("minutes").over(Window.partitionBy("game_id", "side")))
     return rows.groupBy("game_id", "side", "athlete_id").agg(rnd(F.sum("minutes") / F.max("_t")).alias("share"))
 
 
