@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contestlab.functions.scoring import rnd, rnd_sql
 from contestlab.operators import squads as Q
+from contestlab.operators.relations import dealt
 from contestlab.plans.registry import registry
 from contestlab.sources.views import CONTEST, SIDES, contests, ratable, sides, table, with_views
 
@@ -25,7 +26,8 @@ def snapshots(s, d):
     is the nation's mean margin."""
     season = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("season"))
     supplier = table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("team_id"))
-    games = table(s, d, "lineitem").join(season, "l_orderkey").join(supplier, "l_suppkey").groupBy("season", "team_id", F.col("l_suppkey").alias("athlete_id"), "l_orderkey").agg(F.sum("l_quantity").alias("q"))
+    lines = dealt(table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), ["l_orderkey"])
+    games = lines.join(season, "l_orderkey").join(supplier, "l_suppkey").groupBy("season", "team_id", F.col("l_suppkey").alias("athlete_id"), "l_orderkey").agg(F.sum("l_quantity").alias("q"))
     players = games.groupBy("season", "team_id", "athlete_id").agg(F.count("*").alias("games"), (F.sum("q") / F.count("*")).alias("mpg"))
     ratings = sides(ratable(contests(s, d))).groupBy("season", "team_id").agg(F.avg(F.col("scored") - F.col("allowed")).alias("net"))
     return Q.team_snapshots(players, ratings)

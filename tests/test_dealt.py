@@ -17,7 +17,7 @@ def test_partitions_follow_the_rows(spark):
     assert got.groupBy(F.spark_partition_id(), "k").count().count() == 997
 
 
-@pytest.mark.parametrize("name", ["playing_time_shares"])
+@pytest.mark.parametrize("name", ["playing_time_shares", "season_snapshots", "snapshot_anomaly_list"])
 def test_lines_are_dealt_by_their_number(spark, monkeypatch, name):
     plain = QUERIES[name](spark, SF)
     monkeypatch.setattr(R.dealt, "__defaults__", (500,))
