@@ -69,12 +69,19 @@ def kalman(games: DataFrame, pool: str, adjust: str | None = None, by_day: bool
     learns from them afterwards."""
     c = KALMAN | parameters
 
-    def learn(state, h, a, on, margin):
+    noise = c["sigma"] ** 2
+
+    def spread(p, h, a, on):
+        ph = p[:, h] - p[:, a]
+        return ph + p[:, 0] if on else ph
+
+    def learn(state, h, a, on, margin, ph=None):
+        """In place: a contest costs a handful of array operations, and all contests of a pool pass here one by one."""
         x, p = state["x"], state["p"]
-        ph = p[:, h] - p[:, a] + on * p[:, 0]
-        gain = ph / (c["sigma"] ** 2 + ph[h] - ph[a] + on * ph[0])
-        state["x"] = x + gain * (margin - (x[h] - x[a] + on * x[0]))
-        state["p"] = p - np.outer(gain, ph)
+        ph = spread(p, h, a, on) if ph is None else ph
+        gain = ph / (noise + ph[h] - ph[a] + on * ph[0])
+        x += gain * (margin - (x[h] - x[a] + on * x[0]))
+        p -= gain[:, None] * ph
 
     def step(state, g):
         if state is None:
@@ -90,27 +97,28 @@ def kalman(games: DataFrame, pool: str, adjust: str | None = None, by_day: bool
                 state["x"] = np.append(state["x"], 0.0)
                 state["p"] = np.pad(state["p"], ((0, 1), (0, 1)))
                 state["p"][-1, -1] = c["tau"] ** 2
-        teams = np.arange(1, len(state["x"]))
         if g.season != state["season"]:
+            teams = np.arange(1, len(state["x"]))
             scale = np.r_[1.0, np.full(len(teams), c["rho"])]
             state["x"], state["p"] = state["x"] * scale, state["p"] * scale[:, None] * scale[None, :]
             state["p"][teams, teams] += (1 - c["rho"] ** 2) * c["tau"] ** 2
             state["day"] = None
         if state["day"] is not None and g.day > state["day"]:
+            teams = np.arange(1, len(state["x"]))
             state["p"][teams, teams] += c["q"] * (g.day - state["day"])
             state["p"][0, 0] += c["q_home"] * (g.day - state["day"])
         state["season"], state["day"] = g.season, g.day
         x, p = state["x"], state["p"]
         h, a, on = at[g.home_id], at[g.away_id], 0.0 if g.neutral else 1.0
-        ph = p[:, h] - p[:, a] + on * p[:, 0]
+        ph = spread(p, h, a, on)
         mean, var = x[h] - x[a] + on * x[0] + g.adjust, ph[h] - ph[a] + on * ph[0]
-        z = mean / math.sqrt(2 * (c["sigma"] ** 2 + var))
+        z = mean / math.sqrt(2 * (noise + var))
         chance = min(1 - 1e-6, max(1e-6, 0.5 * (1 + math.erf(z))))
         margin = max(-c["cap"], min(c["cap"], float(g.home_score - g.away_score))) - g.adjust
         if by_day:
             state["wait"].append((h, a, on, margin))
         else:
-            learn(state, h, a, on, margin)
+            learn(state, h, a, on, margin, ph)
         return state, (g.game_id, float(mean), float(var), chance)
 
     rows = games.withColumn("adjust", F.coalesce(F.col(adjust).cast("double"), F.lit(0.0)) if adjust else F.lit(0.0))
