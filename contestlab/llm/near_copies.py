@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import WORD, blank, forget, hot_keys, materialize, spread_join, unfold, whole_row
+from .common import WORD, blank, forget, hot_keys, materialize, rows_a_batch, spread_join, unfold, whole_row
 from .graph import components
 from .simhash import LOWER, ball_links, fingerprint
 
@@ -32,25 +32,12 @@ KINDS = 2
 BANDS, ROWS = 16, 4
 WAYS = 8  # times as many centres in a band each round
 BLOCK = 4096  # shingles minimised at once
-CACHE_ENTRIES = 500_000
+TEXTS_AT_ONCE = 512  # that pass to Python in one batch
 _rng = np.random.default_rng(17)
 _XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Words(dict):
-    """Word -> its hash; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,7 +48,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of a text's words in order (A-Z lower-cased)."""
     found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -156,7 +143,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(whole_row(docs).alias("row"), F.md5(worded).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
     # One row stands for each text: that of its least id. Rows alike in both are one.
     base = keyed.select("key", "id", "text")
-    marked = materialize(_sketched(base, kinds, shingle), "near-sketches")
+    with rows_a_batch(docs.sparkSession, TEXTS_AT_ONCE):
+        marked = materialize(_sketched(base, kinds, shingle), "near-sketches")
     first = marked.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "fps", "bands")])
     nodes = materialize(first.withColumn("node", F.monotonically_increasing_id()), "near-texts")
     total = nodes.count()
@@ -188,7 +176,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).union(stars.select(F.col("x").alias("node"))).distinct()
     wanted = wanted.join(nodes.select("key", "id", "node"), "node").select("node", "key", _known(F.col("id")).alias("_known"))
     texts = base.withColumn("_known", _known(F.col("id"))).join(wanted, ["key", "_known"]).select("node", "text").dropDuplicates(["node"])
-    sets = materialize(_shingled(texts, shingle), "near-shingles")
+    with rows_a_batch(docs.sparkSession, TEXTS_AT_ONCE):
+        sets = materialize(_shingled(texts, shingle), "near-shingles")
 
     # First the link of most votes for each text, then the links between texts of different centres.
     best = pairs.groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("m"))).alias("b")).select("x", (-F.col("b.m")).alias("y"))

@@ -53,7 +53,7 @@ class _Chunks(dict):
 
 @cache
 def byte_bpe(path: str):
-    """text -> ids as little-endian 32-bit bytes, with the ranks at path; one encoder and cache for each worker.
+    """text -> ids as little-endian 32-bit bytes, with the ranks at path; one encoder for each worker, what it remembers until forget().
 
     The pre-tokenizer always starts a new piece at a space between two characters that are not white space, so such
     chunks are encoded one by one and remembered. Texts with longer runs of white space are encoded whole.
@@ -84,6 +84,7 @@ def byte_bpe(path: str):
     def encode(text: str) -> bytes:
         return special.join(map(plain, text.split(END_OF_TEXT))) if END_OF_TEXT in text else plain(text)
 
+    encode.forget = inner.clear
     return encode
 
 
@@ -106,6 +107,7 @@ def tokenised(docs: DataFrame, ranks: str, end_id: int) -> DataFrame:
                 kept.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes())
             made = [pa.array(counts, pa.int64()), pa.array([chunk] * len(counts), pa.int64()), pa.array(before, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "queue", "doc_tokens", "chunk", "before", "ids"])
+        encode.forget()  # the worker goes on to other stages
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "queue", "text").mapInArrow(run, f"doc_id {kind}, queue string, doc_tokens long, chunk long, before long, ids binary")

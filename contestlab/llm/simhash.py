@@ -32,7 +32,7 @@ from .graph import components
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 PATTERNS_PER_PREFIX = 1 << 20
-PATTERNS_AT_ONCE = 1 << 22
+PATTERNS_AT_ONCE = 1 << 19  # of which a pass sorts several copies
 BLOCK = 1 << 16  # hashes turned into bits at once
 
 
