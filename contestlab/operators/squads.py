@@ -74,17 +74,30 @@ def absence_sides(sides: DataFrame, drivers: DataFrame, report: DataFrame) -> Da
     drivers are not complete, the report's others are listed without points, and what the stored ones leave of the side's
     points is theirs (left_over; null where nothing is left to tell). One row for each status of a side, null for none, and one
     with a null count for a side without players."""
+    stored = drivers.select("game_id", "team_id", "athlete_id", "status", "points", F.lit(True).alias("stored"))
+    named = report.select("game_id", "team_id", "athlete_id", "status", F.lit(None).cast("double").alias("points"), F.lit(False).alias("stored"))
+    return absence_sides_of(sides, stored.unionByName(named))
+
+
+def absence_sides_of(sides: DataFrame, listed: DataFrame) -> DataFrame:
+    """The same from listed(game_id, team_id, athlete_id, status, points, stored), where a stored row need not be listed
+    again as one that the report names.
+
+    What is listed is shuffled once, by side: in it an athlete's first row, stored ones before others and then by status,
+    stands for the athlete unless it is stored, and counts and sums are of a side's rows."""
     keys = ["game_id", "team_id"]
-    stored = drivers.select(*keys, "athlete_id", "status", "points", F.lit(0).alias("other"))
-    open_sides = sides.where(~F.col("complete")).select(*keys)
-    rest = report.join(open_sides, keys, "left_semi").join(drivers.select(*keys, "athlete_id").distinct(), [*keys, "athlete_id"], "left_anti")
-    rest = rest.groupBy(*keys, "athlete_id").agg(F.min("status").alias("status")).select(*keys, "athlete_id", "status", F.lit(None).cast("double").alias("points"), F.lit(1).alias("other"))
-    listed = stored.unionByName(rest)
-    groups = listed.groupBy(*keys, "status").agg(F.count("*").alias("players"), F.coalesce(F.sum("points"), F.lit(0.0)).alias("known"), F.sum("other").alias("_others"))
-    sums = groups.groupBy(*keys).agg(F.sum("known").alias("_known"), F.sum("_others").alias("others"))
-    met = sides.join(sums, keys, "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    # An athlete without an id is no stored one.
+    athlete = Window.partitionBy(*keys, "athlete_id", F.col("stored") & F.col("athlete_id").isNull()).orderBy(F.desc("stored"), F.asc_nulls_last("status"))
+    told = listed.repartition(*keys).withColumn("_first", F.row_number().over(athlete)).where(F.col("stored") | (F.col("_first") == 1))
+    held = F.when(F.col("stored"), F.col("points"))
+    groups = told.groupBy(*keys, "status").agg(F.count(F.when(F.col("stored"), 1)).alias("_stored"), F.count(F.when(~F.col("stored"), 1)).alias("_rest"), F.coalesce(F.sum(held), F.lit(0.0)).alias("known"))
+    side = Window.partitionBy(*keys)
+    groups = groups.withColumns({"_known": F.sum("known").over(side), "_others": F.sum("_rest").over(side)}).withColumnsRenamed({k: f"_{k}" for k in keys})
+    own = (F.col("game_id") == F.col("_game_id")) & (F.col("team_id") == F.col("_team_id"))
+    met = sides.join(groups, own & (~F.col("complete") | (F.col("_stored") > 0)), "left")
+    others = F.when(F.col("complete"), 0).otherwise(F.coalesce("_others", F.lit(0))).cast("long")
     left = F.greatest(F.lit(0.0), F.col("points") - F.coalesce("_known", F.lit(0.0)))
-    told = F.when(~F.col("complete") & ((F.col("others") > 0) | (left >= LEFTOVER_POINTS)), left)
+    over = F.when(~F.col("complete") & ((others > 0) | (left >= LEFTOVER_POINTS)), left)
     filing = F.when(F.col("complete") & F.col("unfiled"), "unfiled, counted").when(~F.col("complete") & F.col("not_submitted"), "unfiled, nobody counted").otherwise("filed")
-    met = met.select(*keys, "points", filing.alias("filing"), "others", told.alias("left_over"))
-    return met.join(groups.drop("_others"), keys, "left").select(*keys, "points", "filing", "status", "players", "known", "others", "left_over")
+    players = F.col("_stored") + F.when(F.col("complete"), 0).otherwise(F.col("_rest"))
+    return met.select(*keys, "points", filing.alias("filing"), "status", players.alias("players"), "known", others.alias("others"), over.alias("left_over"))

@@ -86,6 +86,6 @@ def absent_players_by_side(s, d):
     both = sides(c).select("game_id", "team_id", F.col("scored").cast("double").alias("points"), (F.col("status") == "final").alias("complete"), F.col("neutral").alias("unfiled"), (F.col("status") == "in-progress").alias("not_submitted"))
     line = table(s, d, "lineitem").join(c.select(F.col("game_id").alias("l_orderkey"), "home_id", "away_id"), "l_orderkey").select(
         F.col("l_orderkey").alias("game_id"), F.when(F.col("l_linestatus") == "O", F.col("home_id")).otherwise(F.col("away_id")).alias("team_id"), F.col("l_partkey").alias("athlete_id"),
-        F.nullif("l_returnflag", F.lit("N")).alias("status"), F.col("l_quantity").alias("points"), "l_linenumber",
+        F.nullif("l_returnflag", F.lit("N")).alias("status"), F.col("l_quantity").alias("points"), (F.col("l_linenumber") <= 3).alias("stored"),
     )
-    return Q.absence_sides(both, line.where("l_linenumber <= 3").drop("l_linenumber"), line.select("game_id", "team_id", "athlete_id", "status"))
+    return Q.absence_sides_of(both, line)

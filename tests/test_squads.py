@@ -50,3 +50,27 @@ def test_absent_players_of_a_side(spark):
     want += [(3, 3.0, "filed", *g, 0, None) for g in stored] + [(4, 3.04, "filed", *g, 0, None) for g in stored] + [(5, 0.0, "filed", None, None, None, 0, None)]
     assert rows == sorted(want, key=str)
     assert got.where(F.col("team_id") == 9).count() == 0
+
+
+SIDE = "game_id int, team_id int, points double, complete boolean, unfiled boolean, not_submitted boolean"
+LISTED = "game_id int, team_id int, athlete_id string, status string, points double, stored boolean"
+
+
+def test_listed_rows_of_a_side_are_shuffled_once(spark):
+    sides = spark.createDataFrame([(1, 1, 5.0, True, True, False), (1, 2, 5.0, False, False, False)], SIDE)
+    listed = [(1, t, "a", "out", 2.0, True) for t in (1, 2, 9)] + [(1, t, "a", None, 1.0, True) for t in (1, 2)]
+    listed += [(1, t, "b", s, None, False) for t in (1, 2) for s in (None, "out", "day")] + [(1, t, "a", "day", None, False) for t in (1, 2)]
+    listed += [(1, 2, None, "out", 0.5, True), (1, 2, None, "ill", None, False), (1, 2, "c", None, None, False)]
+    got = Q.absence_sides_of(sides, spark.createDataFrame(listed, LISTED))
+    stored = [(1, 1, 5.0, "unfiled, counted", "out", 1, 2.0, 0, None), (1, 1, 5.0, "unfiled, counted", None, 1, 1.0, 0, None)]
+    want = [(1, 2, 5.0, "filed", *g, 3, 1.5) for g in (("out", 2, 2.5), (None, 2, 1.0), ("day", 1, 0.0), ("ill", 1, 0.0))]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(stored + want, key=str)
+    shuffles = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+    assert shuffles <= 2  # one of the sides, one of what is listed
+
+
+def test_a_complete_side_that_only_a_report_names_has_one_row(spark):
+    sides = spark.createDataFrame([(1, 1, 5.0, True, False, False), (1, 2, 0.0, False, False, False)], SIDE)
+    listed = spark.createDataFrame([(1, 1, "a", "out", None, False), (1, 1, "b", "day", None, False)], LISTED)
+    got = sorted(map(tuple, Q.absence_sides_of(sides, listed).collect()))
+    assert got == [(1, 1, 5.0, "filed", None, None, None, 0, None), (1, 2, 0.0, "filed", None, None, None, 0, None)]
