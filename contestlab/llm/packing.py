@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ ROWS_PER_RANGE = 1 << 16  # pieces ranked in one task
 CACHE_ENTRIES = 300_000
 END_OF_TEXT = "<|endoftext|>"  # the vocabulary's special token and its id; in a text it stands for itself
 END_OF_TEXT_ID = 50256
+TEXT_AT_ONCE = 1 << 24  # bytes of whole texts whose chunks are told apart together
+CHUNKS_AT_ONCE = 1 << 15  # different chunks encoded in one call
+UNITS_AT_ONCE = 1 << 18  # chunks whose ids are put in place together
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+UNEVEN = rf"^$|^{_SPACE}|{_SPACE}{_SPACE}|{_SPACE}$|<\|endoftext\|>"  # texts that aren't cut at their spaces
 
 
 class _Chunks(dict):
@@ -85,28 +91,80 @@ def byte_bpe(path: str):
         return special.join(map(plain, text.split(END_OF_TEXT))) if END_OF_TEXT in text else plain(text)
 
     encode.forget = inner.clear
+    encode.ordinary = encoding.encode_ordinary
+    encode.led = np.zeros(max(ranks.values()) + 1, bool)  # the ids of tokens that begin with a space
+    encode.led[[i for token, i in ranks.items() if token[:1] == b" "]] = True
     return encode
 
 
+def encoded(texts: pa.Array, encode, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """texts, none of them null -> the ids of all of them one after another, each text's followed by the end id, and
+    how many of them each has. Token ids of 16 bits are kept as such.
+
+    Texts are cut at their spaces, as byte_bpe() cuts them. Each different chunk is encoded once, many in one call: the
+    only space in a chunk leads it, so the ids of the next one begin where a token begins with a space. The texts' ids
+    are then taken from the chunks'. A text's first chunk, which no space leads, and uneven texts are encoded one by one.
+    """
+    uneven = pc.match_substring_regex(texts, UNEVEN)
+    lists = pc.split_pattern(pc.if_else(uneven, "-", texts), " ")
+    chunks, n = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    first = np.cumsum(n) - n
+    known = chunks.dictionary_encode()
+    ids = []
+    for at in range(0, len(known.dictionary), CHUNKS_AT_ONCE):
+        some = known.dictionary.slice(at, CHUNKS_AT_ONCE)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+        ids.append(np.array(encode.ordinary(" " + joined), "<u4"))
+    sizes = [np.diff(np.append(np.flatnonzero(encode.led[x]), len(x))) for x in ids]
+    ids.append(np.array([end_id], "<u4"))
+    for i, (whole, head) in enumerate(zip(uneven.to_pylist(), chunks.take(pa.array(first)).to_pylist())):
+        ids.append(np.frombuffer(encode(texts[i].as_py()), "<u4") if whole else np.array(encode.ordinary(head), "<u4"))
+    sizes = np.concatenate([*sizes, [len(x) for x in ids[len(sizes) :]]])
+    ids = np.concatenate(ids)
+    ids = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+    begins, end = np.cumsum(sizes) - sizes, len(known.dictionary)
+    units = np.insert(known.indices.to_numpy(), first + n, end)
+    units[first + np.arange(len(n))] = end + 1 + np.arange(len(n))
+    made = []
+    for at in range(0, len(units), UNITS_AT_ONCE):
+        some = units[at : at + UNITS_AT_ONCE]
+        size = sizes[some]
+        stop = np.cumsum(size)
+        made.append(ids[np.repeat(begins[some] - stop + size, size) + np.arange(stop[-1])])
+    return np.concatenate(made), np.add.reduceat(sizes[units], first + np.arange(len(n)))
+
+
+def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(first, number) of runs of neighbours that together have at most `most`, or are one alone."""
+    part, total = [0], 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > most:
+            part.append(i)
+            total = 0
+        total += size
+    return [(lo, hi - lo) for lo, hi in zip(part, [*part[1:], len(sizes)]) if hi > lo]
+
+
 def tokenised(docs: DataFrame, ranks: str, end_id: int) -> DataFrame:
     """(doc_id, queue, text) -> with the tokens and their number in place of the text, the chunk that a row was
     tokenised in and the tokens of its queue that came before it there. Token ids of 16 bits are kept as such."""
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, chunk, seen = byte_bpe(ranks), TaskContext.get().partitionId(), {}
         for batch in batches:
-            counts, before, kept = [], [], []
-            for queue, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u4")
-                counts.append(len(ids))
-                before.append(seen.get(queue, 0))
-                seen[queue] = before[-1] + len(ids)
-                kept.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes())
-            made = [pa.array(counts, pa.int64()), pa.array([chunk] * len(counts), pa.int64()), pa.array(before, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "queue", "doc_tokens", "chunk", "before", "ids"])
+            texts = batch.column(2).fill_null("")
+            for rows in slices(pc.binary_length(texts).to_numpy(), TEXT_AT_ONCE):
+                ids, counts = encoded(texts.slice(*rows), encode, int(end_id))
+                before, kept, at = [], [], 0
+                for queue, n in zip(batch.column(1).slice(*rows).to_pylist(), counts.tolist()):
+                    before.append(seen.get(queue, 0))
+                    seen[queue] = before[-1] + n
+                    kept.append(ids[at : at + n].tobytes())
+                    at += n
+                made = [pa.array(counts, pa.int64()), pa.array([chunk] * len(counts), pa.int64()), pa.array(before, pa.int64()), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(*rows) for c in range(2)), *made], names=["doc_id", "queue", "doc_tokens", "chunk", "before", "ids"])
         encode.forget()  # the worker goes on to other stages
 
     kind = docs.schema["doc_id"].dataType.simpleString()
