@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, hot_keys, materialize, spread_join, table
-from .vectors import as_rows, common_length, directions, matrix, norms
+from .vectors import as_rows, common_length, directions, matrix, norms, number_type
 
 TABLES, WIDTH, SUCCESS = 8, 2.5, 0.26
 MOST_FUNCTIONS = 20
@@ -91,18 +91,18 @@ class Tables:
         return self.number(home + np.concatenate([one[i[order]], two[j[order]]], axis=1), t)
 
 
-def _measured_reach(distinct: DataFrame, k: int) -> float:
+def _measured_reach(distinct: DataFrame, k: int, numbers: str) -> float:
     """The mean distance from SAMPLE vectors, chosen by a hash, to the k-th nearest of all distinct others."""
     picked = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
     if len(picked) < 2:
         return 1.0
-    sample = directions(np.frombuffer(b"".join(picked), "<f8").reshape(len(picked), -1))
+    sample = directions(np.frombuffer(b"".join(picked), numbers).reshape(len(picked), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.empty((len(sample), 0))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                s = sample @ directions(matrix(batch.column(0).slice(at, 4096))).T
+                s = sample @ directions(matrix(batch.column(0).slice(at, 4096), numbers)).T
                 best = -np.sort(-np.concatenate([best, np.where(s > 1 - 1e-12, -2, s)], axis=1), axis=1)[:, :k]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sample)), best.shape[1])), pa.array(best.ravel())], names=["i", "s"])
 
@@ -145,7 +145,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col
     their own: a query only leaves out its own row. Other columns are ignored. An empty input gives an empty result.
     """
     base = materialize(as_rows(df, id_col, vec_col), "ann-vectors")
-    length = common_length(base)
+    numbers, length = number_type(df, vec_col), common_length(base)
     good = base.where((F.length("v") == length) & (F.length("v") > 0))
     kind = base.schema["id"].dataType.simpleString()
     salted = Window.partitionBy("v", F.pmod(F.xxhash64("rid"), F.lit(64))).orderBy(F.col("id").asc_nulls_last(), "rid")
@@ -153,11 +153,11 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col
     few = least.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "rid"))).where(F.col("n") <= k + 1)
     distinct = materialize(few.groupBy("v").agg(F.collect_list(F.struct("rid", "id")).alias("rows")), "ann-distinct")
     count, others = distinct.count(), good.count() - 1
-    tables = Tables(max(1, length // 8), count, _measured_reach(distinct, k))
+    tables = Tables(max(1, length // np.dtype(numbers).itemsize), count, _measured_reach(distinct, k, numbers))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u = directions(matrix(batch.column(0)))
+            u = directions(matrix(batch.column(0), numbers))
             for t in range(TABLES) if len(u) else ():
                 bucket = tables.number(np.floor(tables.project(u, t)), t)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], names=["bucket", "v", "rows"])
@@ -173,7 +173,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                u = directions(matrix(some.column(1)))
+                u = directions(matrix(some.column(1), numbers))
                 for t in range(TABLES):
                     found = [tables.probes(x, t) for x in tables.project(u, t)]
                     who = pa.array(np.repeat(np.arange(len(u)), [len(x) for x in found]))
@@ -202,7 +202,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col
         a, b = np.searchsorted(bucket, wanted, "left"), np.searchsorted(bucket, wanted, "right")
         who = np.repeat(owner, b - a)
         member = np.arange(len(who)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-        return _best(k, left["qrid"].to_pylist(), left["query_id"].to_pylist(), who, member, matrix(left["v"]), matrix(right["v"]), right["rows"].to_pylist(), left.schema.field("query_id").type)
+        return _best(k, left["qrid"].to_pylist(), left["query_id"].to_pylist(), who, member, matrix(left["v"], numbers).astype(np.float64), matrix(right["v"], numbers).astype(np.float64), right["rows"].to_pylist(), left.schema.field("query_id").type)
 
     found = queries.groupBy("part", "lot").cogroup(members.groupBy("part", "lot")).applyInArrow(compare, _found_schema(kind))
     merged = materialize(found.groupBy("qrid", "query_id", "rid", "vec_id").agg(F.max("score").alias("score")), "ann-found")
@@ -219,7 +219,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col
         right = distinct.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
         def exact(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            q, m = matrix(left["v"]), matrix(right["v"])
+            q, m = (matrix(x["v"], numbers).astype(np.float64) for x in (left, right))
             who, member = (x.ravel() for x in np.indices((len(q), len(m))))
             return _best(k, left["qrid"].to_pylist(), left["query_id"].to_pylist(), who, member, q, m, right["rows"].to_pylist(), left.schema.field("query_id").type)
 

@@ -105,3 +105,37 @@ def test_links_and_components(vectors):
     alone = [r for r in got if r["vec_id"] >= 3000]
     assert len(alone) == 7 and all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] and r["kept"] for r in alone)
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
+
+
+def test_links_of_floats_doubles_and_many_blocks(spark, monkeypatch):
+    """Blocks, lots and passes of a few rows give the links of brute force, and no shuffle file outlives a pass."""
+    for name, few in (("PER_CELL", 20), ("MEMBERS", 16), ("VISITORS", 32), ("LEAST_PASS", 500), ("VISITORS_AT_ONCE", 8), ("PAIRS", 64)):
+        monkeypatch.setattr(embedding_dedup, name, few)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 24))
+    x[300:420] = x[0] + 0.1 * rng.standard_normal((120, 24))  # a crowded cell
+    x[420:560] = x[1:141] + 0.2 * rng.standard_normal((140, 24))
+    for kind, width in (("float", np.float32), ("double", np.float64)):
+        v = x.astype(width)
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], f"vec_id long, embedding array<{kind}>")
+        u = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(1))[:, None]
+        linked = u @ u.T >= 0.95
+        np.fill_diagonal(linked, False)
+        want = roots(range(len(v)), list(zip(*np.nonzero(np.triu(linked)))))
+        got = {r["vec_id"]: r for r in embedding_dedup.embedding_links(df).collect()}
+        assert {i: r["component_id"] for i, r in got.items()} == dict(want)
+        assert sum(r["n_links"] for r in got.values()) >= 0.995 * linked.sum() > 10_000
+        assert all(r["n_links"] <= linked[i].sum() for i, r in got.items())
+
+
+def test_what_a_pass_sends_does_not_grow_with_the_visits():
+    """A vector of 600,000 visits 12 cells ahead: a pass sends PASS_ROWS rows for each vector, not 12."""
+    rng = np.random.default_rng(1)
+    members = rng.poisson(1000, 576)
+    blocks = embedding_dedup.Blocks(members, 13 * members, int(members.sum()))
+    sent = [0] * blocks.passes
+    cell = rng.integers(0, 576, 40_000)
+    for now in range(blocks.passes):
+        sent[now] = len(blocks.of(np.arange(40_000), cell, True, now)[0])
+    assert sum(sent) == 40_000 and blocks.passes >= 7
+    assert 13 * max(sent) <= 1.6 * embedding_dedup.PASS_ROWS * 40_000
