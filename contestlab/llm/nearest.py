@@ -8,9 +8,11 @@ until the visited buckets hold the chance SUCCESS in each of TABLES tables. `rea
 the k-th neighbour of SAMPLE vectors. What the tables find is merged and ranked by exact cosine; queries that found
 fewer than k are searched again in blocks against all vectors.
 
-Buckets lie in parts of about PART rows, a crowded bucket in several; a query is sent once to each part that holds one
-of its buckets, and only the members of these are compared. Equal vectors are hashed once and carry their k + 1
-smallest ids, which is all that a result of k can need.
+Buckets lie in parts, a crowded bucket in several; a query is sent once to each part that may hold one of its buckets,
+and only the members of these are compared, a bucket with all its queries at once: in single precision, and what may be
+among a query's nearest again in double precision. One table and QUERIES queries are searched at a time and leave only
+these queries' nearest, so that the disk holds one copy of the vectors for one table, not for all. Equal vectors are
+one, known by 128 bits of hashes, with their k + 1 smallest ids, which is all that a result of k can need.
 """
 
 from __future__ import annotations
@@ -18,21 +20,25 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, hot_keys, materialize, spread_join, table
+from .common import forget, materialize, shuffles_deleted, table
 from .vectors import as_rows, common_length, directions, matrix, norms, number_type
 
 TABLES, WIDTH, SUCCESS = 8, 2.5, 0.26
 MOST_FUNCTIONS = 20
 SAMPLE = 64  # vectors whose neighbours' distance is measured, against all
-PART, CHUNK, LOT = 1 << 14, 1 << 12, 1 << 12  # members of a part, of a bucket in one part, queries in one group
-PAIRS = 1 << 16  # compared at once
+PARTS, PART, CHUNK = 16, 1 << 17, 1 << 12  # parts at least, members of a part and of a bucket in one part at most
+QUERIES = 1 << 17  # searched in one pass
+PAIRS = 1 << 16  # compared at once in double precision
+BLOCK = 1 << 21  # pairs compared at once in single precision
+WAITING, LEAST_WAITING = 16, 1 << 16  # pairs that wait to be ranked: for each query, and in all at least
+UNSURE = 1e-4  # more than single precision errs by
 
 
 @cache
@@ -77,13 +83,13 @@ class Tables:
             order = order[chance[order] > chance[order[0]] - 12]
             halves.append((chance[order], steps[order]))
         (first, one), (second, two) = halves
-        mass = np.r_[0, np.cumsum(np.exp(second))]
-        reached = lambda least: np.searchsorted(-second, first - least, side="right")
+        mass, rising, likely = np.r_[0, np.cumsum(np.exp(second))], -second, np.exp(first)
+        reached = lambda least: np.searchsorted(rising, first - least, side="right")
         low, high = first[-1] + second[-1], first[0] + second[0]
-        if (np.exp(first) * mass[reached(low)]).sum() > SUCCESS:
-            for _ in range(30):
+        if (likely * mass[reached(low)]).sum() > SUCCESS:
+            for _ in range(14):
                 middle = (low + high) / 2
-                low, high = (middle, high) if (np.exp(first) * mass[reached(middle)]).sum() >= SUCCESS else (low, middle)
+                low, high = (middle, high) if (likely * mass[reached(middle)]).sum() >= SUCCESS else (low, middle)
         counts = reached(low)
         i = np.repeat(np.arange(len(first)), counts)
         j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -112,28 +118,75 @@ def _measured_reach(distinct: DataFrame, k: int, numbers: str) -> float:
     return float(mean) if mean else 1.0
 
 
-def _found_schema(kind: str) -> str:
-    return f"qrid long, query_id {kind}, rid long, vec_id {kind}, score double"
-
-
-def _best(k: int, qrid, qid, who: np.ndarray, member: np.ndarray, q: np.ndarray, m: np.ndarray, rows: list, id_type: pa.DataType) -> pa.Table:
-    """Of the pairs (who, member) of rows of q and m, each query's k + 1 nearest members (ties included) with their rows."""
-    out = {"qrid": [], "query_id": [], "rid": [], "vec_id": [], "score": []}
+FOUND = "qnode long, node long, score double"
+
+
+def _nearest_found(k: int, q: np.ndarray, m: np.ndarray, meetings: Iterator[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) of each query's k + 1 nearest members, ties included, of those it meets: in meetings,
+    (queries, first, last), each of these queries meets the members from first to before last."""
+    u, w = directions(q).astype(np.float32), directions(m).astype(np.float32)
+    least = np.full(len(q), -2, np.float32)  # what a member must reach to be among a query's nearest
+    held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    waiting = 0
+
+    def ranked(s: np.ndarray, who: np.ndarray, member: np.ndarray, within: float):
+        order = np.argsort(4.0 * who - s) if s.dtype == np.float32 else np.lexsort((-s, who))
+        s, who, member = s[order], who[order], member[order]
+        starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, np.int64)
+        ends = np.r_[starts[1:], len(who)]
+        last = s[np.minimum(starts + k, ends - 1)]
+        full = ends - starts > k
+        least[who[starts[full]]] = last[full] - within
+        kept = s >= np.repeat(np.where(full, last - within, -2), ends - starts)
+        return who[kept], member[kept], s[kept]
+
+    for some, first, last in meetings:
+        step = max(1, BLOCK // max(1, last - first))
+        for at in range(0, len(some), step):
+            who = some[at : at + step]
+            s = u[who] @ w[first:last].T
+            i, j = np.nonzero(s >= least[who][:, None])
+            held.append((who[i], first + j, s[i, j]))
+            waiting += len(i)
+            if waiting > max(LEAST_WAITING, WAITING * len(q)):
+                who, member, s = (np.concatenate(x) for x in zip(*held))
+                held, waiting = [ranked(s, who, member, UNSURE)], 0
+    who, member, s = (np.concatenate(x) for x in zip(*held))
+    who, member, s = ranked(s, who, member, UNSURE)
     qn, mn = norms(q), norms(m)
-    score = np.empty(len(who))
+    exact = np.empty(len(who))
     for at in range(0, len(who), PAIRS):
         a, b = who[at : at + PAIRS], member[at : at + PAIRS]
-        score[at : at + PAIRS] = np.einsum("ij,ij->i", q[a], m[b]) / (qn[a] * mn[b])
-    order = np.lexsort((-score, who))
-    for some in np.split(order, np.flatnonzero(np.diff(who[order])) + 1) if len(order) else ():
-        i = int(who[some[0]])
-        floor = score[some[min(k, len(some) - 1)]] - 1e-12
-        for p in some[: int(np.searchsorted(-score[some], -floor, side="right"))].tolist():
-            for r in rows[member[p]]:
-                if r["rid"] != qrid[i]:
-                    for c, x in zip(out, (qrid[i], qid[i], r["rid"], r["id"], score[p])):
-                        out[c].append(x)
-    return pa.table(out, schema=pa.schema([("qrid", pa.int64()), ("query_id", id_type), ("rid", pa.int64()), ("vec_id", id_type), ("score", pa.float64())]))
+        exact[at : at + PAIRS] = np.einsum("ij,ij->i", q[a].astype(np.float64), m[b].astype(np.float64)) / (qn[a] * mn[b])
+    return ranked(exact, who, member, 1e-12)
+
+
+def _meetings(bucket: np.ndarray, lists: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Of members sorted by bucket and of each query's list of buckets."""
+    lists = lists.combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+    wanted, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    known, first = np.unique(bucket, return_index=True)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    there = known[at] == wanted
+    at, owner = at[there], owner[there]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    ends, cuts = np.r_[first[1:], len(bucket)], np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+    for i, x in enumerate(cuts):
+        yield owner[x : cuts[i + 1] if i + 1 < len(cuts) else len(owner)], int(first[at[x]]), int(ends[at[x]])
+
+
+def _table(qnode, node, who: np.ndarray, member: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"qnode": pa.array(qnode[who]), "node": pa.array(node[member]), "score": pa.array(score)})
+
+
+NONE = pa.table({"qnode": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def _mixed(x: np.ndarray, y) -> np.ndarray:
+    x = (x.astype(np.int64).view(np.uint64) ^ (np.asarray(y).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -144,89 +197,127 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col
     part, nor do null ids as queries; a null id as a neighbour comes last among equals. Repeated rows are rows of
     their own: a query only leaves out its own row. Other columns are ignored. An empty input gives an empty result.
     """
+    with shuffles_deleted(df.sparkSession):
+        return _nearest(df, is_query, k, id_col, vec_col)
+
+
+def _nearest(df: DataFrame, is_query, k: int, id_col: str, vec_col: str) -> DataFrame:
     base = materialize(as_rows(df, id_col, vec_col), "ann-vectors")
     numbers, length = number_type(df, vec_col), common_length(base)
     good = base.where((F.length("v") == length) & (F.length("v") > 0))
-    kind = base.schema["id"].dataType.simpleString()
-    salted = Window.partitionBy("v", F.pmod(F.xxhash64("rid"), F.lit(64))).orderBy(F.col("id").asc_nulls_last(), "rid")
-    least = good.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
-    few = least.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last(), "rid"))).where(F.col("n") <= k + 1)
-    distinct = materialize(few.groupBy("v").agg(F.collect_list(F.struct("rid", "id")).alias("rows")), "ann-distinct")
-    count, others = distinct.count(), good.count() - 1
+    keys = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v", F.lit(2)).alias("h2")]
+    order = F.col("id").asc_nulls_last(), F.col("rid")
+    salted = Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("rid"), F.lit(64))).orderBy(*order)
+    equal = Window.partitionBy("h1", "h2").orderBy(*order)
+    rows = good.select("id", "rid", *keys).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+    rows = rows.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).withColumn("node", F.first("rid").over(equal))
+    rows = materialize(rows.select("node", "rid", "id", "h1", "h2"), "ann-rows")  # a node is the row that stands for its equals
+    distinct = materialize(good.select(F.col("rid").alias("node"), "v").join(rows.where("rid = node").select("node"), "node"), "ann-distinct")
+    asked = good.where(is_query(F.col("id"))).select("id", "rid", *keys).join(rows.where("rid = node").select("node", "h1", "h2"), ["h1", "h2"])
+    asked = materialize(asked.select(F.col("node").alias("qnode"), F.col("rid").alias("qrid"), F.col("id").alias("query_id")), "ann-asked")
+    queries = materialize(distinct.join(asked.select(F.col("qnode").alias("node")).distinct(), "node").select("node", "v"), "ann-queries")
+    count, others, n_queries = distinct.count(), good.count() - 1, queries.count()
+    forget(base)
     tables = Tables(max(1, length // np.dtype(numbers).itemsize), count, _measured_reach(distinct, k, numbers))
+    parts, chunk = max(PARTS, -(-count // PART)), min(CHUNK, max(64, count // 64))
+    slices = max(1, -(-n_queries // QUERIES))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = directions(matrix(batch.column(0), numbers))
             for t in range(TABLES) if len(u) else ():
-                bucket = tables.number(np.floor(tables.project(u, t)), t)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], names=["bucket", "v", "rows"])
-
-    indexed = materialize(distinct.mapInArrow(index, f"bucket long, v binary, rows array<struct<rid:bigint,id:{kind}>>"), "ann-index")
-    parts = max(1, TABLES * count // PART)
-    sizes = indexed.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    sizes = materialize(sizes, "ann-buckets", TABLES * count)
-    hot = hot_keys(sizes, "bucket", TABLES * count)
-    part = F.pmod(F.xxhash64("bucket", "chunk"), F.lit(parts))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                u = directions(matrix(some.column(1), numbers))
-                for t in range(TABLES):
-                    found = [tables.probes(x, t) for x in tables.project(u, t)]
-                    who = pa.array(np.repeat(np.arange(len(u)), [len(x) for x in found]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), some.column(0).take(who)], names=["bucket", "qrid"])
-
-    asked = materialize(good.where(is_query(F.col("id"))).select("id", "rid", "v"), "ann-queries")
-    probed = asked.select("rid", "v").mapInArrow(visit, "bucket long, qrid long")
-    met = spread_join(probed, sizes.select("bucket", "chunks"), "bucket", hot, F.xxhash64("qrid"))
-    met = met.select("bucket", "qrid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    sent = materialize(met.groupBy(part.alias("part"), "qrid").agg(F.collect_set("bucket").alias("buckets")), "ann-probes")
-    lots = sent.groupBy("part").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
-    queries = sent.join(lots, "part").withColumn("lot", F.pmod(F.xxhash64("qrid"), F.col("lots")).cast("int"))
-    queries = queries.select("part", "lot", "qrid", "buckets").join(asked.select(F.col("rid").alias("qrid"), F.col("id").alias("query_id"), "v"), "qrid")
-    crowded = sizes.where("chunks > 1").select("bucket", "chunks")
-    members = spread_join(indexed, crowded, "bucket", hot, F.xxhash64("v"), "left")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).cast("int")).select("bucket", "v", "rows", part.alias("part"))
-    members = members.join(lots, "part").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+                yield pa.RecordBatch.from_arrays([pa.array(tables.number(np.floor(tables.project(u, t)), t))], names=["bucket"])
+
+    # Of TABLES * count rows, at most one in CHUNK is a crowded bucket's.
+    sizes = distinct.select("v").mapInArrow(buckets, "bucket long").groupBy("bucket").count().where(F.col("count") > chunk).orderBy("bucket").toPandas()
+    crowded, chunks = sizes["bucket"].to_numpy(np.int64), -(-sizes["count"].to_numpy(np.int64) // chunk)
+
+    def chunks_of(bucket: np.ndarray) -> np.ndarray:
+        if not len(crowded):
+            return np.ones(len(bucket), np.int64)
+        at = np.minimum(np.searchsorted(crowded, bucket), len(crowded) - 1)
+        return np.where(crowded[at] == bucket, chunks[at], 1)
+
+    def part_of(bucket: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return (_mixed(bucket, which) % np.uint64(parts)).astype(np.int64)
+
+    def index(t: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    bucket = tables.number(np.floor(tables.project(directions(matrix(batch.column(1), numbers)), t)), t)
+                    which = _mixed(batch.column(0).to_numpy(), 1) % chunks_of(bucket).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part_of(bucket, which)), pa.array(bucket), *batch.columns], names=["part", "bucket", "node", "v"])
+
+        return run
+
+    def visit(t: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    some = batch.slice(at, 64)
+                    found = [tables.probes(x, t) for x in tables.project(directions(matrix(some.column(1), numbers)), t)]
+                    who, bucket = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found)
+                    many = chunks_of(bucket)
+                    who, bucket = np.repeat(who, many), np.repeat(bucket, many)
+                    part = part_of(bucket, np.arange(len(bucket)) - np.repeat(np.cumsum(many) - many, many))
+                    order = np.lexsort((bucket, part, who))
+                    who, part, bucket = who[order], part[order], bucket[order]
+                    starts = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (part[1:] != part[:-1])])
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(who)], pa.int32()), pa.array(bucket))
+                    sent = [c.take(pa.array(who[starts])) for c in some.columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *sent, lists], names=["part", "qnode", "q", "buckets"])
+
+        return run
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _best(k, [], [], np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1)), np.empty((0, 1)), [], left.schema.field("query_id").type)
+            return NONE
         right = right.sort_by("bucket")
-        bucket, lists = right["bucket"].to_numpy(), left["buckets"].combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-        wanted, owner = lists.flatten().to_numpy(), np.repeat(np.arange(left.num_rows), lists.value_lengths().to_numpy())
-        a, b = np.searchsorted(bucket, wanted, "left"), np.searchsorted(bucket, wanted, "right")
-        who = np.repeat(owner, b - a)
-        member = np.arange(len(who)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-        return _best(k, left["qrid"].to_pylist(), left["query_id"].to_pylist(), who, member, matrix(left["v"], numbers).astype(np.float64), matrix(right["v"], numbers).astype(np.float64), right["rows"].to_pylist(), left.schema.field("query_id").type)
-
-    found = queries.groupBy("part", "lot").cogroup(members.groupBy("part", "lot")).applyInArrow(compare, _found_schema(kind))
-    merged = materialize(found.groupBy("qrid", "query_id", "rid", "vec_id").agg(F.max("score").alias("score")), "ann-found")
-    forget(indexed, sent)
+        bucket, q, m = right["bucket"].to_numpy(), matrix(left["q"], numbers), matrix(right["v"], numbers)
+        return _table(left["qnode"].to_numpy(), right["node"].to_numpy(), *_nearest_found(k, q, m, _meetings(bucket, left["buckets"])))
+
+    def best(found: DataFrame) -> DataFrame:
+        """Each query's k + 1 nearest vectors, ties included."""
+        found = found.groupBy("qnode", "node").agg(F.max("score").alias("score"))
+        return found.withColumn("n", F.rank().over(Window.partitionBy("qnode").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n")
+
+    def ranked(found: DataFrame, who: DataFrame) -> DataFrame:
+        """For the rows `who` (qnode, qrid, query_id), what is found for their vectors as rows."""
+        pairs = who.join(found, "qnode").join(rows.select("node", "rid", F.col("id").alias("vec_id")), "node").where("rid <> qrid")
+        order = Window.partitionBy("qrid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid")
+        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qrid", "query_id", "rank", "vec_id", "score")
+
+    found = []
+    for now in range(slices):
+        some = queries.where(F.pmod(F.xxhash64("node"), F.lit(slices)) == now)
+        for t in range(TABLES):
+            visits = some.mapInArrow(visit(t), "part long, qnode long, q binary, buckets array<long>")
+            members = distinct.mapInArrow(index(t), "part long, bucket long, node long, v binary")
+            found.append(materialize(best(visits.groupBy("part").cogroup(members.groupBy("part")).applyInArrow(compare, FOUND)), "ann-found"))
+    found = reduce(DataFrame.union, found)
+    result = materialize(ranked(best(found), asked), "ann-result", k * asked.count())
 
     # Queries with too few found meet all vectors, in blocks.
-    held = merged.groupBy("qrid").agg(F.count("*").alias("n"))
-    short = asked.select(F.col("rid").alias("qrid"), F.col("id").alias("query_id"), "v").join(held, "qrid", "left").where(F.coalesce("n", F.lit(0)) < min(k, max(0, others))).drop("n")
-    short = materialize(short, "ann-short")
+    held = result.groupBy("qrid").agg(F.count("*").alias("n"))
+    short = materialize(asked.join(held, "qrid", "left").where(F.coalesce("n", F.lit(0)) < min(k, max(0, others))).drop("n"), "ann-short")
     few = short.count()
     if few:
-        blocks, pieces = -(-few // LOT), -(-count // CHUNK)
-        left = short.withColumn("block", F.pmod(F.xxhash64("qrid"), F.lit(blocks))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-        right = distinct.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        blocks, pieces = -(-few // QUERIES), -(-count // PART)
+        left = queries.join(short.select(F.col("qnode").alias("node")).distinct(), "node")
+        left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        right = distinct.withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(pieces)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
         def exact(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            q, m = (matrix(x["v"], numbers).astype(np.float64) for x in (left, right))
-            who, member = (x.ravel() for x in np.indices((len(q), len(m))))
-            return _best(k, left["qrid"].to_pylist(), left["query_id"].to_pylist(), who, member, q, m, right["rows"].to_pylist(), left.schema.field("query_id").type)
-
-        again = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece")).applyInArrow(exact, _found_schema(kind))
-        merged = merged.join(short, "qrid", "left_anti").select("qrid", "query_id", "rid", "vec_id", "score").union(again)
-    order = Window.partitionBy("qrid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if not left.num_rows or not right.num_rows:
+                return NONE
+            every = ((np.arange(left.num_rows), at, min(at + CHUNK, right.num_rows)) for at in range(0, right.num_rows, CHUNK))
+            return _table(left["node"].to_numpy(), right["node"].to_numpy(), *_nearest_found(k, matrix(left["v"], numbers), matrix(right["v"], numbers), every))
+
+        again = best(left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece")).applyInArrow(exact, FOUND))
+        result = result.join(short, "qrid", "left_anti").union(materialize(ranked(again, short), "ann-again", k * few))
+    forget(distinct, queries)
+    return result.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_nearest(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on embeddings against brute force, with copies, nulls and zeros."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,35 @@ def test_what_a_pass_sends_does_not_grow_with_the_visits():
         sent[now] = len(blocks.of(np.arange(40_000), cell, True, now)[0])
     assert sum(sent) == 40_000 and blocks.passes >= 7
     assert 13 * max(sent) <= 1.6 * embedding_dedup.PASS_ROWS * 40_000
+
+
+def test_nearest_leaves_one_copy_for_one_table(spark, monkeypatch, tmp_path):
+    """What the operator writes and leaves is far less than a copy of the vectors for each table; small passes,
+    parts, chunks and blocks find the same as large ones, and doubles the same as floats."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 32)).astype(np.float32)
+    x[1000:1400] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    path = str(tmp_path / "vectors.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(path)
+    df = spark.read.parquet(path)
+    write, written, most = nearest.materialize, [], []
+
+    def weighed(*a):
+        made = write(*a)
+        written.append(Path(made.written_at.removeprefix("file://")))
+        most.append(sum(f.stat().st_size for top in written for f in top.rglob("*.parquet")))
+        return made
+
+    monkeypatch.setattr(nearest, "materialize", weighed)
+    whole = nearest.nearest(df, lambda i: i % 50 == 0).collect()
+    assert max(most) < 1_200_000  # a copy as floats has 384 kB; eight copies as doubles had 6 MB
+    for name, few in (("QUERIES", 10), ("PART", 100), ("BLOCK", 512), ("LEAST_WAITING", 16), ("PAIRS", 32)):
+        monkeypatch.setattr(nearest, name, few)
+    some = df.where("vec_id < 400 or vec_id % 50 = 0 or vec_id between 1000 and 1400")
+    doubles = some.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    parted, doubled = ([tuple(r) for r in nearest.nearest(d, lambda i: i % 200 == 0).collect()] for d in (some, doubles))
+    assert len(parted) == 5 * 15 and sorted(parted) == sorted(doubled)
+    assert len(whole) == 5 * 60
+    copies = {r["vec_id"] for r in whole if r["query_id"] == 1200}
+    assert copies == {3, 1000, 1001, 1002, 1003}  # ties to the smaller id
